@@ -10,13 +10,14 @@ Two sets at the threshold share a child of a common node with probability 1 - 1/
 all trees together miss a link with probability below 1e-3 (``recall_at_threshold``); links
 between more similar sets are missed more rarely.
 
-Nodes of at most ``SMALL`` sets are compared exhaustively.  A larger node is first compared with
-a few random pivots, and the links are contracted: a node whose members are by then one
-component needs no further pair, since only components are asked for.  If few members (``STRAYS``)
-are outside the node's main component, these are compared with all members and the node is
-done.  Otherwise its members, less the pivots, go down a level.  So no node emits its pairs,
-work per level is linear in the members, and every link that joins two components is found
-with the stated recall.
+Nodes of at most ``TINY`` sets are compared exhaustively at once.  A larger node is first compared
+with a few random pivots, and the links are contracted: a pair whose members are by then in one
+component isn't needed, since only components are asked for, and a node that is one component is
+done.  Nodes of at most ``SMALL`` sets are then compared exhaustively, but for such pairs.  In a node
+that is larger still, if few members (``STRAYS``) are outside its main component, these are compared
+with all members and the node is done; otherwise its members, less the pivots, go down a level.
+So no node emits its pairs, work is linear in the members of a level, and every link that joins
+two components is found with the stated recall.
 
 "Compared": 4-bit sketches of the minwise tokens first (a pair at the threshold passes with
 probability over 0.9999), then the exact Jaccard test on the full sets of shingles.
@@ -44,7 +45,8 @@ from .common import col, drop_stored, fresh, stored
 COORDS = 64
 TREES = 12
 SPREAD = 2.0
-SMALL = 32
+TINY = 24
+SMALL = 1_000
 PIVOTS = 6
 STRAYS = 48
 SEED = 7_919
@@ -168,37 +170,43 @@ def least_matches(threshold: float) -> int:
 
 
 def _small_pairs(nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs (a < b) within small nodes that pass the sketch test; nodes come whole and sorted."""
+    """Pairs (a < b) within nodes, of different ``root``, that pass the sketch test.
+
+    Nodes (key, cid, root, sk) come to a task whole, at most SMALL rows each, one after the other.
+    """
     schema = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
 
     def run(batches):
-        key, ids, sks = None, [], []
+        key, ids, roots, sks = None, [], [], []
 
         def pairs():
             if len(ids) < 2:
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            c = np.array(ids, np.int64)
+            c, r = np.array(ids, np.int64), np.array(roots, np.int64)
             s = np.array(sks, np.int64).view(np.uint64).reshape(len(ids), -1)
-            i, j = np.triu_indices(len(ids), 1)
-            x = s[i] ^ s[j]
-            y = x | (x >> np.uint64(1))
-            y = (y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111)
-            ok = COORDS - np.bitwise_count(y).sum(1, dtype=np.int64) >= least
-            return np.minimum(c[i], c[j])[ok], np.maximum(c[i], c[j])[ok]
+            out = []
+            for k in range(len(ids) - 1):
+                x = s[k + 1 :] ^ s[k]
+                y = x | (x >> np.uint64(1))
+                y = (y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111)
+                out.append(np.flatnonzero((COORDS - np.bitwise_count(y).sum(1, dtype=np.int64) >= least) & (r[k + 1 :] != r[k])) + k + 1)
+            i = np.repeat(np.arange(len(out)), [len(o) for o in out])
+            j = np.concatenate(out)
+            return np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
 
         for b in batches:
             out = []
-            for k, c, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for k, c, r, s in zip(*(b.column(x).to_pylist() for x in range(4))):
                 if k != key:
                     out.append(pairs())
-                    key, ids, sks = k, [], []
-                ids.append(c), sks.append(s)
+                    key, ids, roots, sks = k, [], [], []
+                ids.append(c), roots.append(r), sks.append(s)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in (0, 1)], names=["a", "b"])
         last = pairs()
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["a", "b"])
 
-    dealt = nodes.select("key", "cid", "sk").repartition("key").sortWithinPartitions("key")
+    dealt = nodes.select("key", "cid", "root", "sk").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, schema).where("a <> b").distinct()
 
 
@@ -287,7 +295,7 @@ def links(sigs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, doc_i
     roots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in _chosen(threshold, trees)))
     nodes = classes.select("cid", "sk", F.explode(F.transform(roots, lambda r: F.xxhash64(r["t"], r["i"], F.get(F.col("sig"), r["i"])))).alias("key"))
 
-    level, found, texts = 0, [], None
+    level, found, texts, roots_now = 0, [], None, None
     while True:
         level += 1
         sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -299,42 +307,40 @@ def links(sigs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, doc_i
             met = shared.select("cid").distinct().join(classes.select("cid", "doc_id"), "cid")
             body = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
             texts = stored(_texts(met, body, shingle), "near-texts")
-        pairs = _small_pairs(shared.where(F.col("size") <= small), least)
-        large = shared.where(F.col("size") > small)
+        pairs = _small_pairs(_rooted(shared.where(F.col("size") <= TINY), roots_now), least)
+        large = stored(shared.where(F.col("size") > TINY), f"near-large{level}")
         more = bool(large.head(1))
         if more:
-            large = stored(large.select("key", "cid", "sk"), f"near-large{level}")
-            pick = F.struct(F.xxhash64(F.lit(level), "cid", "key").alias("h"), "cid", "sk")
-            pivots = large.groupBy("key").agg(F.min_by(pick, pick["h"]).alias("p0"), *(
-                F.min_by(pick, F.xxhash64(F.lit(level * 100 + k), "cid", "key")).alias(f"p{k}") for k in range(1, PIVOTS)
-            )).select("key", F.array_distinct(F.transform(F.array(*(f"p{k}" for k in range(PIVOTS))), lambda p: F.struct(p["cid"].alias("cid"), p["sk"].alias("sk")))).alias("picks"))
-            pivots = stored(pivots, f"near-pivots{level}")
+            pick = F.struct("cid", "sk")
+            pivots = large.groupBy("key").agg(*(F.min_by(pick, F.xxhash64(F.lit(level * 100 + k), "cid", "key")).alias(f"p{k}") for k in range(PIVOTS)))
+            pivots = stored(pivots.select("key", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("picks")), f"near-pivots{level}")
             pairs = pairs.union(_with_pivots(large, pivots, least)).distinct()
-        found.append(stored(_verified(pairs, texts, shingle, percent), f"near-links{level}"))
+        found.append(stored(_verified(_apart(pairs, roots_now), texts, shingle, percent), f"near-links{level}"))
         if not more:
             break
 
+        drop_stored(*([roots_now] if roots_now is not None else []))
         roots_now = components(_all(found), f"near-cc{level}")
         rest = large.join(pivots.select("key", F.transform("picks", lambda p: p["cid"]).alias("pivot_ids")), "key")
-        rest = rest.join(roots_now.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        rest = stored(rest.select("key", "cid", "sk", "root", F.array_contains("pivot_ids", F.col("cid")).alias("is_pivot")), f"near-rest{level}")
-        per = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("is_pivot")).alias("open"))
+        rest = _rooted(rest, roots_now).select("key", "cid", "sk", "root", "size", F.array_contains("pivot_ids", F.col("cid")).alias("is_pivot"))
+        rest = stored(rest, f"near-rest{level}")
         # Per node: its main component, and how many members outside it are still to be compared.
-        main = per.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-        outside = per.join(main, "key").where("root <> main").groupBy("key").agg(F.sum("open").alias("strays"))
-        state = stored(main.where("roots > 1").join(outside, "key").select("key", "main", "strays"), f"near-state{level}")
-        few = state.where((F.col("strays") > 0) & (F.col("strays") <= STRAYS))
+        per = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"), F.count_if(~F.col("is_pivot")).alias("open"))
+        main = per.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.first("size").alias("n"))
+        outside = per.join(main.where("roots > 1"), "key").where("root <> main").groupBy("key", "main", "n").agg(F.sum("open").alias("strays"))
+        state = stored(outside.where("strays > 0"), f"near-state{level}")
+        fits = rest.join(state.where(F.col("n") <= small).select("key"), "key", "left_semi").where(~F.col("is_pivot"))
+        few = state.where((F.col("n") > small) & (F.col("strays") <= STRAYS))
         lone = rest.join(few.select("key", "main"), "key").where((F.col("root") != F.col("main")) & ~F.col("is_pivot"))
         picks = lone.groupBy("key").agg(F.collect_list(F.struct("cid", "sk")).alias("picks"))  # at most STRAYS
-        stray_pairs = _with_pivots(rest.select("key", "cid", "sk"), picks, least)
-        found.append(stored(_verified(stray_pairs, texts, shingle, percent), f"near-strays{level}"))
-        many = rest.join(state.where(F.col("strays") > STRAYS).select("key"), "key", "left_semi").where(~F.col("is_pivot"))
+        pairs = _small_pairs(fits, least).union(_with_pivots(rest.select("key", "cid", "sk"), picks, least)).distinct()
+        found.append(stored(_verified(_apart(pairs, roots_now), texts, shingle, percent), f"near-more{level}"))
+        many = rest.join(state.where((F.col("n") > small) & (F.col("strays") > STRAYS)).select("key"), "key", "left_semi").where(~F.col("is_pivot"))
         rate = int(SPREAD / (threshold * COORDS) * (1 << 20))
         down = many.join(classes.select("cid", "sig"), "cid")
         picked = F.filter(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda i: F.pmod(F.xxhash64(F.lit(level), F.col("key"), i), F.lit(1 << 20)) < rate)
-        nodes = down.select("cid", "sk", F.explode(F.transform(picked, lambda i: F.xxhash64("key", i, F.get(F.col("sig"), i)))).alias("key"))
-        nodes = stored(nodes, f"near-nodes{level}")
-        drop_stored(shared, large, pivots, roots_now, rest, state)
+        nodes = stored(down.select("cid", "sk", F.explode(F.transform(picked, lambda i: F.xxhash64("key", i, F.get(F.col("sig"), i)))).alias("key")), f"near-nodes{level}")
+        drop_stored(shared, large, pivots, rest, state)
     if not found:
         return None
     out = stored(_all(found).distinct(), "near-links")
@@ -342,6 +348,23 @@ def links(sigs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, doc_i
     return out
 
 
+def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``nodes`` with the component of each class so far, as ``root``."""
+    if roots is None:
+        return nodes.withColumn("root", F.col("cid"))
+    r = roots.select(F.col("node").alias("cid"), "root")
+    return nodes.join(r, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs whose members aren't known to be in one component."""
+    if roots is None:
+        return pairs
+    a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+    known = pairs.join(a, "a", "left").join(b, "b", "left")
+    return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0].select("a", "b")
     for t in tables[1:]:
@@ -369,28 +392,21 @@ def _texts(met: DataFrame, body: DataFrame, shingle: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, small: int = SMALL) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, cid, component_id, kept, n_links.
+    """One row per row of ``docs``: doc_id, n_shingles, cid (class of equal sets), component_id, kept.
 
     Linked: 100 x intersection >= ``percent`` x union.  component_id is the smallest doc_id of
-    the component; n_links counts the links found between the row's class and other classes.
+    the component.
     """
     sigs = stored(signatures(docs, shingle, doc_id, text), "near-sigs")
     found = links(sigs, docs, shingle=shingle, percent=percent, doc_id=doc_id, text=text, trees=trees, small=small)
     per_class = sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least_id"))
-    if found is None:
-        per_class = per_class.select("cid", "least_id", F.lit(0).cast("long").alias("n_links"))
-    else:
-        roots = components(found, "near-final")
-        degree = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("cid")).agg(F.count(F.lit(1)).alias("n_links"))
-        own = per_class.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    if found is not None:
+        own = _rooted(per_class, components(found, "near-final"))
         least = own.groupBy("root").agg(F.min("least_id").alias("low"))
-        per_class = own.join(least, "root").join(degree, "cid", "left").select("cid", F.col("low").alias("least_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        per_class = own.join(least, "root").select("cid", F.col("low").alias("least_id"))
     rows = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(per_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
-    return rows.select(
-        "doc_id", "n_shingles", "cid", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    return rows.select("doc_id", "n_shingles", "cid", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

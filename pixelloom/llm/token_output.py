@@ -43,8 +43,8 @@ BLOCK = 8192
 #: Documents a shard is meant to hold.
 SHARD_DOCS = 4096
 END_ID = 1
-#: Words kept in a worker's cache of encodings; it is emptied when full.
-CACHE_WORDS = 500_000
+#: Pieces kept in a worker's cache of encodings; it is emptied when full.
+CACHE_PIECES = 1_000_000
 
 #: Texts of only these characters split on white space into words that encode on their own:
 #: printable ASCII, tab, line feed, carriage return, and Latin letters that NFC and
@@ -163,50 +163,87 @@ def shard_bytes(docs, bits: int, block: int = BLOCK) -> bytes:
 class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian uint32 bytes.
 
-    The vocabulary's splitter never joins characters across white space, so in texts of plain
-    characters each word between white space encodes alone and its ids are cached.  Any other
-    text, or one that holds the start of a special token, goes to the library whole.
+    Texts of plain characters are cut into the pieces that the vocabulary's splitter makes; a piece
+    encodes on its own, and its ids are cached.  New pieces are encoded many at a time by the same
+    model; each ends with the one token that has the end-of-word mark, which parts the ids again.
+    Any other text, or one that holds the start of a special token, goes to the library whole, and
+    so does everything if the vocabulary has no end-of-word mark.
     """
 
+    #: Fixed value: the splitter's pattern for lower-cased plain characters, letters first.
+    PIECE = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\w\s']|_|'(?!s|t|re|ve|m|ll|d))(?:[^\w\s]|_)*")
+    MARK = "</w>"
+
     def __init__(self, file: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(self.MARK)]] = True
+        self.marked = bool(self.last.any())
+        #: The same model for pieces, which need no normaliser and no pattern any more.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words) -> None:
-        new = list(words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, new: list[str]) -> None:
+        ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new):  # some piece doesn't end with its mark: each goes alone
+            self.pieces.update((p, self._whole(p)) for p in new)
+            return
+        data, stops = ids.tobytes(), (ends * 4).tolist()
+        self.pieces.update(zip(new, [data[a:b] for a, b in zip([0, *stops], stops)]))
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.pieces) + len(pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        new = list(pieces)
+        for at in range(0, len(new), 2_000):
+            self._learn(new[at : at + 2_000])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
+        out: list[bytes] = [b""] * len(texts)
+        get, find = self.pieces.get, self.PIECE.findall
+        again: dict[int, list[str]] = {}
+        missing: set[str] = set()
         for k, t in enumerate(texts):
-            if not t:
-                out[k] = b""
-            elif _PLAIN.fullmatch(t) and _MARK not in t:
-                split[k] = t.lower().split()
-            else:
+            if t and self.marked and _PLAIN.fullmatch(t) and _MARK not in t:
+                ps = find(t.lower())
+                parts = list(map(get, ps))
+                if None in parts:
+                    again[k] = ps
+                    missing.update([p for p, x in zip(ps, parts) if x is None])
+                else:
+                    out[k] = b"".join(parts)
+            elif t:
                 out[k] = self._whole(t)
-        missing = {w for ws in split.values() for w in ws if w not in self.words}
         if missing:
             self.learn(missing)
-        get = self.words.get
-        for k, ws in split.items():
-            parts = list(map(get, ws))
+        for k, ps in again.items():
+            parts = list(map(get, ps))
             if None in parts:  # the cache was emptied meanwhile
-                self.learn({w for w in ws if w not in self.words})
-                parts = list(map(get, ws))
+                self.learn({p for p, x in zip(ps, parts) if x is None})
+                parts = list(map(get, ps))
             out[k] = b"".join(parts)
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(file: str) -> Encoder:
+    """The worker's encoder of a vocabulary: its cache outlives a task."""
+    if file not in _encoders:
+        _encoders[file] = Encoder(file)
+    return _encoders[file]
+
+
 def shard_bounds(docs: DataFrame, doc_id: str, shard_docs: int = SHARD_DOCS) -> list[int]:
     """Upper bounds of all shards but the last; about ``shard_docs`` documents each."""
     ids = docs.select(col(docs, doc_id).cast("long").alias("i"))
@@ -243,7 +280,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches):
-        enc = Encoder(tokenizer_file)
+        enc = encoder(tokenizer_file)
         for b in batches:
             ids = b.column(0)
             for at in range(0, b.num_rows, 512):

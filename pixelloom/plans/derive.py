@@ -92,11 +92,14 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """i < j: undirected nation pairs that some customer and order make."""
-    o = read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 25).cast("int").alias("other"), F.col("o_orderkey").alias("k"))
+    """i < j: undirected nation pairs that customers and orders make more often than the average pair."""
+    from pyspark.sql.window import Window
+
+    o = read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 25).cast("int").alias("other"))
     c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("own"))
-    e = o.where("k % 97 = 0").join(c, o["o_custkey"] == c["c_custkey"]).where("own <> other")
-    return e.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct()
+    e = o.join(c, o["o_custkey"] == c["c_custkey"]).where("own <> other")
+    pairs = e.groupBy(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.withColumn("m", F.avg("n").over(Window.partitionBy(F.lit(1)))).where("n > m").select("i", "j")  # at most 300 pairs
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,13 +143,14 @@ SQL = {
     "bars": """bars AS (SELECT chart, row_number() OVER (PARTITION BY chart ORDER BY name) - 1 AS ord, name, value FROM
         (SELECT c_nationkey AS chart, c_mktsegment AS name, round(sum(c_acctbal::DECIMAL(18,2))::DOUBLE, 2) AS value FROM customer GROUP BY ALL))""",
     "grid": """grid AS (SELECT r, c, CASE WHEN n % 4 <> 0 THEN round(m, 4) END AS v FROM (SELECT (p_size % 8)::INT AS r, (p_partkey % 9)::INT AS c, count(*) AS n, avg(p_retailprice) AS m FROM part GROUP BY ALL))""",
-    "edges": """edges AS (SELECT DISTINCT least(own, other) AS i, greatest(own, other) AS j FROM (SELECT c_nationkey::INT AS own, (o_orderkey % 25)::INT AS other FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 = 0) WHERE own <> other)""",
+    "edges": """edges AS (SELECT i, j FROM (SELECT *, avg(n) OVER () AS m FROM (SELECT least(own, other) AS i, greatest(own, other) AS j, count(*) AS n FROM
+        (SELECT c_nationkey::INT AS own, (o_orderkey % 25)::INT AS other FROM orders JOIN customer ON o_custkey = c_custkey) WHERE own <> other GROUP BY ALL)) WHERE n > m)""",
     "runs": f"""runs AS (SELECT {dims.sql_list(TASK_NAMES)}[event_id % 20 + 1] AS task, event_id // 20 AS idx, event_type <> 'error' AS success, event_type = 'signup' AS skipped,
         CASE WHEN event_type NOT IN ('error', 'signup') THEN round(value / 100, 4) END AS latency,
         CASE WHEN event_type = 'error' THEN ['HTTP 429 Too Many Requests', 'invalid prompt', 'Read timed out', '503 Service Unavailable', 'bad image'][event_id % 5 + 1] END AS error FROM events)""",
     "files": f"""files AS (SELECT 'm' || (event_id % 3) AS model, {dims.sql_list(TASK_NAMES)}[event_id // 3 % 20 + 1] AS task, event_id // 60 AS idx, t AS input_t, t + event_id % 7 AS answer_t,
         CASE WHEN event_id % 11 <> 0 THEN t + event_id % 13 END AS output_t, CASE WHEN event_id % 5 <> 0 THEN t + event_id % 17 END AS sidecar_t,
-        CASE WHEN event_id % 5 <> 0 THEN event_id % 4 * 100 END AS sidecar_len, event_id % 3 <> 0 AS marker FROM (SELECT *, epoch(ts)::BIGINT AS t FROM events))""",
+        CASE WHEN event_id % 5 <> 0 THEN event_id % 4 * 100 END AS sidecar_len, event_id % 3 <> 0 AS marker FROM (SELECT *, floor(epoch(ts))::BIGINT AS t FROM events))""",
 }
 
 

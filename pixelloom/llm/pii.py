@@ -51,8 +51,9 @@ IBAN = r"[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<!-)\d(?:[ -]?\d){12,18}(?![\d-])"
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?![\d-])"
-GIVEN = r"(?:" + "|".join(MALE + FEMALE) + r")(?!\p{L})"
-SURNAME = r"(?<=(?:" + "|".join(MALE + FEMALE) + "|(?:" + "|".join(TITLES) + r")\.?) )" + _NAME
+_GIVEN = "|".join(n for x in MALE + FEMALE for n in (x, x.upper()))
+GIVEN = "(?:" + _GIVEN + r")(?!\p{L})"
+SURNAME = r"(?<=(?:" + _GIVEN + "|(?:" + "|".join(TITLES) + r")\.?) )" + _NAME
 PATTERN = (
     START + "(?:(?=[\\d+(])(?:" + "|".join((IP, CARD, SSN, PHONE)) + ")|(?=\\p{Lu})(?:" + "|".join((IBAN, GIVEN, SURNAME))
     + ")|" + "|".join((ASSIGNED, HEX, EMAIL)) + ")"
@@ -70,8 +71,8 @@ def kind_of(x: Column) -> Column:
         .when(x.rlike(r"^[A-Z]{2}\d{2}[ \d]{12,}$"), "iban")
         .when(x.rlike(r"^\d([ -]?\d){12,18}$"), "card")
         .when(x.rlike(r"^\+?[\d(][\d() .-]*\d$") & x.rlike(r"[() .+-]"), "phone")
-        .when(x.isin(*MALE), "male")
-        .when(x.isin(*FEMALE), "female")
+        .when(F.upper(x).isin(*map(str.upper, MALE)), "male")
+        .when(F.upper(x).isin(*map(str.upper, FEMALE)), "female")
         .when(x.rlike("^" + _NAME + "$"), "surname")
         .otherwise("secret")
     )
@@ -202,6 +203,7 @@ def replace_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     maps = found.join(surrogates, "canon").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("canon", "surrogate"))).alias("map"))
     # Surnames of the document are found again wherever they stand alone.
     surnames = F.transform(F.filter(F.map_keys("map"), lambda k: k.startswith("surname|")), lambda k: F.initcap(F.substring(k, 9, 1000)))
+    surnames = F.concat(surnames, F.transform(surnames, F.upper))
     again = F.when(F.size(surnames) > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(F.array_sort(surnames), "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(PATTERN))
     names = {c: fresh(docs, f"_pii_{c}") for c in ("id", "map", "again", "key", "found")}
     maps = maps.select(F.col("id").alias(names["id"]), F.col("map").alias(names["map"]), again.alias(names["again"]))

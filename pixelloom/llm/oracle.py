@@ -37,7 +37,7 @@ def _op6() -> str:
     w = quality.WINDOW
     rate = "\n".join(
         f"""r_{k} AS (SELECT host, (f_{k} + strength * m) / (n + strength) AS rate FROM (
-            SELECT *, CASE WHEN var * 1e6 > m * (1 - m) THEN greatest(1.0, m * (1 - m) / var - 1) ELSE 1e6 END AS strength FROM (
+            SELECT *, CASE WHEN var * 1e6 > m * (1 - m) THEN greatest({quality.MIN_STRENGTH}, m * (1 - m) / var - 1) ELSE 1e6 END AS strength FROM (
             SELECT *, q / total - m * m - m * (1 - m) * hosts / total AS var FROM (
             SELECT *, (SELECT sum(f_{k}) / sum(n) FROM h) AS m, (SELECT sum(f_{k}::DOUBLE * f_{k} / n) FROM h) AS q, (SELECT sum(n) FROM h) AS total, (SELECT count(*) FROM h) AS hosts FROM h)))),"""
         for k in rules

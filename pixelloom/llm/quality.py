@@ -31,7 +31,11 @@ MAX_REPEAT_PERCENT = 30
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
 #: A host goes if one of its shrunk failure rates is over this.
-MAX_HOST_RATE = 0.5
+MAX_HOST_RATE = 0.8
+#: The prior weighs at least as much as so many documents, so a handful of failures proves little.
+MIN_STRENGTH = 10.0
+#: Failed hosts are broadcast up to this number (names of at most some hundred bytes).
+BROADCAST_HOSTS = 100_000
 
 SYMBOLS = "#*$%&|<>"
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,7 +114,7 @@ def host_verdicts(stats: DataFrame, host: str = "source", max_rate: float = MAX_
 
     Beta prior by moments over hosts: mean m of all documents, variance of the hosts' rates
     around m (weighted by documents) less what sampling alone gives; strength s = m(1-m)/v - 1,
-    held in 1 .. 1e6.  Shrunk rate = (failures + s m) / (documents + s).
+    held in MIN_STRENGTH .. 1e6.  Shrunk rate = (failures + s m) / (documents + s).
     Sums are partial before the shuffle, so a hot host costs one row a task.
     """
     rules = rule_columns()
@@ -127,7 +131,7 @@ def host_verdicts(stats: DataFrame, host: str = "source", max_rate: float = MAX_
         m = F.col(f"s_{k}") / F.col("all_n")
         noise = m * (1 - m)
         var = F.col(f"q_{k}") / F.col("all_n") - m * m - noise * F.col("hosts") / F.col("all_n")
-        strength = F.when(var * 1e6 > noise, F.greatest(F.lit(1.0), noise / var - 1)).otherwise(F.lit(1e6))
+        strength = F.when(var * 1e6 > noise, F.greatest(F.lit(MIN_STRENGTH), noise / var - 1)).otherwise(F.lit(1e6))
         out = out.withColumn(f"rate_{k}", (F.col(f"f_{k}") + strength * m) / (F.col("n") + strength))
     failed = F.lit(False)
     for k in rules:
@@ -139,13 +143,15 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     """``docs`` (columns ``keep``) with STATS, ``base_failed`` and ``kept``.
 
     The statistics are made once and stored; hosts are summed from the stored table, and only
-    the failed hosts are joined back (a left join that Spark broadcasts while they are few and
-    splits by skew when they are not).
+    the failed hosts are joined back: broadcast while they are few, else by a left join that
+    Spark splits by skew.
     """
     columns = list(dict.fromkeys([*(docs.columns if keep is None else keep), host]))
     stats = stored(with_stats(docs, text, columns), "quality")
     name = fresh(stats, "_host")
-    bad = host_verdicts(stats, host, max_rate).where("host_failed").select(F.col("host").alias(name))
+    bad = stored(host_verdicts(stats, host, max_rate).where("host_failed").select(F.col("host").alias(name)), "failed-hosts")
+    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        bad = F.broadcast(bad)
     out = stats.join(bad, col(stats, host) == bad[name], "left")
     base = rule_columns()["base"]
     return out.withColumn("base_failed", base).withColumn("kept", ~base & F.col(q(name)).isNull()).drop(name)

@@ -1,0 +1,182 @@
+"""Language, toxicity and language-model scores: brute force on small cases, held-out accuracy on the tables."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pixelloom.llm import language_id, lm_score, toxicity
+from pixelloom.llm.common import held_out
+
+
+# -- language --------------------------------------------------------------------------------------
+
+def test_trigrams_split_at_non_letters():
+    a, b = language_id.trigrams("Ab, cd"), language_id.trigrams("ab\n--cd!")
+    assert len(a) == 4 and sorted(a) == sorted(b)
+    assert len(language_id.trigrams("12 34 !")) == 0 == len(language_id.trigrams(None))
+
+
+def _model():
+    counts = np.zeros((language_id.BUCKETS, 2))
+    for k, text in enumerate(("the cat sat on the mat and the dog ran", "der hund lief und die katze schlief nicht")):
+        np.add.at(counts[:, k], language_id.trigrams(text), 1)
+    return language_id.Mixture(["en", "de"], counts)
+
+
+def test_em_does_not_lose_likelihood():
+    m = _model()
+    g, n = np.unique(language_id.trigrams("the cat und die katze"), return_counts=True)
+    p, share = m.p[g], np.full(2, 0.5)
+    before = float(n @ np.log(p @ share))
+    for _ in range(5):
+        share, value = m.em(p, n.astype(float), share)
+        assert value >= before - 1e-9 and share.sum() == pytest.approx(1)
+        before = value
+
+
+def test_mixture_finds_both_languages():
+    m = _model()
+    assert set(m.infer("the cat sat on the mat")) == {"en"} and set(m.infer("der hund lief und die katze")) == {"de"}
+    both = m.infer("the cat sat on the mat and the dog ran " * 4 + "der hund lief und die katze schlief nicht " * 4)
+    assert set(both) == {"en", "de"} and all(0.3 < v < 0.7 for v in both.values())
+    assert m.infer("123") == {}
+
+
+def test_language_of_held_out_rows(spark, sf_dir):
+    from pixelloom.llm.queries import op4_language_mixture
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = op4_language_mixture(spark, sf_dir)
+    j = docs.join(got, "doc_id").where("held_out and lang is not null")
+    good = j.where("lang = lang_pred").count() / j.count()
+    assert good > 0.95 and got.where("score < 0 or score > 1").count() == 0 and got.count() == docs.count()
+
+
+def test_language_of_awkward_rows(docs, none, spark):
+    held = held_out(F.col("doc_id"))
+    model = language_id.fit(docs, "lang", "text", ~held)
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model, held).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (4, 5, 6))
+    assert language_id.predict(docs, language_id.fit(none, "lang", "text", ~held), held).where("lang_pred <> 'und'").count() == 0
+    assert language_id.predict(none, model, held).count() == 0
+
+
+# -- toxicity --------------------------------------------------------------------------------------
+
+def _index(seed, n=700, terms=60):
+    rng = np.random.default_rng(seed)
+    vectors = [{int(t): int(c) for t, c in zip(rng.choice(terms, k, replace=False), rng.integers(1, 5, k))} for k in rng.integers(0, 6, n)]
+    labels = rng.integers(0, 2, n)
+    return toxicity.Index(vectors, labels, np.ones(n), list(range(n)), rng.random(terms) + 1)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_nearest_is_exact(seed):
+    index = _index(seed)
+    for q in range(0, 700, 7):
+        query = index.unit_vectors[q]
+        dense = np.array([sum(w * v.get(t, 0.0) for t, w in query.items()) for v in index.unit_vectors])
+        got = index.nearest(query, 10)
+        want = np.sort(dense[dense > 0])[::-1][:10]
+        assert np.allclose([s for s, _ in got], want) and all(dense[k] == pytest.approx(s) for s, k in got)
+
+
+def test_scores_are_calibrated_probabilities():
+    index = _index(3)
+    index.calibrate()
+    y = index.steps[1]
+    assert (np.diff(y) >= -1e-12).all() and y.min() >= 0 and y.max() <= 1
+    assert 0 <= index.score({})[0] <= 1 and 0 <= index.score({1: 2, 5: 1})[0] <= 1
+
+
+def test_toxic_rows_are_found(spark):
+    from pixelloom.llm.queries import op5_toxicity_neighbours
+
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = op5_toxicity_neighbours(spark, sf)
+    j = labels.join(got, "doc_id").where("held_out")
+    toxic, clean = j.where("toxic = 1"), j.where("toxic = 0")
+    assert toxic.where("predicted = 1").count() >= 0.7 * toxic.count()
+    assert clean.where("predicted = 1").count() <= 0.02 * clean.count()
+
+
+def test_toxicity_of_awkward_rows(docs, none, spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (None, 1, 1), (3, 0, 1), (3, 0, 0), (12, 0, 1)], "doc_id long, quality int, toxic int")
+    held = held_out(F.col("doc_id"))
+    got = toxicity.score(docs, toxicity.fit(docs, labels), held).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.where("false")), held).collect()} == {0.0}
+    assert toxicity.score(none, toxicity.fit(none, labels), held).count() == 0
+
+
+# -- language model --------------------------------------------------------------------------------
+
+def test_gradient_step_lowers_the_loss():
+    rng = np.random.default_rng(0)
+    net = lm_score.Network(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
+    classes = np.tile(np.arange(8), 100)
+    around = lm_score.windows(classes)
+    loss = lambda: -np.log(net.forward(around)[1][np.arange(len(classes)), classes]).mean()
+    first = loss()
+    for _ in range(60):
+        net.train(around, classes)
+    assert loss() < 0.5 * first
+    assert rng is not None
+
+
+def test_gradient_is_right():
+    net = lm_score.Network(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
+    classes = np.random.default_rng(2).integers(0, lm_score.CLASSES, 50)
+    around = lm_score.windows(classes)
+
+    def loss(v):
+        m = lm_score.Network(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
+        m.load(v)
+        m.E, m.U, m.b, m.c = (x.astype(np.float64) for x in (m.E, m.U, m.b, m.c))
+        return -np.log(m.forward(around)[1][np.arange(50), classes]).sum()
+
+    start = net.vector()
+    net.train(around, classes, step=1e-3 * math.sqrt(50))
+    move = (start - net.vector()) / 1e-3
+    for k in np.argsort(-np.abs(move))[:12]:
+        step = np.zeros_like(start)
+        step[k] = 1e-3
+        assert move[k] == pytest.approx((loss(start + step) - loss(start - step)) / 2e-3, rel=0.05, abs=0.02)
+
+
+def test_word_shares_sum_to_one_in_a_class():
+    top = [(f"t{i}".encode(), 1000 - i) for i in range(60)]
+    totals = {}
+    for w, n in [*top, (b"zzrare", 5), (b"qqrare", 7)]:
+        k = lm_score.ending_class(w)
+        totals[k] = totals.get(k, 0) + n
+    lex = lm_score.Lexicon(top, totals, sum(totals.values()))
+    assert lex.class_share.sum() == pytest.approx(1)
+    for c in range(lm_score.ALONE, lm_score.CLASSES):
+        known = sum(math.exp(p) for k, (w, p) in lex.known.items() for k, (w, p) in [(k, (w, p))] if w == c)
+        assert known + math.exp(lex.unknown[c]) == pytest.approx(1, abs=0.05)
+
+
+def test_model_beats_unigrams_and_scores_whole_texts(docs, none, spark):
+    sentence = "the quick brown fox jumps over the lazy dog and then it sleeps . "
+    rows = [(i, sentence * (i % 4 + 1)) for i in range(300)] + [(900, None), (901, ""), (None, "odd words")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = lm_score.fit(d, rounds=3)
+    got = {r["doc_id"]: r for r in lm_score.score(d, model).collect()}
+    assert got[900]["n_tokens"] == 0 and got[900]["sum_logprob"] == 0 and got[900]["mean_logprob"] is None
+    words = lm_score.words_of(rows[3][1])
+    assert got[3]["n_tokens"] == len(words)
+    flat = lm_score.Network(model[0].class_share)
+    flat.E[:], flat.U[:] = 0, 0
+    base = {r["doc_id"]: r for r in lm_score.score(d, (model[0], flat)).collect()}
+    assert got[3]["sum_logprob"] > base[3]["sum_logprob"] + 0.2 * len(words)
+    assert got[None]["mean_logprob"] < got[3]["mean_logprob"]
+    again = {r["doc_id"]: r["sum_logprob"] for r in lm_score.score(d, model).collect()}
+    assert again == {k: r["sum_logprob"] for k, r in got.items()}
+    m = lm_score.fit(docs)
+    assert lm_score.score(docs, m).count() == docs.count() and lm_score.score(none, lm_score.fit(none)).count() == 0

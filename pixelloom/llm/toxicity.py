@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and word beginnings of ``PREFIX`` letters; those whose presence
-goes with the label (likelihood ratio over ``LEAST_G2``, at most ``MAX_TERMS``) form the vocabulary.
+goes with the label (likelihood ratio over ``LEAST_G2``, and at least ``LEAST_LIFT`` times as frequent
+under one label as under the other; at most ``MAX_TERMS``) form the vocabulary.
 Index: labelled examples, ordered so that like ones are neighbours, in blocks of ``BLOCK``; a
 term's postings are cut at the blocks and each (term, block) keeps its greatest weight.  A query
-visits blocks by falling upper bound and stops when the bound is under its k-th best cosine,
-so the k nearest are exact.  Their votes, weighted by how near they are, give a raw value, and
+scores the blocks of greatest bound first, and of the others only those whose bound reaches its
+k-th best cosine, so the k nearest are exact.  Their votes, weighted by how near they are, give a raw value, and
 isotonic regression of the labels on leave-one-out values turns it into a probability.  The
 neighbours are the evidence.
 
@@ -30,13 +31,16 @@ from pyspark.sql import types as T
 
 from .common import col, held_out, stored
 
-PREFIX = (5, 6, 7)
-LEAST_G2 = 20.0
+PREFIX = (5,)
+LEAST_G2 = 30.0
 LEAST_DOCS = 4
+LEAST_LIFT = 4.0
 MAX_TERMS = 4_000
 MAX_EXAMPLES = 4_000
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks of greatest bound that are scored one by one before the bound is applied to the others.
+FIRST_BLOCKS = 6
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
 
@@ -110,20 +114,40 @@ class Index:
             return []
         q = np.array([query[t] for t in terms])
         bound = q @ self.best[terms]
-        top: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(top) >= k and bound[b] < top[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, q):
-                s, e = self.cuts[t][b], self.cuts[t][b + 1]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        first, rest = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
+        score = np.zeros(len(bound) * BLOCK)
+        for t, w in zip(terms, q):
+            cuts, docs, values = self.cuts[t], self.docs[t], self.values[t]
+            for b in first:
+                s, e = cuts[b], cuts[b + 1]
                 if e > s:
-                    score[self.docs[t][s:e] - b * BLOCK] += w * self.values[t][s:e]
-            hit = np.flatnonzero(score)
-            top += [(float(score[j]), int(b) * BLOCK + int(j)) for j in hit if b * BLOCK + j != but]
-            top.sort(key=lambda x: (-round(x[0], 12), x[1]))
-            del top[k:]
-        return top
+                    score[docs[s:e]] += w * values[s:e]
+        places = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        top = self._best(score, places, k, but)
+        if len(rest):
+            least = score[top[-1]] if len(top) == k else 0.0
+            rest = rest[bound[rest] >= least - 1e-12]
+        if len(rest):  # blocks that may still hold one of the k: their postings of every term
+            score[:] = 0.0
+            seen = np.zeros(len(bound), bool)
+            seen[first], seen[rest] = True, True
+            for t, w in zip(terms, q):
+                score[self.docs[t]] += w * self.values[t]
+            score.reshape(-1, BLOCK)[~seen] = 0.0
+            top = self._best(score, np.arange(len(score)), k, but)
+        return [(float(score[j]), int(j)) for j in top]
+
+    @staticmethod
+    def _best(score: np.ndarray, places: np.ndarray, k: int, but: int) -> np.ndarray:
+        """Places of the k greatest scores over 0, ties by place."""
+        hit = places[(score[places] > 0) & (places != but)]
+        value = np.round(score[hit], 12)
+        if len(hit) > 4 * k:
+            keep = value >= np.partition(value, len(value) - k)[len(value) - k]
+            hit, value = hit[keep], value[keep]
+        return hit[np.lexsort((hit, -value))][:k]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, by weight of nearness and of how they were drawn."""
@@ -206,6 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     part = lambda x, n: F.when(x > 0, x * F.log(x / (n * mean))).otherwise(F.lit(0.0))
     rest = lambda x, n: F.when(n - x > 0, (n - x) * F.log((n - x) / (n * (1 - mean)))).otherwise(F.lit(0.0))
     g2 = 2 * (part(a, n1) + part(b, n0) + rest(a, F.lit(n1)) + rest(b, F.lit(n0)))
+    lift = ((a + 0.5) / n1) / ((b + 0.5) / n0)
+    terms = terms.where((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
     chosen = terms.where(a + b >= LEAST_DOCS).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
     vocabulary = {r["term"]: k for k, r in enumerate(chosen)}
     idf = np.array([math.log((1 + ones + zeros) / (1 + r["a"] + r["b"])) + 1 for r in chosen])

@@ -10,14 +10,19 @@ Two sets at the threshold share a child of a common node with probability 1 - 1/
 all trees together miss a link with probability below 1e-3 (``recall_at_threshold``); links
 between more similar sets are missed more rarely.
 
-Nodes of at most ``TINY`` sets are compared exhaustively at once.  A larger node is first compared
-with a few random pivots, and the links are contracted: a pair whose members are by then in one
+Nodes of at most ``SMALL`` sets are compared exhaustively by sketch inside one task, which hands on
+not the pairs but a tree over each group of sets that may be similar.  The groups of all nodes are
+joined up, so a set that met its like in many trees is verified once: the full sets of a joined
+group come together in one task and are compared exactly, by sorted merges or, if many, by products of
+0/1 matrices; a group over ``CHUNK`` sets is cut into chunks and each two chunks are a task.
+
+A larger node is first compared with a few pivots: random ones, and those most like these, which are
+the middle of a group of copies.  Their links are contracted: a pair whose members are by then in one
 component isn't needed, since only components are asked for, and a node that is one component is
-done.  Nodes of at most ``SMALL`` sets are then compared exhaustively, but for such pairs.  In a node
-that is larger still, if few members (``STRAYS``) are outside its main component, these are compared
-with all members and the node is done; otherwise its members, less the pivots, go down a level.
-So no node emits its pairs, work is linear in the members of a level, and every link that joins
-two components is found with the stated recall.
+done.  If few members (``STRAYS``) are outside the node's main component, these are compared with all
+members and the node is done; otherwise its members, less the pivots, go down a level.
+So no node or group emits its pairs, and every link that joins two components is found with the
+stated recall.
 
 "Compared": 4-bit sketches of the minwise tokens first (a pair at the threshold passes with
 probability over 0.9999), then the exact Jaccard test on the full sets of shingles.
@@ -45,10 +50,12 @@ from .common import col, drop_stored, fresh, stored
 COORDS = 64
 TREES = 12
 SPREAD = 2.0
-TINY = 24
-SMALL = 1_000
+SMALL = 4_096
+CHUNK = 2_048
 PIVOTS = 6
 STRAYS = 48
+#: Groups up to this size are compared pair by pair, larger ones by matrix products.
+PAIRWISE = 24
 SEED = 7_919
 CACHE_WORDS = 400_000
 
@@ -169,50 +176,186 @@ def least_matches(threshold: float) -> int:
     return math.floor(COORDS * p - 4.3 * math.sqrt(COORDS * p * (1 - p)))
 
 
-def _small_pairs(nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs (a < b) within nodes, of different ``root``, that pass the sketch test.
+def _trees_of(adjacent, m: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest; ``adjacent(k)`` gives the neighbours of member k."""
+    left = np.ones(m, bool)
+    out = []
+    for seed in range(m):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        front = [seed]
+        while front:
+            k = front.pop()
+            new = adjacent(k)
+            new = new[left[new]]
+            left[new] = False
+            out += [(k, int(j)) for j in new]
+            front += new.tolist()
+    return out
+
+
+_EDGES = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
+
+
+def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    e = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], names=["a", "b"])
+
+
+def _small_groups(nodes: DataFrame, least: int) -> DataFrame:
+    """Edges (a < b) of trees over the sets of a node that may be similar, by sketch.
 
-    Nodes (key, cid, root, sk) come to a task whole, at most SMALL rows each, one after the other.
+    Pairs of one ``root`` don't count.  Nodes (key, cid, root, sk) come to a task whole, at most
+    SMALL rows each, one after the other; a node's pairs are looked at row by row, never kept.
     """
-    schema = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
 
     def run(batches):
         key, ids, roots, sks = None, [], [], []
 
-        def pairs():
+        def edges():
             if len(ids) < 2:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+                return []
             c, r = np.array(ids, np.int64), np.array(roots, np.int64)
             s = np.array(sks, np.int64).view(np.uint64).reshape(len(ids), -1)
-            out = []
-            for k in range(len(ids) - 1):
-                x = s[k + 1 :] ^ s[k]
+
+            def like(k):
+                x = s ^ s[k]
                 y = x | (x >> np.uint64(1))
                 y = (y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111)
-                out.append(np.flatnonzero((COORDS - np.bitwise_count(y).sum(1, dtype=np.int64) >= least) & (r[k + 1 :] != r[k])) + k + 1)
-            i = np.repeat(np.arange(len(out)), [len(o) for o in out])
-            j = np.concatenate(out)
-            return np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+                return np.flatnonzero((COORDS - np.bitwise_count(y).sum(1, dtype=np.int64) >= least) & (r != r[k]))
+
+            return [(c[i], c[j]) for i, j in _trees_of(like, len(ids))]
 
         for b in batches:
             out = []
             for k, c, r, s in zip(*(b.column(x).to_pylist() for x in range(4))):
                 if k != key:
-                    out.append(pairs())
+                    out += edges()
                     key, ids, roots, sks = k, [], [], []
                 ids.append(c), roots.append(r), sks.append(s)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in (0, 1)], names=["a", "b"])
-        last = pairs()
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["a", "b"])
+                yield _edge_batch(out)
+        yield _edge_batch(edges())
 
     dealt = nodes.select("key", "cid", "root", "sk").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, schema).where("a <> b").distinct()
+    return dealt.mapInArrow(run, _EDGES).distinct()
+
+
+def linked(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links between sets of different roots."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if m <= PAIRWISE:
+        near = np.zeros((m, m), bool)
+        for i in range(m):
+            for j in range(i):
+                if roots[i] != roots[j] and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    near[i, j] = near[j, i] = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    else:
+        _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(m), sizes)
+        shared = n[at] > 1  # a shingle of one set alone adds to no intersection
+        place = np.cumsum(n > 1) - 1
+        row, column = row[shared], place[at[shared]]
+        both = np.zeros((m, m), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4_096):
+            s, e = np.searchsorted(column, (lo, lo + 4_096))
+            x = np.zeros((m, 4_096), np.float32)
+            x[row[s:e], column[s:e] - lo] = 1
+            both += x @ x.T
+        near = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (roots[:, None] != roots[None, :])
+    return _trees_of(lambda k: np.flatnonzero(near[k]), m)
+
+
+def _group_links(edges: DataFrame, roots: DataFrame | None, texts: _Texts, percent: int, name: str) -> DataFrame:
+    """Exact links within the groups that ``edges`` join up, as stored forests (a < b)."""
+    edges = stored(edges, f"{name}-edges")
+    if not edges.head(1):
+        return edges
+    groups = components(edges, f"{name}-groups").select(F.col("node").alias("cid"), F.col("root").alias("grp"))
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    members = _rooted(groups.join(sizes, "grp"), roots)
+    own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
+    # One chunk: the group is a task.  More: a member goes to the task of its chunk with each other one.
+    other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("own")))
+    t = texts.of(groups.select("cid"))
+    rows = members.withColumn("own", own).withColumn("other", F.explode(other)).join(t, "cid")
+    rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "root", "text")
+    shingle = texts.shingle
+
+    def run(batches):
+        make = Shingler(shingle)
+        key, ids, own_roots, sets = None, [], [], []
+
+        def links():
+            if len(ids) < 2:
+                return []
+            return [(ids[i], ids[j]) for i, j in linked(sets, np.array(own_roots, np.int64), percent)]
+
+        for b in batches:
+            out = []
+            for n, k in enumerate(zip(*(b.column(x).to_pylist() for x in range(3)))):
+                if k != key:
+                    out += links()
+                    key, ids, own_roots, sets = k, [], [], []
+                ids.append(b.column(3)[n].as_py()), own_roots.append(b.column(4)[n].as_py()), sets.append(make(b.column(5)[n].as_py()))
+            if out:
+                yield _edge_batch(out)
+        yield _edge_batch(links())
+
+    dealt = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    out = stored(dealt.mapInArrow(run, _EDGES), name)
+    drop_stored(edges, groups, t)
+    return out
+
+
+#: Class ids are broadcast up to this number (16 bytes each) to pick texts out of the documents.
+BROADCAST_IDS = 1_000_000
+
+
+class _Texts:
+    """Texts of classes, picked out of the documents when they are needed."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int, unique: bool):
+        self.body = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
+        self.ids = classes.select("cid", F.col("doc_id").alias("m_id"))
+        self.shingle, self.unique = shingle, unique
+
+    def of(self, cids: DataFrame) -> DataFrame:
+        """cid, text for ``cids`` (cid), stored.
+
+        Rows come by doc_id; where an id isn't unique, only a row whose set is the class's counts.
+        """
+        m = self.ids.join(cids, "cid", "left_semi")
+        if m.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+            m = F.broadcast(m)
+        rows = self.body.join(m, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("cid", "text")
+        if not self.unique:
+            rows = rows.mapInArrow(_same_class(self.shingle), "cid long, text string").dropDuplicates(["cid"])
+        return stored(rows, "near-texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs whose full sets meet the threshold.  ``texts``: one text for each class id."""
+def _same_class(shingle: int):
+    """Keeps the rows (cid, text) whose text has the class's set."""
+
+    def run(batches):
+        make = Shingler(shingle)
+        for b in batches:
+            ok = [xxhash.xxh64_intdigest(make(t.as_py()).tobytes()) - (1 << 63) == c for c, t in zip(b.column(0).to_pylist(), b.column(1))]
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["cid", "text"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: _Texts, percent: int, name: str) -> DataFrame:
+    """Pairs (a < b) whose full sets meet the threshold, stored."""
     schema = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
+    shingle = texts.shingle
 
     def run(batches):
         make = Shingler(shingle)
@@ -237,9 +380,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    one = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, schema)
+    pairs = stored(pairs, f"{name}-pairs")
+    if not pairs.head(1):
+        return pairs
+    t = texts.of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    one = pairs.join(t.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(t.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+    out = stored(both.select("a", "b", "ta", "tb").mapInArrow(run, schema), name)
+    drop_stored(pairs, t)
+    return out
 
 
 def components(edges: DataFrame, name: str = "component") -> DataFrame:
@@ -282,69 +431,81 @@ def _with_pivots(nodes: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
     return pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
 
 
+def _pivots(large: DataFrame, level: int) -> DataFrame:
+    """key, picks: random members of each node, and the members most like these.
+
+    The latter are one from each of PIVOTS hash groups, so all are plain partial aggregates.
+    """
+    pick = F.struct("cid", "sk")
+    chosen = large.groupBy("key").agg(*(F.min_by(pick, F.xxhash64(F.lit(level * 100 + k), "cid", "key")).alias(f"p{k}") for k in range(PIVOTS)))
+    random_ones = stored(chosen.select("key", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("picks")), f"near-random{level}")
+    like = F.aggregate("picks", F.lit(0), lambda acc, p: acc + sketch_matches(p["sk"], F.col("sk")))
+    scored = large.select("key", "cid", "sk").join(random_ones, "key").select("key", "cid", "sk", like.alias("like"), F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)).alias("part"))
+    middle = scored.groupBy("key").agg(*(F.max_by(pick, F.when(F.col("part") == k, F.struct("like", "cid"))).alias(f"m{k}") for k in range(PIVOTS)))
+    middle = middle.select("key", F.array_compact(F.array(*(f"m{k}" for k in range(PIVOTS)))).alias("middle"))
+    out = stored(random_ones.join(middle, "key").select("key", F.array_distinct(F.concat("picks", "middle")).alias("picks")), f"near-pivots{level}")
+    drop_stored(random_ones)
+    return out
+
+
 def links(sigs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, doc_id: str, text: str, trees: int = TREES, small: int = SMALL) -> DataFrame | None:
     """Verified links (a, b) between classes; None if no two classes meet in any node."""
     threshold = percent / 100
     least = least_matches(threshold)
-    spark = sigs.sparkSession
-
     classes = sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(
         F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sk").alias("sk")
     )
     classes = stored(classes, "near-classes")
+    unique = not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1)
+    texts = _Texts(docs, classes, doc_id, text, shingle, unique)
     roots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in _chosen(threshold, trees)))
     nodes = classes.select("cid", "sk", F.explode(F.transform(roots, lambda r: F.xxhash64(r["t"], r["i"], F.get(F.col("sig"), r["i"])))).alias("key"))
 
-    level, found, texts, roots_now = 0, [], None, None
+    level, found, roots_now = 0, [], None
     while True:
         level += 1
         sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         shared = stored(nodes.join(sizes, "key"), f"near-level{level}")
         if not shared.head(1):
+            drop_stored(shared)
             break
-        if texts is None:
-            # One text for each class that meets another anywhere; later levels only see these.
-            met = shared.select("cid").distinct().join(classes.select("cid", "doc_id"), "cid")
-            body = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
-            texts = stored(_texts(met, body, shingle), "near-texts")
-        pairs = _small_pairs(_rooted(shared.where(F.col("size") <= TINY), roots_now), least)
-        large = stored(shared.where(F.col("size") > TINY), f"near-large{level}")
+        large = shared.where(F.col("size") > small)
         more = bool(large.head(1))
         if more:
-            pick = F.struct("cid", "sk")
-            pivots = large.groupBy("key").agg(*(F.min_by(pick, F.xxhash64(F.lit(level * 100 + k), "cid", "key")).alias(f"p{k}") for k in range(PIVOTS)))
-            pivots = stored(pivots.select("key", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("picks")), f"near-pivots{level}")
-            pairs = pairs.union(_with_pivots(large, pivots, least)).distinct()
-        found.append(stored(_verified(_apart(pairs, roots_now), texts, shingle, percent), f"near-links{level}"))
+            large = stored(large, f"near-large{level}")
+            pivots = _pivots(large, level)
+            found.append(_verified(_apart(_with_pivots(large, pivots, least), roots_now), texts, percent, f"near-links{level}"))
+            drop_stored(*([roots_now] if roots_now is not None else []))
+            roots_now = components(_all(found), f"near-cc{level}")
+        fits = _small_groups(_rooted(shared.where(F.col("size") <= small), roots_now), least)
+        found.append(_group_links(fits, roots_now, texts, percent, f"near-more{level}"))
         if not more:
+            drop_stored(shared)
             break
 
-        drop_stored(*([roots_now] if roots_now is not None else []))
-        roots_now = components(_all(found), f"near-cc{level}")
         rest = large.join(pivots.select("key", F.transform("picks", lambda p: p["cid"]).alias("pivot_ids")), "key")
-        rest = _rooted(rest, roots_now).select("key", "cid", "sk", "root", "size", F.array_contains("pivot_ids", F.col("cid")).alias("is_pivot"))
+        rest = _rooted(rest, roots_now).select("key", "cid", "sk", "root", F.array_contains("pivot_ids", F.col("cid")).alias("is_pivot"))
         rest = stored(rest, f"near-rest{level}")
         # Per node: its main component, and how many members outside it are still to be compared.
-        per = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"), F.count_if(~F.col("is_pivot")).alias("open"))
-        main = per.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.first("size").alias("n"))
-        outside = per.join(main.where("roots > 1"), "key").where("root <> main").groupBy("key", "main", "n").agg(F.sum("open").alias("strays"))
+        per = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("is_pivot")).alias("open"))
+        main = per.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+        outside = per.join(main.where("roots > 1"), "key").where("root <> main").groupBy("key", "main").agg(F.sum("open").alias("strays"))
         state = stored(outside.where("strays > 0"), f"near-state{level}")
-        fits = rest.join(state.where(F.col("n") <= small).select("key"), "key", "left_semi").where(~F.col("is_pivot"))
-        few = state.where((F.col("n") > small) & (F.col("strays") <= STRAYS))
+        few = state.where(F.col("strays") <= STRAYS)
         lone = rest.join(few.select("key", "main"), "key").where((F.col("root") != F.col("main")) & ~F.col("is_pivot"))
         picks = lone.groupBy("key").agg(F.collect_list(F.struct("cid", "sk")).alias("picks"))  # at most STRAYS
-        pairs = _small_pairs(fits, least).union(_with_pivots(rest.select("key", "cid", "sk"), picks, least)).distinct()
-        found.append(stored(_verified(_apart(pairs, roots_now), texts, shingle, percent), f"near-more{level}"))
-        many = rest.join(state.where((F.col("n") > small) & (F.col("strays") > STRAYS)).select("key"), "key", "left_semi").where(~F.col("is_pivot"))
+        found.append(_verified(_apart(_with_pivots(rest.select("key", "cid", "sk"), picks, least), roots_now), texts, percent, f"near-strays{level}"))
+        many = rest.join(state.where(F.col("strays") > STRAYS).select("key"), "key", "left_semi").where(~F.col("is_pivot"))
         rate = int(SPREAD / (threshold * COORDS) * (1 << 20))
         down = many.join(classes.select("cid", "sig"), "cid")
         picked = F.filter(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda i: F.pmod(F.xxhash64(F.lit(level), F.col("key"), i), F.lit(1 << 20)) < rate)
-        nodes = stored(down.select("cid", "sk", F.explode(F.transform(picked, lambda i: F.xxhash64("key", i, F.get(F.col("sig"), i)))).alias("key")), f"near-nodes{level}")
-        drop_stored(shared, large, pivots, rest, state)
+        below = stored(down.select("cid", "sk", F.explode(F.transform(picked, lambda i: F.xxhash64("key", i, F.get(F.col("sig"), i)))).alias("key")), f"near-nodes{level}")
+        drop_stored(nodes, shared, large, pivots, rest, state)
+        nodes = below
     if not found:
         return None
     out = stored(_all(found).distinct(), "near-links")
-    drop_stored(texts, *found)
+    drop_stored(nodes, *found)
     return out
 
 
@@ -372,25 +533,6 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _texts(met: DataFrame, body: DataFrame, shingle: int) -> DataFrame:
-    """cid, text for the class ids in ``met`` (cid, doc_id).
-
-    Rows come by doc_id; where an id isn't unique, only a row whose set is the class's counts.
-    """
-    schema = T.StructType([T.StructField("cid", T.LongType(), False), T.StructField("text", T.StringType())])
-
-    def run(batches):
-        make = Shingler(shingle)
-        for b in batches:
-            ok = [xxhash.xxh64_intdigest(make(t.as_py()).tobytes()) - (1 << 63) == c for c, t in zip(b.column(0).to_pylist(), b.column(1))]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["cid", "text"])
-
-    m = met.select("cid", F.col("doc_id").alias("m_id"))
-    rows = body.join(m, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("cid", "text")
-    return rows.mapInArrow(run, schema).dropDuplicates(["cid"])
-
-
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, small: int = SMALL) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, cid (class of equal sets), component_id, kept.
 

@@ -68,7 +68,8 @@ def test_components_match_brute_force(spark, seed, shingle, percent):
 
 def test_large_nodes_go_down_levels(spark, monkeypatch):
     """Small limits, so pivots, strays and deeper levels all have work."""
-    monkeypatch.setattr(nd, "TINY", 2)
+    monkeypatch.setattr(nd, "CHUNK", 3)
+    monkeypatch.setattr(nd, "PAIRWISE", 4)
     monkeypatch.setattr(nd, "STRAYS", 2)
     rows = corpus(7, 200, 60)
     rows += [(10_000 + i, " ".join([f"shared{j}" for j in range(40)] + [f"tail{i % 9}", f"end{i}"])) for i in range(60)]

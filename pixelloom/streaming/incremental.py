@@ -1,7 +1,9 @@
 """Incremental evaluation as Structured Streaming, and aggregations over event time.
 
-New or rewritten outputs arrive through the file source; each micro-batch is upserted into a
-keyed table, the latest time winning, so late and repeated arrivals are idempotent.
+New outputs arrive through the file source; each micro-batch is upserted into a keyed table, the
+latest time winning, so late and repeated arrivals are idempotent.  The file source knows a file by
+its name and doesn't look at it again, so rewritten outputs are found by ``refresh``: a batch that
+compares the files' times with the table's.
 """
 
 from __future__ import annotations
@@ -17,10 +19,9 @@ from ..operators.planning import latest
 KEYS = ["model", "benchmark", "task", "idx"]
 
 
-def output_stream(spark: SparkSession, root: str) -> DataFrame:
-    """model, benchmark, task, idx, time, length, content of output files as they appear."""
+def _files(reader, root: str) -> DataFrame:
     rows = (
-        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        reader.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*_output.png").load(root)
     )
     part = lambda n: F.element_at(F.split("path", "/"), -n)
@@ -30,6 +31,25 @@ def output_stream(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def output_stream(spark: SparkSession, root: str) -> DataFrame:
+    """model, benchmark, task, idx, time, length, content of output files as they appear."""
+    return _files(spark.readStream, root)
+
+
+def refresh(spark: SparkSession, root: str, table: str, score: Callable[[DataFrame], DataFrame]) -> int:
+    """Score again the outputs that are newer than their row in the table; returns how many.
+
+    Only the files' names and times are read to find them; contents of the others stay unread.
+    """
+    have = current(spark, table).select(*KEYS, F.col("time").alias("_seen"))
+    found = _files(spark.read, root)
+    stale = found.select(*KEYS, "time").join(have, KEYS, "left").where("_seen IS NULL OR time > _seen").select(*KEYS)
+    n = stale.count()
+    if n:
+        upsert(spark, table, score(found.join(stale, KEYS, "left_semi")))
+    return n
+
+
 def upsert(spark: SparkSession, table: str, rows: DataFrame, keys: list[str] = KEYS, time: str = "time") -> None:
     """Merge ``rows`` into the Parquet table: a new version is written beside the old and its number advanced."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path

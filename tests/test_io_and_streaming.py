@@ -108,6 +108,7 @@ def test_incremental_evaluation_is_idempotent(spark, tmp_path):
     def go():
         q = incremental.evaluate(incremental.output_stream(spark, f"file://{root}"), f"file://{tmp_path}/t", f"file://{tmp_path}/c", lambda d: d.drop("content"))
         q.awaitTermination(60)
+        incremental.refresh(spark, f"file://{root}", f"file://{tmp_path}/t", lambda d: d.drop("content"))
         return {(r["model"], r["idx"]): r["time"].timestamp() for r in incremental.current(spark, f"file://{tmp_path}/t").collect()}
 
     now = int(time.time()) - 1000

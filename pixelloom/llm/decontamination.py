@@ -10,7 +10,8 @@ A stretch of text between two words foreign to every phrase can hold a phrase on
 long as the shortest one; shorter stretches are left out of the index, which loses nothing.
 
 Test phrases: windows of ``WINDOW`` consecutive words of each item; an item of fewer words, but
-not none, is one phrase.  The distinct phrases are split into blocks of at most
+not none, is one phrase.  The benchmark is broadcast: its size is checked against
+``MAX_BENCHMARK_BYTES``.  The distinct phrases are split into blocks of at most
 ``BLOCK_BYTES``, so a worker holds a bounded share of them at a time; for each block the shard
 is indexed and searched, and a shard's spans and items are merged over the blocks.
 
@@ -37,6 +38,8 @@ SHARD_WORDS = 1 << 20
 #: Suffix positions that are divisible by this are kept.
 SAMPLE = 8
 BLOCK_BYTES = 64 << 20
+#: Texts of all items together; a larger benchmark has to be scanned in parts.
+MAX_BENCHMARK_BYTES = 512 << 20
 #: A document is contaminated if hit words are at least one in so many.
 MIN_SHARE = 20
 
@@ -246,6 +249,9 @@ _EXTRA = (
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int = BLOCK_BYTES):
     """Items in blocks of bounded text, one at a time on the driver; each goes to the workers as one argument."""
+    whole = benchmark.agg(F.sum(F.octet_length(col(benchmark, text).cast("string")))).first()[0] or 0
+    if whole > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {whole} bytes; scan it in parts of at most {MAX_BENCHMARK_BYTES}")
     rows, size = [], 0
     for r in benchmark.select(col(benchmark, item_id).cast("long"), col(benchmark, text).cast("string")).toLocalIterator():
         rows.append((r[0], r[1]))

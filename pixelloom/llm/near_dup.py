@@ -206,39 +206,39 @@ def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _small_groups(nodes: DataFrame, least: int) -> DataFrame:
     """Edges (a < b) of trees over the sets of a node that may be similar, by sketch.
 
-    Pairs of one ``root`` don't count.  Nodes (key, cid, root, sk) come to a task whole, at most
-    SMALL rows each, one after the other; a node's pairs are looked at row by row, never kept.
+    Nodes (key, cid, sk) come to a task whole, at most SMALL rows each, one after the other; a
+    node's pairs are looked at row by row, never kept.
     """
 
     def run(batches):
-        key, ids, roots, sks = None, [], [], []
+        key, ids, sks = None, [], []
 
         def edges():
             if len(ids) < 2:
                 return []
-            c, r = np.array(ids, np.int64), np.array(roots, np.int64)
+            c = np.array(ids, np.int64)
             s = np.array(sks, np.int64).view(np.uint64).reshape(len(ids), -1)
 
             def like(k):
                 x = s ^ s[k]
                 y = x | (x >> np.uint64(1))
                 y = (y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111)
-                return np.flatnonzero((COORDS - np.bitwise_count(y).sum(1, dtype=np.int64) >= least) & (r != r[k]))
+                return np.flatnonzero(COORDS - np.bitwise_count(y).sum(1, dtype=np.int64) >= least)
 
             return [(c[i], c[j]) for i, j in _trees_of(like, len(ids))]
 
         for b in batches:
             out = []
-            for k, c, r, s in zip(*(b.column(x).to_pylist() for x in range(4))):
+            for k, c, s in zip(*(b.column(x).to_pylist() for x in range(3))):
                 if k != key:
                     out += edges()
-                    key, ids, roots, sks = k, [], [], []
-                ids.append(c), roots.append(r), sks.append(s)
+                    key, ids, sks = k, [], []
+                ids.append(c), sks.append(s)
             if out:
                 yield _edge_batch(out)
         yield _edge_batch(edges())
 
-    dealt = nodes.select("key", "cid", "root", "sk").repartition("key").sortWithinPartitions("key")
+    dealt = nodes.select("key", "cid", "sk").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, _EDGES).distinct()
 
 
@@ -392,31 +392,37 @@ def _verified(pairs: DataFrame, texts: _Texts, percent: int, name: str) -> DataF
 
 
 def components(edges: DataFrame, name: str = "component") -> DataFrame:
-    """node, root (smallest node reachable) for every node of ``edges`` (a, b).
+    """node, root for every node of ``edges`` (a, b): equal for nodes that are joined; stored.
 
-    Labels go to the least neighbour's label, then jump to their label's label, until nothing
-    changes; each round is a stored table.
+    Contraction: each node goes to the least of itself and its neighbours, and on to where that one
+    went; then edges are redrawn between what is left.  Every round at least halves the nodes that
+    have edges, and its tables are stored, so later rounds work on ever fewer rows.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")), f"{name}-0")
-    turn = 0
+    left = stored(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
+    steps: list[DataFrame] = []
     while True:
-        turn += 1
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("of_b")), "b")
-        best = seen.groupBy(F.col("a").alias("node")).agg(F.min("of_b").alias("near"))
-        step = labels.join(best, "node").select("node", "root", F.least("root", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        new = step.join(jump, "low", "left").select("node", F.coalesce(F.least("low", "far"), F.col("low")).alias("new_root"), "root")
-        new = stored(new, f"{name}-{turn}")
-        changed = new.where("new_root <> root").limit(1).count()
-        drop_stored(labels)
-        if not changed:
-            drop_stored(both)
-            out = new.select("node", F.col("root"))
-            out._pixelloom_path = new._pixelloom_path
-            return out
-        labels = new.select("node", F.col("new_root").alias("root"))
-        labels._pixelloom_path = new._pixelloom_path
+        turn = len(steps)
+        ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        first = stored(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), f"{name}-first{turn}")
+        jump = first.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        step = stored(first.join(jump, "root").select("node", F.col("far").alias("root")), f"{name}-step{turn}")
+        steps.append(step)
+        of_a, of_b = (step.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+        moved = left.join(of_a, "a").join(of_b, "b").where("ra <> rb")
+        rest = stored(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-left{turn}")
+        drop_stored(left, first)
+        left = rest
+        if not left.head(1):
+            break
+    out = steps[0]
+    for step in steps[1:]:
+        on = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        out = out.join(on, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    drop_stored(left)
+    if len(steps) > 1:
+        out = stored(out, name)
+        drop_stored(*steps)
+    return out
 
 
 def _with_pivots(nodes: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
@@ -477,7 +483,7 @@ def links(sigs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, doc_i
             found.append(_verified(_apart(_with_pivots(large, pivots, least), roots_now), texts, percent, f"near-links{level}"))
             drop_stored(*([roots_now] if roots_now is not None else []))
             roots_now = components(_all(found), f"near-cc{level}")
-        fits = _small_groups(_rooted(shared.where(F.col("size") <= small), roots_now), least)
+        fits = _small_groups(shared.where(F.col("size") <= small), least)
         found.append(_group_links(fits, roots_now, texts, percent, f"near-more{level}"))
         if not more:
             drop_stored(shared)

@@ -12,14 +12,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import decontamination, mixing, near_dup, quality, token_output
-from pixelloom.llm.common import stored, table
+from pixelloom.llm.common import col, stored, table
 from pixelloom.llm.queries import TOKENIZER
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator adds, and the names; ``_back`` restores them."""
+    names = {c: f"_doc_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*(col(docs, c).alias(n) for c, n in names.items())), names
+
+
+def _back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*(col(docs, n).alias(c) for c, n in names.items()))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the document rules and their host's verdict keep."""
-    judged = quality.judge(docs)
-    return judged.where("kept").select(*docs.columns)
+    own, n = _apart(docs)
+    return _back(quality.judge(own, text=n["text"], host=n["source"]).where("kept"), n)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by ``benchmark``."""
-    found = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("not contaminated").select(*docs.columns)
+    own, n = _apart(docs)
+    return _back(decontamination.scan(own, table(spark, sf_dir, "benchmark"), text=n["text"]).where("not contaminated"), n)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,11 @@ def test_awkward_rows(table, request, spark, sf_dir):
     for name, stage in cp.STAGES:
         out = stage(spark, d, sf_dir)
         assert out.count() <= 3 * max(1, d.count()), name
+
+
+def test_columns_that_operators_also_make_keep_their_values(docs, spark, sf_dir):
+    out = docs
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, out, sf_dir)
+        assert out.columns == docs.columns
+        assert {(r["n_words"], r["kept"], r["size"], r["key"], r["cid"]) for r in out.collect()} <= {(1, "x", "y", 2, "z")}

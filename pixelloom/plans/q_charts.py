@@ -217,11 +217,11 @@ def round_sig3(spark, sf_dir):
     return derive.read(spark, sf_dir, "events").select("event_id", text.round_sig(F.col("value")).alias("v"))
 
 
-@query("""SELECT n_regionkey, CASE WHEN n = 1 THEN l[1] WHEN n = 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[1:n-1], ', ') || ', and ' || l[n] END AS names FROM
-    (SELECT n_regionkey, list(n_name ORDER BY n_name) AS l, count(*) AS n FROM nation WHERE n_nationkey % 4 < n_regionkey + 1 GROUP BY n_regionkey)""")
+@query("""SELECT n_regionkey, part, CASE WHEN n = 1 THEN l[1] WHEN n = 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[1:n-1], ', ') || ', and ' || l[n] END AS names FROM
+    (SELECT n_regionkey, n_nationkey % 3 AS part, list(n_name ORDER BY n_name) AS l, count(*) AS n FROM nation GROUP BY ALL)""")
 def oxford_join(spark, sf_dir):
-    n = derive.read(spark, sf_dir, "nation").where("n_nationkey % 4 < n_regionkey + 1").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("l"))
-    return n.select("n_regionkey", text.oxford(F.col("l")).alias("names"))
+    n = derive.read(spark, sf_dir, "nation").groupBy("n_regionkey", (F.col("n_nationkey") % 3).alias("part")).agg(F.sort_array(F.collect_list("n_name")).alias("l"))
+    return n.select("n_regionkey", "part", text.oxford(F.col("l")).alias("names"))
 
 
 @query("SELECT p_partkey, printf('#%02X%02X%02X', p_partkey % 256, p_partkey * 3 % 256, p_partkey * 7 % 256) AS hex FROM part")

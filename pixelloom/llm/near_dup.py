@@ -51,7 +51,7 @@ COORDS = 64
 TREES = 12
 SPREAD = 2.0
 SMALL = 4_096
-CHUNK = 2_048
+CHUNK = 1_024
 PIVOTS = 6
 STRAYS = 48
 #: Groups up to this size are compared pair by pair, larger ones by matrix products.
@@ -262,12 +262,16 @@ def linked(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tupl
         both = np.zeros((m, m), np.float32)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4_096):
-            s, e = np.searchsorted(column, (lo, lo + 4_096))
-            x = np.zeros((m, 4_096), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2_048):
+            s, e = np.searchsorted(column, (lo, lo + 2_048))
+            x = np.zeros((m, 2_048), np.float32)
             x[row[s:e], column[s:e] - lo] = 1
             both += x @ x.T
-        near = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (roots[:, None] != roots[None, :])
+        # Whole numbers under 2^24 are exact in float32: 100 x both + percent x both >= percent x (sum of sizes).
+        near = np.empty((m, m), bool)
+        for k in range(m):
+            near[k] = (100 + percent) * both[k].astype(np.int64) >= percent * (sizes[k] + sizes)
+            near[k] &= roots != roots[k]
     return _trees_of(lambda k: np.flatnonzero(near[k]), m)
 
 

@@ -44,7 +44,7 @@ BLOCK = 8192
 SHARD_DOCS = 4096
 END_ID = 1
 #: Pieces kept in a worker's cache of encodings; it is emptied when full.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 800_000
 
 #: Texts of only these characters split on white space into words that encode on their own:
 #: printable ASCII, tab, line feed, carriage return, and Latin letters that NFC and
@@ -291,6 +291,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part, pa.array(small, pa.binary())], names=_PACKED.names)
 
     def write(batches):
+        _encoders.clear()  # all is tokenised by now, and the worker lives on
         fs, writer, shard, done = None, None, None, []
 
         def finish():

@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, held_out, stored
+from .common import col, held_out, stored, tidied
 
 PREFIX = (5,)
 LEAST_G2 = 30.0
 LEAST_DOCS = 4
 LEAST_LIFT = 4.0
 MAX_TERMS = 4_000
+HITS = (2, 3, 4, 6)
+HIT_COUNT = 3
 MAX_EXAMPLES = 4_000
 NEIGHBOURS = 15
 BLOCK = 64
@@ -52,12 +54,22 @@ def word_terms(word: str) -> list[str]:
 
 
 class Terms:
-    """Counts of vocabulary terms in whole texts; the terms of a word are looked up once."""
+    """Counts of vocabulary terms in whole texts; the terms of a word are looked up once.
 
-    def __init__(self, vocabulary: dict[str, int]):
+    How many distinct words have a term of label 1 is itself told by terms: one for each of HITS
+    that the number reaches, counted as HIT_COUNT.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], telling: set[int] | None = None):
         self.vocabulary = vocabulary
+        #: Terms that go with label 1.
+        self.telling = set(vocabulary.values()) if telling is None else telling
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    @property
+    def size(self) -> int:
+        return len(self.vocabulary) + len(HITS)
+
     def __call__(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
         if not text:
@@ -65,12 +77,18 @@ class Terms:
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
+        hits: set[str] = set()
         for w in _WORDS.findall(text.lower()):
             ids = cache.get(w)
             if ids is None:
                 ids = cache[w] = tuple(self.vocabulary[t] for t in word_terms(w) if t in self.vocabulary)
             for t in ids:
                 out[t] = out.get(t, 0) + 1
+                if t in self.telling:
+                    hits.add(w)
+        for k, least in enumerate(HITS):
+            if len(hits) >= least:
+                out[len(self.vocabulary) + k] = HIT_COUNT
         return out
 
 
@@ -234,22 +252,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     terms = terms.where((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
     chosen = terms.where(a + b >= LEAST_DOCS).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
     vocabulary = {r["term"]: k for k, r in enumerate(chosen)}
-    idf = np.array([math.log((1 + ones + zeros) / (1 + r["a"] + r["b"])) + 1 for r in chosen])
+    telling = {k for k, r in enumerate(chosen) if r["a"] / n1 > r["b"] / n0}
 
     vectors = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType(), False), T.StructField("v", T.MapType(T.IntegerType(), T.IntegerType(), False), False)])
 
     def vectorise(batches):
-        of = Terms(vocabulary)
+        of = Terms(vocabulary, telling)
         for b in batches:
             v = [sorted(of(t).items()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.map_(pa.int32(), pa.int32()))], names=vectors.names)
 
     got = rows.select("doc_id", "y", "text").mapInArrow(vectorise, vectors).collect()  # the drawn examples
     y = np.array([r["y"] for r in got], int)
+    found = Counter(t for r in got for t in r["v"])
+    idf = np.array([math.log((1 + len(got)) / (1 + found[t])) + 1 for t in range(len(vocabulary) + len(HITS))])
     index = Index([r["v"] for r in got], y, np.array([1 / max(1e-9, rates[r["y"]]) for r in got]), [r["doc_id"] for r in got], idf)
     if len(got):
         index.calibrate()
-    return Terms(vocabulary), index
+    return Terms(vocabulary, telling), index
 
 
 _OUT = T.StructType([
@@ -272,4 +292,4 @@ def score(docs: DataFrame, model: tuple[Terms, Index], held: Column, doc_id: str
                 pa.array([[e[0] for e in g[1]] for g in got], pa.list_(pa.int64())),
             ], names=_OUT.names)
 
-    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), held.alias("held_out"), col(docs, text).cast("string").alias("text")).mapInArrow(run, _OUT)
+    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), held.alias("held_out"), col(docs, text).cast("string").alias("text")).mapInArrow(tidied(run), _OUT)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh
+from .common import col, fresh, tidied
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -322,7 +322,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: lis
                     at, texts, size = k + 1, [], 0
 
     src = fresh(docs, "_text")
-    return docs.select(*(col(docs, c) for c in keep), col(docs, text).cast("string").alias(src)).mapInArrow(run, schema)
+    return docs.select(*(col(docs, c) for c in keep), col(docs, text).cast("string").alias(src)).mapInArrow(tidied(run), schema)
 
 
 def digest(ids: list[int]) -> str:

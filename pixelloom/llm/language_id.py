@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import col, tidied
 
 BUCKETS = 1 << 15
 SMOOTH = 0.05
@@ -149,4 +149,4 @@ def predict(docs: DataFrame, model: Mixture, held: Column, doc_id: str = "doc_id
             ], schema=_arrow)
 
     _arrow = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64()))])
-    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), held.alias("held_out"), col(docs, text).cast("string").alias("text")).mapInArrow(run, _OUT)
+    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), held.alias("held_out"), col(docs, text).cast("string").alias("text")).mapInArrow(tidied(run), _OUT)

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, drop_stored, fresh, stored
+from .common import col, drop_stored, fresh, stored, tidied
 
 COORDS = 64
 TREES = 12
@@ -57,7 +57,7 @@ STRAYS = 48
 #: Groups up to this size are compared pair by pair, larger ones by matrix products.
 PAIRWISE = 24
 SEED = 7_919
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _rng = np.random.default_rng(SEED)
 _MULT = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFra
                     sk.append(sketch(m))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1000), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(sk, pa.list_(pa.int64()))], names=_SIG.names)
 
-    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).mapInArrow(run, _SIG)
+    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).mapInArrow(tidied(run), _SIG)
 
 
 def _chosen(threshold: float, trees: int) -> list[tuple[int, int]]:
@@ -239,7 +239,7 @@ def _small_groups(nodes: DataFrame, least: int) -> DataFrame:
         yield _edge_batch(edges())
 
     dealt = nodes.select("key", "cid", "sk").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, _EDGES).distinct()
+    return dealt.mapInArrow(tidied(run), _EDGES).distinct()
 
 
 def linked(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -312,7 +312,7 @@ def _group_links(edges: DataFrame, roots: DataFrame | None, texts: _Texts, perce
         yield _edge_batch(links())
 
     dealt = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    out = stored(dealt.mapInArrow(run, _EDGES), name)
+    out = stored(dealt.mapInArrow(tidied(run), _EDGES), name)
     drop_stored(edges, groups, t)
     return out
 
@@ -390,7 +390,7 @@ def _verified(pairs: DataFrame, texts: _Texts, percent: int, name: str) -> DataF
     t = texts.of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
     one = pairs.join(t.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
     both = one.join(t.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-    out = stored(both.select("a", "b", "ta", "tb").mapInArrow(run, schema), name)
+    out = stored(both.select("a", "b", "ta", "tb").mapInArrow(tidied(run), schema), name)
     drop_stored(pairs, t)
     return out
 

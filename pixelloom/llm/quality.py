@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, drop_stored, fresh, q, stored
+from .common import col, drop_stored, fresh, q, stored, tidied
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -91,10 +91,11 @@ def with_stats(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
 
     def run(batches):
         for b in batches:
-            got = np.array([text_stats(t) for t in b.column(n).to_pylist()], np.int64).reshape(-1, len(STATS))
+            texts = b.column(n)
+            got = np.array([text_stats(t) for at in range(0, b.num_rows, 500) for t in texts.slice(at, 500).to_pylist()], np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(got[:, k]) for k in range(len(STATS)))], names=[*keep, *STATS])
 
-    return docs.select(*(col(docs, c) for c in keep), col(docs, text).alias(src)).mapInArrow(run, schema)
+    return docs.select(*(col(docs, c) for c in keep), col(docs, text).alias(src)).mapInArrow(tidied(run), schema)
 
 
 def rule_columns() -> dict[str, object]:

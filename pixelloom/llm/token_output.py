@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import col, new_path, stored
+from .common import col, new_path, stored, tidied
 
 MAGIC = b"PXLTOK01"
 FOOTER = struct.Struct("<IIIIQQQQ")
@@ -44,7 +44,7 @@ BLOCK = 8192
 SHARD_DOCS = 4096
 END_ID = 1
 #: Pieces kept in a worker's cache of encodings; it is emptied when full.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 700_000
 
 #: Texts of only these characters split on white space into words that encode on their own:
 #: printable ASCII, tab, line feed, carriage return, and Latin letters that NFC and
@@ -316,9 +316,9 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=_MANIFEST.names)
 
-    tokens = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).mapInArrow(tokenise, _PACKED)
+    tokens = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).mapInArrow(tidied(tokenise), _PACKED)
     dealt = tokens.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    return stored(dealt.mapInArrow(write, _MANIFEST), "token-manifest")
+    return stored(dealt.mapInArrow(tidied(write), _MANIFEST), "token-manifest")
 
 
 _READ = T.StructType([
@@ -353,7 +353,7 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
                 ], names=_READ.names)
 
     base = manifest.select("shard", F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return files.mapInArrow(decode, _READ).join(base, "shard").select(
+    return files.mapInArrow(tidied(decode), _READ).join(base, "shard").select(
         "doc_id", (F.col("local_start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"
     )
 

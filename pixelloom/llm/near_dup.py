@@ -567,9 +567,13 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id
     Texts without words are all kept.  Rows that repeat both id and text count as one.
     """
     found = near_duplicates(docs, shingle=shingle, percent=percent, doc_id=doc_id, text=text)
-    flag = fresh(docs, "_kept_id")
-    kept = stored(found.where("kept").groupBy(F.col("doc_id").alias(flag)).agg(F.count(F.lit(1)).alias("rows")), "near-kept")
-    out = docs.join(kept.select(flag), col(docs, doc_id).cast("long").eqNullSafe(kept[flag]), "left_semi")
-    if kept.where("rows > 1").head(1):  # ids that aren't unique: the one case that costs a further shuffle
+    flag = fresh(docs, "_gone_id")
+    ids = stored(found.groupBy(F.col("doc_id").alias(flag)).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows")), "near-kept")
+    # The ids that go are fewer than those that stay; while they are few the texts aren't moved.
+    gone = ids.where("NOT kept").select(flag)
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, col(docs, doc_id).cast("long").eqNullSafe(F.col(flag)), "left_anti")
+    if ids.where("rows > 1").head(1):  # ids that aren't unique: the one case that costs a shuffle of texts
         out = out.dropDuplicates([doc_id, text])
     return out

@@ -143,14 +143,18 @@ def host_verdicts(stats: DataFrame, host: str = "source", max_rate: float = MAX_
 def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """``docs`` (columns ``keep``) with STATS, ``base_failed`` and ``kept``.
 
-    The statistics are made once and stored; hosts are summed from the stored table, and only
-    the failed hosts are joined back: broadcast while they are few, else by a left join that
-    Spark splits by skew.
+    The statistics are stored once and hosts are summed from the stored table.  With ``keep`` given
+    that table is also the result's; without it, whole rows would have to be stored, so only the
+    hosts' columns are, and the documents are walked a second time.  Only the failed hosts are
+    joined back: broadcast while they are few, else by a left join that Spark splits by skew.
     """
-    columns = list(dict.fromkeys([*(docs.columns if keep is None else keep), host]))
-    stats = stored(with_stats(docs, text, columns), "quality")
+    if keep is None:
+        summed = stored(with_stats(docs, text, [host]), "quality")
+        stats = with_stats(docs, text)
+    else:
+        summed = stats = stored(with_stats(docs, text, list(dict.fromkeys([*keep, host]))), "quality")
     name = fresh(stats, "_host")
-    bad = stored(host_verdicts(stats, host, max_rate).where("host_failed").select(F.col("host").alias(name)), "failed-hosts")
+    bad = stored(host_verdicts(summed, host, max_rate).where("host_failed").select(F.col("host").alias(name)), "failed-hosts")
     if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     out = stats.join(bad, col(stats, host) == bad[name], "left")

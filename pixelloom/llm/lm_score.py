@@ -3,12 +3,17 @@
 Every word is predicted from the ``SIDE`` words before and after it (not itself); the sum of
 the log-probabilities over all words of a text is its pseudo-log-likelihood.
 
-Words are counted over the whole corpus.  The ``VOCABULARY`` most frequent ones keep their own
-probability; each word, known or not, belongs to one of ``CLASSES`` classes (the most frequent
-words alone, the others by their ending).  The network predicts the class,
+Words are counted over the whole corpus, and every counted word has its own probability; each
+word, counted or not, belongs to one of ``CLASSES`` classes (the most frequent words alone, the
+others by their ending).  The network predicts the class,
     h = tanh(b + sum over window places of E[place, class there]),  P(class) = softmax(h U + c),
-and the word follows from its share of its class's count; unknown words share what the counted
-unknown words of the class make up, spelled at a constant cost a character.
+and the word follows from its share of its class's count, (count of the word) / (count of the
+class + 1); words that weren't counted have a count of one, spelled at a constant cost a character.
+
+The counts of all words are a stored table.  The ``VOCABULARY`` most frequent ones go to every
+worker; the other words of a text leave the map as distinct words with their number in it, are
+joined to the table, and their logarithms (whole billionths, so their order can't matter) are
+added up by text.
 
 Training: numpy, by parallel stochastic gradient descent.  In each of ``ROUNDS`` rounds every
 partition starts from the same parameters, walks over all its words once, and the results are
@@ -28,11 +33,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, drop_stored, stored, tidied
+from .common import col, stored, tidied
 
 SIDE = 2
 CLASSES = 64
@@ -46,8 +51,9 @@ GROUPS = 16
 SEED = 11
 COUNTER_WORDS = 300_000
 CACHE_WORDS = 300_000
-#: Log-probability of a character of an unknown word.
+#: Log-probability of a character of a word that wasn't counted.
 SPELL = math.log(1 / 40)
+NANO = 1_000_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -79,10 +85,11 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 class Lexicon:
-    """Class and in-class log-probability of any word."""
+    """Class and in-class log-probability of any word; ``counts`` (word, n) has the words outside ``known``."""
 
-    def __init__(self, top: list[tuple[bytes, int]], class_totals: dict[int, int], total: int):
+    def __init__(self, top: list[tuple[bytes, int]], class_totals: dict[int, int], total: int, counts: DataFrame | None = None):
         #: top: most frequent first.  class_totals: words counted by ending class, all words.
+        self.counts = counts
         self.alone = {w: k for k, (w, _) in enumerate(top[:ALONE])}
         sums = np.zeros(CLASSES)
         for k, n in class_totals.items():
@@ -99,16 +106,27 @@ class Lexicon:
             c = k if k < ALONE else ending_class(w)
             self.known[w] = c, math.log(n / (sums[c] + 1.0)) if k >= ALONE else 0.0
         self.unknown = np.log((np.maximum(sums - known, 0) + 1.0) / (sums + 1.0))
+        #: Log-probability of a word of count one in its class.
+        self.one = -np.log(sums + 1.0)
         self.total = total
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}  # the table stays where it is
+
     def get(self, word: bytes) -> tuple[int, float]:
+        """Class and log-probability; that of a word outside ``known`` still lacks ``log_count``."""
         found = self.known.get(word)
         if found is None:
             c = ending_class(word)
-            found = c, float(self.unknown[c]) + SPELL * len(word)
+            found = c, float(self.one[c])
         return found
 
 
+def log_count(n: Column, word: Column) -> Column:
+    """Billionths of the logarithm of a word's count, or of its spelling where it wasn't counted."""
+    return F.round(F.coalesce(F.ln(n), F.length(word) * F.lit(SPELL)) * F.lit(NANO)).cast("long")
+
+
 class _Learned(dict):
     """Looks a missing word up in the lexicon, for both tables of a coder."""
 
@@ -218,8 +236,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Lexi
 
     for r in counts.mapInArrow(endings, by_ending).groupBy("k").agg(F.sum("n").alias("n")).collect():  # CLASSES rows
         totals[r["k"]] = r["n"]
-    drop_stored(counts)
-    lexicon = Lexicon(top, totals, sum(totals.values()))
+    lexicon = Lexicon(top, totals, sum(totals.values()), counts)
     network = Network(lexicon.class_share)
     texts = docs.select(col(docs, text).cast("string").alias("text"))
     groups = GROUPS
@@ -274,40 +291,48 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Lexi
     return lexicon, network
 
 
-_OUT = (T.StructField("n_tokens", T.LongType(), False), T.StructField("sum_logprob", T.DoubleType(), False), T.StructField("mean_logprob", T.DoubleType()))
+_WORD = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("k", T.LongType(), False)])
+_PART = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType(), False), T.StructField("part", T.DoubleType(), False), T.StructField("words", T.ArrayType(_WORD, False), False)])
 
 
 def score(docs: DataFrame, model: tuple[Lexicon, Network], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, sum_logprob, mean_logprob of every whole text."""
+    counts = model[0].counts
     shared = docs.sparkSession.sparkContext.broadcast(model)  # VOCABULARY words and the parameters
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *_OUT])
+    kind = pa.list_(pa.struct([pa.field("word", pa.binary(), False), pa.field("k", pa.int64(), False)]))
 
     def run(batches):
         lexicon, network = shared.value
-        coder = Coder(lexicon)
+        coder, known = Coder(lexicon), lexicon.known
         for b in batches:
-            sizes, sums = [], []
             for at in range(0, b.num_rows, 64):
                 texts = [words_of(t) for t in b.column(1).slice(at, 64).to_pylist()]
                 lengths = np.array([len(t) for t in texts])
-                sizes += lengths.tolist()
+                sums = np.zeros(len(texts))
                 full = [t for t in texts if t]
-                if not full:
-                    sums += [0.0] * len(texts)
-                    continue
-                coded = [coder.classes(t) for t in full]
-                a = np.concatenate([windows(c) for c in coded])
-                y = np.concatenate(coded)
-                logs = np.concatenate([coder.logs(t) for t in full])
-                for s in range(0, len(y), 4 * BATCH):
-                    _, p = network.forward(a[s : s + 4 * BATCH])
-                    got = p[np.arange(len(p)), y[s : s + 4 * BATCH]]
-                    logs[s : s + 4 * BATCH] += np.log(np.maximum(got, 1e-30))
-                ends = np.cumsum(lengths)
-                total = np.concatenate([[0.0], np.cumsum(logs)])
-                sums += (total[ends] - total[ends - lengths]).tolist()
-            n, s = np.array(sizes, np.int64), np.round(np.array(sums, float), 4)
-            mean = [round(x / k, 6) if k else None for x, k in zip(s.tolist(), sizes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s), pa.array(mean, pa.float64())], names=schema.names)
-
-    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).mapInArrow(tidied(run), schema)
+                if full:
+                    coded = [coder.classes(t) for t in full]
+                    a = np.concatenate([windows(c) for c in coded])
+                    y = np.concatenate(coded)
+                    logs = np.concatenate([coder.logs(t) for t in full])
+                    for s in range(0, len(y), 4 * BATCH):
+                        _, p = network.forward(a[s : s + 4 * BATCH])
+                        got = p[np.arange(len(p)), y[s : s + 4 * BATCH]]
+                        logs[s : s + 4 * BATCH] += np.log(np.maximum(got, 1e-30))
+                    ends = np.cumsum(lengths)
+                    total = np.concatenate([[0.0], np.cumsum(logs)])
+                    sums = total[ends] - total[ends - lengths]
+                rest = [Counter([w for w in t if w not in known]) for t in texts]
+                words = pa.StructArray.from_arrays([pa.array([w for r in rest for w in r], pa.binary()), pa.array([k for r in rest for k in r.values()], pa.int64())], fields=list(kind.value_type))
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rest])]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 64), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(offsets, words, type=kind)], names=_PART.names)
+
+    texts = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
+    parts = stored(texts.mapInArrow(tidied(run), _PART).withColumn("row", F.monotonically_increasing_id()), "lm-texts")
+    rest = parts.select("row", F.explode("words").alias("w")).select("row", "w.word", "w.k")
+    rest = rest.join(counts, "word", "left") if counts is not None else rest.withColumn("n", F.lit(None).cast("long"))
+    logs = rest.groupBy("row").agg(F.sum(F.col("k") * log_count(F.col("n"), F.col("word"))).alias("billionths"))
+    total = F.round(F.col("part") + F.coalesce(F.col("billionths"), F.lit(0)) / NANO, 4)
+    out = parts.drop("words").join(logs, "row", "left").select("doc_id", "n_tokens", total.alias("sum_logprob"))
+    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("sum_logprob") / F.col("n_tokens"), 6))
+    return out.withColumn("mean_logprob", mean)

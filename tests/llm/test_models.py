@@ -180,3 +180,21 @@ def test_model_beats_unigrams_and_scores_whole_texts(docs, none, spark):
     assert again == {k: r["sum_logprob"] for k, r in got.items()}
     m = lm_score.fit(docs)
     assert lm_score.score(docs, m).count() == docs.count() and lm_score.score(none, lm_score.fit(none)).count() == 0
+
+
+def test_every_counted_word_has_its_own_share(spark, monkeypatch):
+    """Words past the ones that workers know by heart: more frequent is more likely, none is spelled, shares add up."""
+    monkeypatch.setattr(lm_score, "VOCABULARY", lm_score.ALONE)
+    rows = [(i, " ".join(f"top{j}" for j in range(lm_score.ALONE))) for i in range(60)]
+    rows += [(100 + i, "often_xyz") for i in range(50)] + [(200 + i, "seldom_xyz") for i in range(2)] + [(300, "a_xyz often_xyz often_xyz")]
+    model = lm_score.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    asked = [(1, "often_xyz"), (2, "seldom_xyz"), (3, "unseen_xyz"), (4, "seldom_xyz seldom_xyz"), (5, None)]
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got[1]["sum_logprob"] - got[2]["sum_logprob"] == pytest.approx(math.log(52 / 2), abs=2e-4)
+    assert got[2]["sum_logprob"] - got[3]["sum_logprob"] == pytest.approx(math.log(2) - lm_score.SPELL * 10, abs=2e-4)
+    assert got[4]["n_tokens"] == 2 and got[5]["n_tokens"] == 0 and got[5]["sum_logprob"] == 0 and got[5]["mean_logprob"] is None
+    lex = model[0]
+    counted = {bytes(r["word"]): r["n"] for r in lex.counts.collect()}
+    for c in range(lm_score.ALONE, lm_score.CLASSES):
+        of_class = [n for w, n in counted.items() if w not in lex.known and lm_score.ending_class(w) == c]
+        assert math.exp(lex.one[c]) * (sum(of_class) + 1) == pytest.approx(1)

@@ -20,13 +20,17 @@ SEED = 42
 
 
 def resampled_means(values: np.ndarray, rng: np.random.Generator, n_boot: int, cells: int = 1 << 22) -> np.ndarray:
-    """Means of n_boot resamples of the rows of ``values`` (n, metrics); bounded memory."""
+    """Means of n_boot resamples of the rows of ``values`` (n, metrics).
+
+    Indices are drawn a few resamples at a time, at most ``cells`` values (or one resample) at once;
+    the stream gives the same numbers as one draw of all.
+    """
     n = len(values)
     out = np.empty((n_boot, values.shape[1]))
-    index = rng.integers(0, n, size=(n_boot, n))
     step = max(1, cells // max(1, n * values.shape[1]))
     for at in range(0, n_boot, step):
-        out[at : at + step] = values[index[at : at + step]].mean(1)
+        k = min(step, n_boot - at)
+        out[at : at + k] = values[rng.integers(0, n, size=(k, n))].mean(1)
     return out
 
 
@@ -40,8 +44,11 @@ def nested_interval(tree, n_boot: int = N_BOOT, seed: int = SEED) -> np.ndarray:
     def walk(t):
         if isinstance(t, np.ndarray):
             return resampled_means(t, rng, n_boot) if len(t) else None
-        parts = [p for p in map(walk, t) if p is not None]
-        return np.mean(parts, axis=0) if parts else None
+        total, k = None, 0
+        for part in map(walk, t):
+            if part is not None:
+                total, k = part if total is None else total + part, k + 1
+        return total / k if k else None
 
     means = walk(tree)
     return np.zeros((2, len(CI_METRICS))) if means is None or n_boot <= 0 else np.percentile(means, [2.5, 97.5], axis=0)

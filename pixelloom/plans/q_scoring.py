@@ -304,6 +304,7 @@ def pass_rate_sweep(spark, sf_dir):
 
 # -- bootstrap ---------------------------------------------------------------------------------------
 
+#: Resamples that the SQL form is held against SQL with; the numpy form takes all ``bootstrap.N_BOOT``.
 N_SQL = 100
 
 
@@ -335,22 +336,19 @@ def bootstrap_l3_sql(spark, sf_dir):
     return bootstrap.draws_sql_form(long(spark, sf_dir), ["model", "block"], ["category", "task"], ["sid"], N_SQL)
 
 
-N_NUMPY = 1_000
-
-
 @query()
 def bootstrap_l1_numpy(spark, sf_dir):
-    return rounded(bootstrap.intervals(long(spark, sf_dir), ["model", "task", "block"], [], ["sid"], N_NUMPY))
+    return rounded(bootstrap.intervals(long(spark, sf_dir), ["model", "task", "block"], [], ["sid"]))
 
 
 @query()
 def bootstrap_l2_numpy(spark, sf_dir):
-    return rounded(bootstrap.intervals(long(spark, sf_dir), ["model", "category", "block"], ["task"], ["sid"], N_NUMPY))
+    return rounded(bootstrap.intervals(long(spark, sf_dir), ["model", "category", "block"], ["task"], ["sid"]))
 
 
 @query()
 def bootstrap_l3_numpy(spark, sf_dir):
-    return rounded(bootstrap.intervals(long(spark, sf_dir), ["model", "block"], ["category", "task"], ["sid"], N_NUMPY))
+    return rounded(bootstrap.intervals(long(spark, sf_dir), ["model", "block"], ["category", "task"], ["sid"]))
 
 
 # -- leaderboard and report ---------------------------------------------------------------------------

@@ -90,3 +90,33 @@ def test_grouped_map_equals_plain_call(spark):
     arr = lambda xs: np.array([[0.8, 0.9, x] for x in xs])
     want = bootstrap.nested_interval([arr([0.1, 0.9, 0.4]), arr([0.3, 0.2])], 500, 7)
     assert (r["ci95_iou_low"], r["ci95_iou_high"]) == pytest.approx((want[0, 2], want[1, 2]))
+
+
+def test_indices_are_drawn_in_pieces_of_one_stream():
+    class Watched:
+        def __init__(self):
+            self.rng, self.most = np.random.default_rng(42), 0
+
+        def integers(self, low, high, size):
+            self.most = max(self.most, size[0] * size[1])
+            return self.rng.integers(low, high, size=size)
+
+    x = np.random.default_rng(1).random((37, 3))
+    watched = Watched()
+    got = bootstrap.resampled_means(x, watched, 1_001, cells=37 * 3 * 10)
+    assert watched.most <= 37 * 10
+    assert np.array_equal(got, x[np.random.default_rng(42).integers(0, 37, size=(1_001, 37))].mean(1))
+
+
+def test_registered_numpy_intervals_take_all_iterations(spark, monkeypatch):
+    from pixelloom.plans import q_scoring
+
+    d = records(spark, [("g", t, "d", "b", xs) for t, xs in (("a", [0.1, 0.9, 0.4]), ("b", [0.3, 0.2]))]).withColumnRenamed("idx", "sid")
+    monkeypatch.setattr(q_scoring, "long", lambda spark, sf_dir: d)
+    arr = lambda xs: np.array([[0.8, 0.9, x] for x in xs])
+    a, b = arr([0.1, 0.9, 0.4]), arr([0.3, 0.2])
+    wanted = {"l1": bootstrap.nested_interval(a, 10_000), "l2": bootstrap.nested_interval([a, b], 10_000), "l3": bootstrap.nested_interval([[a, b]], 10_000)}
+    for level, want in wanted.items():
+        rows = getattr(q_scoring, f"bootstrap_{level}_numpy")(spark, "").collect()
+        r = next(r for r in rows if level != "l1" or r["task"] == "a")
+        assert (r["ci95_iou_low"], r["ci95_iou_high"]) == pytest.approx((want[0, 2], want[1, 2]), abs=1e-8)

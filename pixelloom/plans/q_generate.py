@@ -10,20 +10,22 @@ from ..registry import query
 from ..streaming import incremental
 from . import derive
 
-#: Side of generated images as a share of the full size (1024): the grid is whole, the pictures are small.
-SCALE = 0.0625
+#: Side of generated images as a share of the full size (1024): grid and pictures are whole.
+SCALE = 1.0
+#: Tasks that problems are dealt out to; raw pictures take megabytes, so a task scores a few problems only.
+MADE, SCORED = 240, 480
 
 
 @query()
 def generate_problems(spark, sf_dir):
     """The whole grid of 20 tasks, 8 conditions and 12 slots."""
-    made = run.problems(run.slots(spark).repartition(32), scale=SCALE)
+    made = run.problems(run.slots(spark).repartition(MADE), scale=SCALE)
     return made.select("task", "idx", "mode", "visual_condition", "seed", "instruction", F.length("input").alias("input_bytes"), F.length("answer").alias("answer_bytes"))
 
 
 @query()
 def generate_preservation(spark, sf_dir):
-    made = run.preservation(run.problems(run.slots(spark, ["removal"]).repartition(16), scale=SCALE))
+    made = run.preservation(run.problems(run.slots(spark, ["removal"]).repartition(48), scale=SCALE))
     return made.select("task", "idx", "mode", "visual_condition", "seed", (F.col("input") == F.col("answer")).alias("same"))
 
 
@@ -35,27 +37,34 @@ def generate_charts(spark, sf_dir):
 
 @query()
 def image_scores(spark, sf_dir):
-    """Generated problems through three baseline models and the image scorer, in memory."""
+    """All generated problems through three baseline models and the image scorer, in memory.
+
+    Packed pictures go along with their row, so nothing is joined and no raw picture is shuffled.
+    """
     from ..sources import png
 
-    made = run.problems(run.slots(spark, conditions=["baseline"]).repartition(16), scale=SCALE)
+    made = run.problems(run.slots(spark).repartition(SCORED), scale=SCALE)
     image = "struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+    packed = ["task", "idx", "input_png", "answer_png"]
 
     def decoded(batches):
         import pyarrow as pa
 
         kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
-        for b in batches:
-            cols = {n: [None if d is None else _struct(png.decode(d)) for d in b.column(n).to_pylist()] for n in ("input", "answer", "output") if n in b.schema.names}
-            yield pa.RecordBatch.from_arrays([pa.array(cols[n], kind) if n in cols else b.column(n) for n in b.schema.names], names=b.schema.names)
-
-    pics = made.where("input IS NOT NULL").select("task", "idx", "instruction", "input", "answer").mapInArrow(decoded, f"task string, idx int, instruction string, input {image}, answer {image}")
+        for batch in batches:
+            for at in range(batch.num_rows):
+                b = batch.slice(at, 1)
+                pics = {n: pa.array([None if d is None else _struct(png.decode(d)) for d in b.column(f"{n}_png").to_pylist()], kind) for n in ("input", "answer", "output") if f"{n}_png" in b.schema.names}
+                yield pa.RecordBatch.from_arrays([*b.columns, *pics.values()], names=[*b.schema.names, *pics])
+
+    rows = made.where("input IS NOT NULL").select("task", "idx", F.col("input").alias("input_png"), F.col("answer").alias("answer_png"), "instruction")
+    pics = rows.mapInArrow(decoded, f"task string, idx int, input_png binary, answer_png binary, instruction string, input {image}, answer {image}")
     out = None
     for model in ("echo_input", "answer_oracle", "noise"):
-        rows = infer.run(pics, model, ["task", "idx"]).select("task", "idx", "model", "output")
+        rows = infer.run(pics, model, packed).select(*packed, "model", F.col("output").alias("output_png"))
         out = rows if out is None else out.unionByName(rows)
-    outs = out.mapInArrow(decoded, f"task string, idx int, model string, output {image}")
-    s = scoring.score_images(pics.join(outs, ["task", "idx"]), ["model", "task", "idx"])
+    outs = out.mapInArrow(decoded, f"task string, idx int, input_png binary, answer_png binary, model string, output_png binary, input {image}, answer {image}, output {image}")
+    s = scoring.score_images(outs, ["model", "task", "idx"])
     return s.select("model", "task", "idx", "has_output", "correct_output_size", "edit_pixels", F.element_at("blocks", 3)["iou"].alias("iou"))
 
 

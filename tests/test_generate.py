@@ -82,3 +82,25 @@ def test_chart_edits(chart, edit):
 def test_chart_problems(spark):
     got = run.chart_problems(spark, 3)
     assert got.count() == 60 and got.select("task").distinct().count() == 20
+
+
+def test_registered_queries_take_full_size_and_all_conditions(spark, monkeypatch):
+    from pixelloom.plans import q_generate
+
+    slots, problems, scales = run.slots, run.problems, []
+
+    def one_a_condition(spark, names=None, conditions=None):
+        return slots(spark, ["removal"], conditions).where("slot = 0").dropDuplicates(["visual_condition"])
+
+    def watched(grid, **options):
+        scales.append(options.get("scale", 1.0))
+        return problems(grid, **options)
+
+    monkeypatch.setattr(run, "slots", one_a_condition)
+    monkeypatch.setattr(run, "problems", watched)
+    monkeypatch.setattr(q_generate, "SCORED", 8)
+    got = q_generate.image_scores(spark, "").collect()
+    made = q_generate.generate_problems(spark, "").collect()
+    assert q_generate.generate_preservation(spark, "").count() == len({r["visual_condition"] for r in made}) == 8
+    assert len(got) == 3 * 8 == len({(r["model"], r["idx"]) for r in got}) and scales == [1.0] * 3
+    assert all(r["iou"] == 1 for r in got if r["model"] == "answer_oracle") and all(r["edit_pixels"] > 0 for r in got)

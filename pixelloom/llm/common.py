@@ -12,6 +12,7 @@ import atexit
 import ctypes
 import functools
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,10 +29,12 @@ _own_root: dict[int, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, else a folder of our own."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, else (local master only) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     key = id(spark.sparkContext)
     if key not in _own_root:
         folder = tempfile.mkdtemp(prefix="pixelloom-")

@@ -5,27 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from plain import hits_brute
 
 from pixelloom.llm import decontamination as d
 
 
-def brute(text, items, window=13):
-    words = d.words_of(text)
-    hit, found = set(), set()
-    for item, body in items:
-        ws = d.words_of(body)
-        if not ws:
-            continue
-        for k in range(max(1, len(ws) - window + 1)):
-            p = ws[k : k + window]
-            for i in range(len(words) - len(p) + 1):
-                if words[i : i + len(p)] == p:
-                    hit.update(range(i, i + len(p)))
-                    if item is not None:
-                        found.add(item)
-    return len(words), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(words)
-
-
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for n, k in ((1, 2), (30, 2), (200, 3), (300, 50)):
@@ -61,7 +45,7 @@ def test_scan_matches_brute_force(spark):
     assert len(got) == len(docs)
     texts = dict(docs)
     for r in got:
-        n, hit, found, bad = brute(texts[r["doc_id"]], items)
+        n, hit, found, bad = hits_brute(texts[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) == (n, hit, found, bad)
         assert r["n_items"] == len(found) and r["items_sha256"] == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest() == d.digest(found)
         assert sum(b - a for a, b in r["spans"]) == hit

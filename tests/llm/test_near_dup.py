@@ -3,42 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from plain import near_brute
 
 from pixelloom.llm import near_dup as nd
 
 
-def shingles(text, k):
-    ws = [w.decode() for w in (text or "").encode().lower().split()]
-    if not ws:
-        return frozenset()
-    return frozenset(tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1)))
-
-
-def brute(rows, k, percent):
-    """(number of shingles, component id) of each row, by comparing all pairs."""
-    sets = [shingles(t, k) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                root[find(i)] = find(j)
-    groups = {}
-    for i in range(len(rows)):
-        groups.setdefault(find(i), []).append(rows[i][0])
-    out = []
-    for i, (doc, _) in enumerate(rows):
-        ids = [x for x in groups[find(i)] if x is not None] if sets[i] else [doc]
-        out.append((doc, len(sets[i]), min(ids) if ids and ids[0] is not None or any(x is not None for x in ids) else None))
-    return sorted(out, key=str)
-
-
 def corpus(seed, n=260, size=90):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
@@ -62,7 +31,7 @@ def corpus(seed, n=260, size=90):
 def test_components_match_brute_force(spark, seed, shingle, percent):
     rows = corpus(seed)
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=shingle, percent=percent).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, shingle, percent)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == near_brute(rows, shingle, percent)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
 
 
@@ -74,7 +43,7 @@ def test_large_nodes_go_down_levels(spark, monkeypatch):
     rows = corpus(7, 200, 60)
     rows += [(10_000 + i, " ".join([f"shared{j}" for j in range(40)] + [f"tail{i % 9}", f"end{i}"])) for i in range(60)]
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85, small=4).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 3, 85)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == near_brute(rows, 3, 85)
 
 
 def test_recall_is_as_stated():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline as cp
 import pytest
+from plain import hits_brute, near_brute
 
 from pixelloom.llm import decontamination, quality
 from pixelloom.llm.common import stored
@@ -35,24 +36,16 @@ def test_quality(steps):
 
 
 def test_near_duplicates(steps):
-    import sys
-    from pathlib import Path
-
-    sys.path.insert(0, str(Path(__file__).parent))
-    from test_near_dup import brute
-
     rows = list(texts(steps[1]).items())
-    assert set(texts(steps[2])) == {i for i, _, c in brute(rows, 5, 80) if i == c}
+    assert set(texts(steps[2])) == {i for i, _, c in near_brute(rows, 5, 80) if i == c}
 
 
 def test_decontamination(steps, spark, sf_dir):
-    from test_decontamination import brute
-
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     kept = texts(steps[3])
     for i, t in texts(steps[2]).items():
         words = set(decontamination.words_of(t))
-        bad = brute(t, [x for x in items if words & set(decontamination.words_of(x[1]))])[3]
+        bad = hits_brute(t, [x for x in items if words & set(decontamination.words_of(x[1]))])[3]
         assert (i in kept) == (not bad)
 
 

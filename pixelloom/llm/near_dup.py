@@ -8,29 +8,32 @@ down the children named by randomly chosen coordinates and its token there: at t
 coordinate is chosen with probability 1 / (threshold x COORDS), below with ``SPREAD`` times that.
 Two sets at the threshold share a child of a common node with probability 1 - 1/e or more, so
 all trees together miss a link with probability below 1e-3 (``recall_at_threshold``); links
-between more similar sets are missed more rarely.
-
-Nodes of at most ``SMALL`` sets are compared exhaustively by sketch inside one task, which hands on
-not the pairs but a tree over each group of sets that may be similar.  The groups of all nodes are
-joined up, so a set that met its like in many trees is verified once: the full sets of a joined
-group come together in one task and are compared exactly, by sorted merges or, if many, by products of
-0/1 matrices; a group over ``CHUNK`` sets is cut into chunks and each two chunks are a task.
-
-A larger node is first compared with a few pivots: random ones, and those most like these, which are
-the middle of a group of copies.  Their links are contracted: a pair whose members are by then in one
-component isn't needed, since only components are asked for, and a node that is one component is
-done.  If few members (``STRAYS``) are outside the node's main component, these are compared with all
-members and the node is done; otherwise its members, less the pivots, go down a level.
-So no node or group emits its pairs, and every link that joins two components is found with the
-stated recall.
-
-"Compared": 4-bit sketches of the minwise tokens first (a pair at the threshold passes with
-probability over 0.9999), then the exact Jaccard test on the full sets of shingles.
+between more similar sets are missed more rarely.  Under the roots a token is known by its four
+bits of the sketch, which adds members to a child but never parts two that belong together.
+
+A node of at most ``TASK`` sets comes to one task, which walks the rest of its tree: nodes of at
+most ``LEAF`` sets are compared exhaustively, a node most of whose sets are like its first one is
+compared set by set, with sets that were reached before left out (``spread``), every other node
+goes down a level.  A larger node goes down levels as rows; one that stays large because its sets
+are alike is taken for one candidate group as it is.
+
+"Compared" is by 4-bit sketches of the minwise tokens (a pair at the threshold passes with
+probability over 0.9999).  A task hands on not the pairs that pass but one edge a set, to the least
+of those it is joined to.  The edges join sets up to candidate groups, and the full sets of a group
+come together in one task and are compared exactly (``linked``); two sets already in one component
+aren't compared again, since only components are asked for.
+
+A group over ``CHUNK`` sets or ``CHUNK_TOKENS`` shingles is cut by set size into bands, so that only
+equal and adjacent bands can hold a link, and the bands into chunks.  First every chunk is
+compared with itself and a few pivots of its band and the next; what is then still outside the
+group's main component is compared with all chunks of the bands around it.
 
 All state is in DataFrames; the driver sees counts only.  Defined cases: texts without words
 are linked with nothing; a text with fewer words than a shingle is one shingle; rows with the
 same doc_id are separate rows; a null doc_id can be linked but never names a component unless
-no linked row has an id (component_id is then null and the row is kept); empty tables work.
+no linked row has an id (component_id is then null and the row is kept); very long texts are sets
+like others, split by no limit; other columns of ``docs`` aren't read, so their names can't clash;
+empty tables work.
 """
 
 from __future__ import annotations
@@ -50,19 +53,30 @@ from .common import col, drop_stored, fresh, stored, tidied
 COORDS = 64
 TREES = 12
 SPREAD = 2.0
-SMALL = 4_096
-CHUNK = 1_024
-PIVOTS = 6
-STRAYS = 48
-#: Groups up to this size are compared pair by pair, larger ones by matrix products.
-PAIRWISE = 24
+#: Sets of a node that one task takes whole (40 bytes each).
+TASK = 16_384
+#: Sets of a node that are compared exhaustively.
+LEAF = 128
+#: Levels under the roots, in a task and before it.
+DEPTH = 4
+#: Sets and shingles (8 bytes each) that one task compares exactly at a time.
+CHUNK = 2_048
+CHUNK_TOKENS = 1 << 20
+PIVOTS = 4
+#: Edges that one task joins up at once (16 bytes each); more are contracted in rounds first.
+LOCAL_EDGES = 1 << 16
 SEED = 7_919
 CACHE_WORDS = 150_000
+#: Ids that are broadcast at most (16 bytes each) to pick rows out of the documents.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(SEED)
 _MULT = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_LOW = np.uint64(0x1111111111111111)
+WORDS = COORDS // 16
+SKETCH = [f"s{k}" for k in range(WORDS)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,6 +110,10 @@ class Shingler:
         return np.unique(s)
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def min_tokens(shingles: np.ndarray) -> np.ndarray:
     """One minwise token (32 bits) for each coordinate."""
     out = np.empty(COORDS, np.uint32)
@@ -105,38 +123,17 @@ def min_tokens(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """4 bits a coordinate, in COORDS / 16 longs."""
+    """4 bits a coordinate, in WORDS longs."""
     mixed = ((tokens.astype(np.uint64) * _M1) >> np.uint64(60)).reshape(-1, 16)
     return (mixed << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
 
 
-_SIG = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType(), False), T.StructField("cid", T.LongType()),
-    T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("sk", T.ArrayType(T.LongType())),
-])
-
-
-def signatures(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n (set size), cid (class: fingerprint of the set, null for the empty set), tokens, sketch."""
-
-    def run(batches):
-        make = Shingler(shingle)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                n, cid, sig, sk = [], [], [], []
-                for t in b.column(1).slice(at, 1000).to_pylist():
-                    s = make(t)
-                    n.append(len(s))
-                    if not len(s):
-                        cid.append(None), sig.append(None), sk.append(None)
-                        continue
-                    cid.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
-                    m = min_tokens(s)
-                    sig.append(m.view(np.int32))
-                    sk.append(sketch(m))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1000), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(sk, pa.list_(pa.int64()))], names=_SIG.names)
-
-    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).mapInArrow(tidied(run), _SIG)
+def matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of equal 4-bit fields of sketches (rows of WORDS unsigned longs)."""
+    x = a ^ b
+    y = x | (x >> np.uint64(1))
+    y = (y | (y >> np.uint64(2))) & _LOW
+    return COORDS - np.bitwise_count(y).sum(-1, dtype=np.int64)
 
 
 def _chosen(threshold: float, trees: int) -> list[tuple[int, int]]:
@@ -158,171 +155,263 @@ def recall_at_threshold(threshold: float, trees: int = TREES, depth: int = 3) ->
     return 1 - (1 - alive) ** trees
 
 
-def sketch_matches(a: Column, b: Column) -> Column:
-    """Number of equal 4-bit fields of two sketches."""
-    total = None
-    for k in range(COORDS // 16):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        y = y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        part = F.lit(16) - F.bit_count(y)
-        total = part if total is None else total + part
-    return total
-
-
 def least_matches(threshold: float) -> int:
     """Sketch matches below which a pair is given up: over 4 standard deviations under the mean."""
     p = threshold + (1 - threshold) / 16
     return math.floor(COORDS * p - 4.3 * math.sqrt(COORDS * p * (1 - p)))
 
 
-def _trees_of(adjacent, m: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest; ``adjacent(k)`` gives the neighbours of member k."""
-    left = np.ones(m, bool)
-    out = []
-    for seed in range(m):
-        if not left[seed]:
-            continue
-        left[seed] = False
-        front = [seed]
-        while front:
+def signatures(docs: DataFrame, shingle: int, threshold: float, trees: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, n (set size), cid (class: fingerprint of the set, null for the empty set), sketch s0.., root nodes k0..."""
+    roots = _chosen(threshold, trees)
+    tree, coordinate = (np.array(x, np.uint64) for x in zip(*roots))
+    salt = _mix(tree * _M3 + coordinate * _M1 + np.uint64(1))
+    names = ["doc_id", "n", "cid", *SKETCH, *(f"k{j}" for j in range(len(roots)))]
+    schema = T.StructType([T.StructField(c, T.LongType(), c != "n") for c in names])
+
+    def run(batches):
+        make = Shingler(shingle)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                texts = b.column(1).slice(at, 1000)
+                n, got = np.zeros(len(texts), np.int64), np.zeros((len(names) - 2, len(texts)), np.int64)
+                for row, t in enumerate(texts):
+                    s = make(t.as_py())
+                    n[row] = len(s)
+                    if len(s):
+                        m = min_tokens(s)
+                        got[0, row] = fingerprint(s)
+                        got[1 : 1 + WORDS, row] = sketch(m)
+                        got[1 + WORDS :, row] = _mix(m[coordinate.astype(np.int64)].astype(np.uint64) * _M2 + salt).view(np.int64)
+                empty = n == 0
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1000), pa.array(n), *(pa.array(x, mask=empty) for x in got)], names=names)
+
+    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).mapInArrow(tidied(run), schema)
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least one that the edges (a, b) join it to."""
+    at = np.arange(n)
+    while len(a):
+        x, y = at[a], at[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(at, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = at[at]
+            if np.array_equal(up, at):
+                break
+            at = up
+    return at
+
+
+def exhaustive(key: np.ndarray, s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of like sets within the nodes; rows of a node stand together."""
+    first, second = [], []
+    live, d = np.flatnonzero(key[:-1] == key[1:]), 1
+    while len(live):
+        ok = matches(s[live], s[live + d]) >= least
+        first.append(live[ok]), second.append(live[ok] + d)
+        d += 1
+        live = live[live + d < len(key)]
+        live = live[key[live] == key[live + d]]
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def spread(s: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the like sets among ``rows``: a set that was reached isn't compared again."""
+    first, second, left = [], [], rows
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
             k = front.pop()
-            new = adjacent(k)
-            new = new[left[new]]
-            left[new] = False
-            out += [(k, int(j)) for j in new]
+            ok = matches(s[left], s[k]) >= least
+            new, left = left[ok], left[~ok]
+            first.append(np.full(len(new), k)), second.append(new)
             front += new.tolist()
-    return out
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def walk(key: np.ndarray, s: np.ndarray, threshold: float, least: int, leaf: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (not all of them in alike nodes) that join all like sets of the nodes and of their trees."""
+    first, second = [], []
+    rows = np.arange(len(key))
+    limit = np.uint64(SPREAD / (threshold * COORDS) * (1 << 32))
+    coordinates = np.arange(COORDS, dtype=np.uint64)
+    for level in range(depth + 1):
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[begin, len(key)])
+        fits = np.repeat(size <= leaf, size)
+        a, b = exhaustive(key[fits], s[rows[fits]], least)
+        first.append(rows[fits][a]), second.append(rows[fits][b])
+        keys, members = [], []
+        for at, n in zip(begin[size > leaf], size[size > leaf]):
+            own, k = rows[at : at + n], np.uint64(key[at].astype(np.int64).view(np.uint64))
+            if level == depth or 2 * np.count_nonzero(matches(s[own], s[own[0]]) >= least) >= n:
+                a, b = spread(s, own, least)
+                first.append(a), second.append(b)
+                continue
+            down = _mix(k + (coordinates + np.uint64(1)) * _M1)
+            for i in np.flatnonzero((down >> np.uint64(32)) < limit):
+                field = (s[own, i // 16] >> np.uint64(4 * (i % 16))) & np.uint64(15)
+                keys.append(_mix(down[i] + field * _M3)), members.append(own)
+        if not keys:
+            break
+        key, rows = np.concatenate(keys).view(np.int64), np.concatenate(members)
+        order = np.argsort(key, kind="stable")
+        key, rows = key[order], rows[order]
+    return np.concatenate(first), np.concatenate(second)
 
 
 _EDGES = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
 
 
-def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    e = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], names=["a", "b"])
-
+def _edge_batch(a, b) -> pa.RecordBatch:
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-def _small_groups(nodes: DataFrame, least: int) -> DataFrame:
-    """Edges (a < b) of trees over the sets of a node that may be similar, by sketch.
 
-    Nodes (key, cid, sk) come to a task whole, at most SMALL rows each, one after the other; a
-    node's pairs are looked at row by row, never kept.
-    """
+def _node_edges(nodes: DataFrame, threshold: float, leaf: int) -> DataFrame:
+    """Edges (a < b) that join up the sets of each node (key, cid, sketch) that may be similar."""
+    least = least_matches(threshold)
 
     def run(batches):
-        key, ids, sks = None, [], []
-
-        def edges():
-            if len(ids) < 2:
-                return []
-            c = np.array(ids, np.int64)
-            s = np.array(sks, np.int64).view(np.uint64).reshape(len(ids), -1)
+        held = [np.zeros(0, np.int64)] * (2 + WORDS)
+        for b in batches_with_end(batches):
+            if b is not None:
+                held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
+            key = held[0]
+            # The last node may go on in the next batch.
+            end = len(key) if b is None else int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if not end:
+                continue
+            key, cid, s = key[:end], held[1][:end], np.stack(held[2:], 1)[:end].view(np.uint64)
+            held = [h[end:] for h in held]
+            shared = np.r_[False, key[1:] == key[:-1]]
+            shared[:-1] |= shared[1:]
+            key, cid, s = key[shared], cid[shared], s[shared]
+            x, y = walk(key, s, threshold, least, leaf)
+            root = joined(len(key), x, y)
+            moved = np.flatnonzero(root != np.arange(len(key)))
+            yield _edge_batch(cid[moved], cid[root[moved]])
+
+    dealt = nodes.select("key", "cid", *SKETCH).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(tidied(run), _EDGES).where("a <> b").distinct()
+
+
+def batches_with_end(batches):
+    """The batches, and then None."""
+    yield from batches
+    yield None
+
+
+def _few(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``rows``, to be broadcast if there are at most ``most``."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def sketch_matches(a: list[Column], b: list[Column]) -> Column:
+    """Number of equal 4-bit fields of two sketches."""
+    total = None
+    for x, y in zip(a, b):
+        x = x.bitwiseXOR(y)
+        y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        y = y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        part = F.lit(16) - F.bit_count(y)
+        total = part if total is None else total + part
+    return total
 
-            def like(k):
-                x = s ^ s[k]
-                y = x | (x >> np.uint64(1))
-                y = (y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111)
-                return np.flatnonzero(COORDS - np.bitwise_count(y).sum(1, dtype=np.int64) >= least)
 
-            return [(c[i], c[j]) for i, j in _trees_of(like, len(ids))]
+def _go_down(rows: DataFrame, threshold: float, level: int, last: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """What becomes of nodes that are too large for a task: edges of those that are alike, children of the others.
 
-        for b in batches:
-            out = []
-            for k, c, s in zip(*(b.column(x).to_pylist() for x in range(3))):
-                if k != key:
-                    out += edges()
-                    key, ids, sks = k, [], []
-                ids.append(c), sks.append(s)
-            if out:
-                yield _edge_batch(out)
-        yield _edge_batch(edges())
-
-    dealt = nodes.select("key", "cid", "sk").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(tidied(run), _EDGES).distinct()
-
-
-def linked(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links between sets of different roots."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if m <= PAIRWISE:
-        near = np.zeros((m, m), bool)
-        for i in range(m):
-            for j in range(i):
-                if roots[i] != roots[j] and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    near[i, j] = near[j, i] = 100 * both >= percent * (sizes[i] + sizes[j] - both)
-    else:
-        _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(m), sizes)
-        shared = n[at] > 1  # a shingle of one set alone adds to no intersection
-        place = np.cumsum(n > 1) - 1
-        row, column = row[shared], place[at[shared]]
-        both = np.zeros((m, m), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2_048):
-            s, e = np.searchsorted(column, (lo, lo + 2_048))
-            x = np.zeros((m, 2_048), np.float32)
-            x[row[s:e], column[s:e] - lo] = 1
-            both += x @ x.T
-        # Whole numbers under 2^24 are exact in float32: 100 x both + percent x both >= percent x (sum of sizes).
-        near = np.empty((m, m), bool)
-        for k in range(m):
-            near[k] = (100 + percent) * both[k].astype(np.int64) >= percent * (sizes[k] + sizes)
-            near[k] &= roots != roots[k]
-    return _trees_of(lambda k: np.flatnonzero(near[k]), m)
-
-
-def _group_links(edges: DataFrame, roots: DataFrame | None, texts: _Texts, percent: int, name: str) -> DataFrame:
-    """Exact links within the groups that ``edges`` join up, as stored forests (a < b)."""
-    edges = stored(edges, f"{name}-edges")
-    if not edges.head(1):
-        return edges
-    groups = components(edges, f"{name}-groups").select(F.col("node").alias("cid"), F.col("root").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    members = _rooted(groups.join(sizes, "grp"), roots)
-    own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
-    # One chunk: the group is a task.  More: a member goes to the task of its chunk with each other one.
-    other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("own")))
-    t = texts.of(groups.select("cid"))
-    rows = members.withColumn("own", own).withColumn("other", F.explode(other)).join(t, "cid")
-    rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "root", "text")
-    shingle = texts.shingle
+    Alike: at least half of a node's sets are like one of three random ones.  At the last level every
+    node is one group.  A child is a coordinate, chosen at random in the node, and a field there.
+    """
+    least = least_matches(threshold)
+    pick = lambda k: F.min(F.struct(F.xxhash64(F.lit(level * 8 + k), "cid"), *SKETCH)).alias(f"p{k}")
+    pivots = rows.groupBy("key").agg(F.min("cid").alias("low"), *map(pick, range(3)))
+    like = F.lit(False)
+    for k in range(3):
+        like = like | (sketch_matches([F.col(c) for c in SKETCH], [F.col(f"p{k}")[c] for c in SKETCH]) >= least)
+    share = rows.join(_few(pivots), "key").groupBy("key", "low").agg(F.avg(like.cast("double")).alias("share"))
+    nodes = stored(share.select("key", "low", ((F.col("share") >= 0.5) | F.lit(last)).alias("whole")), f"{name}-nodes")
+    judged = rows.join(_few(nodes), "key")
+    edges = stored(judged.where("whole AND cid <> low").select(F.col("low").alias("a"), F.col("cid").alias("b")), f"{name}-edges")
+    rate = int(SPREAD / (threshold * COORDS) * (1 << 20))
+    field = f"shiftrightunsigned(get(array({', '.join(SKETCH)}), cast(i div 16 as int)), cast(4 * (i % 16) as int)) & 15L"
+    down = f"transform(filter(sequence(0, {COORDS - 1}), i -> pmod(xxhash64({level}, key, i), {1 << 20}) < {rate}), i -> xxhash64(key, i, {field}))"
+    below = stored(judged.where("NOT whole").select(F.explode(F.expr(down)).alias("key"), "cid", *SKETCH), f"{name}-below")
+    drop_stored(nodes)
+    return edges, below
+
+
+def candidate_edges(classes: DataFrame, keys: list[str], threshold: float, task: int, leaf: int) -> DataFrame:
+    """Edges (a < b) that join up classes with all classes that may be similar, stored."""
+    nodes = classes.select("cid", *SKETCH, F.explode(F.array(*keys)).alias("key"))
+    found, made, level = [], [], 0
+    while True:
+        large = stored(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > task).select("key"), f"near-large{level}")
+        made.append(large)
+        if not large.head(1):
+            found.append(_node_edges(nodes, threshold, leaf))
+            break
+        side = _few(large)
+        found.append(_node_edges(nodes.join(side, "key", "left_anti"), threshold, leaf))
+        whole, nodes = _go_down(nodes.join(side, "key"), threshold, level, level == DEPTH, f"near-level{level}")
+        found.append(whole), made.extend((whole, nodes))
+        level += 1
+    out = stored(_all(found).distinct() if len(found) > 1 else found[0], "near-edges")
+    drop_stored(*made)
+    return out
 
-    def run(batches):
-        make = Shingler(shingle)
-        key, ids, own_roots, sets = None, [], [], []
 
-        def links():
-            if len(ids) < 2:
-                return []
-            return [(ids[i], ids[j]) for i, j in linked(sets, np.array(own_roots, np.int64), percent)]
+def linked(sets: list[np.ndarray], roots: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Exact links that join the roots of all linked sets; sets of one root aren't compared.
 
-        for b in batches:
-            out = []
-            for n, k in enumerate(zip(*(b.column(x).to_pylist() for x in range(3)))):
-                if k != key:
-                    out += links()
-                    key, ids, own_roots, sets = k, [], [], []
-                ids.append(b.column(3)[n].as_py()), own_roots.append(b.column(4)[n].as_py()), sets.append(make(b.column(5)[n].as_py()))
-            if out:
-                yield _edge_batch(out)
-        yield _edge_batch(links())
-
-    dealt = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    out = stored(dealt.mapInArrow(tidied(run), _EDGES), name)
-    drop_stored(edges, groups, t)
+    ``side``: a set is compared only with sets of which one of the two has it.
+    """
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if m == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True)) if roots[0] != roots[1] and 100 * sizes.min() >= percent * sizes.max() else 0
+        return [(0, 1)] if both and 100 * both >= percent * (int(sizes.sum()) - both) else []
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(m), sizes)
+    order = np.argsort(token, kind="stable")
+    rows_of = row[order]  # sets by token
+    first = np.searchsorted(token[order], np.arange(int(token.max(initial=-1)) + 2))
+    begin = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(first), bool)
+    at = np.unique(roots, return_inverse=True)[1]
+    out = []
+    for k in range(m - 1):
+        other = np.arange(k + 1, m)
+        ok = (at[other] != at[k]) & (100 * np.minimum(sizes[other], sizes[k]) >= percent * np.maximum(sizes[other], sizes[k]))
+        if side is not None and not side[k]:
+            ok &= side[other]
+        other = other[ok]
+        if not len(other):
+            continue
+        own = token[begin[k] : begin[k] + sizes[k]]
+        a, n = first[own], first[own + 1] - first[own]
+        if int(sizes[other].sum()) < int(n.sum()):  # few sets are open: look their tokens up
+            mark[own] = True
+            n = sizes[other]
+            flat = np.arange(int(n.sum())) + np.repeat(begin[other] - (np.cumsum(n) - n), n)
+            both = np.add.reduceat(mark[token[flat]].astype(np.int64), np.cumsum(n) - n)
+            mark[own] = False
+        else:  # else the sets that hold this one's tokens
+            both = np.bincount(rows_of[np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)], minlength=m)[other]
+        for j in other[100 * both >= percent * (sizes[k] + sizes[other] - both)]:
+            if at[j] != at[k]:
+                out.append((k, int(j)))
+                at[at == at[j]] = at[k]
     return out
 
 
-#: Class ids are broadcast up to this number (16 bytes each) to pick texts out of the documents.
-BROADCAST_IDS = 1_000_000
-
-
-class _Texts:
-    """Texts of classes, picked out of the documents when they are needed."""
+class _Sets:
+    """Hashed sets of classes, made anew from the documents when they are needed."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int, unique: bool):
         self.body = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
@@ -330,68 +419,129 @@ class _Texts:
         self.shingle, self.unique = shingle, unique
 
     def of(self, cids: DataFrame) -> DataFrame:
-        """cid, text for ``cids`` (cid), stored.
+        """cid, body (the set's hashes) for ``cids``, stored.
 
         Rows come by doc_id; where an id isn't unique, only a row whose set is the class's counts.
         """
-        m = self.ids.join(cids, "cid", "left_semi")
-        if m.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-            m = F.broadcast(m)
-        rows = self.body.join(m, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("cid", "text")
-        if not self.unique:
-            rows = rows.mapInArrow(_same_class(self.shingle), "cid long, text string").dropDuplicates(["cid"])
-        return stored(rows, "near-texts")
+        shingle = self.shingle
 
+        def run(batches):
+            make = Shingler(shingle)
+            for b in batches:
+                for at in range(0, b.num_rows, 500):
+                    cid, body = [], []
+                    for c, t in zip(b.column(0).slice(at, 500).to_pylist(), b.column(1).slice(at, 500)):
+                        s = make(t.as_py())
+                        if fingerprint(s) == c:
+                            cid.append(c), body.append(s.tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(body, pa.binary())], names=["cid", "body"])
 
-def _same_class(shingle: int):
-    """Keeps the rows (cid, text) whose text has the class's set."""
+        wanted = _few(self.ids.join(cids, "cid", "left_semi"))
+        rows = self.body.join(wanted, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("cid", "text").mapInArrow(tidied(run), "cid long, body binary")
+        return stored(rows if self.unique else rows.dropDuplicates(["cid"]), "near-sets")
 
-    def run(batches):
-        make = Shingler(shingle)
-        for b in batches:
-            ok = [xxhash.xxh64_intdigest(make(t.as_py()).tobytes()) - (1 << 63) == c for c, t in zip(b.column(0).to_pylist(), b.column(1))]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["cid", "text"])
 
-    return run
+def _compared(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Exact links within each task, from rows (key..., cid, root, side, body); a set that comes twice counts once."""
+    names = [f"t{k}" for k in range(len(key))]
 
+    def run(batches):
+        now, own = None, {}
 
-def _verified(pairs: DataFrame, texts: _Texts, percent: int, name: str) -> DataFrame:
-    """Pairs (a < b) whose full sets meet the threshold, stored."""
-    schema = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
-    shingle = texts.shingle
+        def links():
+            if len(own) < 2:
+                return [], []
+            ids = sorted(own)
+            got = linked([np.frombuffer(own[c][2], np.uint64) for c in ids], np.array([own[c][0] for c in ids], np.int64), percent, np.array([own[c][1] for c in ids]))
+            return [ids[i] for i, _ in got], [ids[j] for _, j in got]
 
-    def run(batches):
-        make = Shingler(shingle)
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b, ok = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for k in range(len(a)):
-                sets = []
-                for c, at in ((a[k], 2), (b[k], 3)):
-                    s = held.get(c)
-                    if s is None:
-                        if len(held) >= 256:
-                            held.clear()
-                        s = held[c] = make(batch.column(at)[k].as_py())
-                    sets.append(s)
-                x, y = sets
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    pairs = stored(pairs, f"{name}-pairs")
-    if not pairs.head(1):
-        return pairs
-    t = texts.of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-    one = pairs.join(t.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(t.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-    out = stored(both.select("a", "b", "ta", "tb").mapInArrow(tidied(run), schema), name)
-    drop_stored(pairs, t)
+        for b in batches:
+            a, z = [], []
+            keys = zip(*(b.column(x).to_pylist() for x in range(len(names))))
+            cid, root, side = (b.column(len(names) + x).to_pylist() for x in range(3))
+            for n, k in enumerate(keys):
+                if k != now:
+                    x, y = links()
+                    a += x
+                    z += y
+                    now, own = k, {}
+                if cid[n] not in own or side[n]:
+                    own[cid[n]] = (root[n], side[n], b.column(len(names) + 3)[n].as_py())
+            if a:
+                yield _edge_batch(a, z)
+        yield _edge_batch(*links())
+
+    dealt = rows.select(*(F.col(k).alias(n) for k, n in zip(key, names)), "cid", "root", "side", "body").repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(tidied(run), _EDGES)
+
+
+def _parts(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """How many chunks the rows of each ``by`` make."""
+    n = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("n") / CHUNK_TOKENS)).cast("int")
+    return rows.groupBy(*by).agg(n.alias(name))
+
+
+def _large_group_links(rows: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Links within groups of more than one chunk; ``rows``: grp, cid, n.
+
+    Sets of which one has under ``percent`` of the other's size can't be linked, so a set meets those of
+    its own band of sizes and of the two beside it.
+    """
+    band = F.floor(F.ln("n") / -math.log(percent / 100)).cast("int")
+    rows = rows.withColumn("band", band)
+    parts = stored(_parts(rows, ["grp", "band"], "parts"), "near-parts")
+    part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+    rows = stored(rows.join(parts, ["grp", "band"]).withColumn("part", part), "near-members")
+    # Each chunk with pivots of its band and of the next.
+    pick = [F.min(F.struct(F.xxhash64(F.lit(k), "cid").alias("h"), F.col("cid").alias("cid"))).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = rows.groupBy("grp", "band").agg(*pick).select("grp", "band", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}")["cid"] for k in range(PIVOTS))))).alias("cid"))
+    pivots = pivots.select("grp", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "cid").join(parts, ["grp", "band"])
+    pivots = pivots.select("grp", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cid")
+    near = rows.select("grp", "band", "part", "cid", F.lit(False).alias("side")).union(pivots.select("grp", "band", "part", "cid", F.lit(True)))
+    near = near.withColumn("root", F.col("cid")).withColumn("side", F.lit(True)).join(sets, "cid")
+    first = stored(_compared(near, ["grp", "band", "part"], percent), "near-chunks")
+    # What is outside the main component meets all chunks around it.
+    own = stored(_rooted(rows, components(first, "near-chunks-cc")), "near-rooted")
+    main = own.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "root")).alias("m")).select("grp", F.col("m.root").alias("main"))
+    stray = own.join(_few(main), "grp").where("root <> main").select("grp", "band", "cid", "n", "root")
+    many = _parts(stray, ["grp", "band"], "strays")
+    stray = stored(stray.join(many, ["grp", "band"]).withColumn("spart", F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("strays")).cast("int")), "near-strays")
+    tasks = stray.select("grp", F.col("band").alias("sband"), "spart").distinct().select("grp", "sband", "spart", F.explode(F.array(*(F.col("sband") + d for d in (-1, 0, 1)))).alias("band"))
+    tasks = stored(tasks.join(parts, ["grp", "band"]).select("grp", "sband", "spart", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "near-tasks")
+    found = [first]
+    if tasks.head(1):
+        key = ["grp", "sband", "spart", "band", "part"]
+        theirs = own.join(tasks, ["grp", "band", "part"]).select(*key, "cid", "root", F.lit(False).alias("side"))
+        ours = stray.select("grp", F.col("band").alias("sband"), "spart", "cid", "root").join(tasks, ["grp", "sband", "spart"]).select(*key, "cid", "root", F.lit(True).alias("side"))
+        found.append(stored(_compared(theirs.union(ours).join(sets, "cid"), key, percent), "near-strays-links"))
+    drop_stored(parts, rows, own, stray, tasks)
+    return found
+
+
+def links(sigs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, doc_id: str, text: str, task: int = TASK, leaf: int = LEAF) -> DataFrame:
+    """Verified links (a, b) between classes, stored: enough of them to join every component."""
+    threshold = percent / 100
+    keys = [c for c in sigs.columns if c[0] == "k"]
+    classes = sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", *SKETCH, *keys)))
+    classes = stored(classes, "near-classes")
+    edges = candidate_edges(classes, keys, threshold, task, leaf)
+    if not edges.head(1):
+        return edges
+    unique = not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1)
+    groups = components(edges, "near-groups").select(F.col("node").alias("cid"), F.col("root").alias("grp"))
+    rows = groups.join(classes.select("cid", "n"), "cid")
+    rows = stored(rows.join(_parts(rows, ["grp"], "chunks"), "grp"), "near-rows")
+    sets = _Sets(docs, classes, doc_id, text, shingle, unique).of(groups.select("cid"))
+    small = rows.where("chunks = 1").select("grp", "cid", F.col("cid").alias("root"), F.lit(True).alias("side")).join(sets, "cid")
+    found = [stored(_compared(small, ["grp"], percent), "near-small")]
+    large = rows.where("chunks > 1").select("grp", "cid", "n")
+    if large.head(1):
+        found += _large_group_links(large, sets, percent)
+    out = found[0]
+    if len(found) > 1:
+        out = stored(_all(found), "near-links")
+        drop_stored(*found)
+    drop_stored(classes, edges, groups, rows, sets)
     return out
 
 
@@ -399,143 +549,46 @@ def components(edges: DataFrame, name: str = "component") -> DataFrame:
     """node, root for every node of ``edges`` (a, b): equal for nodes that are joined; stored.
 
     Contraction: each node goes to the least of itself and its neighbours, and on to where that one
-    went; then edges are redrawn between what is left.  Every round at least halves the nodes that
-    have edges, and its tables are stored, so later rounds work on ever fewer rows.
+    went; then edges are redrawn between what is left.  Ids are fingerprints, so least ones are random
+    ones and every round leaves a fraction of the nodes.  What is left after rounds of
+    stored tables, at most LOCAL_EDGES edges, one task joins up.
     """
     left = stored(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
     steps: list[DataFrame] = []
-    while True:
-        turn = len(steps)
+    while left.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
         ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        first = stored(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), f"{name}-first{turn}")
+        first = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
         jump = first.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        step = stored(first.join(jump, "root").select("node", F.col("far").alias("root")), f"{name}-step{turn}")
-        steps.append(step)
+        steps.append(step := stored(first.join(jump, "root").select("node", F.col("far").alias("root")), f"{name}-step"))
         of_a, of_b = (step.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
         moved = left.join(of_a, "a").join(of_b, "b").where("ra <> rb")
-        rest = stored(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-left{turn}")
-        drop_stored(left, first)
+        rest = stored(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-left")
+        drop_stored(left)
         left = rest
-        if not left.head(1):
-            break
-    out = steps[0]
-    for step in steps[1:]:
-        on = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        out = out.join(on, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
-    drop_stored(left)
-    if len(steps) > 1:
-        out = stored(out, name)
-        drop_stored(*steps)
-    return out
-
-
-def _with_pivots(nodes: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
-    """Pairs of each member with the chosen members of its node that pass the sketch test.
-
-    ``chosen``: key, picks (array of cid and sk, bounded).  One joined row per member; only
-    passing pairs are made into rows.
-    """
-    joined = nodes.join(chosen, "key")
-    passing = F.filter("picks", lambda p: (p["cid"] != F.col("cid")) & (sketch_matches(p["sk"], F.col("sk")) >= least))
-    pairs = joined.select("cid", F.explode(F.transform(passing, lambda p: p["cid"])).alias("other"))
-    return pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
-
-
-def _pivots(large: DataFrame, level: int) -> DataFrame:
-    """key, picks: random members of each node, and the members most like these.
-
-    The latter are one from each of PIVOTS hash groups, so all are plain partial aggregates.
-    """
-    pick = F.struct("cid", "sk")
-    chosen = large.groupBy("key").agg(*(F.min_by(pick, F.xxhash64(F.lit(level * 100 + k), "cid", "key")).alias(f"p{k}") for k in range(PIVOTS)))
-    random_ones = stored(chosen.select("key", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("picks")), f"near-random{level}")
-    like = F.aggregate("picks", F.lit(0), lambda acc, p: acc + sketch_matches(p["sk"], F.col("sk")))
-    scored = large.select("key", "cid", "sk").join(random_ones, "key").select("key", "cid", "sk", like.alias("like"), F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)).alias("part"))
-    middle = scored.groupBy("key").agg(*(F.max_by(pick, F.when(F.col("part") == k, F.struct("like", "cid"))).alias(f"m{k}") for k in range(PIVOTS)))
-    middle = middle.select("key", F.array_compact(F.array(*(f"m{k}" for k in range(PIVOTS)))).alias("middle"))
-    out = stored(random_ones.join(middle, "key").select("key", F.array_distinct(F.concat("picks", "middle")).alias("picks")), f"near-pivots{level}")
-    drop_stored(random_ones)
-    return out
 
-
-def links(sigs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, doc_id: str, text: str, trees: int = TREES, small: int = SMALL) -> DataFrame | None:
-    """Verified links (a, b) between classes; None if no two classes meet in any node."""
-    threshold = percent / 100
-    least = least_matches(threshold)
-    classes = sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(
-        F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sk").alias("sk")
-    )
-    classes = stored(classes, "near-classes")
-    unique = not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1)
-    texts = _Texts(docs, classes, doc_id, text, shingle, unique)
-    roots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in _chosen(threshold, trees)))
-    nodes = classes.select("cid", "sk", F.explode(F.transform(roots, lambda r: F.xxhash64(r["t"], r["i"], F.get(F.col("sig"), r["i"])))).alias("key"))
-
-    level, found, roots_now = 0, [], None
-    while True:
-        level += 1
-        sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = stored(nodes.join(sizes, "key"), f"near-level{level}")
-        if not shared.head(1):
-            drop_stored(shared)
-            break
-        large = shared.where(F.col("size") > small)
-        more = bool(large.head(1))
-        if more:
-            large = stored(large, f"near-large{level}")
-            pivots = _pivots(large, level)
-            found.append(_verified(_apart(_with_pivots(large, pivots, least), roots_now), texts, percent, f"near-links{level}"))
-            drop_stored(*([roots_now] if roots_now is not None else []))
-            roots_now = components(_all(found), f"near-cc{level}")
-        fits = _small_groups(shared.where(F.col("size") <= small), least)
-        found.append(_group_links(fits, roots_now, texts, percent, f"near-more{level}"))
-        if not more:
-            drop_stored(shared)
-            break
-
-        rest = large.join(pivots.select("key", F.transform("picks", lambda p: p["cid"]).alias("pivot_ids")), "key")
-        rest = _rooted(rest, roots_now).select("key", "cid", "sk", "root", F.array_contains("pivot_ids", F.col("cid")).alias("is_pivot"))
-        rest = stored(rest, f"near-rest{level}")
-        # Per node: its main component, and how many members outside it are still to be compared.
-        per = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("is_pivot")).alias("open"))
-        main = per.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-        outside = per.join(main.where("roots > 1"), "key").where("root <> main").groupBy("key", "main").agg(F.sum("open").alias("strays"))
-        state = stored(outside.where("strays > 0"), f"near-state{level}")
-        few = state.where(F.col("strays") <= STRAYS)
-        lone = rest.join(few.select("key", "main"), "key").where((F.col("root") != F.col("main")) & ~F.col("is_pivot"))
-        picks = lone.groupBy("key").agg(F.collect_list(F.struct("cid", "sk")).alias("picks"))  # at most STRAYS
-        found.append(_verified(_apart(_with_pivots(rest.select("key", "cid", "sk"), picks, least), roots_now), texts, percent, f"near-strays{level}"))
-        many = rest.join(state.where(F.col("strays") > STRAYS).select("key"), "key", "left_semi").where(~F.col("is_pivot"))
-        rate = int(SPREAD / (threshold * COORDS) * (1 << 20))
-        down = many.join(classes.select("cid", "sig"), "cid")
-        picked = F.filter(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda i: F.pmod(F.xxhash64(F.lit(level), F.col("key"), i), F.lit(1 << 20)) < rate)
-        below = stored(down.select("cid", "sk", F.explode(F.transform(picked, lambda i: F.xxhash64("key", i, F.get(F.col("sig"), i)))).alias("key")), f"near-nodes{level}")
-        drop_stored(nodes, shared, large, pivots, rest, state)
-        nodes = below
-    if not found:
-        return None
-    out = stored(_all(found).distinct(), "near-links")
-    drop_stored(nodes, *found)
+    def settle(batches):
+        a, b = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *((r.column(0).to_numpy(), r.column(1).to_numpy()) for r in batches)))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[joined(len(nodes), at[: len(a)], at[len(a) :])])], names=["node", "root"])
+
+    out = last = left.coalesce(1).mapInArrow(settle, "node long, root long")
+    if steps:
+        steps.append(stored(last, f"{name}-step"))
+        out = steps[0]
+        for step in steps[1:]:
+            on = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            out = out.join(on, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    out = stored(out, name)
+    drop_stored(left, *steps)
     return out
 
 
-def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """``nodes`` with the component of each class so far, as ``root``."""
-    if roots is None:
-        return nodes.withColumn("root", F.col("cid"))
     r = roots.select(F.col("node").alias("cid"), "root")
     return nodes.join(r, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs whose members aren't known to be in one component."""
-    if roots is None:
-        return pairs
-    a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-    known = pairs.join(a, "a", "left").join(b, "b", "left")
-    return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0].select("a", "b")
     for t in tables[1:]:
@@ -543,21 +596,21 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, task: int = TASK, leaf: int = LEAF) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, cid (class of equal sets), component_id, kept.
 
     Linked: 100 x intersection >= ``percent`` x union.  component_id is the smallest doc_id of
     the component.
     """
-    sigs = stored(signatures(docs, shingle, doc_id, text), "near-sigs")
-    found = links(sigs, docs, shingle=shingle, percent=percent, doc_id=doc_id, text=text, trees=trees, small=small)
-    per_class = sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least_id"))
-    if found is not None:
-        own = _rooted(per_class, components(found, "near-final"))
-        least = own.groupBy("root").agg(F.min("least_id").alias("low"))
-        per_class = own.join(least, "root").select("cid", F.col("low").alias("least_id"))
+    sigs = stored(signatures(docs, shingle, percent / 100, trees, doc_id, text), "near-sigs")
+    found = links(sigs, docs, shingle=shingle, percent=percent, doc_id=doc_id, text=text, task=task, leaf=leaf)
+    roots = components(found, "near-final")
+    per_class = _rooted(sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least_id")), roots)
+    least = per_class.groupBy("root").agg(F.min("least_id").alias("low"))
+    per_class = per_class.join(least, "root").select("cid", F.col("low").alias("least_id"))
     rows = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(per_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
+    drop_stored(found)
     return rows.select("doc_id", "n_shingles", "cid", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
@@ -570,9 +623,7 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id
     flag = fresh(docs, "_gone_id")
     ids = stored(found.groupBy(F.col("doc_id").alias(flag)).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows")), "near-kept")
     # The ids that go are fewer than those that stay; while they are few the texts aren't moved.
-    gone = ids.where("NOT kept").select(flag)
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    gone = _few(ids.where("NOT kept").select(flag))
     out = docs.join(gone, col(docs, doc_id).cast("long").eqNullSafe(F.col(flag)), "left_anti")
     if ids.where("rows > 1").head(1):  # ids that aren't unique: the one case that costs a shuffle of texts
         out = out.dropDuplicates([doc_id, text])

@@ -2,8 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
-from plain import near_brute
+from plain import near_brute, shingles
 
 from pixelloom.llm import near_dup as nd
 
@@ -36,16 +37,36 @@ def test_components_match_brute_force(spark, seed, shingle, percent):
 
 
 def test_large_nodes_go_down_levels(spark, monkeypatch):
-    """Small limits, so pivots, strays and deeper levels all have work."""
+    """Small limits, so levels of rows, levels in a task, chunks, bands and strays all have work."""
     monkeypatch.setattr(nd, "CHUNK", 3)
-    monkeypatch.setattr(nd, "PAIRWISE", 4)
-    monkeypatch.setattr(nd, "STRAYS", 2)
+    monkeypatch.setattr(nd, "PIVOTS", 1)
+    monkeypatch.setattr(nd, "LOCAL_EDGES", 5)
     rows = corpus(7, 200, 60)
     rows += [(10_000 + i, " ".join([f"shared{j}" for j in range(40)] + [f"tail{i % 9}", f"end{i}"])) for i in range(60)]
-    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85, small=4).collect()
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85, task=12, leaf=3).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == near_brute(rows, 3, 85)
 
 
+def test_linked_joins_what_brute_force_joins():
+    rng = random.Random(3)
+    for trial in range(30):
+        base = [np.array(rng.sample(range(400), 60), np.uint64) for _ in range(3)]
+        sets = []
+        for _ in range(rng.randint(2, 40)):
+            s = set(rng.choice(base).tolist())
+            s = [x for x in s if rng.random() > 0.06] + [rng.randrange(400, 2_000) for _ in range(rng.randint(0, 5))]
+            sets.append(np.unique(np.array(s, np.uint64)))
+        m = len(sets)
+        side = np.array([rng.random() < 0.5 for _ in range(m)]) if trial % 2 else None
+        pairs = [(i, j) for i in range(m) for j in range(i) if side is None or side[i] or side[j]]
+        both = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in pairs}
+        want = [p for p in pairs if 100 * both[p] >= 80 * (len(sets[p[0]]) + len(sets[p[1]]) - both[p])]
+        got = nd.linked(sets, np.arange(m), 80, side)
+        assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in want}
+        at = lambda e: nd.joined(m, np.array([p[0] for p in e], int), np.array([p[1] for p in e], int)).tolist()
+        assert at(got) == at(want)
+
+
 def test_recall_is_as_stated():
     assert nd.recall_at_threshold(0.8) > 0.999 and nd.recall_at_threshold(0.85, depth=2) > 0.999
 
@@ -63,3 +84,31 @@ def test_deduplicated(docs, none):
     assert ids.count(1) == 1 and 2 not in ids and 3 not in ids and 11 not in ids, "copies, a near copy, and the text in capitals go"
     assert {4, 5, 6, 9, 10, 12, 13, 14} <= set(ids) and ids.count(None) == 2 and 7 in ids and 8 not in ids
     assert nd.deduplicated(none).count() == 0
+
+
+def test_recall_of_exact_links_on_many_rows(spark):
+    """50,000 texts, every fourth with an edited copy; passages that thousands share make root nodes go down two levels and more."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5_000)]
+    passages = [[rng.choice(words) for _ in range(40)] for _ in range(4)]
+    rows, pairs = [], []
+    while len(rows) < 50_000:
+        base = [rng.choice(words) for _ in range(40)]
+        if rng.random() < 0.5:
+            base[:0] = rng.choice(passages)
+        rows.append((len(rows), " ".join(base)))
+        if len(rows) % 4 == 0:
+            copy = list(base)
+            for _ in range(1 + (len(base) > 40)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            pairs.append((len(rows) - 1, len(rows)))
+            rows.append((len(rows), " ".join(copy)))
+    texts = dict(rows)
+    sets = {i: shingles(texts[i], 3) for p in pairs for i in p}
+    linked = [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert len(linked) > 5_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    root = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(docs, shingle=3, percent=85, task=2_000, leaf=16).collect()}
+    recall = sum(root[i] == root[j] for i, j in linked) / len(linked)
+    print(f"recall of {len(linked)} exact links: {recall:.5f}")
+    assert recall >= 0.999

@@ -108,7 +108,7 @@ def test_recall_of_exact_links_on_many_rows(spark):
     linked = [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
     assert len(linked) > 5_000
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    root = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(docs, shingle=3, percent=85, task=2_000, leaf=16).collect()}
+    root = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(docs, shingle=3, percent=85, task=8_000, leaf=16).collect()}
     recall = sum(root[i] == root[j] for i, j in linked) / len(linked)
     print(f"recall of {len(linked)} exact links: {recall:.5f}")
     assert recall >= 0.999

@@ -10,14 +10,16 @@ A stretch of text between two words foreign to every phrase can hold a phrase on
 long as the shortest one; shorter stretches are left out of the index, which loses nothing.
 
 Test phrases: windows of ``WINDOW`` consecutive words of each item; an item of fewer words, but
-not none, is one phrase.  The benchmark is broadcast: its size is checked against
-``MAX_BENCHMARK_BYTES``.  The distinct phrases are split into blocks of at most
-``BLOCK_BYTES``, so a worker holds a bounded share of them at a time; for each block the shard
-is indexed and searched, and a shard's spans and items are merged over the blocks.
+not none, is one phrase.  Items are read one by one and split into blocks of at most
+``BLOCK_BYTES`` of phrases.  The driver makes a block's symbols once and broadcasts its arrays; a
+worker holds one block at a time and searches all shards of a batch for it, so a benchmark of any
+size is scanned whole.  A shard's spans and items are merged over the blocks.
 
 Words: A-Z lower-cased, runs of anything but ASCII other than digits and letters.
 Defined cases: null or wordless texts have no words, no hits, and are clean; null and wordless
-items give no phrase; repeated documents and items are judged one by one; empty tables work.
+items give no phrase; repeated documents and items are judged one by one, so ties don't arise; a
+very long text is a shard of its own; empty tables work; a column that bears the name of an
+output column (names are compared without case) is replaced by it.
 """
 
 from __future__ import annotations
@@ -34,12 +36,10 @@ from pyspark.sql import types as T
 from .common import col, fresh, tidied
 
 WINDOW = 13
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 17
 #: Suffix positions that are divisible by this are kept.
 SAMPLE = 8
 BLOCK_BYTES = 64 << 20
-#: Texts of all items together; a larger benchmark has to be scanned in parts.
-MAX_BENCHMARK_BYTES = 512 << 20
 #: A document is contaminated if hit words are at least one in so many.
 MIN_SHARE = 20
 
@@ -168,26 +168,48 @@ class FMIndex:
 
 
 class Phrases:
-    """A block of distinct test phrases: symbols of its words, and the items each belongs to."""
+    """A block of distinct test phrases: symbols of its words, and the items each belongs to.
+
+    Travels as arrays and one list of words; a worker makes the table of symbols when it first needs it.
+    """
 
     def __init__(self, phrases: dict[tuple[bytes, ...], list[int]]):
-        vocabulary = sorted({w for p in phrases for w in p})
-        #: 0 ends the text, 1 stands between stretches.
-        self.symbol = {w: k + 2 for k, w in enumerate(vocabulary)}
-        self.alphabet = len(vocabulary) + 2
+        self.vocabulary = sorted({w for p in phrases for w in p})
+        self.symbols: dict[bytes, int] | None = None
+        symbol = self.symbol
+        self.alphabet = len(self.vocabulary) + 2
         self.lengths = np.array([len(p) for p in phrases], np.int64)
         width = int(self.lengths.max(initial=1))
-        self.grid = np.zeros((len(phrases), width), np.int64)
+        self.grid = np.zeros((len(phrases), width), np.int32)
         for k, p in enumerate(phrases):
-            self.grid[k, width - len(p) :] = [self.symbol[w] for w in p]
-        self.items = [np.array([x for x in i if x is not None], np.int64) for i in phrases.values()]
+            self.grid[k, width - len(p) :] = [symbol[w] for w in p]
+        items = [[x for x in i if x is not None] for i in phrases.values()]
+        self.item_ids = np.array([x for i in items for x in i], np.int64)
+        self.item_ends = np.cumsum([0, *map(len, items)])
         self.shortest = int(self.lengths.min(initial=1))
 
+    @property
+    def symbol(self) -> dict[bytes, int]:
+        """0 ends the text, 1 stands between stretches."""
+        if self.symbols is None:
+            self.symbols = {w: k + 2 for k, w in enumerate(self.vocabulary)}
+        return self.symbols
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"symbols": None}
+
+    def coded(self, words: list[bytes]) -> np.ndarray:
+        get = self.symbol.get
+        return np.fromiter((get(w, 1) for w in words), np.int32, len(words))
+
+    def items(self, phrase: int) -> list[int]:
+        return self.item_ids[self.item_ends[phrase] : self.item_ends[phrase + 1]].tolist()
+
     def find(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences in documents given as symbols (1: foreign): document, first word, phrase."""
         sizes = np.array([len(d) for d in docs], np.int64)
         # A foreign word after each document, so no stretch runs over two of them.
-        flat = np.ones(int(sizes.sum()) + len(docs), np.int64)
+        flat = np.ones(int(sizes.sum()) + len(docs), np.int32)
         starts = np.cumsum(np.r_[0, sizes + 1])[:-1]
         for a, d in zip(starts, docs):
             flat[a : a + len(d)] = d
@@ -248,19 +270,43 @@ _EXTRA = (
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int = BLOCK_BYTES):
-    """Items in blocks of bounded text, one at a time on the driver; each goes to the workers as one argument."""
-    whole = benchmark.agg(F.sum(F.octet_length(col(benchmark, text).cast("string")))).first()[0] or 0
-    if whole > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {whole} bytes; scan it in parts of at most {MAX_BENCHMARK_BYTES}")
+    """Phrases of the items in blocks of bounded size, made one at a time on the driver."""
     rows, size = [], 0
     for r in benchmark.select(col(benchmark, item_id).cast("long"), col(benchmark, text).cast("string")).toLocalIterator():
         rows.append((r[0], r[1]))
         size += len(r[1] or "")
         if size * window > block_bytes:
-            yield rows
+            yield Phrases(phrases_of(rows, window))
             rows, size = [], 0
     if rows:
-        yield rows
+        yield Phrases(phrases_of(rows, window))
+
+
+class Found:
+    """What the blocks find in a run of documents."""
+
+    def __init__(self, n: int):
+        self.sizes = np.zeros(n, np.int64)
+        self.spans: list[list] = [[] for _ in range(n)]
+        self.items: list[set] = [set() for _ in range(n)]
+
+    def add(self, at: int, phrases: Phrases, docs: list[np.ndarray]) -> None:
+        """Occurrences in documents ``at`` and on, given as symbols."""
+        doc, first, phrase = phrases.find(docs)
+        order = np.argsort(doc, kind="stable")
+        doc, first, phrase = doc[order], first[order], phrase[order]
+        cut = np.flatnonzero(np.diff(doc)) + 1
+        for a, c in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)]) if len(doc) else ():
+            d = at + int(doc[a])
+            self.spans[d].append((first[a:c], phrases.lengths[phrase[a:c]]))
+            for p in np.unique(phrase[a:c]).tolist():
+                self.items[d].update(phrases.items(p))
+
+    def rows(self):
+        for size, s, i in zip(self.sizes.tolist(), self.spans, self.items):
+            ranges = merged(np.concatenate([x[0] for x in s]), np.concatenate([x[1] for x in s]), size) if s else []
+            hit = sum(b - a for a, b in ranges)
+            yield size, hit, len(i), sorted(i), [list(r) for r in ranges], hit > 0 and MIN_SHARE * hit >= size
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -269,60 +315,52 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: lis
 
     Rows with a null item id take part in n_hit and spans but aren't listed among the items.
     """
-    extra = [f.name for f in _EXTRA]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in extra]
+    extra = {f.name.lower() for f in _EXTRA}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in extra]
     blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, item_id, item_text, window)]
     types = {f.name: f for f in docs.schema.fields}
     schema = T.StructType([*(types[c] for c in keep), *_EXTRA])
     n = len(keep)
-
-    def judge(texts: list[list[bytes]], state: dict):
-        sizes = [len(w) for w in texts]
-        spans: list[list] = [[] for _ in texts]
-        items: list[set] = [set() for _ in texts]
-        for k, b in enumerate(blocks):
-            phrases = state.get(k)
-            if phrases is None:
-                phrases = Phrases(phrases_of(b.value, window))
-                if len(blocks) == 1:
-                    state[k] = phrases
-            if not len(phrases.lengths):
-                continue
-            get = phrases.symbol.get
-            doc, first, phrase = phrases.find([np.fromiter((get(w, 1) for w in ws), np.int64, len(ws)) for ws in texts])
-            order = np.argsort(doc, kind="stable")
-            doc, first, phrase = doc[order], first[order], phrase[order]
-            cut = np.flatnonzero(np.diff(doc)) + 1 if len(doc) else []
-            for a, c in zip(np.r_[0, cut].astype(int), np.r_[cut, len(doc)].astype(int)) if len(doc) else ():
-                d = int(doc[a])
-                spans[d].append((first[a:c], phrases.lengths[phrase[a:c]]))
-                for p in np.unique(phrase[a:c]):
-                    items[d].update(phrases.items[p].tolist())
-        rows = []
-        for size, s, i in zip(sizes, spans, items):
-            ranges = merged(np.concatenate([x[0] for x in s]), np.concatenate([x[1] for x in s]), size) if s else []
-            hit = sum(b - a for a, b in ranges)
-            rows.append((size, hit, len(i), sorted(i), [list(r) for r in ranges], hit > 0 and MIN_SHARE * hit >= size))
-        return rows
+    # A text that is kept as it is isn't sent a second time.
+    sent = [col(docs, c) for c in keep]
+    if text in keep and types[text].dataType == T.StringType():
+        source = keep.index(text)
+    else:
+        source = n
+        sent.append(col(docs, text).cast("string").alias(fresh(docs, "_text")))
 
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.bool_())
 
     def run(batches):
-        state: dict = {}
+        at_hand: list = [None, None]
+
+        def block(k: int) -> Phrases:
+            """The worker holds one block; the others stay in Spark's files."""
+            if at_hand[0] != k:
+                at_hand[:] = k, blocks[k].value
+                vars(blocks[k]).pop("_value", None)
+            return at_hand[1]
+
         for b in batches:
-            # Shards of bounded size within a batch; a very long document is a shard of its own.
-            at, texts, size = 0, [], 0
-            column = b.column(n)
-            for k in range(b.num_rows):
-                texts.append(words_of(column[k].as_py()))
-                size += len(texts[-1])
-                if size >= shard_words or k + 1 == b.num_rows:
-                    cols = list(zip(*judge(texts, state)))
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(texts)) for c in range(n)), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=schema.names)
-                    at, texts, size = k + 1, [], 0
-
-    src = fresh(docs, "_text")
-    return docs.select(*(col(docs, c) for c in keep), col(docs, text).cast("string").alias(src)).mapInArrow(tidied(run), schema)
+            column, found = b.column(source), Found(b.num_rows)
+            for k in range(max(1, len(blocks))):
+                phrases = block(k) if blocks else None
+                # Shards of bounded size; words are symbols as soon as they are read.
+                at, shard, size = 0, [], 0
+                for row in range(b.num_rows):
+                    words = words_of(column[row].as_py())
+                    found.sizes[row] = len(words)
+                    if phrases is None or not len(phrases.lengths):
+                        continue
+                    shard.append(phrases.coded(words))
+                    size += len(words)
+                    if size >= shard_words or row + 1 == b.num_rows:
+                        found.add(at, phrases, shard)
+                        at, shard, size = row + 1, [], 0
+            cols = list(zip(*found.rows())) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(c, t) for c, t in zip(cols, kinds))], names=schema.names)
+
+    return docs.select(*sent).mapInArrow(tidied(run), schema)
 
 
 def digest(ids: list[int]) -> str:

@@ -68,3 +68,11 @@ def test_awkward_rows_and_columns(docs, none, spark):
     assert len(got) == docs.count() and {r["doc_id"] for r in got if r["contaminated"]} == {1, 2, 3, 11}
     assert d.scan(none, b).count() == 0
     assert d.scan(docs, b.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_names_that_differ_in_case_only(docs, spark):
+    """A column named like an output, in whatever case, is replaced by it."""
+    b = spark.createDataFrame([(1, "the cat sat on the mat while the dog ran round the old house")], "item_id long, text string")
+    d2 = docs.select("doc_id", "text", docs.n_words.alias("N_WORDS"))
+    got = d.scan(d2, b)
+    assert [c.lower() for c in got.columns].count("n_words") == 1 and got.where("contaminated").count() == 5

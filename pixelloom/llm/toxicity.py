@@ -1,8 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and word beginnings of ``PREFIX`` letters; those whose presence
-goes with the label (likelihood ratio over ``LEAST_G2``, and at least ``LEAST_LIFT`` times as frequent
-under one label as under the other; at most ``MAX_TERMS``) form the vocabulary.
+Terms are all lower-cased words of a text and their beginnings of ``PREFIX`` letters, known by a 32-bit
+hash; none is left out.  A term weighs (1 + log count) x idf x relevance, where the relevance is
+the size of its log odds of label 1 among the examples, shrunk by ``SHRINK`` examples of the common
+rate and raised by ``LEAST_RELEVANCE``, so that every term takes part and rare ones can't claim much.
+
 Index: labelled examples, ordered so that like ones are neighbours, in blocks of ``BLOCK``; a
 term's postings are cut at the blocks and each (term, block) keeps its greatest weight.  A query
 scores the blocks of greatest bound first, and of the others only those whose bound reaches its
@@ -11,16 +13,20 @@ isotonic regression of the labels on leave-one-out values turns it into a probab
 neighbours are the evidence.
 
 Learning: at most about ``MAX_EXAMPLES`` labelled rows of each label, drawn by hash (the bound of
-the fit); the rates at which they were drawn weight the calibration.  Term counts are made on
-the executors; the driver gets the chosen terms and the examples' vectors only.
-Defined cases: texts without a vocabulary term (null and empty ones too) get the calibrated share of
-label 1 among such examples; no labelled row at all: score 0 for all; null labels are no labels.
+the fit); the rates at which they were drawn weight the calibration.  Examples become vectors on the
+executors, and the driver gets these alone; leave-one-out votes are made on the executors again.
+Defined cases: texts that share no term with an example (null and empty ones too) get the calibrated
+common rate of label 1; no labelled row at all: score 0 for all; null labels are no labels; equal
+cosines go by the order of the examples, which depends on their vectors and ids alone; repeated rows
+get the same answer; very long texts are counted whole; other columns of ``docs`` aren't read, so
+their names can't clash.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -32,135 +38,130 @@ from pyspark.sql import types as T
 from .common import col, held_out, stored, tidied
 
 PREFIX = (5,)
-LEAST_G2 = 30.0
-LEAST_DOCS = 4
-LEAST_LIFT = 4.0
-MAX_TERMS = 4_000
-HITS = (2, 3, 4, 6)
-HIT_COUNT = 3
-MAX_EXAMPLES = 4_000
-NEIGHBOURS = 15
-BLOCK = 64
-#: Blocks of greatest bound that are scored one by one before the bound is applied to the others.
-FIRST_BLOCKS = 6
+SHRINK = 5.0
+LEAST_RELEVANCE = 0.02
+MAX_EXAMPLES = 2_000
+NEIGHBOURS = 11
+BLOCK = 32
+#: Blocks of greatest bound that are scored before the bound is applied to the others.
+FIRST_BLOCKS = 4
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}~" for n in PREFIX if len(word) > n)]
+def word_terms(word: str) -> list[int]:
+    """Hashes of a word's terms."""
+    return [zlib.crc32(word.encode()), *(zlib.crc32(f"{word[:n]}~".encode()) for n in PREFIX if len(word) > n)]
 
 
 class Terms:
-    """Counts of vocabulary terms in whole texts; the terms of a word are looked up once.
-
-    How many distinct words have a term of label 1 is itself told by terms: one for each of HITS
-    that the number reaches, counted as HIT_COUNT.
-    """
+    """Terms of whole texts with their counts; the terms of a word are made once while it is in the cache."""
 
-    def __init__(self, vocabulary: dict[str, int], telling: set[int] | None = None):
-        self.vocabulary = vocabulary
-        #: Terms that go with label 1.
-        self.telling = set(vocabulary.values()) if telling is None else telling
+    def __init__(self):
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    @property
-    def size(self) -> int:
-        return len(self.vocabulary) + len(HITS)
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if not text:
-            return out
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = Counter(_WORDS.findall(text.lower())) if text else {}
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        hits: set[str] = set()
-        for w in _WORDS.findall(text.lower()):
-            ids = cache.get(w)
-            if ids is None:
-                ids = cache[w] = tuple(self.vocabulary[t] for t in word_terms(w) if t in self.vocabulary)
-            for t in ids:
-                out[t] = out.get(t, 0) + 1
-                if t in self.telling:
-                    hits.add(w)
-        for k, least in enumerate(HITS):
-            if len(hits) >= least:
-                out[len(self.vocabulary) + k] = HIT_COUNT
-        return out
+        ids: list[int] = []
+        counts: list[int] = []
+        for w, n in words.items():
+            terms = cache.get(w)
+            if terms is None:
+                terms = cache[w] = tuple(word_terms(w))
+            ids += terms
+            counts += [n] * len(terms)
+        terms, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return terms, np.bincount(at, counts, len(terms)).astype(np.int64)
 
 
 class Index:
-    """Block-max inverted index over unit TF-IDF vectors."""
-
-    def __init__(self, vectors: list[dict[int, int]], labels: np.ndarray, weights: np.ndarray, ids: list[int], idf: np.ndarray):
-        self.idf = idf
-        unit = [self.unit(v) for v in vectors]
-        # Examples that share their heaviest terms stand together.
-        order = sorted(range(len(unit)), key=lambda k: (tuple(t for _, t in sorted(((-w, t) for t, w in unit[k].items()))[:3]), ids[k] is None, ids[k] or 0))
-        self.unit_vectors = [unit[k] for k in order]
-        self.labels, self.weights, self.ids = labels[order].astype(float), weights[order], [ids[k] for k in order]
-        n, blocks = len(order), max(1, -(-len(order) // BLOCK))
-        self.best = np.zeros((len(idf), blocks), np.float64)
-        lists: dict[int, list] = {}
-        for k, v in enumerate(self.unit_vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((k, w))
-                self.best[t, k // BLOCK] = max(self.best[t, k // BLOCK], w)
-        self.docs, self.values, self.cuts = {}, {}, {}
-        for t, posts in lists.items():
-            self.docs[t] = np.array([p[0] for p in posts], np.int64)
-            self.values[t] = np.array([p[1] for p in posts])
-            self.cuts[t] = np.searchsorted(self.docs[t], np.arange(blocks + 1) * BLOCK)
-        self.size = n
-        empty = np.array([not v for v in self.unit_vectors], bool)
-        self.bare = float((self.labels * self.weights)[empty].sum() / self.weights[empty].sum()) if empty.any() else (float(np.average(self.labels, weights=self.weights)) if n else 0.0)
+    """Block-max inverted index over unit vectors of the examples."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, ids: list[int | None]):
+        self.size = n = len(vectors)
+        self.blocks = max(1, -(-n // BLOCK))
+        flat = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
+        self.vocabulary, term = np.unique(flat, return_inverse=True)
+        m = len(self.vocabulary)
+        with_term = np.bincount(term, minlength=m)
+        ones = np.bincount(term, labels[row] if n else None, minlength=m)
+        base = min(max(float(labels.mean()) if n else 0.5, 1e-6), 1 - 1e-6)
+        share = (ones + SHRINK * base) / (with_term + SHRINK)
+        odds = np.abs(np.log(np.maximum(share, 1e-9) / np.maximum(1 - share, 1e-9)) - math.log(base / (1 - base)))
+        self.term_weight = (np.log((1 + n) / (1 + with_term)) + 1) * (odds + LEAST_RELEVANCE)
+        self.ids, self.labels, self.weights = ids, labels.astype(float), weights
+        self.bare = float(np.average(labels, weights=weights)) if n else 0.0
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
-        self.memo: dict = {}
-
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
+        if not n:
+            return
+        unit = [self.unit(*v) for v in vectors]
+        # Examples that share their heaviest terms stand together.
+        heavy = [tuple(self.vocabulary[t[np.argsort(-w, kind="stable")[:3]]].tolist()) for t, w in unit]
+        order = sorted(range(n), key=lambda k: (heavy[k], ids[k] is None, ids[k] or 0))
+        self.vectors = [unit[k] for k in order]
+        self.ids, self.labels, self.weights = [ids[k] for k in order], self.labels[order], weights[order]
+        term = np.concatenate([t for t, _ in self.vectors])
+        place = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in self.vectors])
+        value = np.concatenate([w for _, w in self.vectors])
+        by_term = np.argsort(term, kind="stable")
+        term, self.place, self.value = term[by_term], place[by_term], value[by_term]
+        # Runs of one term in one block: where they begin, and their greatest weight.
+        run = term.astype(np.int64) * self.blocks + self.place // BLOCK
+        self.begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        self.best = np.maximum.reduceat(self.value, self.begin)
+        self.block_of = (run[self.begin] % self.blocks).astype(np.int32)
+        self.first_run = np.searchsorted(run[self.begin] // self.blocks, np.arange(m + 1))
+        self.begin = np.r_[self.begin, len(term)]
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the vocabulary and weights of a unit vector; terms that no example has are left out."""
+        at = np.searchsorted(self.vocabulary, terms)
+        known = at < len(self.vocabulary)
+        known[known] = self.vocabulary[at[known]] == terms[known]
+        at = at[known]
+        w = (1 + np.log(counts[known])) * self.term_weight[at]
+        return at, w / (math.sqrt(float(w @ w)) or 1.0)
+
+    def _score(self, score: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the products of the postings of ``runs``."""
+        a, n = self.begin[runs], self.begin[runs + 1] - self.begin[runs]
+        at = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+        score += np.bincount(self.place[at], self.value[at] * np.repeat(weight, n), len(score))
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
         """The k examples of greatest cosine over 0 as (cosine, place); ties by place."""
-        terms = [t for t in query if t in self.docs]
-        if not terms:
+        terms, q = query
+        if not len(terms):
             return []
-        q = np.array([query[t] for t in terms])
-        bound = q @ self.best[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        first, rest = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
-        score = np.zeros(len(bound) * BLOCK)
-        for t, w in zip(terms, q):
-            cuts, docs, values = self.cuts[t], self.docs[t], self.values[t]
-            for b in first:
-                s, e = cuts[b], cuts[b + 1]
-                if e > s:
-                    score[docs[s:e]] += w * values[s:e]
-        places = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        top = self._best(score, places, k, but)
-        if len(rest):
-            least = score[top[-1]] if len(top) == k else 0.0
-            rest = rest[bound[rest] >= least - 1e-12]
-        if len(rest):  # blocks that may still hold one of the k: their postings of every term
-            score[:] = 0.0
-            seen = np.zeros(len(bound), bool)
-            seen[first], seen[rest] = True, True
-            for t, w in zip(terms, q):
-                score[self.docs[t]] += w * self.values[t]
-            score.reshape(-1, BLOCK)[~seen] = 0.0
-            top = self._best(score, np.arange(len(score)), k, but)
+        a, n = self.first_run[terms], self.first_run[terms + 1] - self.first_run[terms]
+        runs = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+        weight = np.repeat(q, n)
+        block = self.block_of[runs]
+        bound = np.bincount(block, weight * self.best[runs], self.blocks)
+        score = np.zeros(self.blocks * BLOCK)
+        seen = np.zeros(self.blocks, bool)
+        seen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        now = seen[block]
+        self._score(score, runs[now], weight[now])
+        top = self._top(score, k, but)
+        least = score[top[-1]] if len(top) == k else 0.0
+        now = ~seen[block] & (bound[block] > 0) & (bound[block] >= least - 1e-12)
+        if now.any():  # blocks that may still hold one of the k
+            self._score(score, runs[now], weight[now])
+            top = self._top(score, k, but)
         return [(float(score[j]), int(j)) for j in top]
 
     @staticmethod
-    def _best(score: np.ndarray, places: np.ndarray, k: int, but: int) -> np.ndarray:
+    def _top(score: np.ndarray, k: int, but: int) -> np.ndarray:
         """Places of the k greatest scores over 0, ties by place."""
-        hit = places[(score[places] > 0) & (places != but)]
+        hit = np.flatnonzero(score > 0)
+        hit = hit[hit != but]
         value = np.round(score[hit], 12)
         if len(hit) > 4 * k:
             keep = value >= np.partition(value, len(value) - k)[len(value) - k]
@@ -168,20 +169,17 @@ class Index:
         return hit[np.lexsort((hit, -value))][:k]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of label 1 among the neighbours, by weight of nearness and of how they were drawn."""
+        """Share of label 1 among the neighbours, by weight of nearness."""
         if not near:
             return self.bare
         s = np.array([x[0] for x in near])
-        at = [x[1] for x in near]
         w = s / (1.05 - np.minimum(s, 1.0))
-        return float((w * self.labels[at]).sum() / w.sum())
+        return float((w * self.labels[[x[1] for x in near]]).sum() / w.sum())
 
-    def calibrate(self) -> None:
+    def calibrate(self, raw: np.ndarray) -> None:
         """Isotonic regression of labels on leave-one-out votes (pool adjacent violators)."""
-        raw = np.array([self.vote(self.nearest(v, but=k)) for k, v in enumerate(self.unit_vectors)])
-        order = np.argsort(raw, kind="stable")
         pools: list[list[float]] = []  # raw, mean, weight
-        for k in order:
+        for k in np.argsort(raw, kind="stable"):
             pools.append([raw[k], self.labels[k], self.weights[k]])
             while len(pools) > 1 and (pools[-2][1] >= pools[-1][1] or pools[-2][0] == pools[-1][0]):
                 r, m, w = pools.pop()
@@ -194,24 +192,14 @@ class Index:
     def probability(self, raw: float) -> float:
         if self.steps is None or not len(self.steps[0]):
             return raw
-        x, y = self.steps
-        return float(np.clip(np.interp(raw, x, y), 0.0, 1.0))
+        return float(np.clip(np.interp(raw, *self.steps), 0.0, 1.0))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int | None, float]]]:
         """Calibrated score and evidence (example id, cosine)."""
         if not self.size:
             return 0.0, []
-        if not counts:
-            return self.probability(self.bare), []
-        key = tuple(sorted(counts.items()))
-        got = self.memo.get(key)
-        if got is None:
-            near = self.nearest(self.unit(counts))
-            got = self.probability(self.vote(near)), [(self.ids[k], round(s, 9)) for s, k in near[:5]]
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            self.memo[key] = got
-        return got
+        near = self.nearest(self.unit(terms, counts))
+        return self.probability(self.vote(near)), [(self.ids[k], round(s, 9)) for s, k in near[:5]]
 
 
 def examples(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, max_examples: int = MAX_EXAMPLES) -> tuple[DataFrame, dict[int, float]]:
@@ -227,49 +215,35 @@ def examples(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, labe
     return stored(rows.select("doc_id", "text", "y"), "toxic-examples"), rates
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> tuple[Terms, Index]:
-    rows, rates = examples(docs, labels, doc_id=doc_id, text=text, label=label, max_examples=max_examples)
-    per = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ones, zeros = per.get(1, 0), per.get(0, 0)
-    counted = T.StructType([T.StructField("term", T.StringType(), False), T.StructField("ones", T.LongType(), False), T.StructField("zeros", T.LongType(), False)])
+_VECTOR = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType(), False), T.StructField("terms", T.BinaryType(), False), T.StructField("counts", T.BinaryType(), False)])
 
-    def count(batches):
-        sums = (Counter(), Counter())
-        for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[y].update({x for w in set(_WORDS.findall((t or "").lower())) for x in word_terms(w)})
-        terms = list(sums[0].keys() | sums[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([sums[1][t] for t in terms], pa.int64()), pa.array([sums[0][t] for t in terms], pa.int64())], names=counted.names)
-
-    terms = rows.select("text", "y").mapInArrow(count, counted).groupBy("term").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    n1, n0 = float(max(1, ones)), float(max(1, zeros))
-    mean = (a + b) / (n1 + n0)
-    part = lambda x, n: F.when(x > 0, x * F.log(x / (n * mean))).otherwise(F.lit(0.0))
-    rest = lambda x, n: F.when(n - x > 0, (n - x) * F.log((n - x) / (n * (1 - mean)))).otherwise(F.lit(0.0))
-    g2 = 2 * (part(a, n1) + part(b, n0) + rest(a, F.lit(n1)) + rest(b, F.lit(n0)))
-    lift = ((a + 0.5) / n1) / ((b + 0.5) / n0)
-    terms = terms.where((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
-    chosen = terms.where(a + b >= LEAST_DOCS).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
-    vocabulary = {r["term"]: k for k, r in enumerate(chosen)}
-    telling = {k for k, r in enumerate(chosen) if r["a"] / n1 > r["b"] / n0}
-
-    vectors = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType(), False), T.StructField("v", T.MapType(T.IntegerType(), T.IntegerType(), False), False)])
+
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Index:
+    rows, rates = examples(docs, labels, doc_id=doc_id, text=text, label=label, max_examples=max_examples)
 
     def vectorise(batches):
-        of = Terms(vocabulary, telling)
+        of = Terms()
         for b in batches:
-            v = [sorted(of(t).items()) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.map_(pa.int32(), pa.int32()))], names=vectors.names)
+            v = [of(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t.astype("<u4").tobytes() for t, _ in v], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in v], pa.binary())], names=_VECTOR.names)
+
+    spark = docs.sparkSession
+    got = rows.select("doc_id", "y", "text").mapInArrow(vectorise, _VECTOR).orderBy("doc_id", "y", "terms", "counts").toArrow().to_pylist()  # the drawn examples
+    vectors = [tuple(np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("terms", "counts")) for r in got]
+    index = Index(vectors, np.array([r["y"] for r in got], float), np.array([1 / max(1e-9, rates[r["y"]]) for r in got]), [r["doc_id"] for r in got])
+    if got:
+        shared = spark.sparkContext.broadcast(index)
+
+        def left_out(batches):
+            for b in batches:
+                places = b.column(0).to_pylist()
+                raw = [shared.value.vote(shared.value.nearest(shared.value.vectors[k], but=k)) for k in places]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.float64())], names=["id", "raw"])
 
-    got = rows.select("doc_id", "y", "text").mapInArrow(vectorise, vectors).collect()  # the drawn examples
-    y = np.array([r["y"] for r in got], int)
-    found = Counter(t for r in got for t in r["v"])
-    idf = np.array([math.log((1 + len(got)) / (1 + found[t])) + 1 for t in range(len(vocabulary) + len(HITS))])
-    index = Index([r["v"] for r in got], y, np.array([1 / max(1e-9, rates[r["y"]]) for r in got]), [r["doc_id"] for r in got], idf)
-    if len(got):
-        index.calibrate()
-    return Terms(vocabulary, telling), index
+        votes = spark.range(len(got), numPartitions=max(1, len(got) // 250)).mapInArrow(left_out, "id long, raw double").collect()
+        index.calibrate(np.array([r["raw"] for r in sorted(votes)]))
+        del index.vectors  # for leave-one-out only
+    return index
 
 
 _OUT = T.StructType([
@@ -278,14 +252,14 @@ _OUT = T.StructType([
 ])
 
 
-def score(docs: DataFrame, model: tuple[Terms, Index], held: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Index, held: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the nearest examples)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TERMS and MAX_EXAMPLES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES
 
     def run(batches):
-        terms, index = shared.value
+        index, terms = shared.value, Terms()
         for b in batches:
-            got = [index.score(terms(t)) for t in b.column(2).to_pylist()]
+            got = [index.score(*terms(t.as_py())) for t in b.column(2)]
             s = [round(g[0], 9) for g in got]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32()),

@@ -1,4 +1,4 @@
-"""Language, toxicity and language-model scores: brute force on small cases, held-out accuracy on the tables."""
+"""Language and language-model scores: brute force on small cases, held-out accuracy on the tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.llm import language_id, lm_score, toxicity
+from pixelloom.llm import language_id, lm_score
 from pixelloom.llm.common import held_out
 
 
@@ -65,55 +65,6 @@ def test_language_of_awkward_rows(docs, none, spark):
     assert language_id.predict(none, model, held).count() == 0
 
 
-# -- toxicity --------------------------------------------------------------------------------------
-
-def _index(seed, n=700, terms=60):
-    rng = np.random.default_rng(seed)
-    vectors = [{int(t): int(c) for t, c in zip(rng.choice(terms, k, replace=False), rng.integers(1, 5, k))} for k in rng.integers(0, 6, n)]
-    labels = rng.integers(0, 2, n)
-    return toxicity.Index(vectors, labels, np.ones(n), list(range(n)), rng.random(terms) + 1)
-
-
-@pytest.mark.parametrize("seed", [0, 1])
-def test_nearest_is_exact(seed):
-    index = _index(seed)
-    for q in range(0, 700, 7):
-        query = index.unit_vectors[q]
-        dense = np.array([sum(w * v.get(t, 0.0) for t, w in query.items()) for v in index.unit_vectors])
-        got = index.nearest(query, 10)
-        want = np.sort(dense[dense > 0])[::-1][:10]
-        assert np.allclose([s for s, _ in got], want) and all(dense[k] == pytest.approx(s) for s, k in got)
-
-
-def test_scores_are_calibrated_probabilities():
-    index = _index(3)
-    index.calibrate()
-    y = index.steps[1]
-    assert (np.diff(y) >= -1e-12).all() and y.min() >= 0 and y.max() <= 1
-    assert 0 <= index.score({})[0] <= 1 and 0 <= index.score({1: 2, 5: 1})[0] <= 1
-
-
-def test_toxic_rows_are_found(spark):
-    from pixelloom.llm.queries import op5_toxicity_neighbours
-
-    sf = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    got = op5_toxicity_neighbours(spark, sf)
-    j = labels.join(got, "doc_id").where("held_out")
-    toxic, clean = j.where("toxic = 1"), j.where("toxic = 0")
-    assert toxic.where("predicted = 1").count() >= 0.7 * toxic.count()
-    assert clean.where("predicted = 1").count() <= 0.02 * clean.count()
-
-
-def test_toxicity_of_awkward_rows(docs, none, spark):
-    labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (None, 1, 1), (3, 0, 1), (3, 0, 0), (12, 0, 1)], "doc_id long, quality int, toxic int")
-    held = held_out(F.col("doc_id"))
-    got = toxicity.score(docs, toxicity.fit(docs, labels), held).collect()
-    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
-    assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.where("false")), held).collect()} == {0.0}
-    assert toxicity.score(none, toxicity.fit(none, labels), held).count() == 0
-
-
 # -- language model --------------------------------------------------------------------------------
 
 def test_gradient_step_lowers_the_loss():

@@ -2,13 +2,14 @@
 
 Terms are all lower-cased words of a text and their beginnings of ``PREFIX`` letters, known by a 32-bit
 hash; none is left out.  A term weighs (1 + log count) x idf x relevance, where the relevance is
-the size of its log odds of label 1 among the examples, shrunk by ``SHRINK`` examples of the common
-rate and raised by ``LEAST_RELEVANCE``, so that every term takes part and rare ones can't claim much.
+the square of (size of its log odds of label 1 among the examples, shrunk by ``SHRINK`` examples of the
+common rate, plus ``LEAST_RELEVANCE``), so that every term takes part and rare ones can't claim much.
 
 Index: labelled examples, ordered so that like ones are neighbours, in blocks of ``BLOCK``; a
 term's postings are cut at the blocks and each (term, block) keeps its greatest weight.  A query
-scores the blocks of greatest bound first, and of the others only those whose bound reaches its
-k-th best cosine, so the k nearest are exact.  Their votes, weighted by how near they are, give a raw value, and
+first adds up its terms of greatest weight, which have few postings; what its other terms can still
+add in a block is bounded by the block's maxima, and only examples that can thereby reach the k-th best
+sum are scored in full, so the k nearest are exact.  Their votes, weighted by how near they are, give a raw value, and
 isotonic regression of the labels on leave-one-out values turns it into a probability.  The
 neighbours are the evidence.
 
@@ -40,11 +41,12 @@ from .common import col, held_out, stored, tidied
 PREFIX = (5,)
 SHRINK = 5.0
 LEAST_RELEVANCE = 0.02
+POWER = 2.0
 MAX_EXAMPLES = 2_000
 NEIGHBOURS = 11
-BLOCK = 32
-#: Blocks of greatest bound that are scored before the bound is applied to the others.
-FIRST_BLOCKS = 4
+BLOCK = 64
+#: Share of a query's postings that is added up before bounds are applied.
+FIRST_SHARE = 0.2
 THRESHOLD = 0.7
 CACHE_WORDS = 200_000
 
@@ -79,6 +81,11 @@ class Terms:
         return terms, np.bincount(at, counts, len(terms)).astype(np.int64)
 
 
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin .. begin + n - 1 of each pair, one after the other."""
+    return np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
 class Index:
     """Block-max inverted index over unit vectors of the examples."""
 
@@ -94,7 +101,7 @@ class Index:
         base = min(max(float(labels.mean()) if n else 0.5, 1e-6), 1 - 1e-6)
         share = (ones + SHRINK * base) / (with_term + SHRINK)
         odds = np.abs(np.log(np.maximum(share, 1e-9) / np.maximum(1 - share, 1e-9)) - math.log(base / (1 - base)))
-        self.term_weight = (np.log((1 + n) / (1 + with_term)) + 1) * (odds + LEAST_RELEVANCE)
+        self.term_weight = (np.log((1 + n) / (1 + with_term)) + 1) * (odds + LEAST_RELEVANCE) ** POWER
         self.ids, self.labels, self.weights = ids, labels.astype(float), weights
         self.bare = float(np.average(labels, weights=weights)) if n else 0.0
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
@@ -106,9 +113,11 @@ class Index:
         order = sorted(range(n), key=lambda k: (heavy[k], ids[k] is None, ids[k] or 0))
         self.vectors = [unit[k] for k in order]
         self.ids, self.labels, self.weights = [ids[k] for k in order], self.labels[order], weights[order]
+        sizes = [len(t) for t, _ in self.vectors]
         term = np.concatenate([t for t, _ in self.vectors])
-        place = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in self.vectors])
         value = np.concatenate([w for _, w in self.vectors])
+        self.own_begin, self.own_term, self.own_value = np.cumsum([0, *sizes]), term.astype(np.int32), value
+        place = np.repeat(np.arange(n, dtype=np.int32), sizes)
         by_term = np.argsort(term, kind="stable")
         term, self.place, self.value = term[by_term], place[by_term], value[by_term]
         # Runs of one term in one block: where they begin, and their greatest weight.
@@ -117,7 +126,9 @@ class Index:
         self.best = np.maximum.reduceat(self.value, self.begin)
         self.block_of = (run[self.begin] % self.blocks).astype(np.int32)
         self.first_run = np.searchsorted(run[self.begin] // self.blocks, np.arange(m + 1))
+        self.most = np.maximum.reduceat(self.best, self.first_run[:-1])
         self.begin = np.r_[self.begin, len(term)]
+        self.block_places = np.arange(n) // BLOCK
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the vocabulary and weights of a unit vector; terms that no example has are left out."""
@@ -128,34 +139,37 @@ class Index:
         w = (1 + np.log(counts[known])) * self.term_weight[at]
         return at, w / (math.sqrt(float(w @ w)) or 1.0)
 
-    def _score(self, score: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> None:
-        """Adds the products of the postings of ``runs``."""
-        a, n = self.begin[runs], self.begin[runs + 1] - self.begin[runs]
-        at = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
-        score += np.bincount(self.place[at], self.value[at] * np.repeat(weight, n), len(score))
-
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
         """The k examples of greatest cosine over 0 as (cosine, place); ties by place."""
         terms, q = query
         if not len(terms):
             return []
-        a, n = self.first_run[terms], self.first_run[terms + 1] - self.first_run[terms]
-        runs = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
-        weight = np.repeat(q, n)
-        block = self.block_of[runs]
-        bound = np.bincount(block, weight * self.best[runs], self.blocks)
-        score = np.zeros(self.blocks * BLOCK)
-        seen = np.zeros(self.blocks, bool)
-        seen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        now = seen[block]
-        self._score(score, runs[now], weight[now])
+        order = np.argsort(-q * self.most[terms], kind="stable")
+        terms, q = terms[order], q[order]
+        run = self.first_run[terms]
+        n_runs = self.first_run[terms + 1] - run
+        a, n = self.begin[run], self.begin[run + n_runs] - self.begin[run]
+        first = 1 + int(np.searchsorted(np.cumsum(n), FIRST_SHARE * n.sum()))
+        at = _ranges(a[:first], n[:first])
+        score = np.bincount(self.place[at], self.value[at] * np.repeat(q[:first], n[:first]), self.size)
         top = self._top(score, k, but)
         least = score[top[-1]] if len(top) == k else 0.0
-        now = ~seen[block] & (bound[block] > 0) & (bound[block] >= least - 1e-12)
-        if now.any():  # blocks that may still hold one of the k
-            self._score(score, runs[now], weight[now])
-            top = self._top(score, k, but)
-        return [(float(score[j]), int(j)) for j in top]
+        if first < len(terms):
+            at = _ranges(run[first:], n_runs[first:])
+            more = np.bincount(self.block_of[at], self.best[at] * np.repeat(q[first:], n_runs[first:]), self.blocks)
+            open_ = np.flatnonzero(score + more[self.block_places] >= max(least - 1e-9, 1e-300))
+        else:
+            open_ = np.flatnonzero(score)
+        if not len(open_):
+            return []
+        # In full, term by term of each example that is still open.
+        dense = np.zeros(len(self.vocabulary))
+        dense[terms] = q
+        n = self.own_begin[open_ + 1] - self.own_begin[open_]
+        at = _ranges(self.own_begin[open_], n)
+        score = np.zeros(self.size)
+        score[open_] = np.add.reduceat(dense[self.own_term[at]] * self.own_value[at], np.cumsum(n) - n)
+        return [(float(score[j]), int(j)) for j in self._top(score, k, but)]
 
     @staticmethod
     def _top(score: np.ndarray, k: int, but: int) -> np.ndarray:

@@ -53,7 +53,7 @@ def test_cosines_and_votes_of_real_documents(spark):
             with_term[t] = with_term.get(t, 0) + 1
             with_one[t] = with_one.get(t, 0) + label[i]
     logit = lambda p: math.log(p / (1 - p))
-    weight = {t: (math.log((1 + n) / (1 + d)) + 1) * (abs(logit((with_one[t] + 5 * ones / n) / (d + 5)) - logit(ones / n)) + 0.02) for t, d in with_term.items()}
+    weight = {t: (math.log((1 + n) / (1 + d)) + 1) * (abs(logit((with_one[t] + 5 * ones / n) / (d + 5)) - logit(ones / n)) + 0.02) ** 2 for t, d in with_term.items()}
 
     def unit(v):
         w = {t: (1 + math.log(c)) * weight[t] for t, c in v.items() if t in weight}
@@ -94,7 +94,7 @@ def test_toxic_rows_are_found_and_all_have_evidence(spark):
     j = labels.join(got, "doc_id").where("held_out")
     toxic, clean = j.where("toxic = 1"), j.where("toxic = 0")
     print("toxic found", toxic.where("predicted = 1").count() / toxic.count(), "clean flagged", clean.where("predicted = 1").count() / clean.count())
-    assert toxic.where("predicted = 1").count() >= 0.8 * toxic.count()
+    assert toxic.where("predicted = 1").count() >= 0.85 * toxic.count()
     assert clean.where("predicted = 1").count() <= 0.01 * clean.count()
     texts = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").rlike(r"\p{L}"))
     lettered = texts.join(got, "doc_id").where("held_out")

@@ -33,13 +33,14 @@ def _op2() -> str:
 
 
 def _op6() -> str:
-    rules = ("base", "symbols", "lines")
+    rules = ("base", "symbols", "lines", "any")
     w = quality.WINDOW
     rate = "\n".join(
-        f"""r_{k} AS (SELECT host, (f_{k} + strength * m) / (n + strength) AS rate FROM (
+        f"""r_{k} AS (SELECT host, rate - {quality.DEVIATE} * sqrt(rate * (1 - rate) / (n + strength + 1)) > {'greatest(0.5, m)' if k == 'any' else 'm'} AS over FROM (
+            SELECT *, (f_{k} + strength * m) / (n + strength) AS rate FROM (
             SELECT *, CASE WHEN var * 1e6 > m * (1 - m) THEN greatest({quality.MIN_STRENGTH}, m * (1 - m) / var - 1) ELSE 1e6 END AS strength FROM (
             SELECT *, q / total - m * m - m * (1 - m) * hosts / total AS var FROM (
-            SELECT *, (SELECT sum(f_{k}) / sum(n) FROM h) AS m, (SELECT sum(f_{k}::DOUBLE * f_{k} / n) FROM h) AS q, (SELECT sum(n) FROM h) AS total, (SELECT count(*) FROM h) AS hosts FROM h)))),"""
+            SELECT *, (SELECT sum(f_{k}) / sum(n) FROM h) AS m, (SELECT sum(f_{k}::DOUBLE * f_{k} / n) FROM h) AS q, (SELECT sum(n) FROM h) AS total, (SELECT count(*) FROM h) AS hosts FROM h))))),"""
         for k in rules
     )
     return f"""
@@ -55,10 +56,13 @@ def _op6() -> str:
         FROM w LEFT JOIN rep ON w.r = rep.r LEFT JOIN dup ON w.r = dup.r),
     f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
         100 * n_symbols > {quality.MAX_SYMBOL_PERCENT} * word_chars AS symbols_failed, 100 * n_dup_lines > {quality.MAX_DUP_LINE_PERCENT} * n_lines AS lines_failed FROM s),
-    h AS (SELECT source AS host, count(*) AS n, count_if(base_failed) AS f_base, count_if(symbols_failed) AS f_symbols, count_if(lines_failed) AS f_lines FROM f WHERE source IS NOT NULL GROUP BY source),
+    h AS (SELECT source AS host, count(*) AS n, count_if(base_failed) AS f_base, count_if(symbols_failed) AS f_symbols, count_if(lines_failed) AS f_lines,
+        count_if(base_failed OR symbols_failed OR lines_failed) AS f_any FROM f WHERE source IS NOT NULL GROUP BY source),
     {rate}
-    bad AS (SELECT host FROM r_base JOIN r_symbols USING (host) JOIN r_lines USING (host) WHERE greatest(r_base.rate, r_symbols.rate, r_lines.rate) > {quality.MAX_HOST_RATE})
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND source NOT IN (SELECT host FROM bad) IS NOT FALSE AS kept FROM f"""
+    v AS (SELECT host, r_symbols.over AS by_symbols, r_lines.over AS by_lines, r_any.over AS failed FROM r_symbols JOIN r_lines USING (host) JOIN r_any USING (host))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT (base_failed OR coalesce(failed, false) OR (coalesce(by_symbols, false) AND symbols_failed) OR (coalesce(by_lines, false) AND lines_failed)) AS kept
+    FROM f LEFT JOIN v ON f.source = v.host"""
 
 
 def _op8() -> str:

@@ -52,3 +52,30 @@ def hits_brute(text, items, window=13):
                     if item is not None:
                         found.add(item)
     return len(words), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(words)
+
+
+def quality_kept(rows):
+    """Whether each (text, host) is kept: the document rules, and hosts by their posterior rates, in plain arithmetic."""
+    import math
+
+    from pixelloom.llm import quality as q
+
+    rules = []
+    for text, _ in rows:
+        n_words, chars, symbols, lines, dup, repeats = q.text_stats(text)
+        base, by_symbols, by_lines = n_words < 20 or 100 * repeats > 30 * n_words, 100 * symbols > 10 * chars, 100 * dup > 30 * lines
+        rules.append({"base": base, "symbols": by_symbols, "lines": by_lines, "any": base or by_symbols or by_lines})
+    hosts = sorted({h for _, h in rows if h is not None})
+    over = {}
+    for k in ("symbols", "lines", "any"):
+        n = {h: sum(x == h for _, x in rows) for h in hosts}
+        f = {h: sum(r[k] for r, (_, x) in zip(rules, rows) if x == h) for h in hosts}
+        total = sum(n.values())
+        m = sum(f.values()) / total if total else 0.0
+        var = sum(f[h] ** 2 / n[h] for h in hosts) / total - m * m - m * (1 - m) * len(hosts) / total if total else 0.0
+        s = max(10.0, m * (1 - m) / var - 1) if var * 1e6 > m * (1 - m) else 1e6
+        for h in hosts:
+            r = (f[h] + s * m) / (n[h] + s)
+            over[k, h] = r - 1.6448536269514722 * math.sqrt(r * (1 - r) / (n[h] + s + 1)) > (max(0.5, m) if k == "any" else m)
+    bad = lambda k, h: over.get((k, h), False)
+    return [not (r["base"] or bad("any", h) or (r["symbols"] and bad("symbols", h)) or (r["lines"] and bad("lines", h))) for r, (_, h) in zip(rules, rows)]

@@ -6,6 +6,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from plain import quality_kept
 
 from pixelloom.llm import quality, url_filter
 
@@ -54,6 +55,45 @@ def test_failed_host_takes_its_documents(spark):
     assert out[2000] is False and all(out[i] for i in range(500))
 
 
+def test_bad_and_good_hosts_of_every_size(spark):
+    """Among 40 hosts of which 2 documents in 100 fail, those with three quarters failing fall from 200 documents on, a wholly bad one with 20 already; good ones and mixed ones don't."""
+    sizes = [(f"h{k}", 1_000, 20) for k in range(40)]
+    sizes += [("bad5", 5, 4), ("mixed20", 20, 15), ("bad20", 20, 20), ("bad200", 200, 150), ("bad20000", 20_000, 15_000)]
+    sizes += [("good20", 20, 0), ("good20000", 20_000, 400), ("third20000", 20_000, 6_700)]
+    rows = [(h, n - f, 30) for h, n, f in sizes] + [(h, f, 5) for h, n, f in sizes]
+    d = spark.createDataFrame(rows, "source string, k int, n_words long").selectExpr("source", "explode(sequence(1, k)) x", "n_words").where("x > 0")
+    d = d.selectExpr("source", "n_words", "0L n_repeat_words", "0L n_symbols", "150L word_chars", "1L n_lines", "0L n_dup_lines")
+    failed = {r["host"] for r in quality.host_verdicts(d).where("host_failed").collect()}
+    assert failed == {"bad20", "bad200", "bad20000"}
+
+
+def test_suspect_hosts_are_held_to_soft_rules(spark):
+    """One host repeats lines in many documents: those go there, but not from other hosts, and its clean documents stay."""
+    clean = " ".join(f"word{i}" for i in range(40))
+    dup = "\n".join([" ".join(f"w{i}x{k}" for i in range(12)) for k in range(5)] + ["same line here"] * 5)
+    rows = [(i, dup if i % 49 == 0 else clean, f"h{i % 10}") for i in range(1, 2_000)] + [(5_000 + i, dup if i % 4 == 0 else clean, "odd") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(d).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert all(got[i]["kept"] for i in range(1, 2_000))
+    assert all(got[5_000 + i]["kept"] == (i % 4 != 0) for i in range(200))
+    assert [got[i]["kept"] for i, _, _ in rows] == quality_kept([(t, h) for _, t, h in rows])
+
+
+def test_host_verdict_bears_on_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text", "source").collect()
+    got = {r["doc_id"]: r for r in quality.judge(docs, keep=["doc_id", "source"]).collect()}
+    assert [got[r["doc_id"]]["kept"] for r in rows] == quality_kept([(r["text"], r["source"]) for r in rows])
+    assert any(not r["kept"] and not r["base_failed"] for r in got.values())
+
+
+def test_names_that_differ_in_case_only(docs):
+    d = docs.withColumnRenamed("n_words", "N_WORDS").withColumnRenamed("kept", "Kept")
+    got = quality.judge(d)
+    assert [c.lower() for c in got.columns].count("n_words") == 1 == [c.lower() for c in got.columns].count("kept") and got.count() == docs.count()
+
+
 def test_host_rates_shrink_to_all(spark):
     rows = [(i, "x" if i % 10 == 0 else " ".join(f"w{j}" for j in range(30)), f"h{i % 7}") for i in range(700)] + [(9000, "x", "small")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -8,10 +8,13 @@ language on, the next most probable one joins while the gain in log-likelihood i
 ``PENALTY`` x log(trigrams).  The document's language is the one with the largest proportion,
 and that proportion is its score.
 
-Learning: at most about ``MAX_ROWS`` labelled texts a language, drawn by hash (the bound of the
-fit); trigram counts are summed on the executors, and the driver gets one row per language and
-trigram bucket.  Defined cases: null text, or one without letters, is ``und`` with score 0;
-with no labelled row at all every text is ``und``; repeated rows get the same answer.
+Learning: at most about ``MAX_ROWS`` labelled rows a language, drawn by a hash of the row's id (the
+bound of the fit), so a text that many rows repeat is drawn as often as its rows are; a language of
+which none is drawn is left out of the model.  Trigram counts are summed on the executors, and the
+driver gets one row per language and trigram bucket.  Defined cases: null text, or one without
+letters, is ``und`` with score 0; with no labelled row at all every text is ``und``; repeated rows get
+the same answer; of languages with equal proportions the last in code-point order is named; very long
+texts are counted whole; other columns of ``docs`` aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -99,9 +102,11 @@ class Mixture:
         return {self.languages[j]: float(s) for j, s in zip(chosen, shares)}
 
 
-def fit(docs: DataFrame, lang: str, text: str, usable: Column, max_rows: int = MAX_ROWS) -> Mixture:
+def fit(docs: DataFrame, lang: str, text: str, usable: Column, max_rows: int = MAX_ROWS, doc_id: str = "doc_id") -> Mixture:
     """Learn from rows where ``usable`` holds and ``lang`` isn't null."""
-    train = docs.where(usable & col(docs, lang).isNotNull()).select(col(docs, lang).cast("string").alias("lang"), col(docs, text).cast("string").alias("text"))
+    train = docs.where(usable & col(docs, lang).isNotNull()).select(
+        col(docs, doc_id).alias("row"), col(docs, lang).cast("string").alias("lang"), col(docs, text).cast("string").alias("text")
+    )
     # One row per language.
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -109,7 +114,9 @@ def fit(docs: DataFrame, lang: str, text: str, usable: Column, max_rows: int = M
         return Mixture([], np.zeros((BUCKETS, 0)))
     place = {v: k for k, v in enumerate(languages)}
     rate = F.element_at(F.create_map(*(x for v in languages for x in (F.lit(v), F.lit(min(1.0, max_rows / sizes[v]))))), F.col("lang"))
-    drawn = train.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20))
+    # A row without an id is drawn by its text.
+    key = F.when(F.col("row").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.lit(3), "row"))
+    drawn = train.where(F.pmod(key, F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
     schema = T.StructType([T.StructField("lang", T.IntegerType(), False), T.StructField("bucket", T.IntegerType(), False), T.StructField("n", T.LongType(), False)])
 
     def count(batches):
@@ -127,7 +134,8 @@ def fit(docs: DataFrame, lang: str, text: str, usable: Column, max_rows: int = M
     counts = np.zeros((BUCKETS, len(languages)))
     got = drawn.mapInArrow(count, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts[got.column("bucket").to_numpy(), got.column("lang").to_numpy()] = got.column("n").to_numpy()
-    return Mixture(languages, counts)
+    drawn_ones = np.flatnonzero(counts.sum(0))
+    return Mixture([languages[k] for k in drawn_ones], counts[:, drawn_ones])
 
 
 _OUT = T.StructType([
@@ -139,7 +147,10 @@ _OUT = T.StructType([
 def predict(docs: DataFrame, model: Mixture, held: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score and the whole mixture; reads id and text only."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
+
     def run(batches):
+        model = shared.value
         for b in batches:
             found = [model.infer(t) for t in b.column(2).to_pylist()]
             top = [max(f.items(), key=lambda x: (x[1], x[0])) if f else (UNKNOWN, 0.0) for f in found]

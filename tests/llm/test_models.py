@@ -65,6 +65,45 @@ def test_language_of_awkward_rows(docs, none, spark):
     assert language_id.predict(none, model, held).count() == 0
 
 
+def test_a_language_of_one_repeated_text_is_learned(spark):
+    """More rows than are drawn, all of one text: drawn by id, so the language isn't lost."""
+    en = [(i, "en", f"the cat number {i} sat on the mat and the dog ran") for i in range(300)]
+    for turn, text in enumerate(("der hund lief und die katze schlief nicht", "guten morgen liebe sorgen", "wo ist der bahnhof", "ich habe keine zeit")):
+        rows = en + [(1_000 + i, "de", text) for i in range(6_000)]
+        d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+        model = language_id.fit(d, "lang", "text", F.lit(True))
+        assert model.languages == ["de", "en"] and model.infer(text).keys() == {"de"}, turn
+
+
+def test_inference_against_a_plain_version():
+    """Proportions and chosen languages by loops over single trigrams."""
+    m = _model()
+    for text in ("the cat und die katze sat und schlief", "der hund " * 9 + "the dog " * 7, "mat", "katze dog"):
+        grams = language_id.trigrams(text).tolist()
+
+        def em(languages):
+            share = [1 / len(languages)] * len(languages)
+            for _ in range(language_id.ITERATIONS):
+                new = [0.0] * len(languages)
+                for g in grams:
+                    total = sum(s * m.p[g, k] for s, k in zip(share, languages))
+                    for j, k in enumerate(languages):
+                        new[j] += share[j] * m.p[g, k] / total / len(grams)
+                share = new
+            return share, sum(math.log(sum(s * m.p[g, k] for s, k in zip(share, languages))) for g in grams)
+
+        alone = [em([k])[1] for k in range(2)]
+        first = alone.index(max(alone))
+        all_, _ = em([0, 1])
+        other = 1 - first
+        share, value = em([first, other])
+        if all_[other] >= language_id.LEAST_SHARE and value - alone[first] > language_id.PENALTY * math.log(len(grams) + 1):
+            want = {m.languages[first]: share[0], m.languages[other]: share[1]}
+        else:
+            want = {m.languages[first]: 1.0}
+        assert m.infer(text) == pytest.approx(want)
+
+
 # -- language model --------------------------------------------------------------------------------
 
 def test_gradient_step_lowers_the_loss():

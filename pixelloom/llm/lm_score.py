@@ -1,28 +1,33 @@
 """Language-model scores: masked pseudo-likelihood by a bidirectional window network.
 
-Every word is predicted from the ``SIDE`` words before and after it (not itself); the sum of
+Every word is predicted from the two words before and the two after it (not itself); the sum of
 the log-probabilities over all words of a text is its pseudo-log-likelihood.
 
-Words are counted over the whole corpus, and every counted word has its own probability; each
-word, counted or not, belongs to one of ``CLASSES`` classes (the most frequent words alone, the
-others by their ending).  The network predicts the class,
-    h = tanh(b + sum over window places of E[place, class there]),  P(class) = softmax(h U + c),
-and the word follows from its share of its class's count, (count of the word) / (count of the
-class + 1); words that weren't counted have a count of one, spelled at a constant cost a character.
-
-The counts of all words are a stored table.  The ``VOCABULARY`` most frequent ones go to every
-worker; the other words of a text leave the map as distinct words with their number in it, are
-joined to the table, and their logarithms (whole billionths, so their order can't matter) are
-added up by text.
-
-Training: numpy, by parallel stochastic gradient descent.  In each of ``ROUNDS`` rounds every
-partition starts from the same parameters, walks over all its words once, and the results are
-averaged by number of words, added up in two levels (parameters are some thousand numbers,
-whatever the corpus; the driver gets at most ``GROUPS`` sums).  Everything is learned from all documents, so
-counts and training grow with the input.
+The output is a tree of softmax nodes, all trained on the context of both sides:
+    h = tanh(b + L[classes of the two words before] + R[classes of the two words after])
+    root   the ``ALONE`` most frequent words, and ``GROUPS`` groups of the others (by their ending)
+    group  its ``WIDTH`` - 1 most frequent words, and one branch for its rest
+so the ``ALONE`` + ``GROUPS`` x (``WIDTH`` - 1) most frequent words are told apart by context.  A word of a
+group's rest follows from its share there, (count of the word) / (count of the rest + 1), by the
+counts of the whole corpus; words that weren't counted have a count of one, spelled at a constant cost
+a character.  The class of a word in a context is its branch at the root.
+
+The counts of all words are a stored table.  A histogram of the counts tells from which count on there
+are at most ``VOCABULARY`` words, and only these go to the driver and the workers.  Texts are coded once
+(two bytes a word, stored); rest words outside the vocabulary leave the map as distinct words with
+their number in the text, are joined to the table, and their logarithms (whole billionths, so their
+order can't matter) are added up by text.
+
+Training: numpy, by parallel stochastic gradient descent on the coded texts.  In each of ``ROUNDS``
+rounds every partition starts from the same parameters, and the results are averaged by number of
+words, added up in two levels (some hundred thousand numbers, whatever the corpus; the driver gets at most
+``SUMS`` of them).  Each round predicts every ``ROUNDS``-th word of every text, so all words of all
+documents have been predicted once at the end, and counts and training grow with the input.
 
 Defined cases: null or wordless texts have 0 words, sum 0.0 and mean null; an empty corpus trains
-nothing; words are runs other than the six space characters, A-Z lower-cased.
+nothing; words are runs other than the six space characters, A-Z lower-cased; words of equal count go
+by their bytes; repeated rows are counted and trained on as often as they come and get equal scores;
+very long texts are scored whole; other columns of ``docs`` aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -39,30 +44,33 @@ from pyspark.sql import types as T
 
 from .common import col, stored, tidied
 
-SIDE = 2
-CLASSES = 64
 ALONE = 32
+GROUPS = 16
+CLASSES = ALONE + GROUPS
+WIDTH = 64
 VOCABULARY = 20_000
 HIDDEN = 16
-STEP = 0.08
-BATCH = 2_048
-ROUNDS = 1
-GROUPS = 16
+STEP = 0.05
+BATCH = 8_192
+ROUNDS = 2
+SUMS = 16
 SEED = 11
 COUNTER_WORDS = 300_000
 CACHE_WORDS = 300_000
 #: Log-probability of a character of a word that wasn't counted.
 SPELL = math.log(1 / 40)
 NANO = 1_000_000_000
+#: Steps of the histogram of counts within a doubling.
+FINE = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def ending_class(word: bytes) -> int:
-    """Class of a word that isn't alone in one."""
-    return ALONE + zlib.crc32(word[-3:]) % (CLASSES - ALONE)
+def group_of(word: bytes) -> int:
+    """Group of a word that isn't alone at the root."""
+    return zlib.crc32(word[-3:]) % GROUPS
 
 
 _COUNTS = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("n", T.LongType(), False)])
@@ -84,42 +92,56 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(col(docs, text).cast("string").alias("text")).mapInArrow(tidied(run), _COUNTS).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``most`` and whole steps of the histogram, most frequent first."""
+    step = F.floor(F.log2("n") * FINE).cast("int")
+    left, least = most, None
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect(), reverse=True):  # at most 64 x FINE rows
+        if r["c"] > left:
+            break
+        left, least = left - r["c"], r["s"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 class Lexicon:
-    """Class and in-class log-probability of any word; ``counts`` (word, n) has the words outside ``known``."""
+    """Codes of words (place at the root x WIDTH + place in the group) and shares of rest words; ``counts`` (word, n) has all words."""
 
-    def __init__(self, top: list[tuple[bytes, int]], class_totals: dict[int, int], total: int, counts: DataFrame | None = None):
-        #: top: most frequent first.  class_totals: words counted by ending class, all words.
+    def __init__(self, top: list[tuple[bytes, int]], group_totals: dict[int, int], counts: DataFrame | None = None):
+        """``top``: most frequent first; ``group_totals``: words counted by group, those that are alone too."""
         self.counts = counts
-        self.alone = {w: k for k, (w, _) in enumerate(top[:ALONE])}
-        sums = np.zeros(CLASSES)
-        for k, n in class_totals.items():
-            sums[k] += n
-        for k, (w, n) in enumerate(top[:ALONE]):
-            sums[k] += n
-            sums[ending_class(w)] -= n
-        self.class_share = (sums + 0.5) / (sums.sum() + 0.5 * CLASSES)
-        known = np.zeros(CLASSES)
-        for w, n in top[ALONE:]:
-            known[ending_class(w)] += n
-        self.known: dict[bytes, tuple[int, float]] = {}
+        self.code: dict[bytes, int] = {}
+        rest = np.array([group_totals.get(g, 0) for g in range(GROUPS)], np.float64)
+        root = np.zeros(CLASSES)
+        nodes = np.zeros((GROUPS, WIDTH))
+        filled = [0] * GROUPS
+        self.known: dict[bytes, int] = {}
         for k, (w, n) in enumerate(top):
-            c = k if k < ALONE else ending_class(w)
-            self.known[w] = c, math.log(n / (sums[c] + 1.0)) if k >= ALONE else 0.0
-        self.unknown = np.log((np.maximum(sums - known, 0) + 1.0) / (sums + 1.0))
-        #: Log-probability of a word of count one in its class.
-        self.one = -np.log(sums + 1.0)
-        self.total = total
+            g = group_of(w)
+            if k < ALONE:
+                self.code[w] = k * WIDTH
+                root[k] = n
+            elif filled[g] < WIDTH - 1:
+                self.code[w] = (ALONE + g) * WIDTH + filled[g]
+                nodes[g, filled[g]] = n
+                filled[g] += 1
+            else:
+                self.known[w] = n
+                continue
+            rest[g] -= n
+        nodes[:, WIDTH - 1] = np.maximum(rest, 0)
+        root[ALONE:] = nodes.sum(1)
+        self.root_share = (root + 0.5) / (root.sum() + 0.5 * CLASSES)
+        self.node_share = (nodes + 0.5) / (nodes.sum(1, keepdims=True) + 0.5 * WIDTH)
+        #: Log-probability of a word of count one in the rest of its group.
+        self.one = -np.log(np.maximum(rest, 0) + 1.0)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"counts": None}  # the table stays where it is
 
-    def get(self, word: bytes) -> tuple[int, float]:
-        """Class and log-probability; that of a word outside ``known`` still lacks ``log_count``."""
-        found = self.known.get(word)
-        if found is None:
-            c = ending_class(word)
-            found = c, float(self.one[c])
-        return found
+    def rest_code(self, word: bytes) -> int:
+        return (ALONE + group_of(word)) * WIDTH + WIDTH - 1
 
 
 def log_count(n: Column, word: Column) -> Column:
@@ -127,212 +149,272 @@ def log_count(n: Column, word: Column) -> Column:
     return F.round(F.coalesce(F.ln(n), F.length(word) * F.lit(SPELL)) * F.lit(NANO)).cast("long")
 
 
-class _Learned(dict):
-    """Looks a missing word up in the lexicon, for both tables of a coder."""
+class Coder(dict):
+    """Codes of words; those of rest words are kept while the table has room."""
 
-    def __init__(self, coder: Coder, field: int):
-        self.coder, self.field = coder, field
+    def __init__(self, lexicon: Lexicon):
+        super().__init__(lexicon.code)
+        self.lexicon = lexicon
 
-    def __missing__(self, word: bytes):
-        return self.coder.learn(word)[self.field]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.update(self.lexicon.code)
+        found = self[word] = self.lexicon.rest_code(word)
+        return found
 
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
 
-class Coder:
-    """Classes and in-class log-probabilities of the words of a text, looked up once per word."""
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
-        self.of_class, self.of_log = _Learned(self, 0), _Learned(self, 1)
+def learn_words(docs: DataFrame, text: str = "text") -> Lexicon:
+    """Count the words of all documents."""
+    counts = stored(word_counts(docs, text), "lm-words")
+    by_group = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("n", T.LongType(), False)])
 
-    def learn(self, word: bytes) -> tuple[int, float]:
-        if len(self.of_class) > CACHE_WORDS:
-            self.of_class.clear()
-            self.of_log.clear()
-        found = self.of_class[word], self.of_log[word] = self.lexicon.get(word)
-        return found
+    def groups(batches):
+        sums: Counter = Counter()
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[group_of(w)] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums.keys()), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=by_group.names)
+
+    totals = {r["k"]: r["n"] for r in counts.mapInArrow(groups, by_group).groupBy("k").agg(F.sum("n").alias("n")).collect()}  # GROUPS rows
+    return Lexicon(frequent(counts, VOCABULARY), totals, counts)
+
+
+_WORD = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("k", T.LongType(), False)])
+_CODED = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("codes", T.BinaryType(), False), T.StructField("part", T.DoubleType(), False),
+    T.StructField("words", T.ArrayType(_WORD, False), False),
+])
+
+
+def coded(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row, codes of all words, ``part`` (shares of rest words of the vocabulary, and ones of the others), ``words`` (the others); stored."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # VOCABULARY words
+    kind = pa.list_(pa.struct([pa.field("word", pa.binary(), False), pa.field("k", pa.int64(), False)]))
+
+    def run(batches):
+        lex = shared.value
+        coder, known, one = Coder(lex), lex.known, lex.one
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                codes, part, words, numbers, ends = [], [], [], [], [0]
+                for t in b.column(1).slice(at, 256):
+                    ws = words_of(t.as_py())
+                    c = coder.codes(ws)
+                    total = 0.0
+                    rest = Counter([ws[i] for i in np.flatnonzero((c % WIDTH == WIDTH - 1) & (c >= ALONE * WIDTH)).tolist()])
+                    for w in sorted(rest):
+                        k = rest[w]
+                        total += k * float(one[group_of(w)])
+                        if w in known:
+                            total += k * math.log(known[w])
+                        else:
+                            words.append(w), numbers.append(k)
+                    codes.append(c.tobytes()), part.append(total), ends.append(len(words))
+                lists = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(numbers, pa.int64())], fields=list(kind.value_type))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(codes, pa.binary()), pa.array(part, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists, type=kind)], names=_CODED.names)
+
+    texts = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
+    return stored(texts.mapInArrow(tidied(run), _CODED).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
+
+
+def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes before and after each word; CLASSES stands for outside the text."""
+    n = len(codes)
+    c = np.full(n + 4, CLASSES, np.int32)
+    c[2 : 2 + n] = codes // WIDTH
+    return c[:n] * (CLASSES + 1) + c[1 : n + 1], c[3 : n + 3] * (CLASSES + 1) + c[4 : n + 4]
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.of_class.__getitem__, words), np.int64, len(words))
 
-    def logs(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.of_log.__getitem__, words), np.float64, len(words))
+def _exp(s: np.ndarray) -> np.ndarray:
+    """exp(s - greatest of the row), in place."""
+    s -= s.max(1, keepdims=True)
+    return np.exp(s, out=s)
 
 
 class Network:
-    """Window network over classes; class number CLASSES stands for outside the text."""
+    """Window network over pairs of classes, with one softmax at the root and one a group."""
 
-    def __init__(self, share: np.ndarray):
+    NAMES = ("L", "R", "b", "U", "c", "W", "d")
+
+    def __init__(self, lexicon: Lexicon):
         rng = np.random.default_rng(SEED)
-        self.E = (rng.standard_normal((2 * SIDE, CLASSES + 1, HIDDEN)) * 0.1).astype(np.float32)
-        self.b = np.zeros(HIDDEN, np.float32)
-        self.U = (rng.standard_normal((HIDDEN, CLASSES)) * 0.1).astype(np.float32)
-        self.c = np.log(share).astype(np.float32)
+        some = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+        pairs = (CLASSES + 1) ** 2
+        self.L, self.R, self.b = some(pairs, HIDDEN), some(pairs, HIDDEN), np.zeros(HIDDEN, np.float32)
+        self.U, self.c = some(HIDDEN, CLASSES), np.log(lexicon.root_share).astype(np.float32)
+        self.W, self.d = some(GROUPS, HIDDEN, WIDTH), np.log(lexicon.node_share).astype(np.float32)
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.E, self.b, self.U, self.c)]).astype(np.float64)
+        return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
 
     def load(self, v: np.ndarray) -> None:
         at = 0
-        for name in "EbUc":
+        for name in self.NAMES:
             x = getattr(self, name)
-            setattr(self, name, v[at : at + x.size].reshape(x.shape).astype(np.float32))
+            setattr(self, name, v[at : at + x.size].reshape(x.shape).astype(x.dtype))
             at += x.size
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and class probabilities for rows of window classes."""
-        z = self.b + self.E[0][around[:, 0]]
-        for j in range(1, 2 * SIDE):
-            z += self.E[j][around[:, j]]
-        h = np.tanh(z)
-        s = h @ self.U + self.c
-        s -= s.max(1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(1, keepdims=True)
-        return h, s
-
-    def train(self, around: np.ndarray, target: np.ndarray, step: float = STEP) -> None:
+    def hidden(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        z = np.take(self.L, before, 0)
+        z += np.take(self.R, after, 0)
+        z += self.b
+        return np.tanh(z, out=z)
+
+    @staticmethod
+    def by_group(root: np.ndarray):
+        """(group, places) of the words that aren't alone at the root."""
+        order = np.argsort(root.astype(np.uint8), kind="stable")
+        ends = np.searchsorted(root[order], np.arange(ALONE, CLASSES + 1))
+        for g in range(GROUPS):
+            if ends[g + 1] > ends[g]:
+                yield g, order[ends[g] : ends[g + 1]]
+
+    def logs(self, before: np.ndarray, after: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Log-probability of each word's way through the tree."""
+        h, n = self.hidden(before, after), len(codes)
+        root, place = (codes // WIDTH).astype(np.int64), (codes % WIDTH).astype(np.int64)
+        e = _exp(h @ self.U + self.c)
+        out = np.log(np.maximum(e[np.arange(n), root] / e.sum(1), 1e-30)).astype(np.float64)
+        for g, at in self.by_group(root):
+            e = _exp(h[at] @ self.W[g] + self.d[g])
+            out[at] += np.log(np.maximum(e[np.arange(len(at)), place[at]] / e.sum(1), 1e-30))
+        return out
+
+    def train(self, before: np.ndarray, after: np.ndarray, codes: np.ndarray, step: float = STEP) -> None:
         """One gradient step on a batch; the sum of gradients is scaled by 1 / sqrt(batch)."""
-        n = len(target)
-        h, s = self.forward(around)
-        s[np.arange(n), target] -= 1
-        s *= step / math.sqrt(n)
-        dh = (s @ self.U.T) * (1 - h * h)
-        self.U -= h.T @ s
-        self.c -= s.sum(0)
+        n = len(codes)
+        h = self.hidden(before, after)
+        root, place = (codes // WIDTH).astype(np.int64), (codes % WIDTH).astype(np.int64)
+        rate = np.float32(step / math.sqrt(n))
+
+        def node(x, weight, bias, target):
+            """Moves a node and returns what its words want of their hidden layer."""
+            s = _exp(x @ weight + bias)
+            s *= rate / s.sum(1, keepdims=True)
+            s[np.arange(len(target)), target] -= rate
+            back = s @ weight.T
+            weight -= x.T @ s
+            bias -= s.sum(0)
+            return back
+
+        dh = node(h, self.U, self.c, root)
+        for g, at in self.by_group(root):
+            dh[at] += node(h[at], self.W[g], self.d[g], place[at])
+        dh *= 1 - h * h
         self.b -= dh.sum(0)
-        rows = np.zeros((n, CLASSES + 1), np.float32)
-        for j in range(2 * SIDE):
-            rows[np.arange(n), around[:, j]] = 1
-            self.E[j] -= rows.T @ dh
-            rows[np.arange(n), around[:, j]] = 0
-
-
-def windows(classes: np.ndarray) -> np.ndarray:
-    """Classes around each word, itself left out."""
-    n = len(classes)
-    padded = np.full(n + 2 * SIDE, CLASSES, np.int64)
-    padded[SIDE : SIDE + n] = classes
-    places = [k for k in range(2 * SIDE + 1) if k != SIDE]
-    return np.stack([padded[k : k + n] for k in places], 1)
+        for table, pair in ((self.L, before), (self.R, after)):
+            order = np.argsort(pair.astype(np.uint16), kind="stable")
+            pair = pair[order]
+            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            table[pair[first]] -= np.add.reduceat(dh[order], first, 0)
 
 
-_SUMS = T.StructType([T.StructField("w", T.DoubleType(), False), T.StructField("v", T.BinaryType(), False)])
+_SUM = T.StructType([T.StructField("w", T.DoubleType(), False), T.StructField("v", T.BinaryType(), False)])
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Lexicon, Network]:
-    """Count words and train, both over all documents."""
-    spark = docs.sparkSession
-    counts = stored(word_counts(docs, text), "lm-words")
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]  # VOCABULARY rows
-    totals: dict[int, int] = {}
-    by_ending = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("n", T.LongType(), False)])
+def train(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Network:
+    """Train on coded texts: round r predicts words r, r + rounds, ... of each."""
+    spark = texts.sparkSession
+    network = Network(lexicon)
+    start = network.vector()
+    bare = Lexicon([], {})  # the shapes; the parameters come as a vector
 
-    def endings(batches):
-        sums: Counter = Counter()
-        for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[ending_class(w)] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums.keys()), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=by_ending.names)
-
-    for r in counts.mapInArrow(endings, by_ending).groupBy("k").agg(F.sum("n").alias("n")).collect():  # CLASSES rows
-        totals[r["k"]] = r["n"]
-    lexicon = Lexicon(top, totals, sum(totals.values()), counts)
-    network = Network(lexicon.class_share)
-    texts = docs.select(col(docs, text).cast("string").alias("text"))
-    groups = GROUPS
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((lexicon, network.vector()))
+        shared = spark.sparkContext.broadcast(start)
 
         def local(batches):
-            lex, start = shared.value
-            coder, net, seen = Coder(lex), Network(lex.class_share), 0
-            net.load(start)
-            rest_a, rest_t = [], []
-            held = 0
+            net, seen, held, rows = Network(bare), 0, 0, []
+            net.load(shared.value)
+
+            def go():
+                a, z, y = (np.concatenate(x) for x in zip(*rows))
+                for at in range(0, held, BATCH):
+                    net.train(a[at : at + BATCH], z[at : at + BATCH], y[at : at + BATCH], STEP / (1 + turn))
+
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    words = words_of(t)
-                    if not words:
-                        continue
-                    c = coder.classes(words)
-                    rest_a.append(windows(c)), rest_t.append(c)
-                    held += len(c)
-                    if held >= 8 * BATCH:
-                        a, y = np.concatenate(rest_a), np.concatenate(rest_t)
-                        for at in range(0, held, BATCH):
-                            net.train(a[at : at + BATCH], y[at : at + BATCH], STEP / (1 + turn))
-                        seen += held
-                        rest_a, rest_t, held = [], [], 0
+                for data in b.column(0):
+                    c = np.frombuffer(data.as_buffer(), np.uint16)
+                    if len(c) > turn:
+                        rows.append(tuple(x[turn::rounds] for x in (*windows(c), c)))
+                        held += len(rows[-1][2])
+                    if held >= BATCH:
+                        go()
+                        seen, held, rows = seen + held, 0, []
             if held:
-                a, y = np.concatenate(rest_a), np.concatenate(rest_t)
-                for at in range(0, held, BATCH):
-                    net.train(a[at : at + BATCH], y[at : at + BATCH], STEP / (1 + turn))
-                seen += held
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([(net.vector() * seen).tobytes()], pa.binary())], names=_SUMS.names)
+                go()
+            if seen + held:
+                yield pa.RecordBatch.from_arrays([pa.array([float(seen + held)]), pa.array([(net.vector() * np.float32(seen + held)).tobytes()], pa.binary())], names=_SUM.names)
 
         def add(batches):
             w, v = 0.0, None
             for b in batches:
-                for x, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    part = np.frombuffer(data)
+                for x, data in zip(b.column(0).to_pylist(), b.column(1)):
+                    part = np.frombuffer(data.as_buffer(), np.float32).astype(np.float64)
                     w, v = w + x, part if v is None else v + part
             if v is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([w]), pa.array([v.tobytes()], pa.binary())], names=_SUMS.names)
+                yield pa.RecordBatch.from_arrays([pa.array([w]), pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=_SUM.names)
 
-        parts = texts.mapInArrow(tidied(local), _SUMS)
-        key = F.pmod(F.xxhash64("v"), F.lit(groups))
-        sums = parts.withColumn("k", key).repartition(groups, "k").select("w", "v").mapInArrow(add, _SUMS).collect()  # at most GROUPS rows
+        parts = texts.select("codes").mapInArrow(tidied(local), _SUM)
+        sums = parts.repartition(SUMS, F.xxhash64("v")).sortWithinPartitions("w", "v").mapInArrow(add, _SUM).collect()  # at most SUMS rows
         if not sums:
             break
         weight = sum(r["w"] for r in sums)
-        ordered = sorted((bytes(r["v"]) for r in sums))
-        network.load(np.sum([np.frombuffer(v) for v in ordered], axis=0) / weight)
-    return lexicon, network
+        start = np.sum([np.frombuffer(v, np.float32).astype(np.float64) for v in sorted(bytes(r["v"]) for r in sums)], axis=0) / weight
+    network.load(start)
+    return network
 
 
-_WORD = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("k", T.LongType(), False)])
-_PART = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType(), False), T.StructField("part", T.DoubleType(), False), T.StructField("words", T.ArrayType(_WORD, False), False)])
-
-
-def score(docs: DataFrame, model: tuple[Lexicon, Network], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, sum_logprob, mean_logprob of every whole text."""
-    counts = model[0].counts
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # VOCABULARY words and the parameters
-    kind = pa.list_(pa.struct([pa.field("word", pa.binary(), False), pa.field("k", pa.int64(), False)]))
+def score_coded(texts: DataFrame, lexicon: Lexicon, network: Network) -> DataFrame:
+    """doc_id, n_tokens, sum_logprob, mean_logprob of coded texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(network.vector())
+    bare = Lexicon([], {})
+    schema = "row long, doc_id long, n_tokens long, part double"
 
     def run(batches):
-        lexicon, network = shared.value
-        coder, known = Coder(lexicon), lexicon.known
+        net = Network(bare)
+        net.load(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                texts = [words_of(t) for t in b.column(1).slice(at, 64).to_pylist()]
-                lengths = np.array([len(t) for t in texts])
-                sums = np.zeros(len(texts))
-                full = [t for t in texts if t]
-                if full:
-                    coded = [coder.classes(t) for t in full]
-                    a = np.concatenate([windows(c) for c in coded])
-                    y = np.concatenate(coded)
-                    logs = np.concatenate([coder.logs(t) for t in full])
-                    for s in range(0, len(y), 4 * BATCH):
-                        _, p = network.forward(a[s : s + 4 * BATCH])
-                        got = p[np.arange(len(p)), y[s : s + 4 * BATCH]]
-                        logs[s : s + 4 * BATCH] += np.log(np.maximum(got, 1e-30))
+                codes = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(2).slice(at, 64)]
+                lengths = np.array([len(c) for c in codes])
+                sums = np.zeros(len(codes))
+                if lengths.any():
+                    before, after = (np.concatenate(x) for x in zip(*(windows(c) for c in codes)))
+                    y = np.concatenate(codes)
+                    logs = np.concatenate([net.logs(before[s : s + BATCH], after[s : s + BATCH], y[s : s + BATCH]) for s in range(0, len(y), BATCH)])
                     ends = np.cumsum(lengths)
                     total = np.concatenate([[0.0], np.cumsum(logs)])
                     sums = total[ends] - total[ends - lengths]
-                rest = [Counter([w for w in t if w not in known]) for t in texts]
-                words = pa.StructArray.from_arrays([pa.array([w for r in rest for w in r], pa.binary()), pa.array([k for r in rest for k in r.values()], pa.int64())], fields=list(kind.value_type))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rest])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 64), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(offsets, words, type=kind)], names=_PART.names)
+                part = sums + b.column(3).slice(at, 64).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 64), b.column(1).slice(at, 64), pa.array(lengths, pa.int64()), pa.array(part)], names=["row", "doc_id", "n_tokens", "part"])
 
-    texts = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
-    parts = stored(texts.mapInArrow(tidied(run), _PART).withColumn("row", F.monotonically_increasing_id()), "lm-texts")
-    rest = parts.select("row", F.explode("words").alias("w")).select("row", "w.word", "w.k")
-    rest = rest.join(counts, "word", "left") if counts is not None else rest.withColumn("n", F.lit(None).cast("long"))
+    parts = texts.select("row", "doc_id", "codes", "part").mapInArrow(tidied(run), schema)
+    rest = texts.select("row", F.explode("words").alias("w")).select("row", "w.word", "w.k")
+    rest = rest.join(lexicon.counts, "word", "left") if lexicon.counts is not None else rest.withColumn("n", F.lit(None).cast("long"))
     logs = rest.groupBy("row").agg(F.sum(F.col("k") * log_count(F.col("n"), F.col("word"))).alias("billionths"))
     total = F.round(F.col("part") + F.coalesce(F.col("billionths"), F.lit(0)) / NANO, 4)
-    out = parts.drop("words").join(logs, "row", "left").select("doc_id", "n_tokens", total.alias("sum_logprob"))
-    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("sum_logprob") / F.col("n_tokens"), 6))
-    return out.withColumn("mean_logprob", mean)
+    out = parts.join(logs, "row", "left").select("doc_id", "n_tokens", total.alias("sum_logprob"))
+    return out.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.round(F.col("sum_logprob") / F.col("n_tokens"), 6)))
+
+
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Lexicon, Network]:
+    """Count words and train, both over all documents."""
+    lexicon = learn_words(docs, text)
+    ids = docs.select(F.lit(None).cast("long").alias("doc_id"), col(docs, text).alias("text"))
+    return lexicon, train(coded(ids, lexicon), lexicon, rounds)
+
+
+def score(docs: DataFrame, model: tuple[Lexicon, Network], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, sum_logprob, mean_logprob of every whole text."""
+    return score_coded(coded(docs, model[0], doc_id, text), *model)
+
+
+def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``score`` of the documents by a model of these documents; they are coded once."""
+    lexicon = learn_words(docs, text)
+    texts = coded(docs, lexicon, doc_id, text)
+    return score_coded(texts, lexicon, train(texts, lexicon, rounds))

@@ -51,8 +51,7 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs))
+    return lm_score.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op8_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,17 +105,18 @@ class Index:
         self.ids, self.labels, self.weights = ids, labels.astype(float), weights
         self.bare = float(np.average(labels, weights=weights)) if n else 0.0
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
+        self.shared = None
         if not n:
             return
         unit = [self.unit(*v) for v in vectors]
         # Examples that share their heaviest terms stand together.
         heavy = [tuple(self.vocabulary[t[np.argsort(-w, kind="stable")[:3]]].tolist()) for t, w in unit]
         order = sorted(range(n), key=lambda k: (heavy[k], ids[k] is None, ids[k] or 0))
-        self.vectors = [unit[k] for k in order]
+        unit = [unit[k] for k in order]
         self.ids, self.labels, self.weights = [ids[k] for k in order], self.labels[order], weights[order]
-        sizes = [len(t) for t, _ in self.vectors]
-        term = np.concatenate([t for t, _ in self.vectors])
-        value = np.concatenate([w for _, w in self.vectors])
+        sizes = [len(t) for t, _ in unit]
+        term = np.concatenate([t for t, _ in unit])
+        value = np.concatenate([w for _, w in unit]).astype(np.float32)
         self.own_begin, self.own_term, self.own_value = np.cumsum([0, *sizes]), term.astype(np.int32), value
         place = np.repeat(np.arange(n, dtype=np.int32), sizes)
         by_term = np.argsort(term, kind="stable")
@@ -127,9 +128,18 @@ class Index:
         self.block_of = (run[self.begin] % self.blocks).astype(np.int32)
         self.first_run = np.searchsorted(run[self.begin] // self.blocks, np.arange(m + 1))
         self.most = np.maximum.reduceat(self.best, self.first_run[:-1])
-        self.begin = np.r_[self.begin, len(term)]
+        self.begin = np.r_[self.begin, len(term)].astype(np.int32)
         self.block_places = np.arange(n) // BLOCK
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shared": None}
+
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The examples' unit vectors, in the index's order."""
+        cut = self.own_begin[1:-1]
+        return list(zip(np.split(self.own_term, cut), np.split(self.own_value, cut))) if self.size else []
+
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the vocabulary and weights of a unit vector; terms that no example has are left out."""
         at = np.searchsorted(self.vocabulary, terms)
@@ -246,17 +256,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     vectors = [tuple(np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("terms", "counts")) for r in got]
     index = Index(vectors, np.array([r["y"] for r in got], float), np.array([1 / max(1e-9, rates[r["y"]]) for r in got]), [r["doc_id"] for r in got])
     if got:
-        shared = spark.sparkContext.broadcast(index)
+        index.shared = shared = spark.sparkContext.broadcast(index)
 
         def left_out(batches):
+            vectors = shared.value.vectors
             for b in batches:
-                places = b.column(0).to_pylist()
-                raw = [shared.value.vote(shared.value.nearest(shared.value.vectors[k], but=k)) for k in places]
+                raw = [shared.value.vote(shared.value.nearest(vectors[k], but=k)) for k in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.float64())], names=["id", "raw"])
 
         votes = spark.range(len(got), numPartitions=max(1, len(got) // 250)).mapInArrow(left_out, "id long, raw double").collect()
         index.calibrate(np.array([r["raw"] for r in sorted(votes)]))
-        del index.vectors  # for leave-one-out only
     return index
 
 
@@ -268,10 +277,12 @@ _OUT = T.StructType([
 
 def score(docs: DataFrame, model: Index, held: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the nearest examples)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES
+    # Bounded by MAX_EXAMPLES; the index went to the workers when it was fitted, only the steps are new.
+    shared, steps = model.shared or docs.sparkSession.sparkContext.broadcast(model), model.steps
 
     def run(batches):
         index, terms = shared.value, Terms()
+        index.steps = steps
         for b in batches:
             got = [index.score(*terms(t.as_py())) for t in b.column(2)]
             s = [round(g[0], 9) for g in got]

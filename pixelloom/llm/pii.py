@@ -6,21 +6,25 @@ joined again.  So equal entities get equal surrogates everywhere (coreference),
 are written differently: numbers are compared by their digits, names and addresses without case.
 
 Surrogates are made from sha-256 of (key, type, attempt, canonical form):
-  digits    card, phone, id and account numbers: new digits in the place of the old, separators,
+  digits    card, phone, id and account numbers: new digits in the place of the old, separators, letters,
             length, leading digit (cards; their check digit is made valid) and country code (phones) kept
-  email     letters and digits of the local part changed, host under a reserved example domain
-  ip        four new octets
+  email     letters (in their script) and digits of the local part changed, host under a reserved example domain
+  ip        four new octets; hexip (version 6): new hex digits, colons kept
   secret    hex digits, letters and digits exchanged place by place for their own kind
   names     syllables of the name's script (Latin, Cyrillic, Greek) with an ending of the given name's
-            gender; capitals as found.  A surname found once is replaced wherever the document repeats it.
+            gender; capitals as found.  A name is found by a list of given names, by a title before it, or by
+            words that introduce one ("my name is", "signed by") and up to one capitalised word between.
+            A surname found once is replaced wherever the document repeats it.
 
 Collision check: the distinct entities of all documents are grouped by surrogate; where two share
 one, or one is itself an entity of the corpus, all but the first are made anew with the next
-attempt, until none is left.  Distinct entities thus stay distinct.
+attempt, until none is left; names get more syllables with later attempts.  Distinct entities thus stay
+distinct; an error is raised if a format has fewer values than the corpus has entities of it.
 
 The entities, not the texts, are what the collision rounds move; the final surrogates come back to
 a document as one map per doc_id (per text, where the id is null).  Defined cases: null text stays null, empty text empty; other columns pass
-through; repeated rows are treated alike; rows of one doc_id share a map.
+through, whatever their names; repeated rows are treated alike; rows of one doc_id share a map; very long
+texts are searched whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ from .common import col, drop_stored, fresh, q, stored
 MALE = ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Charles", "Daniel", "Hans", "Klaus", "Jürgen", "Pierre", "Jean", "François", "José", "Juan", "Carlos", "Luis", "Иван", "Александр", "Дмитрий", "Сергей", "Γιώργος", "Νίκος")
 FEMALE = ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Ursula", "Monika", "Sabine", "Marie", "Isabelle", "Céline", "María", "Carmen", "Lucía", "Ana", "Анна", "Мария", "Елена", "Ольга", "Μαρία", "Ελένη")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra")
+# Words that introduce a name.
+INTRODUCED = ("name is", "Name:", "named", "signed by", "Signed by", "Contact:", "heiße", "Name ist", "m'appelle", "nom est", "me llamo", "nombre es", "меня зовут")
+# Letters that the sixteen of a surrogate stand for, by script.
+SIXTEEN, SIXTEEN_CYRILLIC, SIXTEEN_GREEK = "ghijklmnopabcdef", "абвгдежзиклмнопр", "αβγδεζηθικλμνξοπ"
 # Syllables by script.
 LATIN = ("ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "pa", "ra", "re", "ro", "sa", "se", "ta", "te", "to", "va", "ve")
 CYRILLIC = ("ба", "бо", "ва", "ве", "да", "до", "за", "ка", "ко", "ла", "ло", "ма", "мо", "на", "но", "по")
@@ -47,18 +55,25 @@ HEX = r"(?=[a-fA-F]{0,63}[0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])"
 ASSIGN = r"(?i:token|secret|passw(?:or)?d|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 ASSIGNED = ASSIGN + r"(?![\"'\s])[^\s\"',;]{6,}+"
 IP = r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-IBAN = r"[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])"
+IP6 = r"(?=[0-9a-fA-F:]{0,39}\d)(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])"
+IBAN = r"(?=[A-Z]{2}\d{2}(?:[A-Z ]{0,12}\d){6})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<!-)\d(?:[ -]?\d){12,18}(?![\d-])"
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?![\d-])"
+PHONE = (
+    r"(?:(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?![\d-])"
+    r"|(?:\+\d{1,3}[ .-]?\d|0\d)(?:[ .-]\d{2}){4}(?![\d-])|\+\d{1,3}[ .-]?\d{2,4}[ .-]?\d{6,8}(?![\d-])|\+\d{8,14}(?![\d-]))"
+)
 _GIVEN = "|".join(n for x in MALE + FEMALE for n in (x, x.upper()))
 GIVEN = "(?:" + _GIVEN + r")(?!\p{L})"
-SURNAME = r"(?<=(?:" + _GIVEN + "|(?:" + "|".join(TITLES) + r")\.?) )" + _NAME
+_INTRODUCED = "(?:" + "|".join(INTRODUCED) + ")"
+SURNAME = r"(?<=(?:" + _GIVEN + "|(?:" + "|".join(TITLES) + r")\.?|" + _INTRODUCED + r"(?: \p{Lu}[\p{L}'’-]{1,20})?) )" + _NAME
 PATTERN = (
     START + "(?:(?=[\\d+(])(?:" + "|".join((IP, CARD, SSN, PHONE)) + ")|(?=\\p{Lu})(?:" + "|".join((IBAN, GIVEN, SURNAME))
-    + ")|" + "|".join((ASSIGNED, HEX, EMAIL)) + ")"
+    + ")|" + "|".join((ASSIGNED, IP6, HEX, EMAIL)) + ")"
 )
 
+#: Distinct entities whose surrogates one task makes.
+TASK_ENTITIES = 2_000
 DIGIT_TYPES = ("card", "iban", "ssn", "phone")
 
 
@@ -67,8 +82,9 @@ def kind_of(x: Column) -> Column:
     return (
         F.when(x.rlike(r"^[^\s@]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"), "email")
         .when(x.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+        .when(x.rlike(r"^[0-9a-fA-F:]*:[0-9a-fA-F:]*$"), "hexip")
         .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(x.rlike(r"^[A-Z]{2}\d{2}[ \d]{12,}$"), "iban")
+        .when(x.rlike(r"^[A-Z]{2}\d{2}[ A-Z\d]{8,}$") & x.rlike(r"(\d\D*){8}"), "iban")
         .when(x.rlike(r"^\d([ -]?\d){12,18}$"), "card")
         .when(x.rlike(r"^\+?[\d(][\d() .-]*\d$") & x.rlike(r"[() .+-]"), "phone")
         .when(F.upper(x).isin(*map(str.upper, MALE)), "male")
@@ -96,9 +112,9 @@ def _number(hexes: Column, at: int, width: int = 4) -> Column:
     return F.conv(F.substring(hexes, at, width), 16, 10).cast("int")
 
 
-def _syllables(h: Column, table: tuple[str, ...], count: int) -> Column:
+def _syllables(h: Column, table: tuple[str, ...], count: int, first: int = 0) -> Column:
     t = F.array(*map(F.lit, table))
-    return F.concat(*(F.element_at(t, _number(h, 1 + 3 * k, 3) % len(table) + 1) for k in range(count)))
+    return F.concat(*(F.element_at(t, _number(h, 1 + 3 * k, 3) % len(table) + 1) for k in range(first, first + count)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -123,30 +139,33 @@ def with_surrogate(canons: DataFrame, secret_key: str) -> DataFrame:
     kind, form, h, attempt, stream, hexes, letters = map(F.col, ("kind", "form", "h", "attempt", "stream", "hexes", "letters"))
     size = F.length(form)
     digits = F.array_join(F.transform(_chars(form), lambda c, i: F.when(c.rlike(r"\d"), stream.substr(i % 128 + 1, F.lit(1))).otherwise(c)), "")
-    keep = F.when(kind == "card", 1).when(kind == "iban", 2).when(kind == "phone", F.greatest(size - 10, F.lit(0))).otherwise(0)
+    # Country codes of one digit (1, 7) or two, and a leading zero, stay.
+    trunk = F.when(form.startswith("0"), 1).when(size <= 10, 0).when((size == 11) & form.rlike("^[17]"), 1).otherwise(2)
+    keep = F.when(kind == "card", 1).when(kind == "iban", 2).when(kind == "phone", trunk).otherwise(0)
     fresh_digits = F.concat(form.substr(F.lit(1), keep), digits.substr(keep + 1, size))
     # An area code doesn't begin with 0 or 1.
     fresh_digits = F.when((kind == "phone") & (size >= 10), F.concat(form.substr(F.lit(1), keep), (_number(h, 1) % 8 + 2).cast("string"), digits.substr(keep + 2, size))).otherwise(fresh_digits)
     is_hex = form.rlike("^[0-9a-f]+$")
     place = lambda s, i: s.substr(i % 128 + 1, F.lit(1))
     secret = F.array_join(F.transform(_chars(form), lambda c, i: F.when(is_hex, place(hexes, i)).when(c.rlike(r"\d"), place(stream, i)).when(c.rlike(r"\p{Lu}"), F.upper(place(letters, i))).when(c.rlike(r"\p{L}"), place(letters, i)).otherwise(c)), "")
+    ip6 = F.array_join(F.transform(_chars(form), lambda c, i: F.when(c == ":", c).otherwise(place(hexes, i))), "")
+    cyrillic, greek = form.rlike(r"\p{IsCyrillic}"), form.rlike(r"\p{IsGreek}")
+    script = lambda c, x: F.when(c.rlike(r"\p{IsCyrillic}"), F.translate(x, SIXTEEN, SIXTEEN_CYRILLIC)).when(c.rlike(r"\p{IsGreek}"), F.translate(x, SIXTEEN, SIXTEEN_GREEK)).otherwise(x)
     local = F.substring_index(form, "@", 1)
-    mail = F.array_join(F.transform(_chars(local), lambda c, i: F.when(c.rlike(r"\d"), place(stream, i)).when(c.rlike(r"\p{L}"), place(letters, i)).otherwise(c)), "")
+    mail = F.array_join(F.transform(_chars(local), lambda c, i: F.when(c.rlike(r"\d"), place(stream, i)).when(c.rlike(r"\p{L}"), script(c, place(letters, i))).otherwise(c)), "")
     hosts = F.array(*map(F.lit, ("example.com", "example.org", "example.net")))
     email = F.concat(mail, F.lit("@mx"), (_number(h, 9) % 1000).cast("string"), F.lit("."), F.element_at(hosts, _number(h, 13) % 3 + 1))
     ip = F.concat_ws(".", (_number(h, 1) % 223 + 1).cast("string"), *((_number(h, 5 + 4 * k) % 256).cast("string") for k in range(3)))
-    cyrillic, greek = form.rlike(r"\p{IsCyrillic}"), form.rlike(r"\p{IsGreek}")
-    stem = F.when(cyrillic, _syllables(h, CYRILLIC, 4)).when(greek, _syllables(h, GREEK, 4)).otherwise(_syllables(h, LATIN, 4))
-    more = F.when(attempt > 1, _number(h, 30, 3).cast("string")).otherwise("")
-    more = F.translate(more, "0123456789", "aeiouaeiou")
+    # Four syllables, six from the second attempt on, eight from the fourth.
+    names = lambda table: F.concat(_syllables(h, table, 4), F.when(attempt > 0, _syllables(h, table, 2, 4)).otherwise(""), F.when(attempt > 2, _syllables(h, table, 2, 6)).otherwise(""))
+    stem = F.when(cyrillic, names(CYRILLIC)).when(greek, names(GREEK)).otherwise(names(LATIN))
     end_female = F.when(cyrillic, "на").when(greek, "να").otherwise("na")
     end_male = F.when(cyrillic, "р").when(greek, "ς").otherwise("n")
     end_surname = F.when(cyrillic, F.when(form.rlike("а$"), "ва").otherwise("в")).when(greek, "ς").otherwise("r")
-    more = F.when(cyrillic | greek, "").otherwise(more)
-    name = F.concat(stem, more, F.when(kind == "female", end_female).when(kind == "male", end_male).otherwise(end_surname))
+    name = F.concat(stem, F.when(kind == "female", end_female).when(kind == "male", end_male).otherwise(end_surname))
     made = (
         F.when(kind == "card", _luhn(fresh_digits)).when(kind.isin(*DIGIT_TYPES), fresh_digits)
-        .when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).otherwise(name)
+        .when(kind == "email", email).when(kind == "ip", ip).when(kind == "hexip", ip6).when(kind == "secret", secret).otherwise(name)
     )
     return rows.select("canon", "attempt", made.alias("surrogate"))
 
@@ -175,7 +194,8 @@ def assign(canons: DataFrame, secret_key: str, rounds: int = 50) -> DataFrame:
     todo = canons.select("canon", F.lit(0).alias("attempt"))
     settled: DataFrame | None = None
     for turn in range(rounds):
-        made = with_surrogate(todo, secret_key)
+        # Few bytes but much work a row: dealt by number of rows, not by bytes.
+        made = stored(with_surrogate(todo.repartition(1 + todo.count() // TASK_ENTITIES, "canon"), secret_key), f"pii-made{turn}")
         made = made.withColumn("as_canon", F.concat(F.substring_index("canon", "|", 1), F.lit("|"), F.col("surrogate")))
         taken = canons.select(F.col("canon").alias("as_canon"))
         if settled is not None:
@@ -199,7 +219,7 @@ def replace_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = docs.select(key.alias("id"), F.explode(F.array_distinct(entities(t))).alias("entity")).withColumn("kind", kind_of(F.col("entity")))
     found = found.groupBy("id", canonical(F.col("entity"), F.col("kind")).alias("canon")).agg(F.lit(1).alias("one"))
     found = stored(found.select("id", "canon"), "pii-entities")
-    surrogates = assign(found.select("canon").distinct(), secret_key)
+    surrogates = assign(stored(found.select("canon").distinct(), "pii-canons"), secret_key)
     maps = found.join(surrogates, "canon").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("canon", "surrogate"))).alias("map"))
     # Surnames of the document are found again wherever they stand alone.
     surnames = F.transform(F.filter(F.map_keys("map"), lambda k: k.startswith("surname|")), lambda k: F.initcap(F.substring(k, 9, 1000)))

@@ -101,3 +101,34 @@ def test_no_python_in_the_plan(spark, sf_dir):
 
     plan = op1_pii_surrogates(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+FORMS = {
+    1: ("Ring +491701234567 or 06 12 34 56 78 or +33 6 12 34 56 78 today.", r"Ring \+49\d{10} or 0\d \d\d \d\d \d\d \d\d or \+33 \d \d\d \d\d \d\d \d\d today\.", ("1701234567", "12 34 56 78")),
+    2: ("IBAN GB29 NWBK 6016 1331 9268 19, or DE89370400440532013000.", r"IBAN GB\d\d NWBK \d{4} \d{4} \d{4} \d\d, or DE\d{20}\.", ("6016 1331", "370400440532013000")),
+    3: ("From 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1ff:fe23:4567:890a.", r"From [0-9a-f]{4}(:[0-9a-f]{4}){7} and [0-9a-f]{4}::[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}\.", ("85a3", "4567:890a")),
+    4: ("My name is Zoltan Kovacs. Kovacs said so.", r"My name is (\w+) (\w+r)\. \2 said so\.", ("Zoltan", "Kovacs")),
+    5: ("Ich heiße Özgür Yılmaz, je m'appelle Amélie Dupont.", r"Ich heiße \w+ \w+, je m'appelle \w+ \w+\.", ("Özgür", "Yılmaz", "Amélie", "Dupont")),
+    6: ("Пишите ольга.п@mail.example.com скорее.", r"Пишите [а-я]{5}\.[а-я]@mx\d+\.example\.\w+ скорее\.", ("ольга",)),
+    7: ("At 12:30:45 the ratio 3:4 held; std::vector, IN 2024 ALL THE 1234 WORDS.", None, ()),
+}
+
+
+def test_more_forms(spark):
+    d = spark.createDataFrame([(i, f[0]) for i, f in FORMS.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(d).collect()}
+    for i, (before, pattern, gone) in FORMS.items():
+        if pattern is None:
+            assert got[i] == before
+        else:
+            assert re.fullmatch(pattern, got[i]), (i, got[i])
+            assert not any(x in got[i] for x in gone), (i, got[i])
+
+
+def test_more_names_than_short_surrogates(spark):
+    """70,000 Cyrillic surnames, more than there are four-syllable ones."""
+    letters = "абвгдежзик"
+    canons = spark.range(70_000).select(F.concat(F.lit("surname|ц"), F.translate(F.col("id").cast("string"), "0123456789", letters), F.lit("ов")).alias("canon"))
+    got = pii.assign(canons, "k")
+    assert got.count() == 70_000 == got.select("surrogate").distinct().count()
+    assert got.where(~F.col("surrogate").rlike("^[а-я]+в$")).count() == 0

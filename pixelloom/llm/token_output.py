@@ -13,15 +13,23 @@ File format (little-endian), one file per shard of consecutive documents:
 ``bits`` is the least number that holds every id of the vocabulary.  A block unpacks with
 numpy in one go, and any id range is reached through the block offsets.
 
-Shards: bounds are quantiles of the id column alone (read column-pruned), every document goes
-to the shard of its id, and the tokenised rows, not the texts, are shuffled.  A task writes a
-shard under an attempt's own name and renames it, so a lost executor's retry only replaces the
-same bytes.  A shard is streamed: memory holds one block and the shard's tables.
+Ranges: the id column alone (read column-pruned) is range-partitioned, at most ``MAX_RANGES`` ways, and the
+greatest id of each part is a bound.  Every document goes to the range of its id, and the tokenised
+rows, not the texts, are shuffled, one range to a task.  A task streams its range into shard
+files of about ``SHARD_IDS`` ids each (one document is never split), so memory holds one block and one
+file's tables, however large a range is.  A file is written under an attempt's own name and renamed, so a
+lost executor's retry only replaces the same bytes.
+
+Defined cases: null text is empty; null ids come first; rows of one id are of one range and ordered by
+their token bytes; repeated rows are stored as often as they come; very long texts are encoded whole and
+make a longer file; empty tables write no file; other columns of ``docs`` aren't read, so their names
+can't clash.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import re
 import struct
 import uuid
@@ -40,8 +48,11 @@ from .common import col, new_path, stored, tidied
 MAGIC = b"PXLTOK01"
 FOOTER = struct.Struct("<IIIIQQQQ")
 BLOCK = 8192
-#: Documents a shard is meant to hold.
+#: Documents a range is meant to hold, and the most ranges there are (their bounds go to every task).
 SHARD_DOCS = 4096
+MAX_RANGES = 1 << 16
+#: Ids after which a shard file is closed.
+SHARD_IDS = 1 << 22
 END_ID = 1
 #: Pieces kept in a worker's cache of encodings; it is emptied when full.
 CACHE_PIECES = 700_000
@@ -167,9 +178,18 @@ class Encoder:
     encodes on its own, and its ids are cached.  New pieces are encoded many at a time by the same
     model; each ends with the one token that has the end-of-word mark, which parts the ids again.
     Any other text, or one that holds the start of a special token, goes to the library whole, and
-    so does everything if the vocabulary has no end-of-word mark.
+    so does everything if the vocabulary's normaliser, splitter or model aren't the ones this is made for.
     """
 
+    #: The normaliser and the splitter that pieces are made for.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLITTER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
     #: Fixed value: the splitter's pattern for lower-cased plain characters, letters first.
     PIECE = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\w\s']|_|'(?!s|t|re|ve|m|ll|d))(?:[^\w\s]|_)*")
     MARK = "</w>"
@@ -182,7 +202,11 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith(self.MARK)]] = True
-        self.marked = bool(self.last.any())
+        given = json.loads(self.tokenizer.to_str())
+        special = all(t["special"] and t["content"].startswith(_MARK) for t in given.get("added_tokens") or ())
+        model = given["model"]
+        plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == self.MARK and not model.get("dropout") and not model.get("continuing_subword_prefix")
+        self.marked = special and plain and given.get("normalizer") == self.NORMALIZER and given.get("pre_tokenizer") == self.SPLITTER
         #: The same model for pieces, which need no normaliser and no pattern any more.
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -245,30 +269,39 @@ def encoder(file: str) -> Encoder:
 
 
 def shard_bounds(docs: DataFrame, doc_id: str, shard_docs: int = SHARD_DOCS) -> list[int]:
-    """Upper bounds of all shards but the last; about ``shard_docs`` documents each."""
+    """Upper bounds of all ranges but the last; about ``shard_docs`` documents each."""
     ids = docs.select(col(docs, doc_id).cast("long").alias("i"))
-    n = ids.count()
-    k = max(1, -(-n // shard_docs))
+    k = min(MAX_RANGES, max(1, -(-ids.count() // shard_docs)))
     if k == 1:
         return []
-    got = ids.agg(F.percentile_approx("i", [j / k for j in range(1, k)], max(10_000, 20 * k)).alias("b")).first()["b"]
-    return sorted(set(got or []))
+    parts = ids.repartitionByRange(k, "i").groupBy(F.spark_partition_id().alias("p")).agg(F.max("i").alias("b"))
+    return sorted({r["b"] for r in parts.collect() if r["b"] is not None})[:-1]  # k rows
+
+
+def even_keys(spark, n: int) -> list[int]:
+    """For each of n parts a number that a shuffle of n parts deals to it, so ranges don't meet in a task."""
+    if n == 1:
+        return [0]
+    ids = spark.range(n * (8 + n.bit_length()))
+    got = ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()  # n rows
+    keys = {r["p"]: r["id"] for r in got}
+    return [keys.get(p, p) for p in range(n)]  # a part that none fell to: still right, only less even
 
 
 _PACKED = T.StructType([
-    T.StructField("shard", T.IntegerType(), False), T.StructField("doc_id", T.LongType()),
+    T.StructField("key", T.LongType(), False), T.StructField("shard", T.IntegerType(), False), T.StructField("doc_id", T.LongType()),
     T.StructField("ids", T.BinaryType(), False),
 ])
 _MANIFEST = T.StructType([
-    T.StructField("shard", T.IntegerType(), False), T.StructField("path", T.StringType(), False),
+    T.StructField("shard", T.IntegerType(), False), T.StructField("part", T.IntegerType(), False), T.StructField("path", T.StringType(), False),
     T.StructField("docs", T.LongType(), False), T.StructField("ids", T.LongType(), False),
 ])
 
 
-def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID, shard_docs: int = SHARD_DOCS, block: int = BLOCK) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID, shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS, block: int = BLOCK) -> DataFrame:
     """Tokenise every whole text, append ``end_id``, write shards in ascending doc_id order.
 
-    Returns the manifest (shard, path, docs, ids), stored as Parquet.  Null ids come first,
+    Returns the manifest (shard: the range, part: the file in it, path, docs, ids), stored as Parquet.  Null ids come first,
     rows with the same id are ordered by their token bytes; null text is empty.
     ``path`` must be a folder that all executors share; any scheme pyarrow's file systems know.
     """
@@ -277,6 +310,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str
     spark = docs.sparkSession
     bits = bits_for(Tokenizer.from_file(tokenizer_file).get_vocab_size())
     bounds = np.array(shard_bounds(docs, doc_id, shard_docs), np.int64)
+    keys = np.array(even_keys(spark, len(bounds) + 1), np.int64)
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches):
@@ -288,41 +322,41 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str
                 data = [x + tail for x in enc.encode(b.column(1).slice(at, 512).to_pylist())]
                 shard = np.searchsorted(bounds, np.asarray(part.fill_null(np.iinfo(np.int64).min)), "left")
                 small = [np.frombuffer(x, "<u4").astype(f"<u{2 if bits <= 16 else 4}").tobytes() for x in data]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part, pa.array(small, pa.binary())], names=_PACKED.names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[shard]), pa.array(shard.astype(np.int32)), part, pa.array(small, pa.binary())], names=_PACKED.names)
 
     def write(batches):
         _encoders.clear()  # all is tokenised by now, and the worker lives on
-        fs, writer, shard, done = None, None, None, []
+        fs, writer, shard, part, done = None, None, None, 0, []
 
         def finish():
             writer.close()
-            fs.move(f"{base}/.{shard:08d}-{tag}.tmp", f"{base}/shard-{shard:08d}.bin")
-            done.append((shard, f"{path}/shard-{shard:08d}.bin", len(writer.doc_ids), writer.total))
+            fs.move(f"{base}/.{shard:08d}-{part:06d}-{tag}.tmp", f"{base}/shard-{shard:08d}-{part:06d}.bin")
+            done.append((shard, part, f"{path}/shard-{shard:08d}-{part:06d}.bin", len(writer.doc_ids), writer.total))
 
         tag = uuid.uuid4().hex[:8]
+        width = f"<u{2 if bits <= 16 else 4}"
         for b in batches:
             if fs is None:
                 fs, base = pafs.FileSystem.from_uri(path)
                 fs.create_dir(base, recursive=True)
-            width = f"<u{2 if bits <= 16 else 4}"
-            for s, i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if s != shard:
+            for s, i, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if s != shard or writer.total >= shard_ids:
                     if writer is not None:
                         finish()
-                    shard = s
-                    writer = ShardWriter(fs.open_output_stream(f"{base}/.{shard:08d}-{tag}.tmp"), bits, block)
+                    shard, part = s, part + 1 if s == shard else 0
+                    writer = ShardWriter(fs.open_output_stream(f"{base}/.{shard:08d}-{part:06d}-{tag}.tmp"), bits, block)
                 writer.add(i, np.frombuffer(data.as_buffer(), width).astype(np.uint32))
         if writer is not None:
             finish()
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=_MANIFEST.names)
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=_MANIFEST.names)
 
     tokens = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).mapInArrow(tidied(tokenise), _PACKED)
-    dealt = tokens.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = tokens.repartition(len(keys), "key").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     return stored(dealt.mapInArrow(tidied(write), _MANIFEST), "token-manifest")
 
 
 _READ = T.StructType([
-    T.StructField("shard", T.IntegerType(), False), T.StructField("doc_id", T.LongType()), T.StructField("local_start", T.LongType(), False),
+    T.StructField("shard", T.IntegerType(), False), T.StructField("part", T.IntegerType(), False), T.StructField("doc_id", T.LongType()), T.StructField("local_start", T.LongType(), False),
     T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False),
 ])
 
@@ -331,7 +365,7 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
     """One row per document read back from the files: doc_id, start, n_tokens, ids_crc32.
 
     The files are read through Spark (any store it can open).  ``start`` counts the ids of all
-    earlier shards by a running sum over the manifest, which has one small row per shard.
+    earlier files by a running sum over the manifest, which has one small row per file.
     """
     spark = manifest.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(path).select("path", "content")
@@ -340,7 +374,7 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for p, content in zip(b.column(0).to_pylist(), b.column(1)):
                 f = ShardFile(content.as_buffer().to_pybytes())
-                shard = int(re.search(r"shard-(\d+)\.bin$", p)[1])
+                shard, part = map(int, re.search(r"shard-(\d+)-(\d+)\.bin$", p).groups())
                 crc = []
                 for at in range(0, f.docs, 256):
                     end = min(f.docs, at + 256)
@@ -348,12 +382,12 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
                     cuts = f.starts[at : end + 1] - f.starts[at]
                     crc += [zlib.crc32(ids[cuts[k] : cuts[k + 1]].tobytes()) for k in range(end - at)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(f.docs, shard, np.int32)), pa.array(f.doc_ids, mask=f.nulls.astype(bool)), pa.array(f.starts[:-1]),
+                    pa.array(np.full(f.docs, shard, np.int32)), pa.array(np.full(f.docs, part, np.int32)), pa.array(f.doc_ids, mask=f.nulls.astype(bool)), pa.array(f.starts[:-1]),
                     pa.array(np.diff(f.starts)), pa.array(crc, pa.int64()),
                 ], names=_READ.names)
 
-    base = manifest.select("shard", F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return files.mapInArrow(tidied(decode), _READ).join(base, "shard").select(
+    base = manifest.select("shard", "part", F.coalesce(F.sum("ids").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return files.mapInArrow(tidied(decode), _READ).join(base, ["shard", "part"]).select(
         "doc_id", (F.col("local_start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"
     )
 

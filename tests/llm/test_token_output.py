@@ -81,8 +81,8 @@ def test_many_shards_agree_with_one(docs, spark):
     from pixelloom.llm.common import new_path
 
     path = new_path(spark, "test-shards")
-    manifest = t.write_shards(docs, FILE, path, shard_docs=3)
-    assert manifest.count() > 3
+    manifest = t.write_shards(docs, FILE, path, shard_docs=3, shard_ids=40)
+    assert manifest.count() > 3 and manifest.where("part > 0").count() > 0
     many = sorted(map(tuple, t.read_shards(manifest, path).collect()), key=lambda r: r[1])
     one = sorted(map(tuple, t.encode_documents(docs, FILE).collect()), key=lambda r: r[1])
     assert many == one
@@ -90,3 +90,28 @@ def test_many_shards_agree_with_one(docs, spark):
 
 def test_empty_table(none):
     assert t.encode_documents(none, FILE).count() == 0
+
+
+def test_ranges_don_t_meet_in_a_task(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 7, 60, 211):
+        keys = t.even_keys(spark, n)
+        d = spark.createDataFrame([(k,) for k in keys], "key long").repartition(n, "key").select(F.spark_partition_id().alias("p"))
+        assert len(set(keys)) == n == d.distinct().count()
+
+
+def test_another_vocabulary_goes_to_the_library(tmp_path):
+    """Same end-of-word mark, other splitter: pieces would give wrong ids, so texts are encoded whole."""
+    import json
+
+    data = json.load(open(FILE))
+    assert t.Encoder(FILE).marked
+    data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(data))
+    e, whole = t.Encoder(str(other)), Tokenizer.from_file(str(other))
+    texts = ["it's a small-scale test, isn't it?", "12 3a4"]
+    assert not e.marked and e.encode(texts) == [np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    byte_level = public_tokenizers.path("byte_bpe_50k.json")
+    assert not t.Encoder(byte_level).marked and t.Encoder(byte_level).encode(texts) == [np.array(Tokenizer.from_file(byte_level).encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]

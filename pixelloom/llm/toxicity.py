@@ -27,8 +27,8 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -53,32 +53,44 @@ CACHE_WORDS = 200_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> list[int]:
-    """Hashes of a word's terms."""
-    return [zlib.crc32(word.encode()), *(zlib.crc32(f"{word[:n]}~".encode()) for n in PREFIX if len(word) > n)]
-
-
 class Terms:
-    """Terms of whole texts with their counts; the terms of a word are made once while it is in the cache."""
-
-    def __init__(self):
-        self.cache: dict[str, tuple[int, ...]] = {}
+    """Terms of whole texts with their counts; the terms of a word are made once while it is in the cache.
+
+    With a vocabulary (sorted hashes) terms are places in it and others are left out, else they are the hashes.
+    """
+
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.vocabulary = vocabulary
+        #: By kind of term (words, then beginnings): term by word, -1 if there is none.
+        self.kinds: list[dict[str, int]] = [{} for _ in range(1 + len(PREFIX))]
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.kinds[0]) > CACHE_WORDS:
+            for kind in self.kinds:
+                kind.clear()
+        made = [[crc32(w.encode()) for w in words]]
+        made += [[crc32(f"{w[:n]}~".encode()) if len(w) > n else -1 for w in words] for n in PREFIX]
+        for kind, terms in zip(self.kinds, made):
+            if self.vocabulary is not None:
+                ids = np.array(terms, np.int64)
+                at = np.searchsorted(self.vocabulary, ids)
+                at[at == len(self.vocabulary)] = 0
+                terms = np.where(self.vocabulary[at] == ids, at, -1).tolist() if len(self.vocabulary) else [-1] * len(words)
+            kind.update(zip(words, terms))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = Counter(_WORDS.findall(text.lower())) if text else {}
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        ids: list[int] = []
-        counts: list[int] = []
-        for w, n in words.items():
-            terms = cache.get(w)
-            if terms is None:
-                terms = cache[w] = tuple(word_terms(w))
-            ids += terms
-            counts += [n] * len(terms)
-        terms, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-        return terms, np.bincount(at, counts, len(terms)).astype(np.int64)
+        new = set(words).difference(self.kinds[0])
+        if new:
+            self.learn(list(new))
+            if len(self.kinds[0]) == len(new) < len(words):  # the cache was emptied
+                self.learn(list(set(words).difference(new)))
+        n = len(words)
+        ids = np.concatenate([np.fromiter(map(kind.__getitem__, words), np.int64, n) for kind in self.kinds])
+        counts = np.tile(np.fromiter(words.values(), np.int64, n), len(self.kinds))
+        known = ids >= 0
+        terms, at = np.unique(ids[known], return_inverse=True)
+        return terms, np.bincount(at, counts[known], len(terms)).astype(np.int64)
 
 
 def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -105,10 +117,10 @@ class Index:
         self.ids, self.labels, self.weights = ids, labels.astype(float), weights
         self.bare = float(np.average(labels, weights=weights)) if n else 0.0
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
-        self.shared = None
+        self.shared = self.scratch = None
         if not n:
             return
-        unit = [self.unit(*v) for v in vectors]
+        unit = [self.unit(np.searchsorted(self.vocabulary, t), c) for t, c in vectors]
         # Examples that share their heaviest terms stand together.
         heavy = [tuple(self.vocabulary[t[np.argsort(-w, kind="stable")[:3]]].tolist()) for t, w in unit]
         order = sorted(range(n), key=lambda k: (heavy[k], ids[k] is None, ids[k] or 0))
@@ -132,7 +144,7 @@ class Index:
         self.block_places = np.arange(n) // BLOCK
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"shared": None}
+        return self.__dict__ | {"shared": None, "scratch": None}
 
     @property
     def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -140,13 +152,9 @@ class Index:
         cut = self.own_begin[1:-1]
         return list(zip(np.split(self.own_term, cut), np.split(self.own_value, cut))) if self.size else []
 
-    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the vocabulary and weights of a unit vector; terms that no example has are left out."""
-        at = np.searchsorted(self.vocabulary, terms)
-        known = at < len(self.vocabulary)
-        known[known] = self.vocabulary[at[known]] == terms[known]
-        at = at[known]
-        w = (1 + np.log(counts[known])) * self.term_weight[at]
+    def unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of terms (places in the vocabulary) by their counts."""
+        w = (1 + np.log(counts)) * self.term_weight[at]
         return at, w / (math.sqrt(float(w @ w)) or 1.0)
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
@@ -173,12 +181,15 @@ class Index:
         if not len(open_):
             return []
         # In full, term by term of each example that is still open.
-        dense = np.zeros(len(self.vocabulary))
+        dense = self.scratch
+        if dense is None:
+            dense = self.scratch = np.zeros(len(self.vocabulary))
         dense[terms] = q
         n = self.own_begin[open_ + 1] - self.own_begin[open_]
         at = _ranges(self.own_begin[open_], n)
         score = np.zeros(self.size)
         score[open_] = np.add.reduceat(dense[self.own_term[at]] * self.own_value[at], np.cumsum(n) - n)
+        dense[terms] = 0.0
         return [(float(score[j]), int(j)) for j in self._top(score, k, but)]
 
     @staticmethod
@@ -281,7 +292,7 @@ def score(docs: DataFrame, model: Index, held: Column, doc_id: str = "doc_id", t
     shared, steps = model.shared or docs.sparkSession.sparkContext.broadcast(model), model.steps
 
     def run(batches):
-        index, terms = shared.value, Terms()
+        index, terms = shared.value, Terms(shared.value.vocabulary)
         index.steps = steps
         for b in batches:
             got = [index.score(*terms(t.as_py())) for t in b.column(2)]

@@ -68,7 +68,7 @@ def test_cosines_and_votes_of_real_documents(spark):
         q = unit(dict(zip(*(x.tolist() for x in toxicity.Terms()(r["text"])))))
         cosines = sorted(((sum(x * v.get(t, 0.0) for t, x in q.items()), i) for i, v in units), reverse=True)
         best = [c for c in cosines if c[0] > 0][: toxicity.NEIGHBOURS]
-        near = index.nearest(index.unit(*toxicity.Terms()(r["text"])))
+        near = index.nearest(index.unit(*toxicity.Terms(index.vocabulary)(r["text"])))
         assert np.allclose([s for s, _ in near], [s for s, _ in best])
         if len({round(s, 9) for s, _ in cosines[: toxicity.NEIGHBOURS + 1]}) == toxicity.NEIGHBOURS + 1:  # no tie
             w = [s / (1.05 - min(s, 1)) for s, _ in best]

@@ -40,11 +40,18 @@ def delta_e(p: Column, q: Column) -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
+def _linear_levels() -> np.ndarray:
+    x = np.arange(256, dtype=np.float32) / np.float32(255)
+    return np.where(x <= 0.04045, x / np.float32(12.92), ((x + np.float32(0.055)) / np.float32(1.055)) ** np.float32(2.4))
+
+
+#: Linear light of each 8-bit level.
+LEVELS = _linear_levels()
+
+
 def lab_array(rgb: np.ndarray) -> np.ndarray:
     """float32 L*a*b* of an (..., 3) uint8 array."""
-    x = rgb.astype(np.float32) / np.float32(255)
-    x = np.where(x <= 0.04045, x / np.float32(12.92), ((x + np.float32(0.055)) / np.float32(1.055)) ** np.float32(2.4))
-    x = (x @ np.array(MATRIX, np.float32).T) / np.array(WHITE, np.float32)
+    x = (LEVELS[rgb] @ np.array(MATRIX, np.float32).T) / np.array(WHITE, np.float32)
     f = np.where(x > KNEE, np.cbrt(x), np.float32(SLOPE) * x + np.float32(4 / 29))
     return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1).astype(np.float32)
 

@@ -65,31 +65,49 @@ def turned(points: np.ndarray, centre: tuple[float, float], degrees: float) -> n
     return (points - centre) @ np.array([[c, s], [-s, c]]) + centre
 
 
-def polygon_mask(points: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Pixels whose centre an odd number of edges has to its right."""
-    out = np.zeros((height, width), bool)
+def polygon_box(points: np.ndarray, width: int, height: int) -> tuple[slice, slice, np.ndarray]:
+    """Rows and columns of a polygon's own box on the canvas, and which pixels there are inside.
+
+    A pixel is inside if its centre has an odd number of edges to its right.
+    """
     x0, y0 = np.maximum(np.floor(points.min(0)), 0).astype(int)
     x1, y1 = np.minimum(np.ceil(points.max(0)).astype(int) + 1, (width, height))
-    if x1 <= x0 or y1 <= y0:
-        return out
-    cx, cy = np.arange(x0, x1) + 0.5, np.arange(y0, y1) + 0.5
+    cx, cy = np.arange(x0, max(x0, x1)) + 0.5, np.arange(y0, max(y0, y1)) + 0.5
     inside = np.zeros((len(cy), len(cx)), bool)
-    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, 0)):
+    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, 0)) if inside.size else ():
         rows = (ay > cy) != (by > cy)
         if rows.any():
             at = ax + (cy[rows] - ay) / (by - ay) * (bx - ax)
             inside[rows] ^= cx[None, :] < at[:, None]
-    out[y0:y1, x0:x1] = inside
+    return slice(y0, y0 + len(cy)), slice(x0, x0 + len(cx)), inside
+
+
+def polygon_mask(points: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The polygon's pixels on the whole canvas."""
+    out = np.zeros((height, width), bool)
+    rows, columns, inside = polygon_box(points, width, height)
+    if inside.size:
+        out[rows, columns] = inside
     return out
 
 
-def shape_mask(shape: Shape, width: int, height: int, points: np.ndarray | None = None) -> np.ndarray:
+def shape_box(shape: Shape, width: int, height: int, points: np.ndarray | None = None) -> tuple[slice, slice, np.ndarray]:
     p = shape.points() if points is None else points
-    m = polygon_mask(p, width, height)
-    if shape.name == "ring":
+    rows, columns, inside = polygon_box(p, width, height)
+    if shape.name == "ring" and inside.size:
         c = p.mean(0)
-        m &= ~polygon_mask((p - c) * RING + c, width, height)
-    return m
+        r, k, hole = polygon_box((p - c) * RING + c, width, height)
+        if hole.size:
+            inside[r.start - rows.start : r.stop - rows.start, k.start - columns.start : k.stop - columns.start] &= ~hole
+    return rows, columns, inside
+
+
+def shape_mask(shape: Shape, width: int, height: int, points: np.ndarray | None = None) -> np.ndarray:
+    out = np.zeros((height, width), bool)
+    rows, columns, inside = shape_box(shape, width, height, points)
+    if inside.size:
+        out[rows, columns] = inside
+    return out
 
 
 @dataclass
@@ -114,13 +132,17 @@ class Scene:
     def draw(self, shapes: list[Shape] | None = None) -> np.ndarray:
         image = self.backdrop()
         for s in self.shapes if shapes is None else shapes:
-            image[shape_mask(s, self.width, self.height)] = self.colors[s.fill]
+            rows, columns, inside = shape_box(s, self.width, self.height)
+            if inside.size:
+                image[rows, columns][inside] = self.colors[s.fill]
         return image
 
     def occupied(self) -> np.ndarray:
         out = np.zeros((self.height, self.width), bool)
         for s in self.shapes:
-            out |= shape_mask(s, self.width, self.height)
+            rows, columns, inside = shape_box(s, self.width, self.height)
+            if inside.size:
+                out[rows, columns] |= inside
         return out
 
 

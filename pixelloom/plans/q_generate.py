@@ -37,13 +37,16 @@ def generate_charts(spark, sf_dir):
 
 @query()
 def image_scores(spark, sf_dir):
-    """All generated problems through three baseline models and the image scorer, in memory.
+    """All generated problems, full size and in all conditions, through three baseline models and the image scorer.
 
-    Packed pictures go along with their row, so nothing is joined and no raw picture is shuffled.
+    Problems are made once and stored packed; packed pictures go along with their row, so nothing is
+    joined and no raw picture is shuffled.
     """
-    from ..sources import png
+    from ..sources import png, shared
 
-    made = run.problems(run.slots(spark).repartition(SCORED), scale=SCALE)
+    made = run.problems(run.slots(spark).repartition(MADE), scale=SCALE)
+    made = made.where("input IS NOT NULL").select("task", "idx", F.col("input").alias("input_png"), F.col("answer").alias("answer_png"), "instruction")
+    made = shared.stored(made, "problems").repartition(SCORED)
     image = "struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
     packed = ["task", "idx", "input_png", "answer_png"]
 
@@ -57,8 +60,7 @@ def image_scores(spark, sf_dir):
                 pics = {n: pa.array([None if d is None else _struct(png.decode(d)) for d in b.column(f"{n}_png").to_pylist()], kind) for n in ("input", "answer", "output") if f"{n}_png" in b.schema.names}
                 yield pa.RecordBatch.from_arrays([*b.columns, *pics.values()], names=[*b.schema.names, *pics])
 
-    rows = made.where("input IS NOT NULL").select("task", "idx", F.col("input").alias("input_png"), F.col("answer").alias("answer_png"), "instruction")
-    pics = rows.mapInArrow(decoded, f"task string, idx int, input_png binary, answer_png binary, instruction string, input {image}, answer {image}")
+    pics = made.mapInArrow(decoded, f"task string, idx int, input_png binary, answer_png binary, instruction string, input {image}, answer {image}")
     out = None
     for model in ("echo_input", "answer_oracle", "noise"):
         rows = infer.run(pics, model, packed).select(*packed, "model", F.col("output").alias("output_png"))

@@ -16,7 +16,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode(image: np.ndarray, level: int = 6) -> bytes:
+def encode(image: np.ndarray, level: int = 3) -> bytes:
     """(H, W, 3) or (H, W) uint8 as PNG; rows are stored unfiltered."""
     h, w = image.shape[:2]
     grey = image.ndim == 2
@@ -43,8 +43,9 @@ def decode(data: bytes) -> np.ndarray:
         raise ValueError("unsupported PNG")
     w, h, n = head[0], head[1], CHANNELS[head[3]]
     raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h, w * n), np.uint8)
-    for y in range(h):
+    plain = not raw[:, 0].any()
+    out = raw[:, 1:] if plain else np.zeros((h, w * n), np.uint8)
+    for y in range(0 if plain else h):
         line, up = raw[y, 1:].astype(np.int32), out[y - 1].astype(np.int32) if y else np.zeros(w * n, np.int32)
         kind = raw[y, 0]
         if kind == 0:

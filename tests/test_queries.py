@@ -6,6 +6,7 @@ import pytest
 from compare import canonical
 
 from pixelloom import catalog
+from pixelloom.plans import q_generate
 
 SQL = catalog.oracle_sql()
 QUERIES = catalog.queries()
@@ -22,7 +23,9 @@ def test_query_equals_its_sql(name, spark, sf_dir, con):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_other_queries_run(name, spark, sf_dir):
+def test_other_queries_run(name, spark, sf_dir, monkeypatch):
+    """Generated pictures are an eighth as wide here; tests/test_scoring.py has full-size ones."""
+    monkeypatch.setattr(q_generate, "SCALE", 0.125)
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 

@@ -82,6 +82,39 @@ def test_images_and_columns_agree(spark, tmp_path):
         assert [x for b in r["blocks"] for x in b] == pytest.approx([x for b in got[r["idx"]]["blocks"] for x in b])
 
 
-def test_broken_sidecars_are_left_out(spark):
+def test_tree_is_written_by_executors_and_broken_sidecars_are_left_out(spark):
     got = problem_tree.demo_index(spark).collect()
-    assert len(got) == 5 and all(r["height"] == 12 and r["width"] == 16 and r["has_answer"] for r in got)
+    assert len(got) == 2 * 2 * 12 - 1 and all(r["height"] == r["width"] == 32 and r["has_answer"] and r["instruction"] for r in got)
+    assert {(r["task"], r["idx"]) for r in got} == {(t, i) for t in ("removal", "recolor") for i in {r["idx"] for r in got}} - {("recolor", 2)}
+
+
+def plain_score(image, answer, output):
+    """Counts for the thresholds pixel by pixel, by the formulas of colour alone."""
+    def lab(rgb):
+        x = rgb.astype(np.float64) / 255
+        x = np.where(x <= 0.04045, x / 12.92, ((x + 0.055) / 1.055) ** 2.4) @ np.array(color.MATRIX).T / np.array(color.WHITE)
+        f = np.where(x > (6 / 29) ** 3, np.cbrt(x), x * (29 / 6) ** 2 / 3 + 4 / 29)
+        return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+
+    edit = (image != answer).any(-1)
+    de, de_in = (np.sqrt(((lab(output) - lab(x)) ** 2).sum(-1)) for x in (answer, image))
+    return int(edit.sum()), [(int((edit & (de <= t)).sum()), int((~edit & (de <= t)).sum()), int((de_in > t).sum())) for t in range(11)]
+
+
+def test_full_size_pictures_in_all_conditions():
+    """1,024 pixels wide, one problem of each condition, against the plain scorer; one output is far off, one a little."""
+    from pixelloom import dims
+    from pixelloom.generate import run, tasks
+
+    rng = np.random.default_rng(0)
+    for name, (w, h, _, striped, level) in dims.CONDITIONS.items():
+        made = next(p for k in range(50) if (p := tasks.generate("recolor", run.seed_of(name, k), dims.n_of("recolor", level), w, h, dims.TASKS["recolor"][1][0], striped=striped)))
+        assert made.image.shape == (h, w, 3) and max(h, w) >= 1024
+        near = np.clip(made.answer.astype(int) + rng.integers(-2, 3, made.answer.shape), 0, 255).astype(np.uint8)
+        for output in (made.image, near):
+            got = scoring.image_stats(made.image, made.answer, output)
+            edit, want = plain_score(made.image, made.answer, output)
+            assert got["edit_pixels"] == edit
+            for b, counts in zip(got["blocks"], want):
+                have = (b["edit_correct_pixels"], b["preservation_correct_pixels"], b["changed_pixels"])
+                assert have == pytest.approx(counts, abs=3), (name, b["t"])  # float32 beside float64 at the threshold itself

@@ -170,9 +170,9 @@ def _px():
 @query(with_sql("shapes", "cells", "grid_all", query=f"SELECT g.scene, round(avg((c.scene IS NOT NULL)::INT), 9) AS foreground, round(1 - avg((c.scene IS NOT NULL)::INT), 9) AS background FROM grid_all g LEFT JOIN (SELECT DISTINCT scene, cx, cy FROM cells) c ON g.scene = c.scene AND g.cx = c.cx AND g.cy = c.cy WHERE {_poly_sql(_C.replace('cx', 'g.cx'), _D.replace('cy', 'g.cy'))} GROUP BY ALL"))
 def region_coverage(spark, sf_dir):
     s = shapes(spark, sf_dir)
-    hit = sc.covered_cells(s).where(geo.inside(*_px(), _poly())).select("scene", "cx", "cy").distinct().groupBy("scene").agg(F.count(F.lit(1)).alias("k"))
+    hit = sc.covered_cells(s).where(geo.inside_fixed(*_px(), POLY)).select("scene", "cx", "cy").distinct().groupBy("scene").agg(F.count(F.lit(1)).alias("k"))
     # The polygon covers the same cells of every canvas, so they are counted once.
-    region = spark.range(N * N).select((F.col("id") % N).alias("cx"), F.floor(F.col("id") / N).alias("cy")).where(geo.inside(*_px(), _poly())).agg(F.count(F.lit(1)).alias("n"))
+    region = spark.range(N * N).select((F.col("id") % N).alias("cx"), F.floor(F.col("id") / N).alias("cy")).where(geo.inside_fixed(*_px(), POLY)).agg(F.count(F.lit(1)).alias("n"))
     out = s.select("scene").distinct().join(hit, "scene", "left").crossJoin(F.broadcast(region))
     share = F.coalesce("k", F.lit(0)) / F.col("n")
     return out.select("scene", F.round(share, 9).alias("foreground"), F.round(1 - share, 9).alias("background"))
@@ -358,7 +358,7 @@ def mask_algebra(spark, sf_dir):
 
 @query(with_sql("shapes", "grid_all", query=f"SELECT scene, cx, cy, {_poly_sql(_C, _D)} AS inside FROM grid_all"))
 def raster_polygon(spark, sf_dir):
-    return cells(spark, sf_dir).select("scene", "cx", "cy", geo.inside(*_px(), _poly()).alias("inside"))
+    return cells(spark, sf_dir).select("scene", "cx", "cy", geo.inside_fixed(*_px(), POLY).alias("inside"))
 
 
 @query(with_sql("shapes", "cells", query=f"SELECT scene, z, count(*) AS n_outer, count_if(NOT (4 * pow({_C} - x - w / 2.0e0, 2) / (w * w) + 4 * pow({_D} - y - h / 2.0e0, 2) / (h * h) <= 0.36e0)) AS n_ring FROM cells WHERE 4 * pow({_C} - x - w / 2.0e0, 2) / (w * w) + 4 * pow({_D} - y - h / 2.0e0, 2) / (h * h) <= 1 GROUP BY ALL"))
@@ -394,7 +394,7 @@ def raster_dilation(spark, sf_dir):
 @query(with_sql("shapes", "grid_all", "cells", query=f"SELECT g.scene, count(*) FILTER (WHERE {_poly_sql(_C.replace('cx', 'g.cx'), _D.replace('cy', 'g.cy'))} AND c.scene IS NULL) AS n_background, count(*) FILTER (WHERE {_poly_sql(_C.replace('cx', 'g.cx'), _D.replace('cy', 'g.cy'))} AND c.scene IS NOT NULL) AS n_foreground FROM grid_all g LEFT JOIN (SELECT DISTINCT scene, cx, cy FROM cells) c ON g.scene = c.scene AND g.cx = c.cx AND g.cy = c.cy GROUP BY g.scene"))
 def flood_fill_region(spark, sf_dir):
     """Cells of the region that background and foreground filling would change."""
-    g = cells(spark, sf_dir).withColumn("inside", geo.inside(*_px(), _poly()))
+    g = cells(spark, sf_dir).withColumn("inside", geo.inside_fixed(*_px(), POLY))
     own = sc.covered_cells(shapes(spark, sf_dir)).select("scene", "cx", "cy").distinct().withColumn("own", F.lit(True))
     j = g.join(own, ["scene", "cx", "cy"], "left")
     return j.groupBy("scene").agg(F.count_if(F.col("inside") & F.col("own").isNull()).alias("n_background"), F.count_if(F.col("inside") & F.col("own").isNotNull()).alias("n_foreground"))
@@ -438,7 +438,7 @@ def nearest_resize(spark, sf_dir):
 def copy_region(spark, sf_dir):
     """Painted cells of the region copied five right, seven down, over what is there."""
     t = sc.topmost(shapes(spark, sf_dir)).select("scene", "cx", "cy", "fill")
-    moved = t.where(geo.inside(*_px(), _poly())).select("scene", (F.col("cx") + 5).alias("cx"), (F.col("cy") + 7).alias("cy"), "fill", F.lit(1).alias("pri"))
+    moved = t.where(geo.inside_fixed(*_px(), POLY)).select("scene", (F.col("cx") + 5).alias("cx"), (F.col("cy") + 7).alias("cy"), "fill", F.lit(1).alias("pri"))
     both = t.withColumn("pri", F.lit(0)).unionByName(moved).where((F.col("cx") < N) & (F.col("cy") < N))
     return both.groupBy("scene", "cx", "cy").agg(F.max_by("fill", "pri").alias("fill"))
 

@@ -55,3 +55,9 @@ def load(spark: SparkSession, spec: Spec, tasks: list[str] | None = None, mirror
         if not rows.head(1):
             raise ValueError(f"no problem of the tasks {tasks}")
     return rows
+
+
+def available(spark: SparkSession, root: str) -> DataFrame:
+    """benchmark: the folders under ``root`` that have a ``problems.jsonl``, by name; only the listing is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "problems.jsonl").load(f"{root}/*")
+    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("benchmark")).distinct().orderBy("benchmark")

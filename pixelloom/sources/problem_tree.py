@@ -7,16 +7,13 @@ Layout: ``<root>/<benchmark>/<task>/NNN_input.png, NNN_answer.png, NNN.json`` an
 from __future__ import annotations
 
 import json
-import uuid
 from pathlib import Path
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import png, shared
+from . import png, shared, sinks
 
 SIDECAR = "instruction string, category string, task string, mode string, visual_condition string, problem_id long, seed long, n int, W int, H int, bg_color string, bg_colors array<string>"
 
@@ -49,37 +46,11 @@ def outputs(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.regexp_extract("output.origin", r"([^/]+)/[^/]+/[^/]+/[^/]+$", 1).alias("model"), "benchmark", "task", "idx", "output")
 
 
-def _write(base: str, name: str, data: bytes) -> None:
-    """One file of a tree, in any store pyarrow's file systems know; finished under its name or not there at all."""
-    fs, root = pafs.FileSystem.from_uri(base)
-    path = f"{root}/{name}"
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
-    with fs.open_output_stream(part) as sink:
-        sink.write(data)
-    fs.move(part, path)
-
-
 def write_problem(folder: Path, idx: int, image: np.ndarray, answer: np.ndarray, meta: dict) -> None:
-    base = f"file://{Path(folder).resolve()}"
-    _write(base, f"{idx:03d}_input.png", png.encode(image))
-    _write(base, f"{idx:03d}_answer.png", png.encode(answer))
-    _write(base, f"{idx:03d}.json", json.dumps(meta, indent=2).encode())
-
-
-def write_tree(made: DataFrame, root: str) -> int:
-    """Problems (benchmark, task, idx, input, answer, meta) as a tree under ``root``, written by the executors; how many."""
-
-    def go(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                name = f"{r['benchmark']}/{r['task']}/{r['idx']:03d}"
-                for end, data in (("_input.png", r["input"]), ("_answer.png", r["answer"]), (".json", r["meta"].encode())):
-                    _write(root, name + end, data)
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
-
-    rows = made.where("input IS NOT NULL").select("benchmark", "task", "idx", "input", "answer", "meta").mapInArrow(go, "n long")
-    return rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    root = f"file://{Path(folder).resolve()}"
+    sinks.put(root, f"{idx:03d}_input.png", png.encode(image))
+    sinks.put(root, f"{idx:03d}_answer.png", png.encode(answer))
+    sinks.put(root, f"{idx:03d}.json", json.dumps(meta, indent=2).encode())
 
 
 def demo_index(spark: SparkSession) -> DataFrame:
@@ -88,7 +59,7 @@ def demo_index(spark: SparkSession) -> DataFrame:
 
     root = shared.new_path(spark, "tree")
     grid = run.slots(spark, ["removal", "recolor"], ["baseline", "striped"]).repartition(8)
-    made = run.problems(grid, scale=1 / 32).withColumn("meta", F.when((F.col("task") == "recolor") & (F.col("idx") == 2), "{broken").otherwise(F.col("meta")))
-    write_tree(made, root)
+    sinks.write_problems(run.problems(grid, scale=1 / 32).where("input IS NOT NULL"), root).count()
+    sinks.put(root, "shapes/recolor/002.json", b"{broken")
     out = problems(spark, root)
     return out.select("benchmark", "task", "idx", "problem_id", "instruction", F.col("input.height").alias("height"), F.col("input.width").alias("width"), F.col("answer").isNotNull().alias("has_answer"))

@@ -119,6 +119,17 @@ def nested_records(stats: DataFrame, keys: list[str]) -> DataFrame:
     return stats.select(*keys, "has_output", "correct_output_size", F.struct("edit_pixels", "preservation_pixels", blocks.alias("cie76_threshold"), mean.alias("cie76_mean")).alias("output"))
 
 
+#: What a report shows of a block.
+REPORTED = ("edit_accuracy", "preservation_accuracy", "iou")
+
+
+def report_metrics(rows: DataFrame, keys: list[str], block: str = "block") -> DataFrame:
+    """keys, the count of problems and mean and deviation of the reported metrics, of rows with a ``block`` struct."""
+    names = [f"{m}_{s}" for m in REPORTED for s in ("mean", "std")]
+    have = rows.schema[block].dataType.names
+    return rows.select(*keys, F.col(block)["num_problems"].alias("num_problems"), *(F.col(block)[n].alias(n) for n in names if n in have))
+
+
 def report_html(rows: DataFrame, path: str, title: str = "Report") -> None:
     """A page with the report's rows as embedded JSON; a report has one row per level and model."""
     data = "[" + ",".join(r[0] for r in rows.select(F.to_json(F.struct(*rows.columns))).toLocalIterator()) + "]"

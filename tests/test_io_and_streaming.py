@@ -124,3 +124,45 @@ def test_windows_over_events(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     w = incremental.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day", "1 hour")
     assert w.agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_outputs_that_exist_are_skipped(spark, tree):
+    """Problems with a usable picture aren't run again and have no time; a broken or missing one is made."""
+    probs = benchmark.load(spark, benchmark.parse(f"file://{tree}/p"))
+    keys = ["benchmark", "task", "idx"]
+    outs = probs.select(*keys, F.when(F.col("idx") == 0, F.col("answer")).when(F.col("idx") == 1, F.struct(*(F.lit(None if f != "height" else -1).cast(probs.schema["answer"].dataType[f].dataType).alias(f) for f in probs.schema["answer"].dataType.names))).alias("output")).where("idx < 2")
+    got = infer.incremental(probs, outs, "echo_input", keys).collect()
+    assert len(got) == 6 and all(r["success"] for r in got)
+    assert {r["idx"] for r in got if r["skipped"]} == {0} and all((r["inference_time_s"] is None) == r["skipped"] for r in got)
+    want = {(r["task"], r["idx"]): r for r in probs.collect()}
+    for r in got:
+        pic = want[r["task"], r["idx"]]["answer" if r["skipped"] else "input"]
+        assert (png.decode(bytes(r["output"])) == scoring._bgr(pic.asDict())).all()
+
+
+def test_transient_errors_are_tried_until_the_deadline():
+    calls = []
+
+    def shaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("503 service unavailable")
+        return "ok"
+
+    assert infer.tried(shaky, 5, 0.01) == "ok" and len(calls) == 3
+    with pytest.raises(RuntimeError, match="rate limit"):
+        infer.tried(lambda: (_ for _ in ()).throw(RuntimeError("rate limit")), 0.05, 0.02)
+    calls.clear()
+    with pytest.raises(ValueError, match="bad prompt"):
+        infer.tried(lambda: (calls.append(1), (_ for _ in ()).throw(ValueError("bad prompt"))), 5, 0.01)
+    assert len(calls) == 1
+
+
+def test_available_benchmarks_and_reported_metrics(spark, tmp_path):
+    for name in ("shapes", "charts", "empty"):
+        (tmp_path / name).mkdir()
+        if name != "empty":
+            (tmp_path / name / "problems.jsonl").write_text("{}")
+    assert [r[0] for r in benchmark.available(spark, f"file://{tmp_path}").collect()] == ["charts", "shapes"]
+    rows = spark.sql("SELECT 'm' model, named_struct('num_problems', 3, 'iou_mean', 0.5D, 'iou_std', 0.1D, 'changed_pixels_mean', 7D) block")
+    assert sinks.report_metrics(rows, ["model"]).first().asDict() == {"model": "m", "num_problems": 3, "iou_mean": 0.5, "iou_std": 0.1}

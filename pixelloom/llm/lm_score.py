@@ -48,7 +48,7 @@ ALONE = 32
 GROUPS = 16
 CLASSES = ALONE + GROUPS
 WIDTH = 64
-VOCABULARY = 20_000
+VOCABULARY = 60_000
 HIDDEN = 16
 STEP = 0.05
 BATCH = 8_192
@@ -116,7 +116,8 @@ class Lexicon:
         root = np.zeros(CLASSES)
         nodes = np.zeros((GROUPS, WIDTH))
         filled = [0] * GROUPS
-        self.known: dict[bytes, int] = {}
+        #: Logarithms of the counts of rest words.
+        self.known: dict[bytes, float] = {}
         for k, (w, n) in enumerate(top):
             g = group_of(w)
             if k < ALONE:
@@ -127,7 +128,7 @@ class Lexicon:
                 nodes[g, filled[g]] = n
                 filled[g] += 1
             else:
-                self.known[w] = n
+                self.known[w] = math.log(n)
                 continue
             rest[g] -= n
         nodes[:, WIDTH - 1] = np.maximum(rest, 0)
@@ -204,15 +205,12 @@ def coded(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
                 for t in b.column(1).slice(at, 256):
                     ws = words_of(t.as_py())
                     c = coder.codes(ws)
-                    total = 0.0
-                    rest = Counter([ws[i] for i in np.flatnonzero((c % WIDTH == WIDTH - 1) & (c >= ALONE * WIDTH)).tolist()])
-                    for w in sorted(rest):
-                        k = rest[w]
-                        total += k * float(one[group_of(w)])
-                        if w in known:
-                            total += k * math.log(known[w])
-                        else:
-                            words.append(w), numbers.append(k)
+                    at_rest = np.flatnonzero((c % WIDTH == WIDTH - 1) & (c >= ALONE * WIDTH))
+                    rest = Counter([ws[i] for i in at_rest.tolist()])
+                    others = set(rest).difference(known)
+                    words += others
+                    numbers += [rest[w] for w in others]
+                    total = float(one[c[at_rest] // WIDTH - ALONE].sum()) + math.fsum([rest[w] * known[w] for w in set(rest).intersection(known)])
                     codes.append(c.tobytes()), part.append(total), ends.append(len(words))
                 lists = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(numbers, pa.int64())], fields=list(kind.value_type))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(codes, pa.binary()), pa.array(part, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists, type=kind)], names=_CODED.names)

@@ -141,31 +141,27 @@ class Lexicon:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"counts": None}  # the table stays where it is
 
-    def rest_code(self, word: bytes) -> int:
-        return (ALONE + group_of(word)) * WIDTH + WIDTH - 1
-
 
 def log_count(n: Column, word: Column) -> Column:
     """Billionths of the logarithm of a word's count, or of its spelling where it wasn't counted."""
     return F.round(F.coalesce(F.ln(n), F.length(word) * F.lit(SPELL)) * F.lit(NANO)).cast("long")
 
 
-class Coder(dict):
+class Coder:
     """Codes of words; those of rest words are kept while the table has room."""
 
     def __init__(self, lexicon: Lexicon):
-        super().__init__(lexicon.code)
         self.lexicon = lexicon
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self.update(self.lexicon.code)
-        found = self[word] = self.lexicon.rest_code(word)
-        return found
+        self.table = dict(lexicon.code)
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
+        new = set(words).difference(self.table)
+        if new:
+            if len(self.table) > CACHE_WORDS:
+                self.table = dict(self.lexicon.code)
+                new = set(words).difference(self.table)
+            self.table.update({w: (ALONE + group_of(w)) * WIDTH + WIDTH - 1 for w in new})
+        return np.fromiter(map(self.table.__getitem__, words), np.uint16, len(words))
 
 
 def learn_words(docs: DataFrame, text: str = "text") -> Lexicon:
@@ -210,7 +206,7 @@ def coded(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
                     others = set(rest).difference(known)
                     words += others
                     numbers += [rest[w] for w in others]
-                    total = float(one[c[at_rest] // WIDTH - ALONE].sum()) + math.fsum([rest[w] * known[w] for w in set(rest).intersection(known)])
+                    total = float(one[c[at_rest] // WIDTH - ALONE].sum()) + math.fsum([rest[w] * known[w] for w in set(rest).difference(others)])
                     codes.append(c.tobytes()), part.append(total), ends.append(len(words))
                 lists = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(numbers, pa.int64())], fields=list(kind.value_type))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(codes, pa.binary()), pa.array(part, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists, type=kind)], names=_CODED.names)

@@ -25,7 +25,8 @@ def test_query_equals_its_sql(name, spark, sf_dir, con):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_other_queries_run(name, spark, sf_dir, monkeypatch):
     """Generated pictures are an eighth as wide here; tests/test_scoring.py has full-size ones."""
-    monkeypatch.setattr(q_generate, "SCALE", 0.125)
+    for name_, value in (("SCALE", 0.125), ("MADE", 16), ("SCORED", 16)):
+        monkeypatch.setattr(q_generate, name_, value)
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 

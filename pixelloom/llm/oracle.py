@@ -121,8 +121,26 @@ def _op10() -> str:
     SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM x"""
 
 
+def _op11(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
+    """Lloyd's rounds in full: all distances, no bounds."""
+    d = "list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [
+        f"""e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM e ORDER BY c LIMIT {k})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, vec_id, v, w.d AS d, w.c AS c FROM (SELECT e.r, e.vec_id, e.v, min({{'d': {d}, 'c': c.c}}) AS w FROM e, c{n} c GROUP BY ALL))")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{n} o LEFT JOIN (SELECT c, list((floor_sum - ((floor_sum % n) + n) % n) // n ORDER BY i)::BIGINT[] AS v FROM (
+            SELECT c, i, sum(x) AS floor_sum, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range({dims})) AS i FROM a{n}) GROUP BY c, i) GROUP BY c) m ON o.c = m.c)""")
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, a.c::INT AS cluster, d::BIGINT AS distance, (count(*) OVER (PARTITION BY a.c))::BIGINT AS cluster_size, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+        (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_vocabulary": _op2(), "op6_host_quality": _op6(), "op8_fm_decontamination": _op8(),
-        "op9_chosen_path_dedup": _op9(), "op10_source_mixing": _op10(),
+        "op9_chosen_path_dedup": _op9(), "op10_source_mixing": _op10(), "op11_elkan_clusters": _op11(),
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_score, mixing, near_dup, pii, quality, token_output, toxicity, url_filter
+from . import clustering, decontamination, language_id, lm_score, mixing, near_dup, pii, quality, token_output, toxicity, url_filter
 from .common import held_out, table
 from .oracle import oracle_sql
 
@@ -71,10 +71,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii_surrogates, op2_url_vocabulary, op3_bit_packed_tokens, op4_language_mixture, op5_toxicity_neighbours,
-        op6_host_quality, op7_masked_lm, op8_fm_decontamination, op9_chosen_path_dedup, op10_source_mixing,
+        op6_host_quality, op7_masked_lm, op8_fm_decontamination, op9_chosen_path_dedup, op10_source_mixing, op11_elkan_clusters,
     )}
 
 

@@ -13,6 +13,14 @@ from . import url_filter as url
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: crc32 of an ASCII text, byte by byte over the usual table, which is made by its rule.
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list(t ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS t FROM range(0, 256) x(n)))"""
+
+
+def _crc32(text: str, tab: str = "tab") -> str:
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: unicode(x)::BIGINT)), lambda a, b: xor(a >> 8, {tab}[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
 def _op2() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url.RULES)
     terms = ", ".join(f"('{t}', {int(t in url.STRICT)}, {w})" for t, w in [*url.STRICT.items(), *url.SOFT.items()])
@@ -139,8 +147,45 @@ def _op11(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
         (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"""
 
 
+def _op12() -> str:
+    """The dynamic program row by row, for every conversation on its own: no signatures, no sharing."""
+    follows = "((0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3))"
+    crc = _crc32("k")
+    space = r"[\x20\x09-\x0D]"
+    return f"""
+    WITH RECURSIVE {CRC_TABLE},
+    src AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+    dmg AS (SELECT src.*, {crc} % 20 AS d FROM src, crc),
+    aft AS (SELECT coalesce(conv_id::VARCHAR, 'none') AS c, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM dmg WHERE d <> 0),
+    num AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i, left(role, 1) AS ini FROM aft),
+    flt AS (SELECT *, lag(ini) OVER (PARTITION BY c ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd'
+        WHEN NOT regexp_matches(text, '[.!?]{space}*$') THEN 't' ELSE '' END AS fault FROM num),
+    facts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+        count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM flt GROUP BY c),
+    fol(f, ini, t) AS (VALUES {follows[1:-1]}),
+    ins AS (SELECT s AS f, s AS t, 0 AS cost, '' AS let, '' AS rol FROM range(0, 4) x(s) UNION ALL SELECT f, t, 5, 'I', ini FROM fol WHERE ini <> 's'
+        UNION ALL SELECT a.f, b.t, 10, 'II', a.ini || b.ini FROM fol a JOIN fol b ON a.t = b.f WHERE a.ini <> 's' AND a.f < 2),
+    op AS (SELECT s AS f, s AS t, 2 AS cost, 'D' AS let, '-' AS rol, '*' AS own, FALSE AS stays FROM range(0, 4) x(s) UNION ALL SELECT f, t, 0, 'K', 'k', ini, TRUE FROM fol
+        UNION ALL SELECT f, t, 1, 'R', ini, '*', TRUE FROM fol WHERE ini <> 's'),
+    mv AS (SELECT ins.f, op.t, ins.cost + op.cost AS cost, ins.let || op.let AS let, ins.rol || op.rol AS rol, own, stays FROM ins JOIN op ON ins.t = op.f),
+    dp AS (SELECT c, 0 AS i, 0 AS st, 0::BIGINT AS cost, '' AS audit, '' AS roles FROM facts UNION ALL
+        SELECT c, i, st, cost, audit, roles FROM (SELECT *, row_number() OVER (PARTITION BY c, st ORDER BY cost, audit) AS rn FROM (
+            SELECT dp.c, flt.i, mv.t AS st, dp.cost + mv.cost + CASE WHEN stays AND fault = 't' THEN 5 ELSE 0 END AS cost, audit || let AS audit, roles || rol AS roles
+            FROM dp JOIN flt ON dp.c = flt.c AND flt.i = dp.i + 1 JOIN mv ON mv.f = dp.st AND own IN ('*', ini) AND NOT (stays AND fault IN ('b', 'd')))) WHERE rn = 1),
+    fin AS (SELECT dp.c, arg_min({{'cost': dp.cost + ins.cost, 'audit': audit || let, 'roles': roles || rol}}, {{'cost': dp.cost + ins.cost, 'audit': audit || let}}) AS b
+        FROM dp JOIN facts ON dp.c = facts.c AND dp.i = facts.n JOIN ins ON ins.f = dp.st AND ins.t IN (0, 3) GROUP BY dp.c),
+    pos AS (SELECT c, b, k, b.audit[k] AS let, b.roles[k] AS rol, length(replace(b.audit[:k], 'I', '')) AS i FROM fin, range(1, length(b.audit) + 1) x(k)),
+    txt AS (SELECT pos.c, string_agg(CASE rol WHEN 'k' THEN flt.role WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE let WHEN 'I' THEN '' ELSE flt.text END, chr(10) ORDER BY k) AS t
+        FROM pos LEFT JOIN flt ON pos.c = flt.c AND pos.i = flt.i WHERE let <> 'D' GROUP BY pos.c)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'none') AS c FROM conversations) o LEFT JOIN facts USING (c) LEFT JOIN fin USING (c) LEFT JOIN txt USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_vocabulary": _op2(), "op6_host_quality": _op6(), "op8_fm_decontamination": _op8(),
         "op9_chosen_path_dedup": _op9(), "op10_source_mixing": _op10(), "op11_elkan_clusters": _op11(),
+        "op12_conversation_repair": _op12(),
     }

@@ -183,9 +183,27 @@ def _op12() -> str:
     FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'none') AS c FROM conversations) o LEFT JOIN facts USING (c) LEFT JOIN fin USING (c) LEFT JOIN txt USING (c)"""
 
 
+def _op13() -> str:
+    def long(x: str) -> str:
+        """Code points of an escaped text: one more a backslash, an end mark, and a # that two others follow."""
+        return f"(length({x}) + length({x}) - length(replace({x}, chr(92), '')) + (length({x}) - length(replace({x}, '</turn>', ''))) // 7 + coalesce(list_sum(list_transform(regexp_extract_all({x}, '#{{3,}}'), lambda y: length(y) - 2)), 0))"
+
+    return f"""
+    WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, k, ['user', 'assistant'][k + 1], chr(92) || '### Assistant: </turn> ok' FROM range(0, 2) x(k)),
+    g AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS k, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned, list(role ORDER BY turn NULLS FIRST, role, text) AS roles,
+        sum(14 + {long("role")} + length(role) - length(replace(role, ':', '')) + {long("text")}) AS formatted_chars FROM r GROUP BY conv_id),
+    {CRC_TABLE},
+    h AS (SELECT g.*, {_crc32("k")} % 6 AS kind FROM g, crc)
+    SELECT conv_id, CASE WHEN kind = 1 AND len(list_filter(roles, lambda x: x NOT IN ('system', 'user', 'assistant'))) = 0 THEN 'conversations' WHEN kind = 2 AND roles = ['user', 'assistant'] THEN 'prompt_response'
+        WHEN kind = 3 AND roles = ['user', 'assistant'] THEN 'instruction' WHEN kind = 4 AND n_turns > 1 THEN 'prompt_completion_turns' WHEN kind = 5 THEN 'example_turns' ELSE 'messages' END AS layout,
+        n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM h"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_vocabulary": _op2(), "op6_host_quality": _op6(), "op8_fm_decontamination": _op8(),
         "op9_chosen_path_dedup": _op9(), "op10_source_mixing": _op10(), "op11_elkan_clusters": _op11(),
-        "op12_conversation_repair": _op12(),
+        "op12_conversation_repair": _op12(), "op13_chat_format": _op13(),
     }

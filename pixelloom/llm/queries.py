@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, decontamination, language_id, lm_score, mixing, near_dup, pii, quality, repair, token_output, toxicity, url_filter
+from . import chat, clustering, decontamination, language_id, lm_score, mixing, near_dup, pii, quality, repair, token_output, toxicity, url_filter
 from .common import held_out, table
 from .oracle import oracle_sql
 
@@ -79,10 +79,16 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), gone="gone")
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat.as_records(chat.with_planted(table(spark, sf_dir, "conversations")))
+    return chat.digest(chat.format_records(records), ["conv_id", "layout"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii_surrogates, op2_url_vocabulary, op3_bit_packed_tokens, op4_language_mixture, op5_toxicity_neighbours,
         op6_host_quality, op7_masked_lm, op8_fm_decontamination, op9_chosen_path_dedup, op10_source_mixing, op11_elkan_clusters, op12_conversation_repair,
+        op13_chat_format,
     )}
 
 

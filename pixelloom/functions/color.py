@@ -40,6 +40,23 @@ def delta_e(p: Column, q: Column) -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
+#: XYZ to linear sRGB.
+INVERSE = tuple(tuple(map(float, row)) for row in np.linalg.inv(np.array(MATRIX)))
+
+
+def linear_of_lab(p: Column) -> Column:
+    """Linear sRGB (array of three) of a struct (l, a, b); outside of [0, 1] where the colour isn't in the gamut."""
+    y = (p["l"] + 16.0) / 116.0
+    xyz = F.transform(F.array(y + p["a"] / 500.0, y, y - p["b"] / 200.0), lambda t: F.when(t > 6 / 29, t * t * t).otherwise((t - 4 / 29) / SLOPE))
+    # One array element at a time, so that each of the three is computed once.
+    return F.transform(F.array(xyz), lambda v: F.array(*(v[0] * (m[0] * WHITE[0]) + v[1] * (m[1] * WHITE[1]) + v[2] * (m[2] * WHITE[2]) for m in INVERSE)))[0]
+
+
+def encoded(x: Column) -> Column:
+    """sRGB of linear light."""
+    return F.when(x <= 0.0031308, x * 12.92).otherwise(F.pow(F.abs(x), F.lit(1 / 2.4)) * 1.055 - 0.055)
+
+
 def _linear_levels() -> np.ndarray:
     x = np.arange(256, dtype=np.float32) / np.float32(255)
     return np.where(x <= 0.04045, x / np.float32(12.92), ((x + np.float32(0.055)) / np.float32(1.055)) ** np.float32(2.4))
@@ -79,3 +96,12 @@ def sql_lab(r: str, g: str, b: str) -> tuple[str, str, str]:
         v = f"((({lin[0]}) * {m[0]!r}::DOUBLE + ({lin[1]}) * {m[1]!r}::DOUBLE + ({lin[2]}) * {m[2]!r}::DOUBLE) / {w!r}::DOUBLE)"
         f.append(f"(CASE WHEN {v} > {KNEE!r}::DOUBLE THEN cbrt({v}) ELSE {v} * {SLOPE!r}::DOUBLE + {4 / 29!r}::DOUBLE END)")
     return f"({f[1]} * 116e0 - 16e0)", f"(({f[0]} - {f[1]}) * 500e0)", f"(({f[1]} - {f[2]}) * 200e0)"
+
+
+def sql_srgb_of_lab(l: str, a: str, b: str) -> list[str]:
+    """sRGB of L*a*b*, not clipped."""
+    y = f"(({l} + 16e0) / 116e0)"
+    f = [f"({y} + {a} / 500e0)", y, f"({y} - {b} / 200e0)"]
+    v = [f"(CASE WHEN {t} > {6 / 29!r}::DOUBLE THEN {t} * {t} * {t} ELSE ({t} - {4 / 29!r}::DOUBLE) / {SLOPE!r}::DOUBLE END)" for t in f]
+    lin = ["(" + " + ".join(f"{x} * {c * w!r}::DOUBLE" for x, c, w in zip(v, m, WHITE)) + ")" for m in INVERSE]
+    return [f"(CASE WHEN {x} <= 0.0031308e0 THEN {x} * 12.92e0 ELSE pow(abs({x}), {1 / 2.4!r}::DOUBLE) * 1.055e0 - 0.055e0 END)" for x in lin]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import dims
@@ -305,38 +304,6 @@ def collinear_triples(spark, sf_dir):
     return j.where(flat <= 40).select("scene", "za", "zb", "zc")
 
 
-def hull_of(points):
-    """Convex hull by the monotone chain, counter-clockwise, without collinear points."""
-    pts = sorted(set(points))
-    if len(pts) < 3:
-        return pts
-
-    def half(seq):
-        out = []
-        for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return half(pts) + half(pts[::-1])
-
-
-@query()
-def convex_hull(spark, sf_dir):
-    """Hull of each scene's centres; a scene is a small group, so this is a grouped map."""
-    import pandas as pd
-
-    cx, cy = sc.centre()
-    schema = T.StructType([T.StructField("scene", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-
-    def hull(rows: pd.DataFrame) -> pd.DataFrame:
-        pts = hull_of(list(zip(rows.cx, rows.cy)))
-        return pd.DataFrame([(rows.scene.iloc[0], k, x, y) for k, (x, y) in enumerate(pts)], columns=["scene", "k", "x", "y"])
-
-    return shapes(spark, sf_dir).select("scene", cx.alias("cx"), cy.alias("cy")).groupBy("scene").applyInPandas(hull, schema)
-
-
 # -- raster ------------------------------------------------------------------------------------------
 
 @query(with_sql("shapes", "cells", "topmost", query="SELECT * FROM topmost"))

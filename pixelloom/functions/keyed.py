@@ -37,17 +37,20 @@ def shuffled(index: Column, size: Column, key: Column, rounds: int = 4) -> Colum
     """
     side = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size, F.lit(2)).cast("double")) / 2)).cast("long")
 
-    def turn(at: Column) -> Column:
-        """One pass of the network over [0, side x side); each half is changed by a hash of the other, so that it can be undone."""
-        left, right = F.floor(at / side).cast("long"), at % side
-        for r in range(rounds):
-            left, right = right, (left + whole(digest(key, F.lit(r), right)) % side) % side
-        return left * side + right
-
-    # The network permutes at most 4 x size numbers, so a pass ends outside of the range with a probability of at most 3/4.
-    start = F.struct(turn(index.cast("long")).alias("at"), F.lit(0).alias("n"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, lambda s, _: F.when(s["at"] < size, s).otherwise(F.struct(turn(s["at"]).alias("at"), (s["n"] + 1).alias("n"))))
-    return walked["at"]
+    def walk(given: Column) -> Column:
+        wide, most, name = given["side"], given["size"], given["key"]
+
+        def turn(at: Column, r: Column) -> Column:
+            """One round over [0, side x side): the halves change places, and one is moved by a hash of the other, so that it can be undone."""
+            left, right = F.floor(at / wide).cast("long"), at % wide
+            return right * wide + (left + whole(digest(name, r, right)) % wide) % wide
+
+        once = lambda at: F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), at, turn)
+        # The network permutes at most 4 x size numbers, so a pass ends outside of the range with a probability of at most 3/4.
+        return F.aggregate(F.sequence(F.lit(1), F.lit(200)), once(given["index"]), lambda at, _: F.when(at < most, at).otherwise(once(at)))
+
+    given = F.struct(index.cast("long").alias("index"), size.cast("long").alias("size"), side.alias("side"), key.cast("string").alias("key"))
+    return F.transform(F.array(given), walk)[0]
 
 
 # -- the same as SQL text for oracles ---------------------------------------------------------------

@@ -70,3 +70,32 @@ def latest(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Upsert: of each key the row of the latest time wins (partial maxima, no sort)."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(time)).alias("_r")).select(*keys, "_r.*")
+
+
+# -- layered settings ------------------------------------------------------------------------------
+
+#: What a setting may come from, the weakest first; the first two hold for every variant.
+LAYERS = ("default", "global", "variant", "argument")
+SHARED = ("default", "global")
+
+
+def resolved(settings: DataFrame, order: str) -> DataFrame:
+    """name, variant, value, layer: for each setting and variant the value of the strongest layer that has one.
+
+    ``settings``: name, variant, layer, value and ``order``, of which the last says in one layer.  Null and empty values say nothing, so that the
+    next layer holds; what is set for all variants reaches the variants that any row of that name mentions.  A setting without any value is null, of a null layer.
+    """
+    rank = F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer"))
+    said = settings.withColumn("_rank", F.when((F.col("value") != "") & (rank > 0), rank))
+    best = F.max_by(F.struct("value", "layer", F.col("_rank").alias("rank")), F.when(F.col("_rank").isNotNull(), F.struct("_rank", order)))
+    shared = F.coalesce(F.col("layer").isin(*SHARED), F.lit(False))
+    own = said.where(~shared & F.col("variant").isNotNull()).groupBy("name", "variant").agg(best.alias("own"))
+    common = said.where(shared).groupBy("name").agg(best.alias("common"))
+    both = own.join(common, "name", "left")
+    pick = F.when(F.col("own.rank").isNotNull(), F.col("own")).otherwise(F.col("common"))
+    return both.select("name", "variant", pick["value"].alias("value"), F.when(pick["rank"].isNotNull(), pick["layer"]).alias("layer"))
+
+
+def truth(value: Column) -> Column:
+    """A setting's text as a boolean: ``0``, ``false``, ``no`` and the empty text are false, whatever their case; null stays null."""
+    return ~F.lower(value).isin("0", "false", "no", "")

@@ -104,7 +104,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inference log: task, idx, success, skipped, latency (null if skipped or failed), error."""
-    e = read(spark, sf_dir, "events")
+    return runs_of(read(spark, sf_dir, "events"))
+
+
+def runs_of(e: DataFrame) -> DataFrame:
+    """``runs`` of events, which may be a stream."""
     ok = F.col("event_type") != "error"
     skipped = F.col("event_type") == "signup"
     return e.select(

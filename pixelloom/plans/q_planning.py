@@ -304,3 +304,19 @@ def anti_unused_colors(spark, sf_dir):
     """Palette colours that a scene doesn't use."""
     used = derive.shapes(spark, sf_dir).groupBy("scene").agg(F.collect_set("fill").alias("used"))  # at most the palette
     return used.select("scene", F.explode(F.array_except(dims.names(dims.PALETTE), "used")).alias("name"))
+
+
+@query("""SELECT name, variant, value, layer, NOT (lower(value) IN ('0', 'false', 'no', '')) AS truth FROM (
+    WITH s AS (SELECT event_id, event_type AS name, 'v' || (event_id % 7) AS variant, CASE WHEN event_id % 11 < 8 THEN ['default', 'global', 'variant', 'argument'][(user_id % 4) + 1] ELSE 'other' END AS layer,
+        CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 'False' ELSE 'x' || (event_id % 1000) END AS value FROM events WHERE user_id % 50 < 45),
+    r AS (SELECT *, list_position(['default', 'global', 'variant', 'argument'], layer) AS rank FROM s),
+    v AS (SELECT DISTINCT name, variant FROM r WHERE layer NOT IN ('default', 'global')),
+    c AS (SELECT v.name, v.variant, r.value, r.layer, r.rank, r.event_id FROM v JOIN r ON v.name = r.name AND (r.rank <= 2 OR r.variant = v.variant) WHERE r.value <> '' AND r.rank > 0)
+    SELECT v.name, v.variant, c.value, c.layer FROM v LEFT JOIN c ON v.name = c.name AND v.variant = c.variant QUALIFY row_number() OVER (PARTITION BY v.name, v.variant ORDER BY c.rank DESC NULLS LAST, c.event_id DESC) = 1)""")
+def layered_settings(spark, sf_dir):
+    """Settings of seven variants from four layers: argument, then variant, then global, then default; blanks and unknown layers say nothing."""
+    k, e = F.col("event_id"), derive.read(spark, sf_dir, "events").where("user_id % 50 < 45")
+    layer = F.when(k % 11 < 8, dims.pick(planning.LAYERS, F.col("user_id") % 4)).otherwise(F.lit("other"))
+    value = F.when(k % 3 == 0, F.lit("")).when(k % 5 == 0, F.lit(None)).when(k % 4 == 0, F.lit("False")).otherwise(F.concat(F.lit("x"), (k % 1000).cast("string")))
+    s = e.select("event_id", F.col("event_type").alias("name"), F.concat(F.lit("v"), (k % 7).cast("string")).alias("variant"), layer.alias("layer"), value.alias("value"))
+    return planning.resolved(s, "event_id").withColumn("truth", planning.truth(F.col("value")))

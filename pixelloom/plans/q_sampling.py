@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import dims
 from ..functions import color, keyed
-from ..operators import sampling
+from ..operators import dressing, sampling
 from ..registry import query
 from . import derive
 from .derive import SQL, with_sql
@@ -34,3 +35,42 @@ def scene_palettes(spark, sf_dir):
     found = sampling.palettes(keyed_, "stream", "avoid", n=COLORS, apart=APART, tries=TRIES)
     rows = found.select(F.substring_index("stream", "|", -1).cast("long").alias("scene"), F.posexplode("chosen").alias("k", "c"))
     return rows.select("scene", "k", "c.t", "c.red", "c.green", "c.blue")
+
+
+_SIDES = ", ".join(f"({n}, {52**n}, {2 ** -(-(52**n - 1).bit_length() // 2)})" for n in range(dressing.SHORTEST, dressing.LONGEST + 1))
+
+
+def _word_sql(want: str) -> str:
+    """(key, i, word) of the rows (key, i) of ``want``: the network's rounds one by one, until a place is in range, then its letters."""
+    length = f"{dressing.SHORTEST} + floor({keyed.sql_share(keyed.sql_digest('key', 'i'))} * {dressing.LONGEST - dressing.SHORTEST + 1})::INT"
+    turned = keyed.sql_whole(keyed.sql_digest("key || '|' || len", "n % 4", "r"))
+    return f"""(WITH RECURSIVE walk AS (SELECT key, i, len, size, side, i // side AS l, i % side AS r, 0 AS n FROM (SELECT *, {length} AS len FROM {want}) JOIN (VALUES {_SIDES}) d(dlen, size, side) ON dlen = len
+        UNION ALL SELECT key, i, len, size, side, r, (l + {turned} % side) % side, n + 1 FROM walk WHERE NOT (n > 0 AND n % 4 = 0 AND l * side + r < size))
+    SELECT key, i, list_aggregate(list_transform(range(len - 1, -1, -1), lambda j: '{dressing.LETTERS}'[(l * side + r) // (52 ** j)::BIGINT % 52 + 1]), 'string_agg', '') AS word
+    FROM walk WHERE n > 0 AND n % 4 = 0 AND l * side + r < size)"""
+
+
+def _level(h: str, k: int, wide: str, low: str) -> str:
+    return f"floor(({keyed.sql_share(h, k)} * {wide} + {low}) * 255 + 0.5e0)::INT"
+
+
+_TH, _TX = keyed.sql_digest("chart", "'theme'"), keyed.sql_digest("chart", "'text'")
+_DARK = f"{keyed.sql_share(_TH, 3)} < 0.3e0"
+_GROUND = ", ".join(_level(_TH, k, "0.35e0", f"CASE WHEN {_DARK} THEN 0 ELSE 0.6e0 END") for k in range(3))
+_INK = ", ".join(_level(_TX, k, "0.3e0", f"CASE WHEN {_DARK} THEN 0.7e0 ELSE 0 END") for k in range(3))
+_MORE = f"floor({keyed.sql_share(keyed.sql_digest('key', "'words'", 'i'))} * 3)"
+
+
+@query(f"""SELECT chart, i, word AS label, concat_ws(' ', word, w1.w, w2.w) AS title, pow(10e0, floor({keyed.sql_share(keyed.sql_digest('chart', "'magnitude'"))} * 7) - 3) AS magnitude,
+    printf('#%02X%02X%02X', {_GROUND}) AS ground, printf('#%02X%02X%02X', {_INK}) AS ink FROM (
+    WITH b AS (SELECT c_nationkey AS chart, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer),
+    k0 AS (SELECT chart::VARCHAR AS key, i FROM b), k1 AS (SELECT key || '|word 1' AS key, i FROM k0 WHERE {_MORE} >= 1), k2 AS (SELECT key || '|word 2' AS key, i FROM k0 WHERE {_MORE} >= 2),
+    w0 AS {_word_sql('k0')}, w1 AS {_word_sql('k1')}, w2 AS {_word_sql('k2')}
+    SELECT b.chart, b.i, w0.word, {{'w': w1.word}} AS w1, {{'w': w2.word}} AS w2 FROM b JOIN w0 ON w0.key = chart::VARCHAR AND w0.i = b.i LEFT JOIN w1 ON w1.key = chart || '|word 1' AND w1.i = b.i LEFT JOIN w2 ON w2.key = chart || '|word 2' AND w2.i = b.i)""")
+def chart_dressing(spark, sf_dir):
+    """A bar for every customer, a chart for every nation: labels and titles that don't repeat in a chart, its magnitude and colours."""
+    c = derive.read(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_nationkey").alias("chart"), (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).cast("long").alias("i"))
+    key = F.col("chart").cast("string")
+    ground, ink = dressing.theme(F.col("chart"))
+    return rows.select("chart", "i", dressing.distinct_word(key, F.col("i")).alias("label"), dressing.title(key, F.col("i")).alias("title"), dressing.magnitude(F.col("chart")).alias("magnitude"), ground.alias("ground"), ink.alias("ink"))

@@ -22,8 +22,7 @@ def heartbeat_totals(spark, sf_dir):
         r = derive.runs_of(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))  # a stream's path is a folder or a pattern
         results = r.select("task", F.col("success").alias("successful"), "skipped", F.col("latency").alias("seconds"))
         checkpoint = shared.new_path(spark, "heartbeat")
-        stream = heartbeat.beats(results, "task").writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).format("noop").start()
-        stream.awaitTermination()
+        heartbeat.run_to_end(heartbeat.beats(results, "task").writeStream.outputMode("update").option("checkpointLocation", checkpoint).format("noop").start())
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
     return heartbeat.final(spark, checkpoint).withColumn("seconds", F.round("seconds", 6))

@@ -6,12 +6,14 @@ thousands of fast results writes one row a beat, and a silent one none.  A lost
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 BEAT_MS = 5_000
@@ -81,6 +83,20 @@ def beats(results: DataFrame, key: str, *, beat_ms: int = BEAT_MS) -> DataFrame:
     return own.groupBy(key).transformWithStateInPandas(statefulProcessor=Heartbeat(key, beat_ms), outputStructType=schema, outputMode="Update", timeMode="processingTime")
 
 
+def run_to_end(query: StreamingQuery, poll_s: float = 0.2) -> None:
+    """Wait until a batch had nothing left to read, then stop.
+
+    A stream with processing-time timers goes on making empty batches, so that no trigger ends it by itself.
+    """
+    try:
+        while query.isActive and not any(p["numInputRows"] == 0 for p in query.recentProgress):
+            time.sleep(poll_s)
+        if error := query.exception():
+            raise error
+    finally:
+        query.stop()
+
+
 def final(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The exact state of every key as of the last finished batch, from the stream's checkpoint, whether or not its beat was due."""
     kept = spark.read.format("statestore").option("stateVarName", STATE_NAME).load(checkpoint)

@@ -83,6 +83,5 @@ def test_final_is_exact_before_any_beat(spark, sf_dir, tmp_path, rocks):
     src, ck = str(tmp_path / "src"), str(tmp_path / "ck")
     own.write.parquet(src)
     stream = heartbeat.beats(spark.readStream.schema(own.schema).parquet(src), "task", beat_ms=3_600_000)
-    q = stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", ck).format("noop").start()
-    q.awaitTermination(90)
+    heartbeat.run_to_end(stream.writeStream.outputMode("update").option("checkpointLocation", ck).format("noop").start())
     assert rounded(heartbeat.final(spark, ck).collect()) == rounded(heartbeat.aggregate(spark.read.parquet(src), "task").collect())

@@ -162,11 +162,11 @@ def least_matches(threshold: float) -> int:
 
 
 def signatures(docs: DataFrame, shingle: int, threshold: float, trees: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n (set size), cid (class: fingerprint of the set, null for the empty set), sketch s0.., root nodes k0..."""
+    """doc_id, th (hash of the text: with the id it tells a row), n (set size), cid (class: fingerprint of the set, null for the empty set), sketch s0.., root nodes k0..."""
     roots = _chosen(threshold, trees)
     tree, coordinate = (np.array(x, np.uint64) for x in zip(*roots))
     salt = _mix(tree * _M3 + coordinate * _M1 + np.uint64(1))
-    names = ["doc_id", "n", "cid", *SKETCH, *(f"k{j}" for j in range(len(roots)))]
+    names = ["doc_id", "th", "n", "cid", *SKETCH, *(f"k{j}" for j in range(len(roots)))]
     schema = T.StructType([T.StructField(c, T.LongType(), c != "n") for c in names])
 
     def run(batches):
@@ -174,7 +174,7 @@ def signatures(docs: DataFrame, shingle: int, threshold: float, trees: int, doc_
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 texts = b.column(1).slice(at, 1000)
-                n, got = np.zeros(len(texts), np.int64), np.zeros((len(names) - 2, len(texts)), np.int64)
+                n, got = np.zeros(len(texts), np.int64), np.zeros((len(names) - 3, len(texts)), np.int64)
                 for row, t in enumerate(texts):
                     s = make(t.as_py())
                     n[row] = len(s)
@@ -184,9 +184,15 @@ def signatures(docs: DataFrame, shingle: int, threshold: float, trees: int, doc_
                         got[1 : 1 + WORDS, row] = sketch(m)
                         got[1 + WORDS :, row] = _mix(m[coordinate.astype(np.int64)].astype(np.uint64) * _M2 + salt).view(np.int64)
                 empty = n == 0
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1000), pa.array(n), *(pa.array(x, mask=empty) for x in got)], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1000), b.column(2).slice(at, 1000), pa.array(n), *(pa.array(x, mask=empty) for x in got)], names=names)
 
-    return docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).mapInArrow(tidied(run), schema)
+    return _body(docs, doc_id, text).select("doc_id", "text", "th").mapInArrow(tidied(run), schema)
+
+
+def _body(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, th of documents."""
+    body = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
+    return body.withColumn("th", F.xxhash64("text"))
 
 
 def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -414,14 +420,15 @@ class _Sets:
     """Hashed sets of classes, made anew from the documents when they are needed."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int, unique: bool):
-        self.body = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
-        self.ids = classes.select("cid", F.col("doc_id").alias("m_id"))
+        self.body = _body(docs, doc_id, text)
+        self.ids = classes.select("cid", F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"))
         self.shingle, self.unique = shingle, unique
 
     def of(self, cids: DataFrame) -> DataFrame:
         """cid, body (the set's hashes) for ``cids``, stored.
 
-        Rows come by doc_id; where an id isn't unique, only a row whose set is the class's counts.
+        Rows come by doc_id and hash of the text, so that rows without an id, or of one id, meet the classes of their own text only; a
+        row whose set isn't the class's (a text of the same hash) doesn't count.
         """
         shingle = self.shingle
 
@@ -437,7 +444,7 @@ class _Sets:
                     yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(body, pa.binary())], names=["cid", "body"])
 
         wanted = _few(self.ids.join(cids, "cid", "left_semi"))
-        rows = self.body.join(wanted, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("cid", "text").mapInArrow(tidied(run), "cid long, body binary")
+        rows = self.body.join(wanted, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))).select("cid", "text").mapInArrow(tidied(run), "cid long, body binary")
         return stored(rows if self.unique else rows.dropDuplicates(["cid"]), "near-sets")
 
 
@@ -518,16 +525,21 @@ def _large_group_links(rows: DataFrame, sets: DataFrame, percent: int) -> list[D
     return found
 
 
+def _first_row() -> Column:
+    """Of several rows the one with the smallest id, rows without one last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
+
+
 def links(sigs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, doc_id: str, text: str, task: int = TASK, leaf: int = LEAF) -> DataFrame:
     """Verified links (a, b) between classes, stored: enough of them to join every component."""
     threshold = percent / 100
     keys = [c for c in sigs.columns if c[0] == "k"]
-    classes = sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", *SKETCH, *keys)))
-    classes = stored(classes, "near-classes")
+    classes = sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(_first_row().alias("row"), *(F.first(c).alias(c) for c in ("n", *SKETCH, *keys)))
+    classes = stored(classes.select("cid", "row.doc_id", "row.th", "n", *SKETCH, *keys), "near-classes")
     edges = candidate_edges(classes, keys, threshold, task, leaf)
     if not edges.head(1):
         return edges
-    unique = not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1)
+    unique = not sigs.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1)
     groups = components(edges, "near-groups").select(F.col("node").alias("cid"), F.col("root").alias("grp"))
     rows = groups.join(classes.select("cid", "n"), "cid")
     rows = stored(rows.join(_parts(rows, ["grp"], "chunks"), "grp"), "near-rows")
@@ -596,35 +608,45 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _classified(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str, trees: int, task: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the rows, and per class (cid) its component's first row (``row``: no_id, doc_id, th)."""
+    sigs = stored(signatures(docs, shingle, percent / 100, trees, doc_id, text), "near-sigs")
+    found = links(sigs, docs, shingle=shingle, percent=percent, doc_id=doc_id, text=text, task=task, leaf=leaf)
+    roots = components(found, "near-final")
+    per_class = _rooted(sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(_first_row().alias("own")), roots)
+    least = per_class.groupBy("root").agg(F.min("own").alias("row"))
+    drop_stored(found)
+    return sigs, per_class.join(least, "root").select("cid", "row")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, task: int = TASK, leaf: int = LEAF) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, cid (class of equal sets), component_id, kept.
 
     Linked: 100 x intersection >= ``percent`` x union.  component_id is the smallest doc_id of
-    the component.
+    the component; null if none of its rows has an id, and then all are kept (``deduplicated`` keeps one row there too).
     """
-    sigs = stored(signatures(docs, shingle, percent / 100, trees, doc_id, text), "near-sigs")
-    found = links(sigs, docs, shingle=shingle, percent=percent, doc_id=doc_id, text=text, task=task, leaf=leaf)
-    roots = components(found, "near-final")
-    per_class = _rooted(sigs.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least_id")), roots)
-    least = per_class.groupBy("root").agg(F.min("least_id").alias("low"))
-    per_class = per_class.join(least, "root").select("cid", F.col("low").alias("least_id"))
-    rows = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(per_class, "cid", "left")
+    sigs, per_class = _classified(docs, shingle, percent, doc_id, text, trees, task, leaf)
+    rows = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(per_class.select("cid", F.col("row.doc_id").alias("least_id")), "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
-    drop_stored(found)
     return rows.select("doc_id", "n_shingles", "cid", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component; columns unchanged.
+    """``docs`` with one row of each near-duplicate component, the one with the smallest id; columns unchanged.
 
-    Texts without words are all kept.  Rows that repeat both id and text count as one.
+    A row is told by its id and text: of rows that share an id, or have none, one a component stays as well (the one whose
+    text has the smallest hash).  Texts without words are all kept.  Rows that repeat both id and text count as one.
     """
-    found = near_duplicates(docs, shingle=shingle, percent=percent, doc_id=doc_id, text=text)
-    flag = fresh(docs, "_gone_id")
-    ids = stored(found.groupBy(F.col("doc_id").alias(flag)).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows")), "near-kept")
-    # The ids that go are fewer than those that stay; while they are few the texts aren't moved.
-    gone = _few(ids.where("NOT kept").select(flag))
-    out = docs.join(gone, col(docs, doc_id).cast("long").eqNullSafe(F.col(flag)), "left_anti")
-    if ids.where("rows > 1").head(1):  # ids that aren't unique: the one case that costs a shuffle of texts
+    sigs, per_class = _classified(docs, shingle, percent, doc_id, text, TREES, TASK, LEAF)
+    row, first = F.struct("doc_id", "th"), F.struct("row.doc_id", "row.th")
+    judged = sigs.select("doc_id", "th", "cid").join(per_class, "cid", "left").withColumn("kept", F.col("row").isNull() | row.eqNullSafe(first))
+    id_, th = fresh(docs, "_gone_id"), fresh(docs, "_text_hash")
+    rows = stored(judged.groupBy(F.col("doc_id").alias(id_), F.col("th").alias("gone_th")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "near-kept")
+    # The rows that go are fewer than those that stay; while they are few the texts aren't moved.
+    gone = _few(rows.where("NOT kept").select(id_, F.col("gone_th").alias(f"{th}_gone")))
+    out = docs.withColumn(th, F.xxhash64(col(docs, text).cast("string")))
+    out = out.join(gone, col(docs, doc_id).cast("long").eqNullSafe(F.col(id_)) & (F.col(th) == F.col(f"{th}_gone")), "left_anti").drop(th)
+    if rows.where("kept AND n > 1").head(1):  # repeated rows: the one case that costs a shuffle of texts
         out = out.dropDuplicates([doc_id, text])
+    drop_stored(sigs)
     return out

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -112,3 +113,24 @@ def test_recall_of_exact_links_on_many_rows(spark):
     recall = sum(root[i] == root[j] for i, j in linked) / len(linked)
     print(f"recall of {len(linked)} exact links: {recall:.5f}")
     assert recall >= 0.999
+
+
+@pytest.mark.parametrize("id_", [None, 7])
+def test_rows_without_an_id_or_of_one_id(spark, id_):
+    """3,000 near pairs whose rows share an id, or have none: as fast as with ids, and one row a pair stays."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3_000)]
+    pairs = []
+    for _ in range(3_000):
+        base = [rng.choice(words) for _ in range(60)]
+        copy = list(base)
+        copy[rng.randrange(60)] = "other"
+        pairs.append((" ".join(base), " ".join(copy)))
+    rows = [(id_, t) for p in pairs for t in p] + [(id_, pairs[0][0])] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    kept = [r["text"] for r in nd.deduplicated(docs).collect()]
+    assert time.time() - began < 90
+    assert len(kept) == len(set(kept)) == 3_000 and all((a in kept_set) != (b in kept_set) for kept_set in [set(kept)] for a, b in pairs)
+    found = nd.near_duplicates(docs)
+    assert found.count() == 6_050 and found.select("component_id").distinct().collect()[0][0] == id_

@@ -14,12 +14,13 @@ Surrogates are made from sha-256 of (key, type, attempt, canonical form):
   names     syllables of the name's script (Latin, Cyrillic, Greek) with an ending of the given name's
             gender; capitals as found.  A name is found by a list of given names, by a title before it, or by
             words that introduce one ("my name is", "signed by") and up to one capitalised word between.
-            A surname found once is replaced wherever the document repeats it.
+            A surname found once is replaced wherever the document repeats it, in any spelling of capitals, also before ``'s``: between the
+            entities every capitalised word is looked up among the document's surnames.
 
 Collision check: the distinct entities of all documents are grouped by surrogate; where two share
 one, or one is itself an entity of the corpus, all but the first are made anew with the next
 attempt, until none is left; names get more syllables with later attempts.  Distinct entities thus stay
-distinct; an error is raised if a format has fewer values than the corpus has entities of it.
+distinct; hosts of e-mails get more digits with later attempts; an error is raised if a format has fewer values than the corpus has entities of it.
 
 The entities, not the texts, are what the collision rounds move; the final surrogates come back to
 a document as one map per doc_id (per text, where the id is null).  Defined cases: null text stays null, empty text empty; other columns pass
@@ -67,6 +68,9 @@ _GIVEN = "|".join(n for x in MALE + FEMALE for n in (x, x.upper()))
 GIVEN = "(?:" + _GIVEN + r")(?!\p{L})"
 _INTRODUCED = "(?:" + "|".join(INTRODUCED) + ")"
 SURNAME = r"(?<=(?:" + _GIVEN + "|(?:" + "|".join(TITLES) + r")\.?|" + _INTRODUCED + r"(?: \p{Lu}[\p{L}'’-]{1,20})?) )" + _NAME
+#: A capitalised word, which may be a surname found elsewhere in the document.
+WORD = r"(?<![\p{L}\p{N}])" + _NAME + r"(?!\p{L})"
+POSSESSIVE = "['’][sS]$"
 PATTERN = (
     START + "(?:(?=[\\d+(])(?:" + "|".join((IP, CARD, SSN, PHONE)) + ")|(?=\\p{Lu})(?:" + "|".join((IBAN, GIVEN, SURNAME))
     + ")|" + "|".join((ASSIGNED, IP6, HEX, EMAIL)) + ")"
@@ -96,7 +100,7 @@ def kind_of(x: Column) -> Column:
 
 def canonical(x: Column, kind: Column) -> Column:
     """``type|form``: what makes two mentions the same entity."""
-    form = F.when(kind.isin(*DIGIT_TYPES), F.regexp_replace(x, r"[^A-Z\d]", "")).when(kind == "ip", x).when(kind == "secret", F.regexp_replace(x, "^" + ASSIGN, "")).otherwise(F.lower(x))
+    form = F.when(kind.isin(*DIGIT_TYPES), F.regexp_replace(x, r"[^A-Z\d]", "")).when(kind == "ip", x).when(kind == "secret", F.regexp_replace(x, "^" + ASSIGN, "")).when(kind == "surname", F.lower(F.regexp_replace(x, POSSESSIVE, ""))).otherwise(F.lower(x))
     return F.concat(kind, F.lit("|"), form)
 
 
@@ -154,7 +158,7 @@ def with_surrogate(canons: DataFrame, secret_key: str) -> DataFrame:
     local = F.substring_index(form, "@", 1)
     mail = F.array_join(F.transform(_chars(local), lambda c, i: F.when(c.rlike(r"\d"), place(stream, i)).when(c.rlike(r"\p{L}"), script(c, place(letters, i))).otherwise(c)), "")
     hosts = F.array(*map(F.lit, ("example.com", "example.org", "example.net")))
-    email = F.concat(mail, F.lit("@mx"), (_number(h, 9) % 1000).cast("string"), F.lit("."), F.element_at(hosts, _number(h, 13) % 3 + 1))
+    email = F.concat(mail, F.lit("@mx"), stream.substr(F.lit(1), attempt * 3 + 3), F.lit("."), F.element_at(hosts, _number(h, 13) % 3 + 1))
     ip = F.concat_ws(".", (_number(h, 1) % 223 + 1).cast("string"), *((_number(h, 5 + 4 * k) % 256).cast("string") for k in range(3)))
     # Four syllables, six from the second attempt on, eight from the fourth.
     names = lambda table: F.concat(_syllables(h, table, 4), F.when(attempt > 0, _syllables(h, table, 2, 4)).otherwise(""), F.when(attempt > 2, _syllables(h, table, 2, 6)).otherwise(""))
@@ -177,6 +181,7 @@ def written(entity: Column, kind: Column, canon_surrogate: Column) -> Column:
     number = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"[A-Z\d]"), canon_surrogate.substr(F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x.rlike(r"[A-Z\d]"))), F.lit(1))).otherwise(c)), "")
     upper = (F.upper(entity) == entity) & (F.length(entity) > 1)
     name = F.when(upper, F.upper(canon_surrogate)).otherwise(F.initcap(canon_surrogate))
+    name = F.concat(name, F.when(kind == "surname", F.regexp_extract(entity, POSSESSIVE, 0)).otherwise(""))
     return F.when(kind.isin(*DIGIT_TYPES), number).when(kind.isin("male", "female", "surname"), name).when((kind == "email") & upper, F.upper(canon_surrogate)).when(kind == "secret", F.concat(F.regexp_extract(entity, "^(" + ASSIGN + ")?", 0), canon_surrogate)).otherwise(canon_surrogate)
 
 
@@ -221,25 +226,39 @@ def replace_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = stored(found.select("id", "canon"), "pii-entities")
     surrogates = assign(stored(found.select("canon").distinct(), "pii-canons"), secret_key)
     maps = found.join(surrogates, "canon").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("canon", "surrogate"))).alias("map"))
-    # Surnames of the document are found again wherever they stand alone.
-    surnames = F.transform(F.filter(F.map_keys("map"), lambda k: k.startswith("surname|")), lambda k: F.initcap(F.substring(k, 9, 1000)))
-    surnames = F.concat(surnames, F.transform(surnames, F.upper))
-    again = F.when(F.size(surnames) > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(F.array_sort(surnames), "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(PATTERN))
-    names = {c: fresh(docs, f"_pii_{c}") for c in ("id", "map", "again", "key", "found")}
-    maps = maps.select(F.col("id").alias(names["id"]), F.col("map").alias(names["map"]), again.alias(names["again"]))
+    names = {c: fresh(docs, f"_pii_{c}") for c in ("id", "map", "key", "found", "gaps")}
+    maps = maps.select(F.col("id").alias(names["id"]), F.col("map").alias(names["map"]))
     c = {k: F.col(v) for k, v in names.items()}
 
     out = docs.withColumn(names["key"], key)
     out = out.join(maps, c["key"] == c["id"], "left")
     body = F.col(q(text))
-    out = out.withColumn(names["found"], F.when(c["map"].isNotNull(), entities(body, c["again"])))
     # Each step is a transform of its own, so a mention's type and form are made once.
-    step = F.transform(c["found"], lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))
+    step = F.transform(entities(body), lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))
     step = F.transform(step, lambda s: F.struct(s["x"].alias("x"), s["kind"].alias("kind"), F.element_at(c["map"], canonical(s["x"], s["kind"])).alias("to")))
     swapped = F.transform(step, lambda s: F.coalesce(written(s["x"], s["kind"], s["to"]), F.lit("")))
-    pieces = F.zip_with(F.split(body, c["again"], -1), swapped, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+
+    def word(x: Column) -> Column:
+        """A capitalised word between entities: the surname's surrogate, or itself."""
+        return F.struct(x.alias("x"), F.element_at(c["map"], canonical(x, F.lit("surname"))).alias("to"))
+
+    def gap(g: Column) -> Column:
+        """What stands between two entities, cut at its capitalised words."""
+        return F.struct(F.split(g, WORD, -1).alias("rest"), F.transform(entities(g, WORD), word).alias("words"))
+
+    whole = F.split(body, PATTERN, -1)
+    plain = F.transform(whole, lambda g: F.struct(F.array(g).alias("rest"), F.array().cast("array<struct<x:string,to:string>>").alias("words")))
+    named = F.exists(F.map_keys(c["map"]), lambda k: k.startswith("surname|"))
+    out = out.withColumns({
+        names["found"]: F.when(c["map"].isNotNull(), swapped),
+        names["gaps"]: F.when(c["map"].isNotNull(), F.when(named, F.transform(whole, gap)).otherwise(plain)),
+    })
+    again = lambda w: F.coalesce(written(w["x"], F.lit("surname"), w["to"]), w["x"])
+    joined = F.transform(c["gaps"], lambda g: F.array_join(F.zip_with(g["rest"], g["words"], lambda a, w: F.concat(F.coalesce(a, F.lit("")), F.when(w.isNotNull(), again(w)).otherwise(F.lit("")))), ""))
+    pieces = F.zip_with(joined, c["found"], lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    repeated = F.aggregate(c["gaps"], F.lit(0), lambda n, g: n + F.size(F.filter(g["words"], lambda w: w["to"].isNotNull())))
     n_all = fresh(docs, "n_entities")
     return out.select(
         *(F.when(c["map"].isNotNull(), F.array_join(pieces, "")).otherwise(body).alias(x) if x == text else F.col(q(x)) for x in docs.columns),
-        F.coalesce(F.size(c["found"]), F.lit(0)).cast("long").alias(n_all),
+        F.coalesce(F.size(c["found"]) + repeated, F.lit(0)).cast("long").alias(n_all),
     )

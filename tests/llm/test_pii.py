@@ -132,3 +132,83 @@ def test_more_names_than_short_surrogates(spark):
     got = pii.assign(canons, "k")
     assert got.count() == 70_000 == got.select("surrogate").distinct().count()
     assert got.where(~F.col("surrogate").rlike("^[а-я]+в$")).count() == 0
+
+
+SURNAMES = {
+    1: ("James McDonald came. McDonald left, MCDONALD too; mcdonald stays, McDonalds and Donald stay.", r"\w+n (\w+)\. (\w+) left, (\w+) too; mcdonald stays, McDonalds and Donald stay\."),
+    2: ("Mary Smith-Jones spoke. Then Smith-Jones sat.", None), 3: ("Dr. O'Neil rang; O'Neil's car, O’Neil is another.", None), 4: ("Анна Римская-Корсакова пела. Римская-Корсакова ушла.", None),
+    5: ("Γιώργος Παπαδόπουλος ήρθε. Ο Παπαδόπουλος έφυγε.", None), 6: ("Mr. Baker met BAKER. X-Api-Key: abcdef123 and O'baker@mail.example.org", None), 7: ("John Jones's dog. Jones' cat, Jones’s mouse.", None),
+}
+
+
+def test_surnames_are_found_again_in_any_spelling(spark):
+    d = spark.createDataFrame([(i, f[0]) for i, f in SURNAMES.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(d).collect()}
+    t = {i: r["text"] for i, r in got.items()}
+    m = re.fullmatch(r"(\w+n) (\w+r) came\. (\w+) left, (\w+) too; mcdonald stays, McDonalds and Donald stay\.", t[1])
+    assert m and m[2] == m[3] and m[4] == m[2].upper() and got[1]["n_entities"] == 4
+    m = re.fullmatch(r"(\w+na) (\w+r) spoke\. Then (\w+r) sat\.", t[2])
+    assert m and m[2] == m[3]
+    m = re.fullmatch(r"Dr\. (\w+r) rang; (\w+r)'s car, O’Neil is another\.", t[3])
+    assert m and m[1] == m[2]
+    m = re.fullmatch(r"(\w+на) (\w+ва) пела\. (\w+ва) ушла\.", t[4])
+    assert m and m[2] == m[3]
+    m = re.fullmatch(r"(\w+ς) (\w+ς) ήρθε\. Ο (\w+ς) έφυγε\.", t[5])
+    assert m and m[2] == m[3]
+    m = re.fullmatch(r"Mr\. (\w+r) met (\w+R)\. X-Api-Key: (\w{9}) and O'(\w{5})@mx\d+\.example\.\w+", t[6])
+    assert m and m[2] == m[1].upper() and m[3] != "abcdef123" and m[4] != "baker"
+    m = re.fullmatch(r"\w+n (\w+)'s dog\. (\w+)' cat, (\w+)’s mouse\.", t[7])
+    assert m and m[1] == m[2] == m[3] != "Jones"
+
+
+def test_short_mails_never_run_out(spark):
+    """60,000 mails of one letter: more than a host of three digits tells apart."""
+    canons = spark.range(60_000).select(F.concat(F.lit("email|a@h"), F.col("id").cast("string"), F.lit(".example")).alias("canon"))
+    got = pii.assign(canons, "k")
+    assert got.count() == 60_000 == got.select("surrogate").distinct().count()
+
+
+def test_documents_equal_a_plain_replacer(spark, sf_dir):
+    """Every text scanned by hand: entities by the pattern, then capitalised words between them by the document's surnames."""
+    regex = pytest.importorskip("regex")
+    find, word = regex.compile(pii.PATTERN), regex.compile(pii.WORD)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    extra = [(10_000 + i, f[0]) for i, f in SURNAMES.items()] + [(30_000 + i, f[0]) for i, f in FORMS.items()] + [(20_000 + i, x) for i, x in TEXTS.items()]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema)).repartition(4)
+    rows = docs.collect()
+    mentions = sorted({m for r in rows for m in find.findall(r["text"] or "")} | {m for r in rows for m in word.findall(r["text"] or "")})
+    known = spark.createDataFrame([(m,) for m in mentions], "x string").withColumn("kind", pii.kind_of(F.col("x")))
+    known = {r["x"]: r for r in known.withColumns({"canon": pii.canonical(F.col("x"), F.col("kind")), "name": pii.canonical(F.col("x"), F.lit("surname"))}).collect()}
+    of_doc = {r["doc_id"]: {known[m]["canon"] for m in find.findall(r["text"] or "")} for r in rows}
+    canons = sorted(set().union(*of_doc.values()))
+    made = {r["canon"]: r["surrogate"] for r in pii.assign(spark.createDataFrame([(c,) for c in canons], "canon string"), "pixelloom").collect()}
+    pairs = [(m, known[m]["kind"], made[known[m]["canon"]]) for m in mentions if known[m]["canon"] in made] + [(m, "surname", made[known[m]["name"]]) for m in mentions if known[m]["name"] in made]
+    said = spark.createDataFrame(pairs, "x string, kind string, to string").distinct()
+    said = {(r["x"], r["kind"]): r["w"] for r in said.withColumn("w", pii.written(F.col("x"), F.col("kind"), F.col("to"))).collect()}
+    want = {}
+    for r in rows:
+        t, own = r["text"], of_doc[r["doc_id"]]
+        if t is None:
+            want[r["doc_id"]] = (None, 0)
+            continue
+        out, at, n = [], 0, 0
+
+        def between(a, b, t=t, own=own, out=out):
+            gap, k, found = t[a:b], 0, 0
+            for m in word.finditer(gap):
+                out.append(gap[k : m.start()])
+                hit = known[m[0]]["name"] in own
+                out.append(said[m[0], "surname"] if hit else m[0])
+                found += hit
+                k = m.end()
+            out.append(gap[k:])
+            return found
+
+        for m in find.finditer(t):
+            n += between(at, m.start()) + 1
+            out.append(said[m[0], known[m[0]]["kind"]])
+            at = m.end()
+        n += between(at, len(t))
+        want[r["doc_id"]] = ("".join(out), n)
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.replace_pii(docs).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 50

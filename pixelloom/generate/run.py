@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..operators import infer, scoring
 from ..sources import png
 from . import charts, tasks
 
@@ -35,6 +36,60 @@ def slots(spark: SparkSession, names: list[str] | None = None, conditions: list[
     return spark.createDataFrame(rows, "task string, visual_condition string, mode string, slot int, idx int, width int, height int, striped boolean, n int")
 
 
+def slots_of(rows: DataFrame) -> DataFrame:
+    """Slots of given problems (idx, task, mode, visual_condition; any others go along): one slot a row, its number is idx."""
+    spark = rows.sparkSession
+    sizes = [(t, c, w, h, striped, dims.n_of(t, level)) for t in dims.TASKS for c, (w, h, _, striped, level) in dims.CONDITIONS.items()]
+    about = spark.createDataFrame(sizes, "task string, visual_condition string, width int, height int, striped boolean, n int")
+    return rows.join(F.broadcast(about), ["task", "visual_condition"]).withColumn("slot", F.col("idx").cast("int"))  # 160 rows
+
+
+def dealt(grid: DataFrame, each: int) -> DataFrame:
+    """Dealt out to tasks of some ``each`` problems; a picture takes a tenth of a second and megabytes, so a task takes few."""
+    return grid.repartition(1 + grid.count() // each)
+
+
+def made(r: dict, benchmark: str, scale: float) -> tuple[tasks.Problem | None, int]:
+    """The problem of a slot from the first of MAX_ATTEMPTS seeds that makes a valid one, and that seed."""
+    for attempt in range(MAX_ATTEMPTS):
+        seed = seed_of(benchmark, r["task"], r["visual_condition"], r["mode"], r["slot"], attempt)
+        found = tasks.generate(r["task"], seed, r["n"], max(16, round(r["width"] * scale)), max(16, round(r["height"] * scale)), r["mode"], striped=r["striped"])
+        if found:
+            return found, seed
+    return None, seed
+
+
+def evaluated(grid: DataFrame, models: list[str], benchmark: str = "shapes", scale: float = 1.0, deadline_s: float = 120.0, pause_s: float = 2.0) -> DataFrame:
+    """task, idx, mode, visual_condition, model, success, error and the scores of every model's output for every slot.
+
+    A problem is made, run through all models and scored where it is made: pictures stay arrays in the worker and none is packed, stored
+    or sent.  A model that fails is a row without output and with its error; a slot for which no valid problem is found has no rows.
+    """
+    for m in models:
+        infer.create(m)
+    schema = f"task string, idx int, mode string, visual_condition string, model string, success boolean, error string, {scoring.SCORE_FIELDS}"
+    arrow = pa.schema([*((n, pa.int32() if n == "idx" else pa.string()) for n in ("task", "idx", "mode", "visual_condition", "model")), ("success", pa.bool_()), ("error", pa.string()), *scoring._ARROW])
+
+    def run(batches):
+        calls = {m: infer.create(m) for m in models}
+        for b in batches:
+            for r in b.to_pylist():
+                found, _ = made(r, benchmark, scale)
+                if not found:
+                    continue
+                rows = []
+                for m, call in calls.items():
+                    output, error = None, None
+                    try:
+                        output, _, _ = infer.unpacked(infer.tried(lambda call=call: call(found.image, found.instruction, found.answer), deadline_s, pause_s))
+                    except Exception as e:  # reported in the row; nothing is hidden
+                        error = str(e)
+                    rows.append({k: r[k] for k in ("task", "idx", "mode", "visual_condition")} | {"model": m, "success": error is None, "error": error} | scoring.triplet_score(found.image, found.answer, output))
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return grid.mapInArrow(run, schema)
+
+
 def problems(grid: DataFrame, benchmark: str = "shapes", scale: float = 1.0) -> DataFrame:
     """benchmark, task, idx, mode, visual_condition, seed, instruction, input, answer (PNG), meta (JSON).
 
@@ -46,12 +101,7 @@ def problems(grid: DataFrame, benchmark: str = "shapes", scale: float = 1.0) ->
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                found, seed = None, None
-                for attempt in range(MAX_ATTEMPTS):
-                    seed = seed_of(benchmark, r["task"], r["visual_condition"], r["mode"], r["slot"], attempt)
-                    found = tasks.generate(r["task"], seed, r["n"], max(16, round(r["width"] * scale)), max(16, round(r["height"] * scale)), r["mode"], striped=r["striped"])
-                    if found:
-                        break
+                found, seed = made(r, benchmark, scale)
                 own = {k: r[k] for k in ("task", "idx", "mode", "visual_condition")} | {"benchmark": benchmark, "seed": seed}
                 if found:
                     meta = {"instruction": found.instruction} | found.meta | {"task": r["task"], "mode": r["mode"], "visual_condition": r["visual_condition"], "problem_id": r["idx"], "category": dims.TASKS.get(r["task"], (None,))[0]}
@@ -66,9 +116,14 @@ def preservation(made: DataFrame) -> DataFrame:
     return made.where("task = 'removal'").withColumn("task", F.lit("preservation")).withColumn("answer", F.col("input")).withColumn("instruction", F.lit("Leave the image as it is."))
 
 
-def chart_problems(spark: SparkSession, per_task: int = 30, benchmark: str = "charts") -> DataFrame:
-    """benchmark, chart, task, idx, seed, instruction, before, after (JSON states)."""
-    grid = spark.range(per_task).select(F.col("id").cast("int").alias("idx")).withColumn("t", F.explode(F.array(*(F.struct(F.lit(c).alias("chart"), F.lit(e).alias("edit")) for c, es in dims.CHARTS.items() for e in es))))
+def chart_slots(spark: SparkSession, per_task: int = 30) -> DataFrame:
+    """idx, chart, edit of a whole benchmark."""
+    kinds = F.array(*(F.struct(F.lit(c).alias("chart"), F.lit(e).alias("edit")) for c, es in dims.CHARTS.items() for e in es))
+    return spark.range(per_task).select(F.col("id").cast("int").alias("idx"), F.explode(kinds).alias("t")).select("idx", "t.*")
+
+
+def chart_problems(grid: DataFrame, benchmark: str = "charts") -> DataFrame:
+    """benchmark, chart, task, idx, seed, instruction, before, after (JSON states) of slots (idx, chart, edit)."""
     schema = "benchmark string, chart string, task string, idx int, seed long, instruction string, before string, after string"
 
     def run(batches):
@@ -80,4 +135,4 @@ def chart_problems(spark: SparkSession, per_task: int = 30, benchmark: str = "ch
                 rows.append({"benchmark": benchmark, "chart": c, "task": f"{c}_{e}", "idx": i, "seed": seed, "instruction": g["instruction"], "before": json.dumps(g["before"]), "after": json.dumps(g["after"])})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.int32() if n == "idx" else pa.int64() if n == "seed" else pa.string()) for n in ("benchmark", "chart", "task", "idx", "seed", "instruction", "before", "after")]))
 
-    return grid.select("idx", "t.chart", "t.edit").mapInArrow(run, schema)
+    return grid.select("idx", "chart", "edit").mapInArrow(run, schema)

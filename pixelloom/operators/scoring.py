@@ -163,6 +163,22 @@ def _bgr(row: dict) -> np.ndarray:
     return data[..., 2::-1]
 
 
+def triplet_score(image: np.ndarray, answer: np.ndarray, output: np.ndarray | None) -> dict:
+    """has_output, correct_output_size, edit_pixels, preservation_pixels and blocks of one triplet; without an output all pixels are wrong."""
+    if output is None:
+        edit = np.any(image != answer, -1)
+        ep, pp = int(edit.sum()), int((~edit).sum())
+        iou = 1.0 if ep + pp == 0 else 0.0
+        zero = [{"t": t, "edit_correct_pixels": 0, "preservation_correct_pixels": 0, "edit_accuracy": 0.0, "preservation_accuracy": 0.0, "iou": iou, "changed_pixels": 0} for t in THRESHOLDS]
+        return {"has_output": False, "correct_output_size": None, "edit_pixels": ep, "preservation_pixels": pp, "blocks": zero}
+    same = output.shape[:2] == answer.shape[:2]
+    return {"has_output": True, "correct_output_size": same} | image_stats(image, answer, fit_image(output, *answer.shape[:2]))
+
+
+#: Fields that ``triplet_score`` fills, as a schema.
+SCORE_FIELDS = f"has_output boolean, correct_output_size boolean, edit_pixels bigint, preservation_pixels bigint, blocks array<{_BLOCK}>"
+
+
 def score_images(triplets: DataFrame, keys: list[str]) -> DataFrame:
     """keys, has_output, correct_output_size, edit_pixels, preservation_pixels, blocks.
 
@@ -174,19 +190,7 @@ def score_images(triplets: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for r in b.select(["input", "answer", "output"]).to_pylist():
-                image, answer = _bgr(r["input"]), _bgr(r["answer"])
-                edit = np.any(image != answer, -1)
-                if r["output"] is None or r["output"]["height"] <= 0:
-                    ep, pp = int(edit.sum()), int((~edit).sum())
-                    iou = 1.0 if ep + pp == 0 else 0.0
-                    zero = [{"t": t, "edit_correct_pixels": 0, "preservation_correct_pixels": 0, "edit_accuracy": 0.0, "preservation_accuracy": 0.0, "iou": iou, "changed_pixels": 0} for t in THRESHOLDS]
-                    rows.append({"has_output": False, "correct_output_size": None, "edit_pixels": ep, "preservation_pixels": pp, "blocks": zero})
-                    continue
-                output = _bgr(r["output"])
-                same = output.shape[:2] == answer.shape[:2]
-                rows.append({"has_output": True, "correct_output_size": same} | image_stats(image, answer, fit_image(output, *answer.shape[:2])))
+            rows = [triplet_score(_bgr(r["input"]), _bgr(r["answer"]), _bgr(r["output"]) if r["output"] is not None and r["output"]["height"] > 0 else None) for r in b.select(["input", "answer", "output"]).to_pylist()]
             made = pa.RecordBatch.from_pylist(rows, schema=_ARROW)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keys), *made.columns], names=[*keys, *made.schema.names])
 

@@ -36,15 +36,30 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("model", "sid", "ir", "ig", "ib", "ar", "ag", "ab", red.alias("pr"), base["g"].alias("pg"), base["b"].alias("pb"))
 
 
+#: So that groups are uneven, the fourth task of the later suppliers goes to the fifth, and the seventh chart task to the eighth.
+_UNEVEN, _UNEVEN_CHART = (3, 3), (6, 2)
+
+
+def _kind(uneven: tuple[int, int]) -> Column:
+    """Number of a supplier's task (0 to 19)."""
+    task, most = uneven
+    k = F.col("sid") % 20
+    return F.when((k == task) & (F.floor(F.col("sid") / 20) >= most), task + 1).otherwise(k)
+
+
+def _kind_sql(uneven: tuple[int, int]) -> str:
+    task, most = uneven
+    return f"CASE WHEN s_suppkey % 20 = {task} AND s_suppkey // 20 >= {most} THEN {task + 1} ELSE s_suppkey % 20 END"
+
+
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sid, task, category, visual_condition, mode, has_output, correct_output_size (null without output)."""
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sid"))
-    s = s.where(~((F.col("sid") % 20 == 3) & (F.floor(F.col("sid") / 20) >= 3)))
+    """sid, task, category, visual_condition, mode, has_output, correct_output_size (null without output): a problem for every supplier."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sid")).withColumn("kind", _kind(_UNEVEN))
     turn = F.floor(F.col("sid") / 20)
     modes = F.array(*(dims.names(m) for _, m in dims.TASKS.values()))
-    own = F.element_at(modes, (F.col("sid") % 20 + 1).cast("int"))
+    own = F.element_at(modes, (F.col("kind") + 1).cast("int"))
     out = s.select(
-        "sid", dims.pick(TASK_NAMES, F.col("sid") % 20).alias("task"), dims.pick([c for c, _ in dims.TASKS.values()], F.col("sid") % 20).alias("category"),
+        "sid", dims.pick(TASK_NAMES, F.col("kind")).alias("task"), dims.pick([c for c, _ in dims.TASKS.values()], F.col("kind")).alias("category"),
         dims.pick(COND_NAMES, turn % 8).alias("visual_condition"), F.element_at(own, (turn % F.size(own) + 1).cast("int")).alias("mode"),
         (F.col("sid") % 17 != 0).alias("has_output"),
     )
@@ -52,10 +67,10 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chart_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sid, task (chart_subtask), has_output, correct_output_size."""
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sid")).where("NOT (sid % 20 = 6 AND floor(sid / 20) >= 2)")
+    """sid, task (chart_subtask), has_output, correct_output_size: one for every supplier."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sid")).withColumn("kind", _kind(_UNEVEN_CHART))
     all_tasks = [f"{c}_{t}" for c, subs in dims.CHARTS.items() for t in subs]
-    out = s.select("sid", dims.pick(all_tasks, F.col("sid") % 20).alias("task"), (F.col("sid") % 17 != 0).alias("has_output"))
+    out = s.select("sid", dims.pick(all_tasks, F.col("kind")).alias("task"), (F.col("sid") % 17 != 0).alias("has_output"))
     return out.withColumn("correct_output_size", F.when(F.col("has_output"), F.col("sid") % 5 != 0))
 
 
@@ -136,11 +151,11 @@ SQL = {
     px1 AS (SELECT *, CASE WHEN edit THEN 255 - ir ELSE ir END AS ar, CASE WHEN edit THEN 255 - ig ELSE ig END AS ag, CASE WHEN edit THEN 255 - ib ELSE ib END AS ab FROM px0),
     px AS (SELECT model, sid, ir, ig, ib, ar, ag, ab, greatest(0, least(255, CASE WHEN q % 2 = 0 THEN ar ELSE ir END + (q % 7 - 3))) AS pr,
         CASE WHEN q % 2 = 0 THEN ag ELSE ig END AS pg, CASE WHEN q % 2 = 0 THEN ab ELSE ib END AS pb FROM px1)""",
-    "prob": f"""prob0 AS (SELECT s_suppkey AS sid, s_suppkey // 20 AS turn FROM supplier WHERE NOT (s_suppkey % 20 = 3 AND s_suppkey // 20 >= 3)),
+    "prob": f"""prob0 AS (SELECT s_suppkey AS sid, s_suppkey // 20 AS turn, {_kind_sql(_UNEVEN)} AS kind FROM supplier),
     prob AS (SELECT sid, task, category, {dims.sql_list(COND_NAMES)}[turn % 8 + 1] AS visual_condition, modes[turn % len(modes) + 1] AS mode, sid % 17 <> 0 AS has_output,
-        CASE WHEN sid % 17 <> 0 THEN sid % 5 <> 0 END AS correct_output_size FROM prob0 JOIN {dims.sql_tasks()} ON dim_task.ord = sid % 20)""",
-    "cprob": f"""cprob AS (SELECT s_suppkey AS sid, {dims.sql_list([f"{c}_{t}" for c, s in dims.CHARTS.items() for t in s])}[s_suppkey % 20 + 1] AS task, s_suppkey % 17 <> 0 AS has_output,
-        CASE WHEN s_suppkey % 17 <> 0 THEN s_suppkey % 5 <> 0 END AS correct_output_size FROM supplier WHERE NOT (s_suppkey % 20 = 6 AND s_suppkey // 20 >= 2))""",
+        CASE WHEN sid % 17 <> 0 THEN sid % 5 <> 0 END AS correct_output_size FROM prob0 JOIN {dims.sql_tasks()} ON dim_task.ord = kind)""",
+    "cprob": f"""cprob AS (SELECT s_suppkey AS sid, {dims.sql_list([f"{c}_{t}" for c, s in dims.CHARTS.items() for t in s])}[{_kind_sql(_UNEVEN_CHART)} + 1] AS task, s_suppkey % 17 <> 0 AS has_output,
+        CASE WHEN s_suppkey % 17 <> 0 THEN s_suppkey % 5 <> 0 END AS correct_output_size FROM supplier)""",
     "shapes": f"""shapes AS (SELECT p_partkey // 10 AS scene, (p_partkey % 10)::INT AS z, {dims.sql_list(dims.SHAPES)}[p_size % 12 + 1] AS shape, {dims.sql_list(dims.PALETTE)}[p_partkey % 11 + 1] AS fill,
         (p_partkey * 7 % 80)::INT AS x, (p_partkey * 13 % 80)::INT AS y, (8 + p_size % 17)::INT AS w, (8 + p_partkey % 19)::INT AS h, (p_partkey * 15 % 360)::INT AS rotation FROM part)""",
     "series": "series AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS y, event_type FROM events)",

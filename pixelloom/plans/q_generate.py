@@ -4,74 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..generate import run
-from ..operators import infer, scoring
 from ..registry import query
 from ..streaming import incremental
 from . import derive
 
-#: Side of generated images as a share of the full size (1024): grid and pictures are whole.
+#: Side of generated images as a share of the full size (1024): pictures are whole.
 SCALE = 1.0
-#: Tasks that problems are dealt out to; raw pictures take megabytes, so a task scores a few problems only.
-MADE, SCORED = 240, 480
+#: Problems a task makes, or makes and scores.
+MADE, SCORED = 8, 4
+MODELS = ["echo_input", "answer_oracle", "noise"]
+
+
+def _grid(spark, sf_dir):
+    """A problem for every supplier, by its task, mode and visual condition."""
+    rows = derive.problems(spark, sf_dir).select(F.col("sid").cast("int").alias("idx"), "task", "mode", "visual_condition")
+    return run.slots_of(rows)
 
 
 @query()
 def generate_problems(spark, sf_dir):
-    """The whole grid of 20 tasks, 8 conditions and 12 slots."""
-    made = run.problems(run.slots(spark).repartition(MADE), scale=SCALE)
+    """Full-size pictures and instructions of every supplier's problem."""
+    made = run.problems(run.dealt(_grid(spark, sf_dir), MADE), scale=SCALE)
     return made.select("task", "idx", "mode", "visual_condition", "seed", "instruction", F.length("input").alias("input_bytes"), F.length("answer").alias("answer_bytes"))
 
 
 @query()
 def generate_preservation(spark, sf_dir):
-    made = run.preservation(run.problems(run.slots(spark, ["removal"]).repartition(48), scale=SCALE))
+    made = run.preservation(run.problems(run.dealt(_grid(spark, sf_dir).where("task = 'removal'"), MADE), scale=SCALE))
     return made.select("task", "idx", "mode", "visual_condition", "seed", (F.col("input") == F.col("answer")).alias("same"))
 
 
 @query()
 def generate_charts(spark, sf_dir):
-    """Twenty chart edits with thirty slots each, as states."""
-    return run.chart_problems(spark)
+    """A chart edit for every supplier, as states before and after."""
+    task = F.col("task")
+    chart = F.coalesce(*(F.when(task.startswith(f"{c}_"), c) for c in dims.CHARTS))
+    grid = derive.chart_problems(spark, sf_dir).select(F.col("sid").cast("int").alias("idx"), chart.alias("chart"), F.expr("substring(task, length(chart) + 2)").alias("edit"))
+    return run.chart_problems(run.dealt(grid, 400))
 
 
 @query()
 def image_scores(spark, sf_dir):
-    """All generated problems, full size and in all conditions, through three baseline models and the image scorer.
-
-    Problems are made once and stored packed; packed pictures go along with their row, so nothing is
-    joined and no raw picture is shuffled.
-    """
-    from ..sources import png, shared
-
-    made = run.problems(run.slots(spark).repartition(MADE), scale=SCALE)
-    made = made.where("input IS NOT NULL").select("task", "idx", F.col("input").alias("input_png"), F.col("answer").alias("answer_png"), "instruction")
-    made = shared.stored(made, "problems").repartition(SCORED)
-    image = "struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
-    packed = ["task", "idx", "input_png", "answer_png"]
-
-    def decoded(batches):
-        import pyarrow as pa
-
-        kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
-        for batch in batches:
-            for at in range(batch.num_rows):
-                b = batch.slice(at, 1)
-                pics = {n: pa.array([None if d is None else _struct(png.decode(d)) for d in b.column(f"{n}_png").to_pylist()], kind) for n in ("input", "answer", "output") if f"{n}_png" in b.schema.names}
-                yield pa.RecordBatch.from_arrays([*b.columns, *pics.values()], names=[*b.schema.names, *pics])
-
-    pics = made.mapInArrow(decoded, f"task string, idx int, input_png binary, answer_png binary, instruction string, input {image}, answer {image}")
-    out = None
-    for model in ("echo_input", "answer_oracle", "noise"):
-        rows = infer.run(pics, model, packed).select(*packed, "model", F.col("output").alias("output_png"))
-        out = rows if out is None else out.unionByName(rows)
-    outs = out.mapInArrow(decoded, f"task string, idx int, input_png binary, answer_png binary, model string, output_png binary, input {image}, answer {image}, output {image}")
-    s = scoring.score_images(outs, ["model", "task", "idx"])
-    return s.select("model", "task", "idx", "has_output", "correct_output_size", "edit_pixels", F.element_at("blocks", 3)["iou"].alias("iou"))
-
-
-def _struct(rgb) -> dict:
-    return {"origin": "", "height": rgb.shape[0], "width": rgb.shape[1], "nChannels": 3, "mode": 16, "data": rgb[..., ::-1].tobytes()}
+    """Every supplier's problem, full size, through three baseline models and the image scorer, in one pass a problem."""
+    s = run.evaluated(run.dealt(_grid(spark, sf_dir), SCORED), MODELS, scale=SCALE)
+    return s.select("model", "task", "idx", "visual_condition", "has_output", "correct_output_size", "edit_pixels", F.element_at("blocks", 3)["iou"].alias("iou"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -80,27 +80,30 @@ def test_chart_edits(chart, edit):
 
 
 def test_chart_problems(spark):
-    got = run.chart_problems(spark, 3)
+    got = run.chart_problems(run.chart_slots(spark, 3))
     assert got.count() == 60 and got.select("task").distinct().count() == 20
 
 
-def test_registered_queries_take_full_size_and_all_conditions(spark, monkeypatch):
+def test_registered_queries_read_their_table_at_full_size(spark, sf_dir, monkeypatch):
+    """One problem a condition of the suppliers', scored in the pass that makes it as its packed pictures are on their own."""
+    from pixelloom.operators import infer, scoring
     from pixelloom.plans import q_generate
-
-    slots, problems, scales = run.slots, run.problems, []
-
-    def one_a_condition(spark, names=None, conditions=None):
-        return slots(spark, ["removal"], conditions).where("slot = 0").dropDuplicates(["visual_condition"])
-
-    def watched(grid, **options):
-        scales.append(options.get("scale", 1.0))
-        return problems(grid, **options)
-
-    monkeypatch.setattr(run, "slots", one_a_condition)
-    monkeypatch.setattr(run, "problems", watched)
-    monkeypatch.setattr(q_generate, "SCORED", 8)
-    got = q_generate.image_scores(spark, "").collect()
-    made = q_generate.generate_problems(spark, "").collect()
-    assert q_generate.generate_preservation(spark, "").count() == len({r["visual_condition"] for r in made}) == 8
-    assert len(got) == 3 * 8 == len({(r["model"], r["idx"]) for r in got}) and scales == [1.0] * 3
-    assert all(r["iou"] == 1 for r in got if r["model"] == "answer_oracle") and all(r["edit_pixels"] > 0 for r in got)
+    from pixelloom.sources import png
+
+    grid, scales, evaluated, problems = q_generate._grid(spark, sf_dir), [], run.evaluated, run.problems
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    assert grid.count() == suppliers
+    wide = spark.createDataFrame([(i, "removal", "location", c) for i, c in enumerate(dims.CONDITIONS)], "idx int, task string, mode string, visual_condition string")
+    monkeypatch.setattr(q_generate, "_grid", lambda spark, sf_dir: run.slots_of(wide))
+    monkeypatch.setattr(run, "evaluated", lambda g, m, **o: (scales.append(o["scale"]), evaluated(g, m, **o))[1])
+    monkeypatch.setattr(run, "problems", lambda g, **o: (scales.append(o["scale"]), problems(g, **o))[1])
+    got = {(r["model"], r["idx"]): r for r in q_generate.image_scores(spark, sf_dir).collect()}
+    assert len(got) == 24 and scales == [1.0]
+    for r in problems(run.slots_of(wide)).collect():
+        image, answer = png.decode(r["input"]), png.decode(r["answer"])
+        assert image.shape[1::-1] == dims.CONDITIONS[r["visual_condition"]][:2]
+        for m in q_generate.MODELS:
+            want = scoring.triplet_score(image, answer, infer.unpacked(infer.create(m)(image, r["instruction"], answer))[0])
+            own = got[m, r["idx"]]
+            assert (own["edit_pixels"], own["iou"], own["correct_output_size"]) == (want["edit_pixels"], want["blocks"][2]["iou"], True)
+    assert q_generate.generate_problems(spark, sf_dir).count() == q_generate.generate_preservation(spark, sf_dir).count() == 8

@@ -4,13 +4,13 @@ Every word is predicted from the two words before and the two after it (not itse
 the log-probabilities over all words of a text is its pseudo-log-likelihood.
 
 The output is a tree of softmax nodes, all trained on the context of both sides:
-    h = tanh(b + L[classes of the two words before] + R[classes of the two words after])
+    h = tanh(b + the sum of E[place][word there] over the two places before and the two after)
     root   the ``ALONE`` most frequent words, and ``GROUPS`` groups of the others (by their ending)
     group  its ``WIDTH`` - 1 most frequent words, and one branch for its rest
 so the ``ALONE`` + ``GROUPS`` x (``WIDTH`` - 1) most frequent words are told apart by context.  A word of a
 group's rest follows from its share there, (count of the word) / (count of the rest + 1), by the
 counts of the whole corpus; words that weren't counted have a count of one, spelled at a constant cost
-a character.  The class of a word in a context is its branch at the root.
+a character.  In a context the words told apart have a vector each and place, and so has the rest of every group.
 
 The counts of all words are a stored table.  A histogram of the counts tells from which count on there
 are at most ``VOCABULARY`` words, and only these go to the driver and the workers.  Texts are coded once
@@ -21,7 +21,7 @@ order can't matter) are added up by text.
 Training: numpy, by parallel stochastic gradient descent on the coded texts.  In each of ``ROUNDS``
 rounds every partition starts from the same parameters, and the results are averaged by number of
 words, added up in two levels (some hundred thousand numbers, whatever the corpus; the driver gets at most
-``SUMS`` of them).  Each round predicts every ``ROUNDS``-th word of every text, so all words of all
+``SUMS`` of them).  Each round predicts every ``ROUNDS``-th word of every text, so all rounds together are one epoch: all words of all
 documents have been predicted once at the end, and counts and training grow with the input.
 
 Defined cases: null or wordless texts have 0 words, sum 0.0 and mean null; an empty corpus trains
@@ -52,6 +52,8 @@ VOCABULARY = 60_000
 HIDDEN = 16
 STEP = 0.05
 BATCH = 8_192
+#: Bound on what one batch moves a number of a context's vector by; frequent words gather many gradients.
+LONGEST_MOVE = 0.2
 ROUNDS = 2
 SUMS = 16
 SEED = 11
@@ -111,24 +113,26 @@ class Lexicon:
     def __init__(self, top: list[tuple[bytes, int]], group_totals: dict[int, int], counts: DataFrame | None = None):
         """``top``: most frequent first; ``group_totals``: words counted by group, those that are alone too."""
         self.counts = counts
-        self.code: dict[bytes, int] = {}
+        #: Number of each vocabulary word, most frequent first; behind them, a number for the others of each group.
+        self.number = {w: k for k, (w, _) in enumerate(top)}
+        code_of = np.zeros(len(top) + GROUPS, np.uint16)
         rest = np.array([group_totals.get(g, 0) for g in range(GROUPS)], np.float64)
         root = np.zeros(CLASSES)
         nodes = np.zeros((GROUPS, WIDTH))
         filled = [0] * GROUPS
-        #: Logarithms of the counts of rest words.
-        self.known: dict[bytes, float] = {}
+        part_of = np.zeros(len(top) + GROUPS)
         for k, (w, n) in enumerate(top):
             g = group_of(w)
             if k < ALONE:
-                self.code[w] = k * WIDTH
+                code_of[k] = k * WIDTH
                 root[k] = n
             elif filled[g] < WIDTH - 1:
-                self.code[w] = (ALONE + g) * WIDTH + filled[g]
+                code_of[k] = (ALONE + g) * WIDTH + filled[g]
                 nodes[g, filled[g]] = n
                 filled[g] += 1
             else:
-                self.known[w] = math.log(n)
+                code_of[k] = (ALONE + g) * WIDTH + WIDTH - 1
+                part_of[k] = math.log(n)
                 continue
             rest[g] -= n
         nodes[:, WIDTH - 1] = np.maximum(rest, 0)
@@ -137,6 +141,11 @@ class Lexicon:
         self.node_share = (nodes + 0.5) / (nodes.sum(1, keepdims=True) + 0.5 * WIDTH)
         #: Log-probability of a word of count one in the rest of its group.
         self.one = -np.log(np.maximum(rest, 0) + 1.0)
+        code_of[len(top) :] = (ALONE + np.arange(GROUPS)) * WIDTH + WIDTH - 1
+        in_rest = (code_of % WIDTH == WIDTH - 1) & (code_of >= ALONE * WIDTH)
+        part_of[in_rest] += self.one[code_of[in_rest] // WIDTH - ALONE]
+        #: By number: the code, and what a rest word's share adds to its way through the tree (of a word outside the vocabulary, without its count).
+        self.code_of, self.part_of = code_of, part_of
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"counts": None}  # the table stays where it is
@@ -147,21 +156,21 @@ def log_count(n: Column, word: Column) -> Column:
     return F.round(F.coalesce(F.ln(n), F.length(word) * F.lit(SPELL)) * F.lit(NANO)).cast("long")
 
 
-class Coder:
-    """Codes of words; those of rest words are kept while the table has room."""
+class Coder(dict):
+    """Numbers of words; those of words outside the vocabulary are made when they are met, and kept while there is room."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
-        self.table = dict(lexicon.code)
+        super().__init__(lexicon.number)
+        self.known = len(lexicon.number)
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.table)
-        if new:
-            if len(self.table) > CACHE_WORDS:
-                self.table = dict(self.lexicon.code)
-                new = set(words).difference(self.table)
-            self.table.update({w: (ALONE + group_of(w)) * WIDTH + WIDTH - 1 for w in new})
-        return np.fromiter(map(self.table.__getitem__, words), np.uint16, len(words))
+    def __missing__(self, word: bytes) -> int:
+        number = self.known + group_of(word)
+        if len(self) < self.known + CACHE_WORDS:
+            self[word] = number
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def learn_words(docs: DataFrame, text: str = "text") -> Lexicon:
@@ -194,20 +203,17 @@ def coded(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         lex = shared.value
-        coder, known, one = Coder(lex), lex.known, lex.one
+        coder = Coder(lex)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 codes, part, words, numbers, ends = [], [], [], [], [0]
                 for t in b.column(1).slice(at, 256):
                     ws = words_of(t.as_py())
-                    c = coder.codes(ws)
-                    at_rest = np.flatnonzero((c % WIDTH == WIDTH - 1) & (c >= ALONE * WIDTH))
-                    rest = Counter([ws[i] for i in at_rest.tolist()])
-                    others = set(rest).difference(known)
-                    words += others
-                    numbers += [rest[w] for w in others]
-                    total = float(one[c[at_rest] // WIDTH - ALONE].sum()) + math.fsum([rest[w] * known[w] for w in set(rest).difference(others)])
-                    codes.append(c.tobytes()), part.append(total), ends.append(len(words))
+                    own = coder.numbers(ws)
+                    others = Counter([ws[i] for i in np.flatnonzero(own >= coder.known).tolist()])
+                    words += others.keys()
+                    numbers += others.values()
+                    codes.append(lex.code_of[own].tobytes()), part.append(float(lex.part_of[own].sum())), ends.append(len(words))
                 lists = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(numbers, pa.int64())], fields=list(kind.value_type))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(codes, pa.binary()), pa.array(part, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists, type=kind)], names=_CODED.names)
 
@@ -215,30 +221,41 @@ def coded(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
     return stored(texts.mapInArrow(tidied(run), _CODED).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
 
 
-def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes before and after each word; CLASSES stands for outside the text."""
+#: Context number of a code: words told apart have one each, and so has the rest of each group.  ``OUTSIDE`` stands for beyond the text.
+CONTEXT = np.concatenate([np.repeat(np.arange(ALONE), WIDTH), ALONE + np.arange(GROUPS * WIDTH)]).astype(np.uint16)
+OUTSIDE = ALONE + GROUPS * WIDTH
+
+
+def windows(codes: np.ndarray) -> np.ndarray:
+    """Context numbers of the two words before and the two after each word: a column a place."""
     n = len(codes)
-    c = np.full(n + 4, CLASSES, np.int32)
-    c[2 : 2 + n] = codes // WIDTH
-    return c[:n] * (CLASSES + 1) + c[1 : n + 1], c[3 : n + 3] * (CLASSES + 1) + c[4 : n + 4]
+    c = np.full(n + 4, OUTSIDE, np.uint16)
+    c[2 : 2 + n] = CONTEXT[codes]
+    return np.stack([c[:n], c[1 : n + 1], c[3 : n + 3], c[4 : n + 4]])
+
 
+def _exp(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits and their sums by row, each row shifted by its greatest only if some logit might be too large for exp.
 
-def _exp(s: np.ndarray) -> np.ndarray:
-    """exp(s - greatest of the row), in place."""
-    s -= s.max(1, keepdims=True)
-    return np.exp(s, out=s)
+    ``x`` is a tanh, so that logits are bounded by the weights.  Sums are products with ones, which is faster than adding up short rows.
+    """
+    s = x @ weight
+    s += bias
+    if (np.abs(weight).sum(0) + np.abs(bias)).max(initial=0) > 60:
+        s -= s.max(1, keepdims=True)
+    np.exp(s, out=s)
+    return s, s @ np.ones(s.shape[1], np.float32)
 
 
 class Network:
-    """Window network over pairs of classes, with one softmax at the root and one a group."""
+    """Window network over the words around, with one softmax at the root and one a group."""
 
-    NAMES = ("L", "R", "b", "U", "c", "W", "d")
+    NAMES = ("E", "b", "U", "c", "W", "d")
 
     def __init__(self, lexicon: Lexicon):
         rng = np.random.default_rng(SEED)
         some = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        pairs = (CLASSES + 1) ** 2
-        self.L, self.R, self.b = some(pairs, HIDDEN), some(pairs, HIDDEN), np.zeros(HIDDEN, np.float32)
+        self.E, self.b = some(4, OUTSIDE + 1, HIDDEN), np.zeros(HIDDEN, np.float32)
         self.U, self.c = some(HIDDEN, CLASSES), np.log(lexicon.root_share).astype(np.float32)
         self.W, self.d = some(GROUPS, HIDDEN, WIDTH), np.log(lexicon.node_share).astype(np.float32)
 
@@ -252,9 +269,10 @@ class Network:
             setattr(self, name, v[at : at + x.size].reshape(x.shape).astype(x.dtype))
             at += x.size
 
-    def hidden(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        z = np.take(self.L, before, 0)
-        z += np.take(self.R, after, 0)
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        z = np.take(self.E[0], around[0], 0)
+        for k in range(1, 4):
+            z += np.take(self.E[k], around[k], 0)
         z += self.b
         return np.tanh(z, out=z)
 
@@ -267,32 +285,32 @@ class Network:
             if ends[g + 1] > ends[g]:
                 yield g, order[ends[g] : ends[g + 1]]
 
-    def logs(self, before: np.ndarray, after: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def logs(self, around: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Log-probability of each word's way through the tree."""
-        h, n = self.hidden(before, after), len(codes)
+        h, n = self.hidden(around), len(codes)
         root, place = (codes // WIDTH).astype(np.int64), (codes % WIDTH).astype(np.int64)
-        e = _exp(h @ self.U + self.c)
-        out = np.log(np.maximum(e[np.arange(n), root] / e.sum(1), 1e-30)).astype(np.float64)
+        e, total = _exp(h, self.U, self.c)
+        out = np.log(np.maximum(e[np.arange(n), root] / total, 1e-30)).astype(np.float64)
         for g, at in self.by_group(root):
-            e = _exp(h[at] @ self.W[g] + self.d[g])
-            out[at] += np.log(np.maximum(e[np.arange(len(at)), place[at]] / e.sum(1), 1e-30))
+            e, total = _exp(h[at], self.W[g], self.d[g])
+            out[at] += np.log(np.maximum(e[np.arange(len(at)), place[at]] / total, 1e-30))
         return out
 
-    def train(self, before: np.ndarray, after: np.ndarray, codes: np.ndarray, step: float = STEP) -> None:
+    def train(self, around: np.ndarray, codes: np.ndarray, step: float = STEP) -> None:
         """One gradient step on a batch; the sum of gradients is scaled by 1 / sqrt(batch)."""
         n = len(codes)
-        h = self.hidden(before, after)
+        h = self.hidden(around)
         root, place = (codes // WIDTH).astype(np.int64), (codes % WIDTH).astype(np.int64)
         rate = np.float32(step / math.sqrt(n))
 
         def node(x, weight, bias, target):
             """Moves a node and returns what its words want of their hidden layer."""
-            s = _exp(x @ weight + bias)
-            s *= rate / s.sum(1, keepdims=True)
+            s, total = _exp(x, weight, bias)
+            s *= (rate / total)[:, None]
             s[np.arange(len(target)), target] -= rate
             back = s @ weight.T
             weight -= x.T @ s
-            bias -= s.sum(0)
+            bias -= np.ones(len(s), np.float32) @ s
             return back
 
         dh = node(h, self.U, self.c, root)
@@ -300,11 +318,10 @@ class Network:
             dh[at] += node(h[at], self.W[g], self.d[g], place[at])
         dh *= 1 - h * h
         self.b -= dh.sum(0)
-        for table, pair in ((self.L, before), (self.R, after)):
-            order = np.argsort(pair.astype(np.uint16), kind="stable")
-            pair = pair[order]
-            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            table[pair[first]] -= np.add.reduceat(dh[order], first, 0)
+        by_unit = np.ascontiguousarray(dh.T, np.float64)
+        for k in range(4):
+            move = np.stack([np.bincount(around[k], unit, OUTSIDE + 1) for unit in by_unit], 1).astype(np.float32)
+            self.E[k] -= np.clip(move, -LONGEST_MOVE, LONGEST_MOVE, out=move)
 
 
 _SUM = T.StructType([T.StructField("w", T.DoubleType(), False), T.StructField("v", T.BinaryType(), False)])
@@ -325,16 +342,16 @@ def train(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Network:
             net.load(shared.value)
 
             def go():
-                a, z, y = (np.concatenate(x) for x in zip(*rows))
+                x, y = np.concatenate([w for w, _ in rows], 1), np.concatenate([c for _, c in rows])
                 for at in range(0, held, BATCH):
-                    net.train(a[at : at + BATCH], z[at : at + BATCH], y[at : at + BATCH], STEP / (1 + turn))
+                    net.train(x[:, at : at + BATCH], y[at : at + BATCH], STEP / (1 + turn))
 
             for b in batches:
                 for data in b.column(0):
                     c = np.frombuffer(data.as_buffer(), np.uint16)
                     if len(c) > turn:
-                        rows.append(tuple(x[turn::rounds] for x in (*windows(c), c)))
-                        held += len(rows[-1][2])
+                        rows.append((windows(c)[:, turn::rounds], c[turn::rounds]))
+                        held += len(rows[-1][1])
                     if held >= BATCH:
                         go()
                         seen, held, rows = seen + held, 0, []
@@ -377,9 +394,8 @@ def score_coded(texts: DataFrame, lexicon: Lexicon, network: Network) -> DataFra
                 lengths = np.array([len(c) for c in codes])
                 sums = np.zeros(len(codes))
                 if lengths.any():
-                    before, after = (np.concatenate(x) for x in zip(*(windows(c) for c in codes)))
-                    y = np.concatenate(codes)
-                    logs = np.concatenate([net.logs(before[s : s + BATCH], after[s : s + BATCH], y[s : s + BATCH]) for s in range(0, len(y), BATCH)])
+                    x, y = np.concatenate([windows(c) for c in codes], 1), np.concatenate(codes)
+                    logs = np.concatenate([net.logs(x[:, s : s + BATCH], y[s : s + BATCH]) for s in range(0, len(y), BATCH)])
                     ends = np.cumsum(lengths)
                     total = np.concatenate([[0.0], np.cumsum(logs)])
                     sums = total[ends] - total[ends - lengths]

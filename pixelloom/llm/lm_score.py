@@ -5,12 +5,14 @@ the log-probabilities over all words of a text is its pseudo-log-likelihood.
 
 The output is a tree of softmax nodes, all trained on the context of both sides:
     h = tanh(b + the sum of E[place][word there] over the two places before and the two after)
-    root   the ``ALONE`` most frequent words, and ``GROUPS`` groups of the others (by their ending)
-    group  its ``WIDTH`` - 1 most frequent words, and one branch for its rest
-so the ``ALONE`` + ``GROUPS`` x (``WIDTH`` - 1) most frequent words are told apart by context.  A word of a
+    root   the ``ALONE`` most frequent words, ``GROUPS`` groups of the others (by their ending), and a rest of each group
+    group  its ``WIDTH`` most frequent words
+
+so the ``ALONE`` + ``GROUPS`` x ``WIDTH`` most frequent words are told apart by context.  A word of a
 group's rest follows from its share there, (count of the word) / (count of the rest + 1), by the
 counts of the whole corpus; words that weren't counted have a count of one, spelled at a constant cost
-a character.  In a context the words told apart have a vector each and place, and so has the rest of every group.
+a character.  Most words are decided at the root; only those of a group meet a second softmax.
+In a context the words told apart have a vector each and place, and so has the rest of every group.
 
 The counts of all words are a stored table.  A histogram of the counts tells from which count on there
 are at most ``VOCABULARY`` words, and only these go to the driver and the workers.  Texts are coded once
@@ -46,9 +48,11 @@ from .common import col, stored, tidied
 
 ALONE = 32
 GROUPS = 16
-CLASSES = ALONE + GROUPS
+#: Branches of the root; the rests of the groups come last, from ``REST`` on.
+REST = ALONE + GROUPS
+CLASSES = REST + GROUPS
 WIDTH = 64
-VOCABULARY = 60_000
+VOCABULARY = 150_000
 HIDDEN = 16
 STEP = 0.05
 BATCH = 8_192
@@ -108,7 +112,7 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 class Lexicon:
-    """Codes of words (place at the root x WIDTH + place in the group) and shares of rest words; ``counts`` (word, n) has all words."""
+    """Codes of words (branch of the root x WIDTH + place in the group) and shares of rest words; ``counts`` (word, n) has all words."""
 
     def __init__(self, top: list[tuple[bytes, int]], group_totals: dict[int, int], counts: DataFrame | None = None):
         """``top``: most frequent first; ``group_totals``: words counted by group, those that are alone too."""
@@ -126,24 +130,24 @@ class Lexicon:
             if k < ALONE:
                 code_of[k] = k * WIDTH
                 root[k] = n
-            elif filled[g] < WIDTH - 1:
+            elif filled[g] < WIDTH:
                 code_of[k] = (ALONE + g) * WIDTH + filled[g]
                 nodes[g, filled[g]] = n
                 filled[g] += 1
             else:
-                code_of[k] = (ALONE + g) * WIDTH + WIDTH - 1
+                code_of[k] = (REST + g) * WIDTH
                 part_of[k] = math.log(n)
                 continue
             rest[g] -= n
-        nodes[:, WIDTH - 1] = np.maximum(rest, 0)
-        root[ALONE:] = nodes.sum(1)
+        rest = np.maximum(rest, 0)
+        root[ALONE:REST], root[REST:] = nodes.sum(1), rest
         self.root_share = (root + 0.5) / (root.sum() + 0.5 * CLASSES)
         self.node_share = (nodes + 0.5) / (nodes.sum(1, keepdims=True) + 0.5 * WIDTH)
         #: Log-probability of a word of count one in the rest of its group.
-        self.one = -np.log(np.maximum(rest, 0) + 1.0)
-        code_of[len(top) :] = (ALONE + np.arange(GROUPS)) * WIDTH + WIDTH - 1
-        in_rest = (code_of % WIDTH == WIDTH - 1) & (code_of >= ALONE * WIDTH)
-        part_of[in_rest] += self.one[code_of[in_rest] // WIDTH - ALONE]
+        self.one = -np.log(rest + 1.0)
+        code_of[len(top) :] = (REST + np.arange(GROUPS)) * WIDTH
+        in_rest = code_of >= REST * WIDTH
+        part_of[in_rest] += self.one[code_of[in_rest] // WIDTH - REST]
         #: By number: the code, and what a rest word's share adds to its way through the tree (of a word outside the vocabulary, without its count).
         self.code_of, self.part_of = code_of, part_of
 
@@ -222,8 +226,8 @@ def coded(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
 
 
 #: Context number of a code: words told apart have one each, and so has the rest of each group.  ``OUTSIDE`` stands for beyond the text.
-CONTEXT = np.concatenate([np.repeat(np.arange(ALONE), WIDTH), ALONE + np.arange(GROUPS * WIDTH)]).astype(np.uint16)
-OUTSIDE = ALONE + GROUPS * WIDTH
+CONTEXT = np.concatenate([np.repeat(np.arange(ALONE), WIDTH), ALONE + np.arange(GROUPS * WIDTH), ALONE + GROUPS * WIDTH + np.repeat(np.arange(GROUPS), WIDTH)]).astype(np.uint16)
+OUTSIDE = ALONE + GROUPS * WIDTH + GROUPS
 
 
 def windows(codes: np.ndarray) -> np.ndarray:
@@ -278,9 +282,10 @@ class Network:
 
     @staticmethod
     def by_group(root: np.ndarray):
-        """(group, places) of the words that aren't alone at the root."""
-        order = np.argsort(root.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(root[order], np.arange(ALONE, CLASSES + 1))
+        """(group, places) of the words that a group tells apart."""
+        at = np.flatnonzero((root >= ALONE) & (root < REST))
+        order = at[np.argsort(root[at].astype(np.uint8), kind="stable")]
+        ends = np.searchsorted(root[order], np.arange(ALONE, REST + 1))
         for g in range(GROUPS):
             if ends[g + 1] > ends[g]:
                 yield g, order[ends[g] : ends[g + 1]]

@@ -107,18 +107,25 @@ def test_scores_against_a_plain_loop(spark, sf_dir):
         words = lm.words_of(r["text"])[:10_000]
         if len(words) != len(lm.words_of(r["text"])):
             continue
-        own = [code.get(w, (lm.ALONE + lm.group_of(w)) * lm.WIDTH + lm.WIDTH - 1) for w in words]
+        own = [code.get(w, (lm.REST + lm.group_of(w)) * lm.WIDTH) for w in words]
         branch = [c // lm.WIDTH for c in own]
-        at = lambda i: (own[i] // lm.WIDTH if own[i] < lm.ALONE * lm.WIDTH else lm.ALONE + own[i] - lm.ALONE * lm.WIDTH) if 0 <= i < len(words) else lm.OUTSIDE
+
+        def at(i):
+            if not 0 <= i < len(words):
+                return lm.ALONE + lm.GROUPS * lm.WIDTH + lm.GROUPS
+            if branch[i] < lm.ALONE:
+                return branch[i]
+            return lm.ALONE + own[i] - lm.ALONE * lm.WIDTH if branch[i] < lm.REST else lm.ALONE + lm.GROUPS * lm.WIDTH + branch[i] - lm.REST
+
         total = 0.0
         for i, w in enumerate(words):
             h = np.tanh(net.b.astype(float) + net.E[0][at(i - 2)] + net.E[1][at(i - 1)] + net.E[2][at(i + 1)] + net.E[3][at(i + 2)])
             total += math.log(softmax(h @ net.U + net.c)[branch[i]])
-            if branch[i] >= lm.ALONE:
+            if lm.ALONE <= branch[i] < lm.REST:
                 g = branch[i] - lm.ALONE
                 total += math.log(softmax(h @ net.W[g] + net.d[g])[own[i] % lm.WIDTH])
-                if w not in code:
-                    total += math.log(counts[w] / (rest[g] + 1))
+            if w not in code:
+                total += math.log(counts[w] / (rest[lm.group_of(w)] + 1))
         assert got[r["doc_id"]]["n_tokens"] == len(words)
         assert got[r["doc_id"]]["sum_logprob"] == pytest.approx(total, rel=1e-4, abs=2e-3)
 

@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
+
 
 def global_order(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Place (from 1) in the total order by ``keys``, without sorting all rows in one task.
+    """Place (from 1) in the total order by ``keys``, nulls first, without sorting all rows in one task.
 
-    Rows are numbered inside groups of equal leading keys; a running sum over the groups (one
-    row each) gives each group its start.  Ties share nothing: equal rows get different places.
+    Rows are dealt by ranges of their keys, sorted and numbered where they are, and stored; a running sum over the ranges (one
+    row each, whatever the data) gives each range its start.  Ties share nothing: equal rows get different places.
     """
-    lead = keys[:-1] or keys
-    starts = rows.groupBy(*lead).agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*lead).orderBy(keys[-1])))
-    return inner.join(starts, lead).withColumn(name, (F.col("_start") + F.col("_place")).cast("long")).drop("_start", "_place")
+    at = F.monotonically_increasing_id()  # the range above, the place in it in the lower 33 bits
+    own = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", at)
+    own = own.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+    own = stored(own, "order")
+    sizes = own.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return own.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_place") + 1).cast("long")).drop("_range", "_start", "_place")  # a row a partition
 
 
 def runs_of(rows: DataFrame, key: str, index: str, size: str = "n") -> DataFrame:

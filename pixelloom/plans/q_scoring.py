@@ -10,6 +10,7 @@ from .. import dims
 from ..functions import color
 from ..operators import bootstrap, rollup, scoring
 from ..registry import query
+from ..sources import shared
 from . import derive
 from .derive import SQL, with_sql
 
@@ -51,15 +52,17 @@ def problem_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROB = ["model", "category", "task", "mode", "visual_condition", "sid", "has_output", "correct_output_size"]
 
 
-def long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.long_form(problem_stats(spark, sf_dir), PROB)
+def long(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """Scores of problems by block; ``once``: what several levels read is scored once and stored, a row a problem."""
+    s = problem_stats(spark, sf_dir)
+    return scoring.long_form(shared.stored(s, "scores") if once else s, PROB)
 
 
 def chart_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir).join(derive.chart_problems(spark, sf_dir), "sid")
     s = s.withColumn("blocks", F.when(F.col("has_output"), F.col("blocks")).otherwise(scoring.zero_blocks(F.col("edit_pixels"), F.col("preservation_pixels"))))
     chart = longest_prefix(F.col("task"), tuple(dims.CHARTS))
-    s = s.withColumn("chart", chart).withColumn("task", F.col("task").substr(F.length("chart") + 2, F.lit(1000)))
+    s = shared.stored(s.withColumn("chart", chart).withColumn("task", F.col("task").substr(F.length("chart") + 2, F.lit(1000))), "chart-scores")
     return scoring.long_form(s, ["model", "chart", "task", "sid", "has_output", "correct_output_size"])
 
 
@@ -213,7 +216,7 @@ def rollup_task(spark, sf_dir):
 
 @query(with_sql(*LONG, "r_mode", query=f"SELECT model, category, task, mode, block, {_C}, {_R} FROM r_mode"))
 def rollup_mode(spark, sf_dir):
-    return rounded(rollup.mode_rows(long(spark, sf_dir)))
+    return rounded(rollup.mode_rows(long(spark, sf_dir, once=True)))
 
 
 @query(with_sql(*LONG, query="SELECT model, task, count(DISTINCT mode) AS n_modes FROM pl GROUP BY ALL HAVING count(DISTINCT mode) > 1"))
@@ -251,14 +254,14 @@ _LEVELS = (*LONG, "r_task", "r_mode", "r_cat", "r_vc", "r_bench")
 
 @query(with_sql(*_LEVELS, query=_ALL))
 def rollup_all_levels(spark, sf_dir):
-    out = rounded(rollup.all_levels(long(spark, sf_dir)))
+    out = rounded(rollup.all_levels(long(spark, sf_dir, once=True)))
     return out.select("level", "model", "category", "task", "mode", "visual_condition", "n_tasks", "block", *rollup.COUNTS, *rollup.STATS)
 
 
 @query(with_sql(*_LEVELS, query=f"""SELECT level, model, category, task, mode, visual_condition, row_number() OVER (ORDER BY model, list_position(['mode', 'task', 'category', 'visual_condition', 'benchmark'], level), category, task, mode, visual_condition) AS ord
     FROM ({_ALL}) WHERE block = 'mean'"""))
 def agg_rows_ordered(spark, sf_dir):
-    rows = rollup.all_levels(long(spark, sf_dir)).where("block = 'mean'")
+    rows = rollup.all_levels(long(spark, sf_dir, once=True)).where("block = 'mean'")
     # DuckDB puts nulls last; one row per level and group, so the window is over the report, not the data.
     order = Window.orderBy("model", rollup.level_ord(), *(F.col(c).asc_nulls_last() for c in ("category", "task", "mode", "visual_condition")))
     return rows.select("level", "model", "category", "task", "mode", "visual_condition", F.row_number().over(order).cast("long").alias("ord"))

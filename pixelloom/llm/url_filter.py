@@ -2,10 +2,12 @@
 
 Terms are strict (one hit blocks) or soft (at least ``SOFT_LIMIT`` distinct ones whose weights
 sum to ``SOFT_WEIGHT`` block).  A hit counts only if it is not inside a longer run of letters.
-The automaton is built once in each Python worker; the url column is read alone.
+The automaton is built once a task from a broadcast list; the url column is read alone.  Rules and terms may be given as tables, of at
+most ``MAX_ENTRIES`` rows each (more is an error): a url's cost depends on its length and hits, not on their number.
 
 Defined cases: null, empty or malformed urls have empty host and path and are allowed unless the
-vocabulary hits; repeated rows are judged alike; an empty table gives an empty result.
+vocabulary hits; repeated rows are judged alike; an empty table gives an empty result; very long urls are searched whole; of rules of one
+length that fit a url there is one only (they are the same text), and of the same rule given twice the first holds; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ STRICT = {"porn": 1.0, "xxx": 1.0, "casino": 1.0, "malware": 1.0, "phishing": 1.
 SOFT = {"ads": 0.5, "ad": 0.4, "track": 0.5, "tracker": 0.5, "click": 0.4, "popup": 0.6, "banner": 0.4, "spam": 0.7, "affiliate": 0.5, "bet": 0.4, "adult": 0.6, "promo": 0.3}
 SOFT_LIMIT = 2
 SOFT_WEIGHT = 0.8
+#: Most rows of a table of rules or terms: they are broadcast.
+MAX_ENTRIES = 1_000_000
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -82,7 +86,7 @@ class Vocabulary:
         soft: dict[str, int] = {}
         weight = 0.0
         low = (url or "").lower()
-        for end, (term, kind, w) in self.automaton.iter(low):
+        for end, (term, kind, w) in self.automaton.iter(low) if len(self.automaton) else ():
             start = end - len(term) + 1
             if (start and low[start - 1].isalpha()) or (end + 1 < len(low) and low[end + 1].isalpha()):
                 continue
@@ -103,11 +107,48 @@ SCHEMA = T.StructType([
 ])
 
 
-def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """One row per row of ``pages``; reads two columns, no shuffle."""
+def _bounded(table: DataFrame, *names: str) -> list[tuple]:
+    rows = table.select(*(col(table, n) for n in names)).limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} rules or terms")
+    return [tuple(r) for r in rows]
+
+
+def rules_of(table: DataFrame) -> tuple[tuple[str, str, str], ...]:
+    """Rules of a table (verdict, host, path): hosts lower-cased, rows without a verdict or host left out, a null path is ``/``.
+
+    Of a rule with two verdicts ``block`` holds.
+    """
+    rows = {(h.lower(), p or "/", v) for v, h, p in _bounded(table, "verdict", "host", "path") if v and h}
+    return tuple((v, h, p) for h, p, v in sorted(rows, key=lambda r: (r[0], r[1], r[2] != "block")))
+
+
+def terms_of(table: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Strict and soft terms of a table (term, strict, weight): lower-cased, null and empty ones left out.
+
+    Of a term given twice strict holds, then the greater weight; a null weight is 1.
+    """
+    strict: dict[str, float] = {}
+    soft: dict[str, float] = {}
+    for term, is_strict, weight in _bounded(table, "term", "strict", "weight"):
+        if term:
+            own, w = (strict if is_strict else soft), 1.0 if weight is None else float(weight)
+            own[term.lower()] = max(w, own.get(term.lower(), w))
+    return strict, {t: w for t, w in soft.items() if t not in strict}
+
+
+def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", *, rules: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``pages``; reads two columns, no shuffle.
+
+    ``rules`` (verdict, host, path) and ``terms`` (term, strict, weight) replace the fixed ones.
+    """
+    own_rules = RULES if rules is None else rules_of(rules)
+    strict_terms, soft_terms = (STRICT, SOFT) if terms is None else terms_of(terms)
+    shared = pages.sparkSession.sparkContext.broadcast((own_rules, strict_terms, soft_terms))  # at most 2 x MAX_ENTRIES
 
     def run(batches):
-        rules, words = RuleIndex(), Vocabulary()
+        given, strict_, soft_ = shared.value
+        rules, words = RuleIndex(given), Vocabulary(strict_, soft_)
         for b in batches:
             rows = []
             for u in b.column(1).to_pylist():

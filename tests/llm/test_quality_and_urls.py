@@ -135,3 +135,46 @@ def test_url_table(spark):
     got = {r["page_id"]: r for r in url_filter.judge_urls(d).collect()}
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) for i in range(len(CASES))] == [c[1:] for c in CASES]
     assert url_filter.judge_urls(d.where("false")).count() == 0
+
+
+def test_rules_and_terms_from_tables(spark, monkeypatch):
+    """20,000 terms and 5,000 rules of a table against a plain search."""
+    import random
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(20_000)})
+    terms = [(w.upper() if k % 7 == 0 else w, k % 50 == 0, 0.3 + k % 5 / 10) for k, w in enumerate(words)] + [("dup", False, 0.2), ("dup", False, 0.6), ("both", False, 0.9), ("both", True, None), (None, True, 1.0), ("", True, 1.0)]
+    rules = [("allow" if k % 2 else "block", f"h{k}.net", f"/{k % 3}/") for k in range(5_000)] + [("allow", "H9.net", None), (None, "x.net", "/"), ("block", "two.net", "/"), ("allow", "two.net", "/")]
+    urls = [f"http://a.h{rng.randrange(5_200)}.net/{rng.randrange(4)}/{rng.choice(words)}-{rng.choice(words)}/{rng.choice(words)}x?dup=both"[: rng.randrange(20, 80)] for _ in range(3_000)]
+    urls += ["http://two.net/", "http://h9.net/q", None, "", "x" * 300_000 + "-both", "DUP-dup"]
+    t = spark.createDataFrame(terms, "term string, strict boolean, weight double")
+    r = spark.createDataFrame(rules, "verdict string, host string, path string")
+    pages = spark.createDataFrame([(k, u, "c") for k, u in enumerate(urls)], "page_id long, url string, verdict string").repartition(3)
+    got = {x["page_id"]: x for x in url_filter.judge_urls(pages, rules=r, terms=t).collect()}
+    known = {}
+    for term, strict, weight in terms:
+        if term:
+            s, w = known.get(term.lower(), (False, 0.0))
+            known[term.lower()] = (s or strict, max(w, 1.0 if weight is None else weight))
+    for k, u in enumerate(urls):
+        low = (u or "").lower()
+        runs, run = [], ""
+        for c in low + " ":
+            if c.isalpha():
+                run += c
+            elif run:
+                runs.append(run)
+                run = ""
+        hits = {w for w in runs if w in known}
+        strict, soft = {w for w in hits if known[w][0]}, {w for w in hits if not known[w][0]}
+        weight = sum(known[w][1] for w in soft)
+        host, path = url_filter.split_url(u)
+        fits = [(len(h + p), v == "block", h.lower() + p, v) for v, h, p in ((v, h, p or "/") for v, h, p in rules) if v and h and host and (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
+        rule = max(fits)[2:] if fits else (None, "block" if strict or len(soft) >= 2 and weight > 0.8 - 1e-9 else "allow")
+        x = got[k]
+        assert (x["rule"], x["verdict"], x["n_strict"], x["n_soft"]) == (*rule, len(strict), len(soft)) and abs(x["soft_weight"] - weight) < 1e-5, u
+    none = url_filter.judge_urls(pages, rules=r.limit(0), terms=t.limit(0)).collect()
+    assert len(none) == len(urls) and {x["verdict"] for x in none} == {"allow"}
+    monkeypatch.setattr(url_filter, "MAX_ENTRIES", 100)
+    with pytest.raises(ValueError, match="more than 100"):
+        url_filter.judge_urls(pages, terms=t)

@@ -43,22 +43,39 @@ def key_of(doc_id: Column, text: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(whole), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with, for each of ``sums``, its sum over the rows before in the total order; stored.
+
+    Rows are dealt by ranges of their keys and added up where they are; sums over the ranges (one row a partition) give each range its start.
+    """
+    own = rows.select("*", *(k.alias(f"_o{i}") for i, k in enumerate(order)), *(v.alias(f"_v_{n}") for n, v in sums.items()))
+    keys = [f"_o{i}" for i in range(len(order))]
+    own = stored(own.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), f"{name}-order")
+    own = own.withColumn("_range", F.shiftright("_at", 33))  # the place in the range is below
+    each = own.groupBy("_range").agg(*(F.sum(f"_v_{n}").alias(f"_r_{n}") for n in sums))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    start = each.select("_range", *(F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums))
+    inner = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.join(F.broadcast(start), "_range")  # a row a partition
+    return stored(own.select(*rows.columns, *((F.col(f"_s_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0))).alias(n) for n in sums)), name)
+
+
 def targets(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """``sources`` (source, source_size): adds weight and target.
 
-    Windows without partitions are over one row per source, of a few numbers each.
+    Sources are ranked, and summed up in the order of cap / weight, by ranges: however many there are, no task has them all.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int")).cast("double")
-    s = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    order = [F.col("source").isNull(), F.col("source")]
+    ranked = running(sources, order, {"rank": F.lit(1)}, "mix-ranked")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("double")
+    s = ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"))
     total = s.agg(F.sum("source_size").cast("double").alias("total"), F.sum("weight").alias("weights"))
-    s = s.crossJoin(F.broadcast(total))  # one row
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    s = s.withColumn("open", F.col("cap") / F.col("weight") > F.col("level"))
-    # The first source that isn't capped fixes the level of all after it.
-    s = s.withColumn("level", F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)))
+    ratio = F.col("cap") / F.col("weight")
+    up = running(s, [ratio, *order], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, "mix-filled").crossJoin(F.broadcast(total))  # one row
+    level = (F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before"))
+    # The first source that isn't capped fixes the level of all; those before it are under their caps' level.
+    first = up.where(ratio > level).agg(F.min_by(level, F.struct(ratio, *order)).alias("level"))  # one row
+    s = up.crossJoin(F.broadcast(first))
     return s.select("source", "source_size", "weight", F.round(F.coalesce(F.least(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap")), 6).alias("target"))
 
 

@@ -2,7 +2,9 @@
 
 Quality rules drop documents (and failed hosts), near duplicates keep one document a component
 (five-word shingles, similarity 0.8), contaminated documents go, sources are mixed to their target
-weights, and the rest is written as bit-packed token ids.  ``STAGES`` functions take
+weights, and the rest is written as bit-packed token ids.  A stage's table is deleted once the next one is stored.
+Null ids and texts, repeated rows, very long texts, empty tables and columns with clashing names have the results that the stages'
+operators define; columns keep their names and values.  ``STAGES`` functions take
 (spark, docs, sf_dir); all but the last return the columns they were given.
 """
 
@@ -12,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import decontamination, mixing, near_dup, quality, token_output
-from pixelloom.llm.common import col, stored, table
+from pixelloom.llm.common import col, drop_stored, stored, table
 from pixelloom.llm.queries import TOKENIZER
 
 
@@ -68,5 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        kept = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_stored(docs)  # the stage before, which nothing reads again; the given table isn't ours
+        docs = kept
     return docs

@@ -43,6 +43,16 @@ def reflect_layer(spark, sf_dir):
     return out.select("scene", "cx", "cy", "mask", "r", "g", "b", *(layers.pasted(F.coalesce(f"g{c}", F.lit(255)), F.col(c), F.col("mask")).alias(f"out_{c}") for c in "rgb"))
 
 
+@query(with_sql("shapes", "cells", "topmost", query=f"""SELECT g.scene, g.cx::INT AS cx, g.cy::INT AS cy, t.fill FROM (
+    SELECT scene, cx, cy, floor(round({N / 2}e0 + (cx + 0.5e0 - {N / 2}e0) * cos(a) - (cy + 0.5e0 - {N / 2}e0) * sin(a), 9)) AS sx, floor(round({N / 2}e0 + (cx + 0.5e0 - {N / 2}e0) * sin(a) + (cy + 0.5e0 - {N / 2}e0) * cos(a), 9)) AS sy
+    FROM (SELECT DISTINCT scene, radians(scene % 12 * 30.0e0) AS a FROM shapes), range(0, {N}) b(cx), range(0, {N}) c(cy)) g JOIN topmost t ON g.scene = t.scene AND g.sx = t.cx AND g.sy = t.cy"""))
+def rotate_layer(spark, sf_dir):
+    """The painted cells of each scene turned about the middle of the canvas, nearest neighbour."""
+    s = derive.shapes(spark, sf_dir)
+    turns = s.select("scene").distinct().select("scene", (F.col("scene") % 12 * 30.0).alias("degrees"), F.lit(N / 2).alias("ox"), F.lit(N / 2).alias("oy"))
+    return layers.rotated(sc.topmost(s).select("scene", "cx", "cy", "fill"), turns, N, ["fill"])
+
+
 OUTLINE = 6
 _T = "greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))))"
 

@@ -54,6 +54,29 @@ def test_mirrored_layers(spark):
     assert layers.reflected(layer.limit(0), line, size).count() == 0
 
 
+def test_turned_layers(spark):
+    rng = random.Random(7)
+    size, layer, turns = 15, {}, {}
+    for k in range(14):
+        layer[k] = {(x, y): rng.randrange(1000) for x in range(size) for y in range(size) if rng.random() < 0.4}
+        turns[k] = (90.0 * k, size / 2, size / 2) if k < 5 else (rng.uniform(-400, 400), rng.uniform(0, size), rng.uniform(0, size))
+    df = spark.createDataFrame([(k, x, y, v) for k, p in layer.items() for (x, y), v in p.items()], "scene long, cx int, cy int, v int")
+    t = spark.createDataFrame([(k, *v) for k, v in turns.items()], "scene long, degrees double, ox double, oy double")
+    got = {}
+    for r in layers.rotated(df, t, size, ["v"]).collect():
+        got.setdefault(r["scene"], {})[r["cx"], r["cy"]] = r["v"]
+    for k, (degrees, ox, oy) in turns.items():
+        a, want = math.radians(degrees), {}
+        for x in range(size):
+            for y in range(size):
+                dx, dy = x + 0.5 - ox, y + 0.5 - oy
+                at = (math.floor(round(ox + dx * math.cos(a) - dy * math.sin(a), 9)), math.floor(round(oy + dx * math.sin(a) + dy * math.cos(a), 9)))
+                if at in layer[k]:
+                    want[x, y] = layer[k][at]
+        assert got.get(k, {}) == want, k
+    assert got[0] == layer[0] and got[3] == {(size - 1 - y, x): v for (x, y), v in layer[3].items()}, "no turn, and three quarters of one, move pixels whole"
+
+
 def test_strokes_look_only_beside_their_segments(spark):
     rng = random.Random(5)
     segs = [(rng.randrange(3), *(rng.uniform(-30, 140) for _ in range(4))) for _ in range(30)] + [(3, 10.0, 50.0, 90.0, 50.0), (3, 50.0, 5.0, 50.0, 95.0), (4, 33.0, 33.0, 33.0, 33.0)]

@@ -204,12 +204,13 @@ def recolor_class(spark, sf_dir):
 _pl = color.sql_lab("r", "g", "b")
 
 
-@query("WITH p AS (SELECT ord, name, " + ", ".join(f"{e} AS {n}" for n, e in zip("lmn", _pl)) + " FROM " + dims.sql_palette() + ") SELECT x.name AS a, y.name AS b, round(sqrt((x.l - y.l) * (x.l - y.l) + (x.m - y.m) * (x.m - y.m) + (x.n - y.n) * (x.n - y.n)), 6) AS de FROM p x JOIN p y ON x.ord < y.ord")
+@query(with_sql("shapes", query="SELECT x.scene, x.z AS za, y.z AS zb, round(sqrt((x.l - y.l) * (x.l - y.l) + (x.m - y.m) * (x.m - y.m) + (x.n - y.n) * (x.n - y.n)), 6) AS de FROM (SELECT scene, z, " + ", ".join(f"{e} AS {n}" for n, e in zip("lmn", _pl)) + " FROM shapes JOIN " + dims.sql_palette() + " ON name = fill) x JOIN (SELECT scene, z, " + ", ".join(f"{e} AS {n}" for n, e in zip("lmn", _pl)) + " FROM shapes JOIN " + dims.sql_palette() + " ON name = fill) y ON x.scene = y.scene AND x.z < y.z"))
 def palette_distinctness(spark, sf_dir):
-    """Distances between the eleven palette colours, pair by pair."""
-    p = dims.palette(spark).select("ord", "name", color.lab_struct(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(F.broadcast(b), F.col("a.ord") < F.col("b.ord")).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.round(color.delta_e(F.col("a.lab"), F.col("b.lab")), 6).alias("de"))
+    """How far apart the colours of each scene's ten shapes are, pair by pair."""
+    p = dims.palette(spark).select(F.col("name").alias("fill"), color.lab_struct(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
+    s = derive.shapes(spark, sf_dir).join(F.broadcast(p), "fill").select("scene", "z", "lab")  # eleven colours
+    a, b = s.select("scene", F.col("z").alias("za"), F.col("lab").alias("la")), s.select("scene", F.col("z").alias("zb"), F.col("lab").alias("lb"))
+    return a.join(b, "scene").where("za < zb").select("scene", "za", "zb", F.round(color.delta_e(F.col("la"), F.col("lb")), 6).alias("de"))
 
 
 @query("SELECT event_id, CASE WHEN value = 0 THEN 0 ELSE round_even(value * pow(10e0, 2 - floor(log10(abs(value)))), 0) / pow(10e0, 2 - floor(log10(abs(value)))) END AS v FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import dims
 from ..functions import text
@@ -101,10 +102,12 @@ def size_coalesce(spark, sf_dir):
 
 @query()
 def scan_problem_index(spark, sf_dir):
-    """Problems of an on-disk tree: written, scanned as images, joined to their parsable sidecars."""
+    """Every supplier's problem in an on-disk tree: written, scanned as images, joined to their parsable sidecars (one is broken)."""
+    from ..generate import run
     from ..sources import problem_tree
 
-    return problem_tree.demo_index(spark)
+    rows = derive.problems(spark, sf_dir).select(F.col("sid").cast("int").alias("idx"), "task", "mode", "visual_condition")
+    return problem_tree.demo_index(spark, run.dealt(run.slots_of(rows), 100), "shapes/recolor/010.json")
 
 
 @query(with_sql("files", query="SELECT model, task, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS idxs, count(*) AS n FROM (SELECT DISTINCT model, task, idx FROM files WHERE output_t IS NOT NULL AND task IN (SELECT task FROM " + dims.sql_tasks() + " WHERE category <> 'color_change')) GROUP BY ALL"))
@@ -226,26 +229,30 @@ def grouping_sets_counts(spark, sf_dir):
 
 # -- names, seeds, rules -----------------------------------------------------------------------------
 
-@query("WITH c AS (SELECT visual_condition AS cond FROM " + dims.sql_conditions() + "), t AS (SELECT task, unnest(modes) AS mode FROM " + dims.sql_tasks() + """)
-    SELECT task, cond, mode, slot::INT AS slot, CONCAT('0x', substr(sha256(concat_ws('|', 'bench', task, cond, mode, slot, 0)), 1, 12))::BIGINT AS seed, xor(CONCAT('0x', substr(sha256(concat_ws('|', 'bench', task, cond, mode, slot, 0)), 1, 12))::BIGINT, 51966) AS salted FROM c, t, range(0, 6) AS r(slot)""")
-def sha_seed_grid(spark, sf_dir):
-    seed = text.sha_seed(F.lit("bench"), F.col("task"), F.col("cond"), F.col("mode"), F.col("slot"), F.lit(0))
-    return _seed_grid(spark).withColumn("seed", seed).withColumn("salted", F.col("seed").bitwiseXOR(F.lit(51966)))
+_SEED = "CONCAT('0x', substr(sha256(concat_ws('|', 'bench', task, visual_condition, mode, slot, 0)), 1, 12))::BIGINT"
 
 
-def _seed_grid(spark, slots: int = 6):
-    t = dims.tasks(spark).select("task", F.explode("modes").alias("mode")).withColumn("cond", F.explode(dims.names(dims.CONDITIONS)))
-    return t.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).select("task", "cond", "mode", "slot")
+@query(with_sql("prob", query=f"SELECT sid, task, visual_condition AS cond, mode, slot::INT AS slot, {_SEED} AS seed, xor({_SEED}, 51966) AS salted FROM prob, LATERAL (SELECT unnest([sid, sid + 1]) AS slot)"))
+def sha_seed_grid(spark, sf_dir):
+    """Two seeds for every supplier's problem, and the same with a salt."""
+    grid = derive.problems(spark, sf_dir).withColumn("slot", F.explode(F.array(F.col("sid").cast("int"), (F.col("sid") + 1).cast("int"))))
+    seed = text.sha_seed(F.lit("bench"), F.col("task"), F.col("visual_condition"), F.col("mode"), F.col("slot"), F.lit(0))
+    return grid.select("sid", "task", F.col("visual_condition").alias("cond"), "mode", "slot", seed.alias("seed"), seed.bitwiseXOR(F.lit(51966)).alias("salted"))
 
 
-@query("SELECT dim_task.task, modes[m] AS mode, visual_condition, slot::INT AS slot, (dim_condition.ord * 12 + (m - 1) * (12 // len(modes)) + slot)::INT AS problem_id FROM " + dims.sql_tasks() + ", LATERAL (SELECT unnest(range(1, len(modes) + 1)) AS m) mm, LATERAL (SELECT unnest(range(0, 12 // len(modes))) AS slot) ss, " + dims.sql_conditions())
+@query(with_sql("prob", query="""SELECT task, mode, visual_condition, slot::INT AS slot, ((ci - 1) * 12 + (mi - 1) * (12 // n) + slot)::INT AS problem_id FROM (
+    SELECT task, mode, row_number() OVER (PARTITION BY task ORDER BY mode) AS mi, count(*) OVER (PARTITION BY task) AS n FROM (SELECT DISTINCT task, mode FROM prob)),
+    (SELECT visual_condition, row_number() OVER (ORDER BY visual_condition) AS ci FROM (SELECT DISTINCT visual_condition FROM prob)), LATERAL (SELECT unnest(range(0, 12 // n)) AS slot)"""))
 def cross_seed_grid(spark, sf_dir):
-    """task x mode x condition x slot, with the problem id of each cell."""
-    n = F.size("modes")
-    t = dims.tasks(spark).select("task", "modes", F.posexplode("modes").alias("mi", "mode"))
-    t = t.withColumn("slot", F.explode(F.sequence(F.lit(0), F.floor(F.lit(12) / n).cast("int") - 1)))
-    c = dims.conditions(spark).select("visual_condition", F.col("ord").alias("ci"))
-    return t.crossJoin(F.broadcast(c)).select("task", "mode", "visual_condition", "slot", (F.col("ci") * 12 + F.col("mi") * F.floor(F.lit(12) / n).cast("int") + F.col("slot")).alias("problem_id"))
+    """The whole grid over the tasks, modes and conditions that the suppliers' problems have: task x mode x condition x slot, with ids."""
+    p = derive.problems(spark, sf_dir)
+    own = Window.partitionBy("task")
+    t = p.select("task", "mode").distinct().select("task", "mode", F.row_number().over(own.orderBy("mode")).alias("mi"), F.count(F.lit(1)).over(own).alias("n"))
+    each = F.floor(F.lit(12) / F.col("n")).cast("int")
+    t = t.withColumn("slot", F.explode(F.sequence(F.lit(0), each - 1)))
+    c = p.select("visual_condition").distinct().withColumn("ci", F.row_number().over(Window.orderBy("visual_condition")))  # eight conditions
+    at = (F.col("ci") - 1) * 12 + (F.col("mi") - 1) * each + F.col("slot")
+    return t.crossJoin(F.broadcast(c)).select("task", "mode", "visual_condition", "slot", at.cast("int").alias("problem_id"))
 
 
 @query("""WITH a AS (SELECT s_suppkey AS slot, k, CONCAT('0x', substr(sha256(concat_ws('|', 'try', s_suppkey, k)), 1, 12))::BIGINT AS seed FROM supplier, range(0, 200) AS r(k))

@@ -53,13 +53,16 @@ def write_problem(folder: Path, idx: int, image: np.ndarray, answer: np.ndarray,
     sinks.put(root, f"{idx:03d}.json", json.dumps(meta, indent=2).encode())
 
 
-def demo_index(spark: SparkSession) -> DataFrame:
-    """Small problems of two tasks in two conditions, written as a tree to the shared folder and scanned (one sidecar is broken)."""
+def demo_index(spark: SparkSession, grid: DataFrame | None = None, broken: str = "shapes/recolor/002.json") -> DataFrame:
+    """Small pictures of a grid's problems, written as a tree to the shared folder and scanned; the sidecar ``broken`` doesn't parse.
+
+    Without a grid, two tasks in two conditions are made.
+    """
     from ..generate import run
 
     root = shared.new_path(spark, "tree")
-    grid = run.slots(spark, ["removal", "recolor"], ["baseline", "striped"]).repartition(8)
+    grid = run.slots(spark, ["removal", "recolor"], ["baseline", "striped"]).repartition(8) if grid is None else grid
     sinks.write_problems(run.problems(grid, scale=1 / 32).where("input IS NOT NULL"), root).count()
-    sinks.put(root, "shapes/recolor/002.json", b"{broken")
+    sinks.put(root, broken, b"{broken")
     out = problems(spark, root)
     return out.select("benchmark", "task", "idx", "problem_id", "instruction", F.col("input.height").alias("height"), F.col("input.width").alias("width"), F.col("answer").isNotNull().alias("has_answer"))

@@ -14,7 +14,8 @@ cap / weight, those before the first one whose cap isn't reached are capped.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last; a source
 without words gets target 0; documents that tie in every respect share what is left for
-them evenly; an empty table gives an empty result.
+them evenly; an empty table gives an empty result; very long texts are counted whole; repeated rows are documents of their own, which share a key and
+so tie; other columns, whatever their names, are kept by ``mixed_documents`` and not read by ``mix``.
 """
 
 from __future__ import annotations

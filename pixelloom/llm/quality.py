@@ -13,7 +13,7 @@ Documents that fail no rule stay unless their host fails.
 
 Defined cases: null text has no words and fails ``n_words``; a null host is no host, so its
 documents are judged by the document rules alone; repeated rows are judged one by one; very long
-texts are judged whole; an empty table gives an empty result; other columns pass through untouched
+texts are judged whole; a rate just at its limit isn't over it; an empty table gives an empty result; other columns pass through untouched
 unless they bear the name of an output column (compared without case), which then replaces them.
 """
 

@@ -54,8 +54,10 @@ MAX_RANGES = 1 << 16
 #: Ids after which a shard file is closed.
 SHARD_IDS = 1 << 22
 END_ID = 1
-#: Pieces and words kept in a worker's cache of encodings; it is emptied when full.
+#: Pieces kept in a worker's cache of encodings; those that come when it is full are forgotten again.
 CACHE_PIECES = 700_000
+#: Pieces of texts that are looked up together.
+HELD_PIECES = 400_000
 
 #: Texts of only these characters split on white space into words that encode on their own:
 #: printable ASCII, tab, line feed, carriage return, and Latin letters that NFC and
@@ -171,35 +173,11 @@ def shard_bytes(docs, bits: int, block: int = BLOCK) -> bytes:
     return sink.bytes
 
 
-class _Pieces(dict):
-    """Ids of pieces, and of words of several pieces, which are joined when they are met and kept while half of the room is free."""
-
-    def __init__(self):
-        super().__init__()
-        self.find = Encoder.PIECE.findall
-        #: Pieces that were asked for and aren't known yet.
-        self.unknown: set[str] = set()
-
-    def __missing__(self, word: str) -> bytes | None:
-        ps = self.find(word)
-        if len(ps) == 1:
-            self.unknown.add(word)
-            return None
-        parts = list(map(self.get, ps))
-        if None in parts:
-            self.unknown.update([p for p, x in zip(ps, parts) if x is None])
-            return None
-        data = b"".join(parts)
-        if len(self) < CACHE_PIECES // 2:
-            self[word] = data
-        return data
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian uint32 bytes.
 
-    Texts of plain characters are cut at white space, which no piece crosses, and words into the pieces that the vocabulary's splitter makes; a piece
-    encodes on its own, and its ids are cached, as are those of words of several pieces.  New pieces are encoded many at a time by the same
+    Texts of plain characters are cut into the pieces that the vocabulary's splitter makes; a piece
+    encodes on its own, and its ids are cached.  New pieces are encoded many at a time by the same
     model; each ends with the one token that has the end-of-word mark, which parts the ids again.
     Any other text, or one that holds the start of a special token, goes to the library whole, and
     so does everything if the vocabulary's normaliser, splitter or model aren't the ones this is made for.
@@ -234,7 +212,7 @@ class Encoder:
         #: The same model for pieces, which need no normaliser and no pattern any more.
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.pieces = _Pieces()
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -249,39 +227,37 @@ class Encoder:
         self.pieces.update(zip(new, [data[a:b] for a, b in zip([0, *stops], stops)]))
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.pieces) + len(pieces) > CACHE_PIECES:
-            self.pieces.clear()
         new = list(pieces)
         for at in range(0, len(new), 2_000):
             self._learn(new[at : at + 2_000])
 
+    def _settle(self, cut: dict[int, list[str]], out: list[bytes]) -> None:
+        """Encode texts that are cut into pieces; new pieces are learned together, and kept while the cache has room."""
+        new = set().union(*cut.values()).difference(self.pieces)
+        self.learn(new)
+        get = self.pieces.__getitem__
+        for k, ps in cut.items():
+            out[k] = b"".join(map(get, ps))
+        if len(self.pieces) > CACHE_PIECES:  # what comes late is seldom
+            for p in new:
+                del self.pieces[p]
+        cut.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        word, unknown = self.pieces.__getitem__, self.pieces.unknown
-        again: dict[int, list[str]] = {}
-        missing: set[str] = set()
+        find, held = self.PIECE.findall, 0
+        cut: dict[int, list[str]] = {}
         for k, t in enumerate(texts):
             if t and self.marked and _PLAIN.fullmatch(t) and _MARK not in t:
-                ws = t.lower().split()
-                parts = list(map(word, ws))
-                if unknown:
-                    again[k] = ws
-                    missing |= unknown
-                    unknown.clear()
-                else:
-                    out[k] = b"".join(parts)
+                cut[k] = find(t.lower())
+                held += len(cut[k])
+                if held > HELD_PIECES:
+                    self._settle(cut, out)
+                    held = 0
             elif t:
                 out[k] = self._whole(t)
-        if missing:
-            self.learn(missing)
-        for k, ws in again.items():
-            parts = list(map(word, ws))
-            while unknown:  # the cache was emptied meanwhile
-                missing = set(unknown)
-                unknown.clear()
-                self.learn(missing)
-                parts = list(map(word, ws))
-            out[k] = b"".join(parts)
+        if cut:
+            self._settle(cut, out)
         return out
 
 

@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 import pytest
 from plain import hits_brute, near_brute, quality_kept
 
-from pixelloom.llm import decontamination
+from pixelloom.llm import common, decontamination
 from pixelloom.llm.common import stored
 
 
@@ -81,13 +81,9 @@ def test_columns_that_operators_also_make_keep_their_values(docs, spark, sf_dir)
         assert {(r["n_words"], r["kept"], r["size"], r["key"], r["cid"]) for r in out.collect()} <= {(1, "x", "y", 2, "z")}
 
 
-def test_run_keeps_its_last_table_only(spark, sf_dir, tmp_path):
+def test_run_keeps_its_last_table_only(spark, sf_dir, tmp_path, monkeypatch):
     """A stage's table is deleted once the next is stored; what is returned stays readable, and the given tables untouched."""
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = cp.run(spark, sf_dir)
-        assert out.count() > 0 and [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p.name.startswith("stage-")] == ["stage-token-output"]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(common, "shared_root", lambda spark: f"file://{tmp_path}")
+    out = cp.run(spark, sf_dir)
+    assert out.count() > 0 and [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p.name.startswith("stage-")] == ["stage-token-output"]
     assert spark.read.parquet(f"{sf_dir}/documents.parquet").count() > 0

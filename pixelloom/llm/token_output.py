@@ -55,9 +55,9 @@ MAX_RANGES = 1 << 16
 SHARD_IDS = 1 << 22
 END_ID = 1
 #: Pieces kept in a worker's cache of encodings; those that come when it is full are forgotten again.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 400_000
 #: Pieces of texts that are looked up together.
-HELD_PIECES = 400_000
+HELD_PIECES = 150_000
 
 #: Texts of only these characters split on white space into words that encode on their own:
 #: printable ASCII, tab, line feed, carriage return, and Latin letters that NFC and

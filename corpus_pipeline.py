@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in packed shards; returns what is read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_output.encode_documents(docs, public_tokenizers.path(TOKENIZER))
+    return token_output.encode_documents(docs, public_tokenizers.path(TOKENIZER), small=True)  # the executors hold four stages' heap
 
 
 STAGES = [

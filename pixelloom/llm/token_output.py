@@ -55,9 +55,9 @@ MAX_RANGES = 1 << 16
 SHARD_IDS = 1 << 22
 END_ID = 1
 #: Pieces kept in a worker's cache of encodings; those that come when it is full are forgotten again.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 #: Pieces of texts that are looked up together.
-HELD_PIECES = 150_000
+HELD_PIECES = 400_000
 
 #: Texts of only these characters split on white space into words that encode on their own:
 #: printable ASCII, tab, line feed, carriage return, and Latin letters that NFC and
@@ -196,7 +196,7 @@ class Encoder:
     PIECE = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\w\s']|_|'(?!s|t|re|ve|m|ll|d))(?:[^\w\s]|_)*")
     MARK = "</w>"
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, cache_pieces: int = CACHE_PIECES, held_pieces: int = HELD_PIECES):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -213,6 +213,7 @@ class Encoder:
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.pieces: dict[str, bytes] = {}
+        self.cache_pieces, self.held_pieces = cache_pieces, held_pieces
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -238,7 +239,7 @@ class Encoder:
         get = self.pieces.__getitem__
         for k, ps in cut.items():
             out[k] = b"".join(map(get, ps))
-        if len(self.pieces) > CACHE_PIECES:  # what comes late is seldom
+        if len(self.pieces) > self.cache_pieces:  # what comes late is seldom
             for p in new:
                 del self.pieces[p]
         cut.clear()
@@ -251,7 +252,7 @@ class Encoder:
             if t and self.marked and _PLAIN.fullmatch(t) and _MARK not in t:
                 cut[k] = find(t.lower())
                 held += len(cut[k])
-                if held > HELD_PIECES:
+                if held > self.held_pieces:
                     self._settle(cut, out)
                     held = 0
             elif t:
@@ -264,11 +265,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(file: str) -> Encoder:
-    """The worker's encoder of a vocabulary: its cache outlives a task."""
-    if file not in _encoders:
-        _encoders[file] = Encoder(file)
-    return _encoders[file]
+def encoder(file: str, small: bool = False) -> Encoder:
+    """The worker's encoder of a vocabulary: its cache outlives a task.  ``small``: less memory, for workers that other stages have used."""
+    key = f"{file}|{small}"
+    if key not in _encoders:
+        _encoders[key] = Encoder(file, CACHE_PIECES * 4 // 7, HELD_PIECES * 3 // 8) if small else Encoder(file)
+    return _encoders[key]
 
 
 def shard_bounds(docs: DataFrame, doc_id: str, shard_docs: int = SHARD_DOCS) -> list[int]:
@@ -301,7 +303,7 @@ _MANIFEST = T.StructType([
 ])
 
 
-def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID, shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS, block: int = BLOCK) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID, shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS, block: int = BLOCK, small: bool = False) -> DataFrame:
     """Tokenise every whole text, append ``end_id``, write shards in ascending doc_id order.
 
     Returns the manifest (shard: the range, part: the file in it, path, docs, ids), stored as Parquet.  Null ids come first,
@@ -317,15 +319,15 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, doc_id: str
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches):
-        enc = encoder(tokenizer_file)
+        enc = encoder(tokenizer_file, small)
         for b in batches:
             ids = b.column(0)
             for at in range(0, b.num_rows, 512):
                 part = ids.slice(at, 512)
                 data = [x + tail for x in enc.encode(b.column(1).slice(at, 512).to_pylist())]
                 shard = np.searchsorted(bounds, np.asarray(part.fill_null(np.iinfo(np.int64).min)), "left")
-                small = [np.frombuffer(x, "<u4").astype(f"<u{2 if bits <= 16 else 4}").tobytes() for x in data]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[shard]), pa.array(shard.astype(np.int32)), part, pa.array(small, pa.binary())], names=_PACKED.names)
+                narrow = [np.frombuffer(x, "<u4").astype(f"<u{2 if bits <= 16 else 4}").tobytes() for x in data]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[shard]), pa.array(shard.astype(np.int32)), part, pa.array(narrow, pa.binary())], names=_PACKED.names)
 
     def write(batches):
         _encoders.clear()  # all is tokenised by now, and the worker lives on
@@ -395,13 +397,13 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
     )
 
 
-def encode_documents(docs: DataFrame, tokenizer_file: str, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_file: str, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, small: bool = False) -> DataFrame:
     """Write ``docs`` to shards in the shared folder and return what is read back from them.
 
-    Empty tables write no file and return no row.
+    Empty tables write no file and return no row.  ``small`` takes less memory and more time; the result is the same.
     """
     path = path or new_path(docs.sparkSession, "token-shards")
-    manifest = write_shards(docs, tokenizer_file, path, doc_id=doc_id, text=text)
+    manifest = write_shards(docs, tokenizer_file, path, doc_id=doc_id, text=text, small=small)
     if not manifest.head(1):
         return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read_shards(manifest, path)

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import dims
 from ..functions import geometry as geo
@@ -79,40 +78,35 @@ def spans(polygon: Column) -> Column:
     return F.filter(every, lambda s: s["lo"] <= s["hi"])
 
 
-def occupied_runs(shapes: DataFrame) -> DataFrame:
-    """scene, cy, x0, x1: runs of cells that any shape covers."""
-    own = sc.covered_cells(shapes).select("scene", "cx", "cy").distinct()
-    island = F.col("cx") - F.row_number().over(Window.partitionBy("scene", "cy").orderBy("cx"))
-    return own.withColumn("_island", island).groupBy("scene", "cy", "_island").agg(F.min("cx").alias("x0"), F.max("cx").alias("x1")).drop("_island")
+#: Attempts that a task makes: each takes a fraction of a millisecond, and a scene is few bytes.
+ATTEMPTS_A_TASK = 8000
 
 
-def covered(regions: DataFrame, runs: DataFrame, keys: list[str], polygon: str) -> DataFrame:
-    """``regions`` with n_cells and n_covered (cells of ``polygon`` that shapes cover): a range join of runs on (scene, row of cells)."""
-    own = regions.withColumn("_spans", spans(F.col(polygon)))
-    own = own.withColumn("n_cells", F.aggregate("_spans", F.lit(0), lambda n, s: n + s["hi"] - s["lo"] + 1))
-    rows = own.select(*keys, F.explode("_spans").alias("s")).select(*keys, "s.*")
-    meet = rows.join(runs, ["scene", "cy"]).where("x0 <= hi AND x1 >= lo")
-    n = meet.groupBy(*keys).agg(F.sum(F.least("x1", "hi") - F.greatest("x0", "lo") + 1).cast("int").alias("n_covered"))
-    return own.drop("_spans").join(n, keys, "left").withColumn("n_covered", F.coalesce("n_covered", F.lit(0)))
+def covered(regions: DataFrame, canvases: DataFrame, polygon: str) -> DataFrame:
+    """``regions`` with n_cells and n_covered (cells of ``polygon`` that shapes cover): bits of its runs of cells against those of its scene's ``canvas``."""
+    own = regions.join(canvases.hint("shuffle_hash"), "scene").withColumn("_spans", spans(F.col(polygon)))
+    n = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["hi"] - s["lo"] + 1)
+    on = F.aggregate("_spans", F.lit(0), lambda n, s: n + F.bit_count(F.col("canvas")[s["cy"]].bitwiseAND(sc.bits(s["lo"], s["hi"]))))
+    return own.withColumns({"n_cells": n, "n_covered": on}).drop("_spans", "canvas")
 
 
 def found_regions(shapes: DataFrame, propose: Callable[[DataFrame], DataFrame], *, limit: int, least_shape: float = 0.05, least_ground: float = 0.10, name: str = "region") -> DataFrame:
     """A row a scene: scene, t, ok, polygon, n_cells, n_covered and whatever else ``propose`` adds as ``note``.
 
-    ``propose`` gets (scene, t) and adds ``polygon`` (convex) and ``note``.  The first attempt with enough of shapes and of ground in it is taken; of
-    ``limit`` bad ones the last is, with ok false.
+    ``propose`` gets (scene, t), dealt by scene, and adds ``polygon`` (convex) and ``note``.  The first attempt with enough of shapes and of ground in it is
+    taken; of ``limit`` bad ones the last is, with ok false.
     """
-    runs = stored(occupied_runs(shapes), f"{name}-runs")
+    canvases = stored(sc.masks(shapes, canvas=F.lit(True)), f"{name}-canvas")
 
     def advance(rows: DataFrame, lo: int, hi: int) -> DataFrame:
-        tries = propose(rows.select("scene").withColumn("t", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))))
-        seen = covered(tries, runs, ["scene", "t"], "polygon")
+        own = sc.dealt(rows.select("scene"), max(1, ATTEMPTS_A_TASK // (hi - lo)), "scene")
+        seen = covered(propose(own.withColumn("t", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))), canvases, "polygon")
         n, on = F.col("n_cells"), F.col("n_covered")
         seen = seen.withColumn("ok", (n > 0) & (on >= n * least_shape) & (n - on >= n * least_ground))
         best = F.min_by(F.struct("t", "ok", "polygon", "n_cells", "n_covered", "note"), F.when(F.col("ok"), F.col("t")).otherwise(2 * limit - F.col("t")))
         return seen.groupBy("scene").agg(best.alias("best")).select("scene", "best.*")
 
-    start = shapes.select("scene").distinct().selectExpr("scene", "-1 AS t", "false AS ok", f"CAST(array() AS {POINTS}) AS polygon", "0 AS n_cells", "0 AS n_covered", "-1L AS note")
+    start = canvases.selectExpr("scene", "-1 AS t", "false AS ok", f"CAST(array() AS {POINTS}) AS polygon", "0 AS n_cells", "0 AS n_covered", "-1L AS note")
     return sampling.in_waves(start, advance, ~F.col("ok"), first=4, limit=limit, name=name)
 
 
@@ -124,12 +118,13 @@ def around_shape(shapes: DataFrame, *, points: int = 12, width: int = sc.CANVAS,
 
     The shape is drawn evenly among its scene's, by its place in z order.
     """
-    ranked = shapes.select("scene", "z", *(F.col(c).cast("double").alias(c) for c in "xywh"), (F.row_number().over(Window.partitionBy("scene").orderBy("z")) - 1).alias("_place"))
-    count = shapes.groupBy("scene").agg(F.count(F.lit(1)).alias("_n"))
+    row = F.struct("z", *(F.col(c).cast("double").alias(c) for c in "xywh"))
+    scenes = sc.dealt(shapes, sc.SHAPES_A_TASK, "scene").groupBy("scene").agg(F.sort_array(F.collect_list(row)).alias("_all"))
 
     def propose(tries: DataFrame) -> DataFrame:
         h = keyed.digest(F.lit("region"), F.col("scene"), F.col("t"))
-        own = tries.join(count, "scene").withColumn("_h", h).withColumn("_place", keyed.pick(F.col("_h"), F.col("_n"))).join(ranked, ["scene", "_place"])
+        own = tries.join(scenes.hint("shuffle_hash"), "scene").withColumn("_h", h)
+        own = own.withColumn("_s", F.element_at("_all", keyed.pick(F.col("_h"), F.size("_all")) + 1)).select("scene", "t", "_h", "_s.*")
         pad = F.greatest((keyed.share(F.col("_h"), 1) * 0.5 + 0.3) * F.greatest("w", "h"), F.lit(0.05 * min(width, height)))
         own = own.withColumn("_pad", pad)
         x, y, w, ht, p = (F.col(c) for c in ("x", "y", "w", "h", "_pad"))

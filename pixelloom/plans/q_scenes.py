@@ -166,6 +166,15 @@ def _px():
     return (F.col("cx") * S + S // 2).cast("double"), (F.col("cy") * S + S // 2).cast("double")
 
 
+def _poly_rows() -> list[int]:
+    """``POLY`` on every canvas: for each row of cells a number whose bit cx is set if the cell's centre is inside, by the even-odd rule."""
+    def inside(px: float, py: float) -> bool:
+        ends = zip(POLY, POLY[1:] + POLY[:1])
+        return sum((ay > py) != (by > py) and px < ax + (py - ay) / (by - ay) * (bx - ax) for (ax, ay), (bx, by) in ends) % 2 == 1
+
+    return [sum(inside(float(cx * S + S // 2), float(cy * S + S // 2)) << cx for cx in range(N)) for cy in range(N)]
+
+
 @query(with_sql("shapes", "cells", "grid_all", query=f"SELECT g.scene, round(avg((c.scene IS NOT NULL)::INT), 9) AS foreground, round(1 - avg((c.scene IS NOT NULL)::INT), 9) AS background FROM grid_all g LEFT JOIN (SELECT DISTINCT scene, cx, cy FROM cells) c ON g.scene = c.scene AND g.cx = c.cx AND g.cy = c.cy WHERE {_poly_sql(_C.replace('cx', 'g.cx'), _D.replace('cy', 'g.cy'))} GROUP BY ALL"))
 def region_coverage(spark, sf_dir):
     s = shapes(spark, sf_dir)
@@ -361,10 +370,10 @@ def raster_dilation(spark, sf_dir):
 @query(with_sql("shapes", "grid_all", "cells", query=f"SELECT g.scene, count(*) FILTER (WHERE {_poly_sql(_C.replace('cx', 'g.cx'), _D.replace('cy', 'g.cy'))} AND c.scene IS NULL) AS n_background, count(*) FILTER (WHERE {_poly_sql(_C.replace('cx', 'g.cx'), _D.replace('cy', 'g.cy'))} AND c.scene IS NOT NULL) AS n_foreground FROM grid_all g LEFT JOIN (SELECT DISTINCT scene, cx, cy FROM cells) c ON g.scene = c.scene AND g.cx = c.cx AND g.cy = c.cy GROUP BY g.scene"))
 def flood_fill_region(spark, sf_dir):
     """Cells of the region that background and foreground filling would change."""
-    g = cells(spark, sf_dir).withColumn("inside", geo.inside_fixed(*_px(), POLY))
-    own = sc.covered_cells(shapes(spark, sf_dir)).select("scene", "cx", "cy").distinct().withColumn("own", F.lit(True))
-    j = g.join(own, ["scene", "cx", "cy"], "left")
-    return j.groupBy("scene").agg(F.count_if(F.col("inside") & F.col("own").isNull()).alias("n_background"), F.count_if(F.col("inside") & F.col("own").isNotNull()).alias("n_foreground"))
+    region = [F.lit(b).cast("long") for b in _poly_rows()]
+    own = lambda cy: F.col("own")[cy]
+    on, off = sc.n_set(lambda cy: region[cy].bitwiseAND(own(cy))), sc.n_set(lambda cy: region[cy].bitwiseAND(F.bitwise_not(own(cy))))
+    return sc.masks(shapes(spark, sf_dir), own=F.lit(True)).select("scene", off.alias("n_background"), on.alias("n_foreground"))
 
 
 @query("SELECT p_partkey, al AS alpha, ((a * (255 - al) + b * al + 127) // 255)::INT AS blended FROM (SELECT p_partkey, round_even((10 + p_partkey % 81) * 2.55e0, 0)::INT AS al, (p_partkey % 256)::INT AS a, (p_partkey * 7 % 256)::INT AS b FROM part)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pixelloom import catalog
 from pixelloom.operators import scene as sc
 from pixelloom.plans import derive
 
@@ -21,3 +22,13 @@ def test_masks_are_the_covered_cells(spark, sf_dir):
 def test_attempts_are_dealt_by_number_not_by_bytes(spark):
     few = spark.range(50_000).coalesce(1)
     assert sc.dealt(few, 10_000, "id").rdd.getNumPartitions() == 6
+
+
+#: Queries whose cells aren't joined, or aren't rows at all.
+JOINLESS: list[str] = ["flood_fill_region", ]
+
+
+def test_cells_are_not_joined(spark, sf_dir):
+    for name in JOINLESS:
+        plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan, name

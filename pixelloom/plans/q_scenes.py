@@ -404,10 +404,16 @@ def point_ops(spark, sf_dir):
 @query(with_sql("shapes", "cells", "topmost", "grid_all", query=f"SELECT g.scene, g.cx, g.cy, coalesce(t.fill, 'none') AS fill FROM grid_all g LEFT JOIN topmost t ON g.scene = t.scene AND t.cx = least({N - 1}, floor((g.cx + 0.5e0) * 15 / {N})::INT + 6) AND t.cy = least({N - 1}, floor((g.cy + 0.5e0) * 15 / {N})::INT + 6)"))
 def nearest_resize(spark, sf_dir):
     """A crop of 15 x 15 cells from (6, 6) blown up to the whole canvas."""
-    src = lambda c: F.least(F.lit(N - 1), F.floor((F.col(c) + 0.5) * 15 / N).cast("int") + 6)
-    g = cells(spark, sf_dir).withColumn("sx", src("cx")).withColumn("sy", src("cy"))
-    t = sc.topmost(shapes(spark, sf_dir)).select("scene", F.col("cx").alias("sx"), F.col("cy").alias("sy"), "fill")
-    return g.join(t, ["scene", "sx", "sy"], "left").select("scene", "cx", "cy", F.coalesce("fill", F.lit("none")).alias("fill"))
+    # Every source cell is handed to the cells that show it, and what is under all shapes is one more shape: nothing is joined.
+    shown: list[list[int]] = [[] for _ in range(N)]
+    for c in range(N):
+        shown[min(N - 1, math.floor((c + 0.5) * 15 / N) + 6)].append(c)
+    to = lambda c: F.element_at(F.array(*(F.array(*map(F.lit, own)).cast("array<int>") for own in shown)), F.col(c) + 1)
+    s = shapes(spark, sf_dir).select("scene", "z", "fill", "x", "y", "w", "h")
+    ground = s.select("scene").distinct().select("scene", F.lit(-1).alias("z"), F.lit("none").alias("fill"), *(F.lit(v).alias(c) for c, v in zip("xywh", (0, 0, sc.CANVAS, sc.CANVAS))))
+    used = [c for c in range(N) if shown[c]]
+    t = sc.topmost(s.unionByName(ground)).where(F.col("cx").between(used[0], used[-1]) & F.col("cy").between(used[0], used[-1]))
+    return t.select("scene", "fill", to("cy").alias("_ys"), F.explode(to("cx")).alias("cx")).select("scene", "cx", F.explode("_ys").alias("cy"), "fill")
 
 
 @query(with_sql("shapes", "cells", "topmost", query=f"SELECT scene, cx, cy, arg_max(fill, pri) AS fill FROM (SELECT scene, cx, cy, fill, 0 AS pri FROM topmost UNION ALL SELECT scene, cx + 5, cy + 7, fill, 1 FROM topmost WHERE {_poly_sql(_C, _D)}) WHERE cx < {N} AND cy < {N} GROUP BY ALL"))

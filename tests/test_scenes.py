@@ -25,7 +25,7 @@ def test_attempts_are_dealt_by_number_not_by_bytes(spark):
 
 
 #: Queries whose cells aren't joined, or aren't rows at all.
-JOINLESS: list[str] = ["flood_fill_region", ]
+JOINLESS: list[str] = ["flood_fill_region", "nearest_resize", ]
 
 
 def test_cells_are_not_joined(spark, sf_dir):

@@ -19,6 +19,11 @@ def _steps(lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+def _around(at: Column, reach: float, size: int) -> Column:
+    """Pixels of a canvas whose centres are within ``reach`` of ``at`` along one side."""
+    return _steps(F.greatest(F.lit(0), F.ceil(at - 0.5 - reach)), F.least(F.lit(size - 1), F.floor(at - 0.5 + reach)))
+
+
 def reflected(layer: DataFrame, lines: DataFrame, size: int) -> DataFrame:
     """scene, cx, cy, r, g, b, mask of a layer mirrored across its scene's line, where the mirror image's mask isn't 0.
 
@@ -45,17 +50,17 @@ def reflected(layer: DataFrame, lines: DataFrame, size: int) -> DataFrame:
 def rotated(layer: DataFrame, turns: DataFrame, size: int, values: list[str]) -> DataFrame:
     """scene, cx, cy and ``values`` of a layer turned counter-clockwise, each pixel taken from the nearest of the layer; what comes from nowhere is left out.
 
-    ``turns``: scene, degrees, ox, oy (the centre, in pixels).  By quarter turns about the middle of the canvas pixels are moved whole.
+    ``turns``: scene, degrees, ox, oy (the centre, in pixels).  Every pixel is handed to those that show it, so pixels aren't joined with pixels.  By quarter turns about the middle of the canvas pixels are moved whole.
     """
     centre = (F.col("ox"), F.col("oy"))
-    box = layer.groupBy("scene").agg(*(f(c).alias(n) for n, f, c in (("x0", F.min, "cx"), ("x1", F.max, "cx"), ("y0", F.min, "cy"), ("y1", F.max, "cy")))).join(turns, "scene")
-    corners = [geo.rotate((F.col(x) + dx, F.col(y) + dy), centre, -F.col("degrees")) for x, dx in (("x0", 0.0), ("x1", 1.0)) for y, dy in (("y0", 0.0), ("y1", 1.0))]
-    span = lambda k: _steps(F.greatest(F.lit(0), F.floor(F.least(*(c[k] for c in corners))) - 1), F.least(F.lit(size - 1), F.ceil(F.greatest(*(c[k] for c in corners)))))
-    out = box.select("scene", "degrees", "ox", "oy", F.explode(span(0)).alias("cx"), span(1).alias("_ys")).withColumn("cy", F.explode("_ys"))
+    own = layer.join(turns.hint("merge"), "scene")
+    # A pixel's centre comes from within the pixel it is taken from, so it lies within half a diagonal of where that one's centre goes.
+    x, y = geo.rotate((F.col("cx") + 0.5, F.col("cy") + 0.5), centre, -F.col("degrees"))
+    own = own.select("scene", "degrees", "ox", "oy", F.col("cx").alias("sx"), F.col("cy").alias("sy"), *values, _around(x, 0.708, size).alias("_xs"), _around(y, 0.708, size).alias("_ys"))
+    out = own.withColumn("cx", F.explode("_xs")).withColumn("cy", F.explode("_ys"))
     x, y = geo.rotate((F.col("cx") + 0.5, F.col("cy") + 0.5), centre, F.col("degrees"))
     near = lambda v: F.floor(F.round(v, 9)).cast("int")
-    src = layer.select("scene", F.col("cx").alias("sx"), F.col("cy").alias("sy"), *values)
-    return out.select("scene", "cx", "cy", near(x).alias("sx"), near(y).alias("sy")).join(src, ["scene", "sx", "sy"]).select("scene", "cx", "cy", *values)
+    return out.where((near(x) == F.col("sx")) & (near(y) == F.col("sy"))).select("scene", "cx", "cy", *values)
 
 
 def pasted(below: Column, above: Column, mask: Column) -> Column:

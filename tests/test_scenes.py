@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixelloom import catalog
+from pixelloom.operators import layers
 from pixelloom.operators import scene as sc
 from pixelloom.plans import derive
 
@@ -32,3 +33,10 @@ def test_cells_are_not_joined(spark, sf_dir):
     for name in JOINLESS:
         plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan, name
+
+
+def test_turned_pixels_are_not_joined_with_pixels(spark):
+    layer = spark.range(1).selectExpr("0L AS scene", "3 AS cx", "4 AS cy", "'a' AS v")
+    turns = spark.range(1).selectExpr("0L AS scene", "30.0D AS degrees", "4.5D AS ox", "4.5D AS oy")
+    plan = layers.rotated(layer, turns, 9, ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # with the turns, by scene

@@ -327,9 +327,13 @@ def occupancy(spark, sf_dir):
 
 @query(with_sql("shapes", "cells", query="SELECT scene, count(*) FILTER (WHERE a AND b) AS n_and, count(*) FILTER (WHERE a AND NOT b) AS n_and_not, count(*) FILTER (WHERE a OR b) AS n_or, count(*) FILTER (WHERE a <> b) AS n_xor FROM (SELECT scene, cx, cy, bool_or(z < 5) AS a, bool_or(z >= 5) AS b FROM cells GROUP BY ALL) GROUP BY scene"))
 def mask_algebra(spark, sf_dir):
-    m = sc.covered_cells(shapes(spark, sf_dir)).groupBy("scene", "cx", "cy").agg(F.bool_or(F.col("z") < 5).alias("a"), F.bool_or(F.col("z") >= 5).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return m.groupBy("scene").agg(F.count_if(a & b).alias("n_and"), F.count_if(a & ~b).alias("n_and_not"), F.count_if(a | b).alias("n_or"), F.count_if(a != b).alias("n_xor"))
+    m = sc.masks(shapes(spark, sf_dir), a=F.col("z") < 5, b=F.col("z") >= 5)
+    a, b = (lambda cy: F.col("a")[cy]), (lambda cy: F.col("b")[cy])
+    n = {
+        "n_and": lambda cy: a(cy).bitwiseAND(b(cy)), "n_and_not": lambda cy: a(cy).bitwiseAND(F.bitwise_not(b(cy))),
+        "n_or": lambda cy: a(cy).bitwiseOR(b(cy)), "n_xor": lambda cy: a(cy).bitwiseXOR(b(cy)),
+    }
+    return m.select("scene", *(sc.n_set(f).alias(k) for k, f in n.items())).where("n_or > 0")
 
 
 @query(with_sql("shapes", "grid_all", query=f"SELECT scene, cx, cy, {_poly_sql(_C, _D)} AS inside FROM grid_all"))

@@ -423,10 +423,11 @@ def nearest_resize(spark, sf_dir):
 @query(with_sql("shapes", "cells", "topmost", query=f"SELECT scene, cx, cy, arg_max(fill, pri) AS fill FROM (SELECT scene, cx, cy, fill, 0 AS pri FROM topmost UNION ALL SELECT scene, cx + 5, cy + 7, fill, 1 FROM topmost WHERE {_poly_sql(_C, _D)}) WHERE cx < {N} AND cy < {N} GROUP BY ALL"))
 def copy_region(spark, sf_dir):
     """Painted cells of the region copied five right, seven down, over what is there."""
-    t = sc.topmost(shapes(spark, sf_dir)).select("scene", "cx", "cy", "fill")
-    moved = t.where(geo.inside_fixed(*_px(), POLY)).select("scene", (F.col("cx") + 5).alias("cx"), (F.col("cy") + 7).alias("cy"), "fill", F.lit(1).alias("pri"))
-    both = t.withColumn("pri", F.lit(0)).unionByName(moved).where((F.col("cx") < N) & (F.col("cy") < N))
-    return both.groupBy("scene", "cx", "cy").agg(F.max_by("fill", "pri").alias("fill"))
+    # A copied cell beats what is there, and among either the topmost shape wins: one grouping, no cell is made twice.
+    own = sc.covered_cells(shapes(spark, sf_dir))
+    copy = F.when(geo.inside_fixed(*_px(), POLY), F.struct((F.col("cx") + 5).alias("cx"), (F.col("cy") + 7).alias("cy"), F.lit(1).alias("pri")))
+    both = own.select("scene", "fill", "z", F.explode(F.array_compact(F.array(F.struct("cx", "cy", F.lit(0).alias("pri")), copy))).alias("c")).select("scene", "fill", "z", "c.*")
+    return both.where((F.col("cx") < N) & (F.col("cy") < N)).groupBy("scene", "cx", "cy").agg(F.max_by("fill", F.struct("pri", "z")).alias("fill"))
 
 
 @query(with_sql("shapes", "grid_all", query=f"SELECT scene, count_if(pow({_C} - 54, 2) + pow({_D} - 54, 2) <= r * r) AS n_circle, count_if(pow({_C} - px, 2) + pow({_D} - py, 2) <= 9) AS n_line FROM (SELECT *, 20 + scene % 30 AS r, 10 + greatest(0, least(1, (({_C} - 10) * 80 + ({_D} - 20) * 50) / 8900.0e0)) * 80 AS px, 20 + greatest(0, least(1, (({_C} - 10) * 80 + ({_D} - 20) * 50) / 8900.0e0)) * 50 AS py FROM grid_all) GROUP BY scene"))

@@ -27,23 +27,23 @@ def _around(at: Column, reach: float, size: int) -> Column:
 def reflected(layer: DataFrame, lines: DataFrame, size: int) -> DataFrame:
     """scene, cx, cy, r, g, b, mask of a layer mirrored across its scene's line, where the mirror image's mask isn't 0.
 
-    ``layer``: the pixels of a mask, with colour; all others are black and 0.  ``lines``: scene, ax, ay, bx, by in pixels.  Each pixel of the mirrored
-    box is mapped back and blends its four neighbours by their distances; neighbours beyond the canvas repeat its edge, pixels that come from beyond it
+    ``layer``: the pixels of a mask, with colour; all others are black and 0.  ``lines``: scene, ax, ay, bx, by in pixels.  Each pixel is
+    mapped back and blends its four neighbours by their distances; pixels of the layer are handed to those they blend into, so nothing is joined.  Neighbours beyond the canvas repeat its edge, pixels that come from beyond it
     are 0.  Values are rounded half up.
     """
-    ends = lambda t: ((F.col(f"{t}.ax"), F.col(f"{t}.ay")), (F.col(f"{t}.bx"), F.col(f"{t}.by")))
-    box = layer.groupBy("scene").agg(*(f(c).alias(n) for n, f, c in (("x0", F.min, "cx"), ("x1", F.max, "cx"), ("y0", F.min, "cy"), ("y1", F.max, "cy")))).alias("o").join(lines.alias("n"), "scene")
-    corners = [geo.reflect((F.col(x) + dx, F.col(y) + dy), *ends("n")) for x, dx in (("x0", -0.5), ("x1", 1.5)) for y, dy in (("y0", -0.5), ("y1", 1.5))]
-    span = lambda k: _steps(F.greatest(F.lit(0), F.floor(F.least(*(c[k] for c in corners)))), F.least(F.lit(size - 1), F.ceil(F.greatest(*(c[k] for c in corners)))))
-    out = box.select("scene", "ax", "ay", "bx", "by", F.explode(span(0)).alias("cx"), span(1).alias("_ys")).withColumn("cy", F.explode("_ys")).alias("n")
-    x, y = geo.reflect((F.col("cx") + 0.5, F.col("cy") + 0.5), *ends("n"))
-    out = out.select("scene", "cx", "cy", F.round(x, 9).alias("x"), F.round(y, 9).alias("y")).where((F.col("x") >= 0) & (F.col("x") < size) & (F.col("y") >= 0) & (F.col("y") < size))
+    ends = ((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")))
+    own = layer.join(lines.hint("merge"), "scene")
+    # What blends a pixel lies within one pixel of its mirror image along either side, so within a diagonal of the pixel's own.
+    x, y = geo.reflect((F.col("cx") + 0.5, F.col("cy") + 0.5), *ends)
+    own = own.select("scene", "ax", "ay", "bx", "by", *CHANNELS, F.col("cx").alias("tx"), F.col("cy").alias("ty"), _around(x, 1.415, size).alias("_xs"), _around(y, 1.415, size).alias("_ys"))
+    out = own.withColumn("cx", F.explode("_xs")).withColumn("cy", F.explode("_ys"))
+    x, y = geo.reflect((F.col("cx") + 0.5, F.col("cy") + 0.5), *ends)
+    out = out.withColumns({"x": F.round(x, 9), "y": F.round(y, 9)}).where((F.col("x") >= 0) & (F.col("x") < size) & (F.col("y") >= 0) & (F.col("y") < size))
     out = out.withColumns({"i": F.floor(F.col("x") - 0.5), "j": F.floor(F.col("y") - 0.5)}).withColumns({"u": F.col("x") - 0.5 - F.col("i"), "v": F.col("y") - 0.5 - F.col("j")})
     edge = lambda c: F.greatest(F.lit(0), F.least(F.lit(size - 1), c)).cast("int")
     taps = F.array(*(F.struct(edge(F.col("i") + a).alias("tx"), edge(F.col("j") + b).alias("ty"), ((F.col("u") if a else 1 - F.col("u")) * (F.col("v") if b else 1 - F.col("v"))).alias("k")) for a in (0, 1) for b in (0, 1)))
-    taken = out.select("scene", "cx", "cy", F.explode(taps).alias("t")).select("scene", "cx", "cy", "t.*").where("k > 0")
-    src = layer.select("scene", F.col("cx").alias("tx"), F.col("cy").alias("ty"), *CHANNELS)
-    mixed = taken.join(src, ["scene", "tx", "ty"]).groupBy("scene", "cx", "cy").agg(*(F.floor(F.round(F.sum(F.col("k") * F.col(c)), 6) + 0.5).cast("int").alias(c) for c in CHANNELS))
+    taken = out.select("scene", "cx", "cy", "tx", "ty", *CHANNELS, F.explode(taps).alias("t")).where("t.tx = tx AND t.ty = ty AND t.k > 0")
+    mixed = taken.groupBy("scene", "cx", "cy").agg(*(F.floor(F.round(F.sum(F.col("t.k") * F.col(c)), 6) + 0.5).cast("int").alias(c) for c in CHANNELS))
     return mixed.where("mask > 0")
 
 

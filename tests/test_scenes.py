@@ -46,3 +46,10 @@ def test_shapes_are_dealt_by_scene_before_cells_are_made(spark, sf_dir, monkeypa
     monkeypatch.setattr(sc, "SHAPES_A_TASK", 50)
     s = derive.shapes(spark, sf_dir)
     assert sc.covered_cells(s).rdd.getNumPartitions() == 1 + s.count() // 50
+
+
+def test_mirrored_pixels_are_not_joined_with_pixels(spark):
+    layer = spark.range(1).selectExpr("0L AS scene", "3 AS cx", "4 AS cy", "1 AS r", "2 AS g", "3 AS b", "255 AS mask")
+    line = spark.range(1).selectExpr("0L AS scene", "1.0D AS ax", "0.0D AS ay", "7.0D AS bx", "9.0D AS by")
+    plan = layers.reflected(layer, line, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # with the lines, by scene

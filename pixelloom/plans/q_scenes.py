@@ -177,13 +177,10 @@ def _poly_rows() -> list[int]:
 
 @query(with_sql("shapes", "cells", "grid_all", query=f"SELECT g.scene, round(avg((c.scene IS NOT NULL)::INT), 9) AS foreground, round(1 - avg((c.scene IS NOT NULL)::INT), 9) AS background FROM grid_all g LEFT JOIN (SELECT DISTINCT scene, cx, cy FROM cells) c ON g.scene = c.scene AND g.cx = c.cx AND g.cy = c.cy WHERE {_poly_sql(_C.replace('cx', 'g.cx'), _D.replace('cy', 'g.cy'))} GROUP BY ALL"))
 def region_coverage(spark, sf_dir):
-    s = shapes(spark, sf_dir)
-    hit = sc.covered_cells(s).where(geo.inside_fixed(*_px(), POLY)).select("scene", "cx", "cy").distinct().groupBy("scene").agg(F.count(F.lit(1)).alias("k"))
-    # The polygon covers the same cells of every canvas, so they are counted once.
-    region = spark.range(N * N).select((F.col("id") % N).alias("cx"), F.floor(F.col("id") / N).alias("cy")).where(geo.inside_fixed(*_px(), POLY)).agg(F.count(F.lit(1)).alias("n"))
-    out = s.select("scene").distinct().join(hit, "scene", "left").crossJoin(F.broadcast(region))
-    share = F.coalesce("k", F.lit(0)) / F.col("n")
-    return out.select("scene", F.round(share, 9).alias("foreground"), F.round(1 - share, 9).alias("background"))
+    # The polygon covers the same cells of every canvas.
+    region = _poly_rows()
+    share = sc.n_set(lambda cy: F.col("own")[cy].bitwiseAND(F.lit(region[cy]).cast("long"))) / F.lit(sum(b.bit_count() for b in region))
+    return sc.masks(shapes(spark, sf_dir), own=F.lit(True)).select("scene", F.round(share, 9).alias("foreground"), F.round(1 - share, 9).alias("background"))
 
 
 @query(with_sql("shapes", query="SELECT scene, z, round(greatest(0, least(x + w, 96) - greatest(x, 12)) * greatest(0, least(y + h, 96) - greatest(y, 12)) / (w * h), 9) AS visible, 4 * greatest(0, least(x + w, 96) - greatest(x, 12)) * greatest(0, least(y + h, 96) - greatest(y, 12)) >= w * h AS enough FROM shapes"))

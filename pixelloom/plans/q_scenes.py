@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -361,11 +362,17 @@ def raster_background(spark, sf_dir):
 @query(with_sql("shapes", "cells", query=f"SELECT scene, count(*) AS n_ring FROM (SELECT DISTINCT scene, cx + dx AS cx, cy + dy AS cy FROM cells, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy <= 4 EXCEPT SELECT scene, cx, cy FROM cells) WHERE cx BETWEEN 0 AND {N - 1} AND cy BETWEEN 0 AND {N - 1} GROUP BY scene"))
 def raster_dilation(spark, sf_dir):
     """Cells within two steps (Euclidean) of a shape but not in one."""
-    own = sc.covered_cells(shapes(spark, sf_dir)).select("scene", "cx", "cy").distinct()
-    disc = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-2, 3) for dy in range(-2, 3) if dx * dx + dy * dy <= 4))
-    wide = own.withColumn("d", F.explode(disc)).select("scene", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy")).distinct()
-    ring = wide.where(F.col("cx").between(0, N - 1) & F.col("cy").between(0, N - 1)).join(own, ["scene", "cx", "cy"], "left_anti")
-    return ring.groupBy("scene").agg(F.count(F.lit(1)).alias("n_ring"))
+    own = lambda cy: F.col("own")[cy]
+
+    def moved(cy: int, dx: int, dy: int):
+        if not 0 <= cy - dy < N:
+            return F.lit(0).cast("long")
+        return F.shiftleft(own(cy - dy), dx) if dx >= 0 else F.shiftright(own(cy - dy), -dx)
+
+    disc = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if dx * dx + dy * dy <= 4]
+    wide = lambda cy: reduce(lambda a, b: a.bitwiseOR(b), (moved(cy, *d) for d in disc)).bitwiseAND(F.lit((1 << N) - 1).cast("long"))
+    n = sc.n_set(lambda cy: wide(cy).bitwiseAND(F.bitwise_not(own(cy))))
+    return sc.masks(shapes(spark, sf_dir), own=F.lit(True)).select("scene", n.alias("n_ring")).where("n_ring > 0")
 
 
 @query(with_sql("shapes", "grid_all", "cells", query=f"SELECT g.scene, count(*) FILTER (WHERE {_poly_sql(_C.replace('cx', 'g.cx'), _D.replace('cy', 'g.cy'))} AND c.scene IS NULL) AS n_background, count(*) FILTER (WHERE {_poly_sql(_C.replace('cx', 'g.cx'), _D.replace('cy', 'g.cy'))} AND c.scene IS NOT NULL) AS n_foreground FROM grid_all g LEFT JOIN (SELECT DISTINCT scene, cx, cy FROM cells) c ON g.scene = c.scene AND g.cx = c.cx AND g.cy = c.cy GROUP BY g.scene"))

@@ -26,7 +26,7 @@ def test_attempts_are_dealt_by_number_not_by_bytes(spark):
 
 
 #: Queries whose cells aren't joined, or aren't rows at all.
-JOINLESS: list[str] = ["flood_fill_region", "nearest_resize", "mask_algebra", "copy_region", "region_coverage", ]
+JOINLESS: list[str] = ["flood_fill_region", "nearest_resize", "mask_algebra", "copy_region", "region_coverage", "raster_dilation", ]
 
 
 def test_cells_are_not_joined(spark, sf_dir):

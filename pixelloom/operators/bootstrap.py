@@ -82,19 +82,20 @@ def intervals(long: DataFrame, keys: list[str], levels: list[str], order: list[s
 def draws_sql_form(long: DataFrame, keys: list[str], levels: list[str], order: list[str], n_boot: int, seed: int = SEED) -> DataFrame:
     """The same intervals from md5 draws; ``levels`` are macro-averaged from the last to the first.
 
-    Only the list of problems per group is multiplied by n_boot; partial averages keep the
-    shuffle at one row per group, iteration and block.
+    Only the list of problems per group is multiplied by n_boot, each where its problem is, and joined by
+    sorting: Spark takes draws for as small as the problems' file and would send them all through the driver.
+    Partial averages keep the last shuffle at one row per group, iteration and block.
     """
     leaf = [*keys, *levels]
     units = [k for k in leaf if k != "block"]
     place = Window.partitionBy(*leaf).orderBy(*order)
     rows = long.select(*leaf, F.row_number().over(place).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy(*leaf)).alias("n"), *CI_METRICS)
-    sizes = rows.select(*units, "n").distinct()
+    problems = rows.select(*units, "n", F.col("pos").alias("i")).distinct()
     name = F.concat_ws("|", F.lit(str(seed)), *(F.col(k) for k in units))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    draws = problems.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", name, F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n") + 1
     draws = draws.select(*units, "b", pick.alias("pos"))
-    level = rows.join(draws, [*units, "pos"]).groupBy(*leaf, "b").agg(*(F.avg(m).alias(m) for m in CI_METRICS))
+    level = rows.join(draws.hint("merge"), [*units, "pos"]).groupBy(*leaf, "b").agg(*(F.avg(m).alias(m) for m in CI_METRICS))
     for depth in range(len(levels) - 1, -1, -1):
         level = level.groupBy(*keys, *levels[:depth], "b").agg(*(F.avg(m).alias(m) for m in CI_METRICS))
     return level.groupBy(*keys).agg(*(F.round(F.percentile(m, F.lit(p)), 9).alias(f"ci95_{m}_{e}") for m in CI_METRICS for e, p in (("low", 0.025), ("high", 0.975))))

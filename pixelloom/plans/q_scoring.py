@@ -326,17 +326,17 @@ def _boot_sql(keys: list[str], levels: list[str]) -> str:
 
 @query(_boot_sql(["model", "task", "block"], []))
 def bootstrap_l1_sql(spark, sf_dir):
-    return bootstrap.draws_sql_form(long(spark, sf_dir), ["model", "task", "block"], [], ["sid"], N_SQL)
+    return bootstrap.draws_sql_form(long(spark, sf_dir, once=True), ["model", "task", "block"], [], ["sid"], N_SQL)
 
 
 @query(_boot_sql(["model", "category", "block"], ["task"]))
 def bootstrap_l2_sql(spark, sf_dir):
-    return bootstrap.draws_sql_form(long(spark, sf_dir), ["model", "category", "block"], ["task"], ["sid"], N_SQL)
+    return bootstrap.draws_sql_form(long(spark, sf_dir, once=True), ["model", "category", "block"], ["task"], ["sid"], N_SQL)
 
 
 @query(_boot_sql(["model", "block"], ["category", "task"]))
 def bootstrap_l3_sql(spark, sf_dir):
-    return bootstrap.draws_sql_form(long(spark, sf_dir), ["model", "block"], ["category", "task"], ["sid"], N_SQL)
+    return bootstrap.draws_sql_form(long(spark, sf_dir, once=True), ["model", "block"], ["category", "task"], ["sid"], N_SQL)
 
 
 @query()

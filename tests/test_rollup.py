@@ -120,3 +120,14 @@ def test_registered_numpy_intervals_take_all_iterations(spark, monkeypatch):
         rows = getattr(q_scoring, f"bootstrap_{level}_numpy")(spark, "").collect()
         r = next(r for r in rows if level != "l1" or r["task"] == "a")
         assert (r["ci95_iou_low"], r["ci95_iou_high"]) == pytest.approx((want[0, 2], want[1, 2]), abs=1e-8)
+
+
+def test_draws_are_joined_by_sorting(spark):
+    """Draws are many times the problems they come from, so that by the file's size they would be sent to all tasks."""
+    from pixelloom.operators import bootstrap
+
+    rows = spark.range(30).selectExpr("'m' AS model", "'t' AS task", "'0' AS block", "id AS sid", *(f"id / 30 AS {m}" for m in bootstrap.CI_METRICS))
+    out = bootstrap.draws_sql_form(rows, ["model", "task", "block"], [], ["sid"], 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert out.count() == 1

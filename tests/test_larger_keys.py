@@ -18,3 +18,7 @@ def equals_its_sql(name, spark, sf_dir, tmp_path, table, change):
     columns = [d[0] for d in cur.description]
     want = [dict(zip(columns, r)) for r in cur.fetchall()]
     assert canonical([r.asDict() for r in catalog.queries()[name](spark, str(tmp_path)).collect()], columns) == canonical(want, columns)
+
+
+def test_derive_preservation(spark, sf_dir, tmp_path):
+    equals_its_sql("derive_preservation", spark, sf_dir, tmp_path, "supplier", "s_suppkey * 1003 AS s_suppkey")

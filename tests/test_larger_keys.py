@@ -22,3 +22,8 @@ def equals_its_sql(name, spark, sf_dir, tmp_path, table, change):
 
 def test_derive_preservation(spark, sf_dir, tmp_path):
     equals_its_sql("derive_preservation", spark, sf_dir, tmp_path, "supplier", "s_suppkey * 1003 AS s_suppkey")
+
+
+@pytest.mark.parametrize("name", ["eval_job_plan", "join_left_outputs"])
+def test_output_names(name, spark, sf_dir, tmp_path):
+    equals_its_sql(name, spark, sf_dir, tmp_path, "supplier", "s_suppkey * 10007 AS s_suppkey")

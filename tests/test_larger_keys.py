@@ -27,3 +27,7 @@ def test_derive_preservation(spark, sf_dir, tmp_path):
 @pytest.mark.parametrize("name", ["eval_job_plan", "join_left_outputs"])
 def test_output_names(name, spark, sf_dir, tmp_path):
     equals_its_sql(name, spark, sf_dir, tmp_path, "supplier", "s_suppkey * 10007 AS s_suppkey")
+
+
+def test_sidecar_path_rule(spark, sf_dir, tmp_path):
+    equals_its_sql("sidecar_path_rule", spark, sf_dir, tmp_path, "part", "p_partkey * 10007 AS p_partkey")

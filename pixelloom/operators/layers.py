@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as geo
+from .scene import dealt
 
 CHANNELS = ("r", "g", "b", "mask")
 
@@ -102,8 +103,17 @@ PRIMITIVE = "ord int, kind string, x0 double, y0 double, x1 double, y1 double, w
 SHAFT, NECK = 0.6, 0.4
 
 
+#: Primitives that a task draws: each makes up to thousands of pixels.
+PRIMITIVES_A_TASK = 5000
+
+
 def rasterised(primitives: DataFrame, key: str, width: int, height: int) -> DataFrame:
-    """key, px, py, color of the topmost primitive at each pixel.
+    """key, px, py, color of the topmost primitive at each pixel."""
+    return drawn(primitives, key, width, height).groupBy(key, "px", "py").agg(F.max_by("color", "ord").alias("color"))
+
+
+def drawn(primitives: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """``primitives``, dealt by ``key``, x their pixels (px, py).
 
     ``rect`` fills its corners' pixels and all between; ``frame`` is the border of one, ``width`` wide, inside; ``line`` reaches half of ``width`` around its
     segment; ``arrow_h`` points right and ``arrow_v`` down in the box of its corners, by pixel centres.
@@ -111,7 +121,7 @@ def rasterised(primitives: DataFrame, key: str, width: int, height: int) -> Data
     x0, y0, x1, y1, w = (F.col(c) for c in ("x0", "y0", "x1", "y1", "width"))
     pad = F.when(F.col("kind") == "line", F.ceil(w / 2)).otherwise(F.lit(0))
     span = lambda a, b, size: _steps(F.greatest(F.lit(0), F.floor(F.least(a, b)) - pad), F.least(F.lit(size - 1), F.ceil(F.greatest(a, b)) + pad))
-    at = primitives.withColumn("px", F.explode(span(x0, x1, width))).withColumn("py", F.explode(span(y0, y1, height)))
+    at = dealt(primitives, PRIMITIVES_A_TASK, key).withColumn("px", F.explode(span(x0, x1, width))).withColumn("py", F.explode(span(y0, y1, height)))
     x, y = F.col("px"), F.col("py")
     inside = x.between(x0, x1) & y.between(y0, y1)
     border = (x < x0 + w) | (x > x1 - w) | (y < y0 + w) | (y > y1 - w)
@@ -125,7 +135,7 @@ def rasterised(primitives: DataFrame, key: str, width: int, height: int) -> Data
         .when(F.col("kind") == "line", distance_to_segment(x.cast("double"), y.cast("double"), (x0, y0), (x1, y1)) <= w / 2)
         .when(F.col("kind") == "arrow_h", arrow(x, x0, x1, y, y0, y1)).when(F.col("kind") == "arrow_v", arrow(y, y0, y1, x, x0, x1)).otherwise(F.lit(False))
     )
-    return at.where(hit).groupBy(key, "px", "py").agg(F.max_by("color", "ord").alias("color"))
+    return at.where(hit)
 
 
 def flowed(items: DataFrame, key: str, order: str, size: Column) -> DataFrame:

@@ -68,3 +68,10 @@ def test_outline_of_one_point_and_of_ties(spark, sf_dir, con):
         assert {r["scene"] for r in q_layers.polygon_outline(spark, sf_dir).select("scene").distinct().collect()} == {0, 2}
     finally:
         derive.shapes = real
+
+
+def test_primitives_are_dealt_by_key_before_they_are_made_pixels(spark, monkeypatch):
+    monkeypatch.setattr(layers, "PRIMITIVES_A_TASK", 10)
+    rows = [(f"k{k}", 0, "rect", 1.0, 1.0, 3.0, 3.0, 0.0, "red") for k in range(40)]
+    made = layers.drawn(spark.createDataFrame(rows, "k string, " + layers.PRIMITIVE), "k", 10, 10)
+    assert made.rdd.getNumPartitions() == 5 and made.count() == 40 * 9

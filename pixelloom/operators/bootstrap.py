@@ -51,7 +51,9 @@ def nested_interval(tree, n_boot: int = N_BOOT, seed: int = SEED) -> np.ndarray:
         return total / k if k else None
 
     means = walk(tree)
-    return np.zeros((2, len(CI_METRICS))) if means is None or n_boot <= 0 else np.percentile(means, [2.5, 97.5], axis=0)
+    if means is None or n_boot <= 0:
+        return np.zeros((2, tree.shape[1] if isinstance(tree, np.ndarray) else len(CI_METRICS)))
+    return np.percentile(means, [2.5, 97.5], axis=0)
 
 
 def intervals(long: DataFrame, keys: list[str], levels: list[str], order: list[str], n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
@@ -59,7 +61,8 @@ def intervals(long: DataFrame, keys: list[str], levels: list[str], order: list[s
 
     A group of ``keys`` is resampled inside its innermost ``levels`` (none: the group itself) and
     averaged outwards; problems stand in ``order``.  One group must fit a worker (it is a model's
-    problems in one block).
+    problems in one block).  Without levels the blocks of a group are resampled together: from one seed
+    blocks of the same problems draw the same indices, so these are drawn once and whole rows are taken.
     """
     types = {f.name: f.dataType.simpleString() for f in long.schema.fields}
     names = [f"ci95_{m}_{e}" for m in CI_METRICS for e in ("low", "high")]
@@ -75,7 +78,18 @@ def intervals(long: DataFrame, keys: list[str], levels: list[str], order: list[s
         got = nested_interval(tree(rows, 0), n_boot, seed)
         return pd.DataFrame([[*rows[keys].iloc[0], *got.T.ravel()]], columns=[*keys, *names])
 
+    def together(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [part.sort_values(order, kind="stable") for _, part in rows.groupby("block", sort=True, dropna=False)]
+        out = []
+        for n in sorted({len(p) for p in parts}):
+            own = [p for p in parts if len(p) == n]
+            got = nested_interval(np.concatenate([p[list(CI_METRICS)].to_numpy(float) for p in own], 1), n_boot, seed).T.reshape(len(own), -1)
+            out += [[*p[keys].iloc[0], *g] for p, g in zip(own, got)]
+        return pd.DataFrame(out, columns=[*keys, *names])
+
     columns = dict.fromkeys([*keys, *levels, *order, *CI_METRICS])
+    if "block" in keys and not levels:
+        return long.select(*columns).groupBy(*(k for k in keys if k != "block")).applyInPandas(together, schema)
     return long.select(*columns).groupBy(*keys).applyInPandas(run, schema)
 
 

@@ -131,3 +131,20 @@ def test_draws_are_joined_by_sorting(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert out.count() == 1
+
+
+def test_blocks_without_levels_are_resampled_together(spark):
+    """The same intervals as block by block, from one group a task: blocks of other problems among them."""
+    from pixelloom.operators import bootstrap
+
+    rng = np.random.default_rng(5)
+    vals = {(b, k): rng.random(3).tolist() for b, n in (("0", 9), ("1", 9), ("mean", 4)) for k in range(n)}
+    d = spark.createDataFrame([("m", "t", b, k, *v) for (b, k), v in vals.items()], "model string, task string, block string, sid int, edit_accuracy double, preservation_accuracy double, iou double")
+    out = bootstrap.intervals(d, ["model", "task", "block"], [], ["sid"], 300)
+    grouped = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapGroupsInPandas" in x][0]
+    assert "block" not in grouped.split("]")[0]
+    for r in out.collect():
+        own = np.array([v for (b, _), v in sorted(vals.items()) if b == r["block"]])
+        want = bootstrap.nested_interval(own, 300).T.ravel()
+        assert np.allclose([r[f"ci95_{m}_{e}"] for m in bootstrap.CI_METRICS for e in ("low", "high")], want, atol=1e-12)
+    assert out.count() == 3

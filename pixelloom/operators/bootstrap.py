@@ -97,7 +97,7 @@ def draws_sql_form(long: DataFrame, keys: list[str], levels: list[str], order: l
     """The same intervals from md5 draws; ``levels`` are macro-averaged from the last to the first.
 
     Only the list of problems per group is multiplied by n_boot, each where its problem is, and joined by
-    sorting: Spark takes draws for as small as the problems' file and would send them all through the driver.
+    sorting, whatever size Spark takes the draws for.
     Partial averages keep the last shuffle at one row per group, iteration and block.
     """
     leaf = [*keys, *levels]

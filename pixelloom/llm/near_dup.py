@@ -354,8 +354,9 @@ def _go_down(rows: DataFrame, threshold: float, level: int, last: bool, name: st
 
 def candidate_edges(classes: DataFrame, keys: list[str], threshold: float, task: int, leaf: int) -> DataFrame:
     """Edges (a < b) that join up classes with all classes that may be similar, stored."""
-    nodes = classes.select("cid", *SKETCH, F.explode(F.array(*keys)).alias("key"))
-    found, made, level = [], [], 0
+    # Stored, so that a class is dealt to its nodes once, however many of them are large.
+    nodes = stored(classes.select("cid", *SKETCH, F.explode(F.array(*keys)).alias("key")), "near-nodes")
+    found, made, level = [], [nodes], 0
     while True:
         large = stored(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > task).select("key"), f"near-large{level}")
         made.append(large)

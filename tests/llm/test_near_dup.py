@@ -48,6 +48,16 @@ def test_large_nodes_go_down_levels(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == near_brute(rows, 3, 85)
 
 
+def test_classes_are_dealt_to_nodes_once(spark, monkeypatch):
+    """Large nodes are counted, left out, judged and taken down; none of that makes the nodes' rows again."""
+    plans, stored = [], nd.stored
+    monkeypatch.setattr(nd, "stored", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), stored(df, name))[1])
+    rows = [(i, " ".join([f"shared{j}" for j in range(40)] + [f"tail{i % 9}", f"end{i}"])) for i in range(120)]
+    assert nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), task=12, leaf=3).count() == 120
+    assert any(name == "near-level0-below" for name, _ in plans), "some nodes are large"
+    assert sum(plan.count("Generate explode(array(k") for _, plan in plans) == 1
+
+
 def test_linked_joins_what_brute_force_joins():
     rng = random.Random(3)
     for trial in range(30):

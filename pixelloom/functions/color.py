@@ -66,10 +66,15 @@ def _linear_levels() -> np.ndarray:
 LEVELS = _linear_levels()
 
 
+def lab_roots(rgb: np.ndarray) -> np.ndarray:
+    """float32 roots of X, Y, Z (straight lines where it is dark) of an (..., 3) uint8 array."""
+    x = (LEVELS[rgb] @ np.array(MATRIX, np.float32).T) / np.array(WHITE, np.float32)
+    return np.where(x > KNEE, np.cbrt(x), np.float32(SLOPE) * x + np.float32(4 / 29))
+
+
 def lab_array(rgb: np.ndarray) -> np.ndarray:
     """float32 L*a*b* of an (..., 3) uint8 array."""
-    x = (LEVELS[rgb] @ np.array(MATRIX, np.float32).T) / np.array(WHITE, np.float32)
-    f = np.where(x > KNEE, np.cbrt(x), np.float32(SLOPE) * x + np.float32(4 / 29))
+    f = lab_roots(rgb)
     return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1).astype(np.float32)
 
 

@@ -114,21 +114,71 @@ def fit_image(out: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def _packed(image: np.ndarray) -> np.ndarray:
-    x = image.reshape(-1, 3).astype(np.uint32)
-    return x[:, 0] << 16 | x[:, 1] << 8 | x[:, 2]
+    x = np.zeros((image.shape[0] * image.shape[1], 4), np.uint8)
+    for k in range(3):  # rows of three bytes at a time would be slow
+        x[:, 2 - k] = image.reshape(-1, 3)[:, k]
+    return x.view("<u4")[:, 0]
+
+
+#: Runs of pixels from which on those that are far from both colours are told by their cell.
+MANY_RUNS = 1 << 15
+#: (input, answer) colour pairs up to which a table of cells is made for each (32 KB each).
+MANY_PAIRS = 256
+
+
+def _cell_bounds() -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest L*, a*, b* in each cell of 8 x 8 x 8 colours: light and its root grow with every channel."""
+    at = np.arange(32, dtype=np.uint8) * 8
+    corner = lambda k: np.stack(np.meshgrid(at + k, at + k, at + k, indexing="ij"), -1).reshape(-1, 3).astype(np.uint8)
+    low, high = (color.lab_roots(corner(np.uint8(k))).astype(float) for k in (0, 7))
+    span = lambda x, y: np.stack([116 * x[:, 1] - 16, 500 * (x[:, 0] - y[:, 1]), 200 * (x[:, 1] - y[:, 2])])
+    return span(low, high), span(high, low)
+
+
+_CELLS = _cell_bounds()
+
+
+def _may_be_near(i: np.ndarray, a: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Places whose output may be within the largest threshold of input or answer; one is left for rounding."""
+    begin = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (a[1:] != a[:-1])])
+    pairs, which = np.unique(i[begin].astype(np.uint64) << np.uint64(32) | a[begin], return_inverse=True)
+    if len(pairs) > MANY_PAIRS:
+        return np.arange(len(o))
+    reach = THRESHOLDS[-1] + 1
+    near = np.zeros((len(pairs), 32**3), bool)
+    for packed in ((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)):
+        for c in np.unique(packed):
+            lab = color.lab_array(np.array([c >> 16, c >> 8 & 255, c & 255], np.uint8)[None])[0]
+            meets = [(low <= x + reach) & (high >= x - reach) for low, high, x in zip(*_CELLS, lab)]
+            near[packed == c] |= meets[0] & meets[1] & meets[2]
+    cell = (o >> 9 & 0x7C00) | (o >> 6 & 0x3E0) | (o >> 3 & 0x1F)
+    return np.flatnonzero(near.ravel().take(np.repeat(which << 15, np.diff(np.r_[begin, len(o)])) | cell))
 
 
 def image_stats(image: np.ndarray, answer: np.ndarray, output: np.ndarray) -> dict:
     """Counts and blocks of one image triplet in float32.
 
-    Pixels that follow one another with the same three colours are scored once and counted by their number.
+    Pixels that follow one another with the same three colours are scored once and counted by their number; of many,
+    only those are scored whose colour may be within the largest threshold.
     """
     n = image.shape[0] * image.shape[1]
-    i, a, o = (_packed(x) for x in (image, answer, output))
-    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (a[1:] != a[:-1]) | (o[1:] != o[:-1])]) if n else np.zeros(0, int)
+    i, a = _packed(image), _packed(answer)
+    o = i if output is image else a if output is answer else _packed(output)
+    new = np.ones(n, bool)
+    np.not_equal(i[1:], i[:-1], out=new[1:])
+    for x in (a, o):
+        if x is not i:
+            new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
     size = np.diff(np.r_[first, n])
-    i, a, o = i[first], a[first], o[first]
+    if len(first) < n:
+        i, a, o = i[first], a[first], o[first]
     edit = i != a
+    ep = int(size[edit].sum())
+    pp = n - ep
+    if len(first) > MANY_RUNS:
+        near = _may_be_near(i, a, o)
+        i, a, o, size, edit = i[near], a[near], o[near], size[near], edit[near]
 
     def lab(packed):
         return color.lab_array(np.stack([packed >> 16, packed >> 8 & 255, packed & 255], -1).astype(np.uint8))
@@ -140,8 +190,6 @@ def image_stats(image: np.ndarray, answer: np.ndarray, output: np.ndarray) -> di
     de, de_in = step(a), step(i)
     count = lambda s, w: np.cumsum(np.bincount(s, w, last + 1)).astype(np.int64).tolist()  # noqa: E731  of pixels up to each threshold
     edited, kept, same = count(de, size * edit), count(de, size * ~edit), count(de_in, size)
-    ep = int(size[edit].sum())
-    pp = n - ep
     div = lambda x, d: x / d if d else 1.0
     blocks = []
     for t in THRESHOLDS:

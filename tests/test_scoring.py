@@ -118,3 +118,25 @@ def test_full_size_pictures_in_all_conditions():
             for b, counts in zip(got["blocks"], want):
                 have = (b["edit_correct_pixels"], b["preservation_correct_pixels"], b["changed_pixels"])
                 assert have == pytest.approx(counts, abs=3), (name, b["t"])  # float32 beside float64 at the threshold itself
+
+
+@pytest.mark.parametrize("spread", [12, 40, 255])
+def test_far_colours_are_left_out_without_a_difference(spread):
+    """Counts of an output that differs in every pixel are those of a plain pass over all pixels, of which few are scored."""
+    from pixelloom.functions.color import lab_array
+    from pixelloom.operators import scoring
+
+    rng = np.random.default_rng(spread)
+    answer = np.array([(255, 0, 0), (0, 0, 0), (128, 128, 128), (255, 255, 255), (0, 0, 9)], np.uint8)[rng.integers(0, 5, (320, 20))].repeat(16, 1)
+    image = answer.copy()
+    image[40:90, 60:200] = (0, 255, 0)
+    output = np.clip(answer.astype(int) + rng.integers(-spread, spread + 1, answer.shape), 0, 255).astype(np.uint8)
+    got = scoring.image_stats(image, answer, output)
+    de, de_in = (np.sqrt(((lab_array(output) - lab_array(x)) ** 2).sum(-1)) for x in (answer, image))
+    edit = (image != answer).any(-1)
+    assert got["edit_pixels"] == edit.sum()
+    for t, b in enumerate(got["blocks"]):
+        assert (b["edit_correct_pixels"], b["preservation_correct_pixels"], b["changed_pixels"]) == ((edit & (de <= t)).sum(), (~edit & (de <= t)).sum(), (de_in > t).sum())
+    packed = [scoring._packed(x) for x in (image, answer, output)]
+    near = scoring._may_be_near(*packed)
+    assert len(near) < 0.2 * edit.size or spread < 255

@@ -73,12 +73,16 @@ def polygon_box(points: np.ndarray, width: int, height: int) -> tuple[slice, sli
     x0, y0 = np.maximum(np.floor(points.min(0)), 0).astype(int)
     x1, y1 = np.minimum(np.ceil(points.max(0)).astype(int) + 1, (width, height))
     cx, cy = np.arange(x0, max(x0, x1)) + 0.5, np.arange(y0, max(y0, y1)) + 0.5
-    inside = np.zeros((len(cy), len(cx)), bool)
-    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, 0)) if inside.size else ():
-        rows = (ay > cy) != (by > cy)
-        if rows.any():
-            at = ax + (cy[rows] - ay) / (by - ay) * (bx - ax)
-            inside[rows] ^= cx[None, :] < at[:, None]
+    # At each place of a row the number of edges that have so many pixels to their left; a pixel is inside if an odd number of edges is beyond it.
+    crossed = np.zeros((len(cy), len(cx) + 1), np.uint8)
+    if len(cy) and len(cx):
+        (ax, ay), (bx, by) = points.T, np.concatenate([points[1:], points[:1]]).T
+        edge, row = np.nonzero((ay[:, None] > cy) != (by[:, None] > cy))
+        at = ax[edge] + (cy[row] - ay[edge]) / (by - ay)[edge] * (bx - ax)[edge]
+        left = np.searchsorted(cx, at)
+        crossed += np.bincount(row * crossed.shape[1] + left, minlength=crossed.size).reshape(crossed.shape).astype(np.uint8)
+    beyond = np.bitwise_xor.accumulate(crossed[:, :0:-1], 1)[:, ::-1]
+    inside = (beyond & 1).astype(bool)
     return slice(y0, y0 + len(cy)), slice(x0, x0 + len(cx)), inside
 
 
@@ -110,6 +114,17 @@ def shape_mask(shape: Shape, width: int, height: int, points: np.ndarray | None
     return out
 
 
+def painted(canvas: np.ndarray, tones: list[tuple[int, int, int]]) -> np.ndarray:
+    """The picture (H, W, 3) of a canvas of numbers of tones, of which there are 256 at most."""
+    table = np.zeros((len(tones), 4), np.uint8)
+    table[:, :3] = tones
+    wide = table.view("<u4")[:, 0].take(canvas).view(np.uint8).reshape(*canvas.shape, 4)
+    out = np.empty((*canvas.shape, 3), np.uint8)
+    for k in range(3):  # rows of three bytes at a time would be slow
+        out[..., k] = wide[..., k]
+    return out
+
+
 @dataclass
 class Scene:
     width: int
@@ -120,22 +135,27 @@ class Scene:
     band: float = 0.08
     angle: float = 0.0
 
-    def backdrop(self) -> np.ndarray:
-        tones = np.array([self.colors[c] for c in self.background], np.uint8)
-        if len(tones) == 1:
-            return np.broadcast_to(tones[0], (self.height, self.width, 3)).copy()
-        y, x = np.mgrid[: self.height, : self.width]
+    def _ground(self) -> np.ndarray:
+        """Which tone of the background each pixel has."""
+        n = len(self.background)
+        if n == 1:
+            return np.zeros((self.height, self.width), np.uint8)
         a = math.radians(self.angle)
-        d = (x - self.width / 2) * math.cos(a) + (y - self.height / 2) * math.sin(a)
-        return tones[np.floor(d / (self.band * self.width)).astype(int) % len(tones)]
+        d = ((np.arange(self.width) - self.width / 2) * math.cos(a))[None, :] + ((np.arange(self.height) - self.height / 2) * math.sin(a))[:, None]
+        d /= self.band * self.width
+        band = np.floor(d, out=d).astype(np.int16)
+        return (band & 1 if n == 2 else band % n).astype(np.uint8)
 
     def draw(self, shapes: list[Shape] | None = None) -> np.ndarray:
-        image = self.backdrop()
+        """The picture; until it is done a pixel is the number of its colour."""
+        canvas = self._ground()
+        used = dict.fromkeys([*self.background, *self.colors])
+        number = {c: k for k, c in enumerate(used)}
         for s in self.shapes if shapes is None else shapes:
             rows, columns, inside = shape_box(s, self.width, self.height)
             if inside.size:
-                image[rows, columns][inside] = self.colors[s.fill]
-        return image
+                np.copyto(canvas[rows, columns], number[s.fill], where=inside)
+        return painted(canvas, [self.colors[c] for c in used])
 
     def occupied(self) -> np.ndarray:
         out = np.zeros((self.height, self.width), bool)

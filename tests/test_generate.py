@@ -107,3 +107,60 @@ def test_registered_queries_read_their_table_at_full_size(spark, sf_dir, monkeyp
             own = got[m, r["idx"]]
             assert (own["edit_pixels"], own["iou"], own["correct_output_size"]) == (want["edit_pixels"], want["blocks"][2]["iou"], True)
     assert q_generate.generate_problems(spark, sf_dir).count() == q_generate.generate_preservation(spark, sf_dir).count() == 8
+
+
+def plain_mask(points, width, height):
+    """One edge after the other, over the whole canvas."""
+    cx, cy, inside = np.arange(width) + 0.5, np.arange(height) + 0.5, np.zeros((height, width), bool)
+    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, 0)):
+        rows = (ay > cy) != (by > cy)
+        if rows.any():
+            inside[rows] ^= cx[None, :] < (ax + (cy[rows] - ay) / (by - ay) * (bx - ax))[:, None]
+    return inside
+
+
+def test_masks_and_pictures_equal_plain_ones():
+    rng = Random(8)
+    for name in canvas.POLYGONS:
+        for _ in range(6):  # some of them partly or wholly outside, some under a pixel
+            w, h = rng.uniform(0.2, 60), rng.uniform(0.2, 60)
+            p = canvas.Shape(name, rng.uniform(-40, 70), rng.uniform(-40, 60), w, h, rng.choice([0, 15, 90]), "red").points()
+            assert (canvas.polygon_mask(p, 64, 48) == plain_mask(p, 64, 48)).all()
+    for striped in (False, True):
+        scene = canvas.random_scene(Random(4), 9, 96, 64, striped=striped)
+        want = np.empty((64, 96, 3), np.uint8)
+        y, x = np.mgrid[:64, :96]
+        d = (x - 48) * np.cos(np.radians(scene.angle)) + (y - 32) * np.sin(np.radians(scene.angle))
+        want[:] = np.array([scene.colors[c] for c in scene.background], np.uint8)[np.floor(d / (scene.band * 96)).astype(int) % len(scene.background)]
+        for s in scene.shapes:
+            want[canvas.shape_mask(s, 96, 64)] = scene.colors[s.fill]
+        assert (scene.draw() == want).all()
+
+
+def test_border_is_as_wide_everywhere_as_on_a_whole_canvas():
+    for seed in range(12):
+        p = tasks.generate("border", seed, 3, 130, 90)
+        own = canvas.random_scene(Random(seed), 3, 130, 90)
+        k = tasks.chosen(Random(seed ^ 0x5EED), own)
+        m, r = canvas.shape_mask(own.shapes[k], 130, 90), p.meta["radius"]
+        y, x = np.nonzero(m)
+        gy, gx = np.mgrid[:90, :130]
+        wide = np.zeros_like(m)
+        for a, b in zip(y, x):
+            wide |= (gy - a) ** 2 + (gx - b) ** 2 <= r * r
+        image = own.draw()
+        changed = (p.image != p.answer).any(-1)
+        assert (p.image == image).all() and (changed == (wide & ~m & changed)).all()
+        ink = p.answer[changed][0]
+        assert (p.answer[wide & ~m] == ink).all()
+
+
+def test_a_picture_takes_one_byte_a_pixel_until_it_is_done():
+    import tracemalloc
+
+    scene = canvas.random_scene(Random(1), 25, 1024, 1024, striped=True)
+    tracemalloc.start()
+    scene.draw()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20

@@ -183,14 +183,21 @@ def random_scene(rng: Random, n: int, width: int, height: int, colors: dict | No
     low, high = sizes(n)
     side = min(width, height)
     used: dict[str, int] = {}
+    uniform = lambda a, b, random=rng.random: a + (b - a) * random()  # noqa: E731  as rng.uniform, whose call costs more
+    taken: list[tuple[float, float, float, float]] = []
     for _ in range(n):
         for attempt in range(TRIES):
-            w = max(4.0, side * rng.uniform(low, high))
-            h = max(4.0, w * rng.uniform(0.8, 1.25))
-            box = (rng.uniform(2, max(3, width - w - 2)), rng.uniform(2, max(3, height - h - 2)), w, h)
-            apart = all(box[0] + w + 4 < s.x or s.x + s.w + 4 < box[0] or box[1] + h + 4 < s.y or s.y + s.h + 4 < box[1] for s in scene.shapes)
-            if apart or attempt == TRIES - 1:
+            w = max(4.0, side * uniform(low, high))
+            h = max(4.0, w * uniform(0.8, 1.25))
+            x, y = uniform(2, max(3, width - w - 2)), uniform(2, max(3, height - h - 2))
+            right, bottom = x + w + 4, y + h + 4
+            for left, top, to_right, to_bottom in taken:
+                if right >= left and to_right >= x and bottom >= top and to_bottom >= y:
+                    break
+            else:
                 break
+        box = (x, y, w, h)
+        taken.append((x, y, right, bottom))
         pool = [c for c in free if used.get(c, 0) < cap] or free
         fill = rng.choice(pool)
         used[fill] = used.get(fill, 0) + 1

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +24,41 @@ from . import png
 DIFF_COLORS = {"green": (0, 128, 0), "blue": (0, 0, 255), "red": (255, 0, 0), "orange": (255, 165, 0)}
 
 
-def put(root: str, name: str, data: bytes) -> None:
+def writer(root: str) -> Callable[[str, bytes], None]:
+    """A function that puts files under ``root``; it opens the store once and makes each folder once."""
     fs, base = pafs.FileSystem.from_uri(root)
-    path = f"{base}/{name}"
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    temp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
-    with fs.open_output_stream(temp) as out:
-        out.write(data)
-    fs.move(temp, path)
+    made: set[str] = set()
+
+    def put_file(name: str, data: bytes) -> None:
+        path = f"{base}/{name}"
+        folder = path.rsplit("/", 1)[0]
+        if folder not in made:
+            fs.create_dir(folder, recursive=True)
+            made.add(folder)
+        temp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+        with fs.open_output_stream(temp) as out:
+            out.write(data)
+        fs.move(temp, path)
+
+    return put_file
+
+
+def put(root: str, name: str, data: bytes) -> None:
+    writer(root)(name, data)
 
 
 def write_problems(problems: DataFrame, root: str) -> DataFrame:
     """Rows (benchmark, task, idx, input, answer as PNG bytes, meta as JSON text) to a tree; returns the written names."""
 
     def run(batches):
+        put_file = writer(root)
         for b in batches:
             names = []
             for r in b.to_pylist():
                 stem = f"{r['benchmark']}/{r['task']}/{r['idx']:03d}"
-                put(root, f"{stem}_input.png", r["input"])
-                put(root, f"{stem}_answer.png", r["answer"])
-                put(root, f"{stem}.json", json.dumps(json.loads(r["meta"]), indent=2).encode())
+                put_file(f"{stem}_input.png", r["input"])
+                put_file(f"{stem}_answer.png", r["answer"])
+                put_file(f"{stem}.json", json.dumps(json.loads(r["meta"]), indent=2).encode())
                 names.append(stem)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
@@ -54,16 +69,17 @@ def write_outputs(outputs: DataFrame, root: str) -> DataFrame:
     """Rows (model, benchmark, task, idx, output PNG bytes, reasoning, sidecars map) to a tree of outputs."""
 
     def run(batches):
+        put_file = writer(root)
         for b in batches:
             names = []
             for r in b.to_pylist():
                 stem = f"{r['model']}/{r['benchmark']}/{r['task']}/{r['idx']:04d}"
-                put(root, f"{stem}_output.png", r["output"])
+                put_file(f"{stem}_output.png", r["output"])
                 if r["reasoning"]:
-                    put(root, f"{stem}_output.txt", r["reasoning"].encode())
+                    put_file(f"{stem}_output.txt", r["reasoning"].encode())
                 for suffix, data in r["sidecars"] or []:
                     own = stem + suffix if suffix.startswith("_") else f"{stem}_output{suffix}" if suffix.startswith(".") else f"{stem}_output_{suffix}"
-                    put(root, own, data)
+                    put_file(own, data)
                 names.append(stem)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 

@@ -166,3 +166,28 @@ def test_available_benchmarks_and_reported_metrics(spark, tmp_path):
     assert [r[0] for r in benchmark.available(spark, f"file://{tmp_path}").collect()] == ["charts", "shapes"]
     rows = spark.sql("SELECT 'm' model, named_struct('num_problems', 3, 'iou_mean', 0.5D, 'iou_std', 0.1D, 'changed_pixels_mean', 7D) block")
     assert sinks.report_metrics(rows, ["model"]).first().asDict() == {"model": "m", "num_problems": 3, "iou_mean": 0.5, "iou_std": 0.1}
+
+
+def test_a_writer_makes_each_folder_once(tmp_path, monkeypatch):
+    from pixelloom.sources import sinks
+
+    class Counted:
+        made = 0
+
+        def __init__(self, fs):
+            self.fs = fs
+
+        def create_dir(self, *args, **how):
+            Counted.made += 1
+            return self.fs.create_dir(*args, **how)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    fs, base = sinks.pafs.FileSystem.from_uri(f"file://{tmp_path}")
+    monkeypatch.setattr(sinks, "pafs", type("pafs", (), {"FileSystem": type("FileSystem", (), {"from_uri": staticmethod(lambda root: (Counted(fs), base))})}))
+    put = sinks.writer(f"file://{tmp_path}")
+    for k in range(30):
+        put(f"{'ab'[k % 2]}/{k}", bytes([k]))
+    assert Counted.made == 2
+    assert {p.relative_to(tmp_path).as_posix(): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == {f"{'ab'[k % 2]}/{k}": bytes([k]) for k in range(30)}

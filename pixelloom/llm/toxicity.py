@@ -6,8 +6,8 @@ the square of (size of its log odds of label 1 among the examples, shrunk by ``S
 common rate, plus ``LEAST_RELEVANCE``), so that every term takes part and rare ones can't claim much.
 
 Index: labelled examples, ordered so that like ones are neighbours, in blocks of ``BLOCK``; a
-term's postings are cut at the blocks and each (term, block) keeps its greatest weight.  A query
-first adds up its terms of greatest weight, which have few postings; what its other terms can still
+term that is in ``WIDE`` of the blocks or more keeps its greatest weight in each.  A query
+first adds up its terms of greatest weight and those of few blocks, which have few postings; what its other terms can still
 add in a block is bounded by the block's maxima, and only examples that can thereby reach the k-th best
 sum are scored in full, so the k nearest are exact.  Their votes, weighted by how near they are, give a raw value, and
 isotonic regression of the labels on leave-one-out values turns it into a probability.  The
@@ -25,9 +25,11 @@ their names can't clash.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -47,12 +49,39 @@ NEIGHBOURS = 11
 BLOCK = 64
 #: Share of a query's postings that is added up before bounds are applied.
 FIRST_SHARE = 0.2
+#: Share of the blocks from which on a term has a row of maxima.
+WIDE = 0.25
 THRESHOLD = 0.7
 CACHE_WORDS = 200_000
+#: Words whose terms are counted together.
+PIECE_WORDS = 50_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """By code point: is it part of a word, as in ``_WORDS``?"""
+    every = np.arange(0x110000, dtype=np.uint32).view("U1")
+    return np.strings.isalnum(every) & ~np.strings.isdecimal(every)
+
+
+def words_of(text: str | None) -> list[str]:
+    """What ``_WORDS`` finds in the lower-cased text."""
+    if not text:
+        return []
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(_letters()[points], points, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass").split()
+
+
+class _Codes(dict):
+    """Numbers words from 0 as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 class Terms:
     """Terms of whole texts with their counts; the terms of a word are made once while it is in the cache.
 
@@ -61,41 +90,71 @@ class Terms:
 
     def __init__(self, vocabulary: np.ndarray | None = None):
         self.vocabulary = vocabulary
-        #: By kind of term (words, then beginnings): term by word, -1 if there is none.
-        self.kinds: list[dict[str, int]] = [{} for _ in range(1 + len(PREFIX))]
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes = _Codes()
+        #: By kind of term (words, then beginnings) and word's code: the term, -1 if there is none.
+        self.terms = np.zeros((1 + len(PREFIX), 0), np.int64)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.kinds[0]) > CACHE_WORDS:
-            for kind in self.kinds:
-                kind.clear()
-        made = [[crc32(w.encode()) for w in words]]
-        made += [[crc32(f"{w[:n]}~".encode()) if len(w) > n else -1 for w in words] for n in PREFIX]
-        for kind, terms in zip(self.kinds, made):
-            if self.vocabulary is not None:
-                ids = np.array(terms, np.int64)
-                at = np.searchsorted(self.vocabulary, ids)
-                at[at == len(self.vocabulary)] = 0
-                terms = np.where(self.vocabulary[at] == ids, at, -1).tolist() if len(self.vocabulary) else [-1] * len(words)
-            kind.update(zip(words, terms))
+        """Terms of the words that got the next codes."""
+        made = [[crc32(w.encode("utf-8", "surrogatepass")) for w in words]]
+        made += [[crc32(f"{w[:n]}~".encode("utf-8", "surrogatepass")) if len(w) > n else -1 for w in words] for n in PREFIX]
+        terms = np.array(made, np.int64)
+        if self.vocabulary is not None:
+            at = np.searchsorted(self.vocabulary, terms)
+            at[at == len(self.vocabulary)] = 0
+            terms = np.where(self.vocabulary[at] == terms, at, -1) if len(self.vocabulary) else np.full_like(terms, -1)
+        self.terms = np.concatenate([self.terms, terms], axis=1)
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ascending terms and their counts of each text, in order."""
+        piece, size = [], 0
+        for text in texts:
+            if not piece and len(self.codes) > CACHE_WORDS:
+                self.forget()
+            words = words_of(text)
+            piece.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
+            size += len(words)
+            if size >= PIECE_WORDS or len(piece) >= PIECE_WORDS:
+                yield from self._count(piece)
+                piece, size = [], 0
+        if piece:
+            yield from self._count(piece)
+
+    def _count(self, piece: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Terms and counts of texts that are given as their words' codes."""
+        if new := len(self.codes) - self.terms.shape[1]:
+            self.learn(list(islice(reversed(self.codes), new))[::-1])
+        terms = self.terms[:, np.concatenate(piece)]
+        # A text's place stands above the 32 bits of its terms.
+        both = (terms | np.repeat(np.arange(len(piece)) << 32, [len(codes) for codes in piece]))[terms >= 0]
+        both, counts = np.unique(both, return_counts=True)
+        cut = np.searchsorted(both, np.arange(len(piece) + 1) << 32).tolist()
+        both &= 0xFFFFFFFF
+        for a, b in zip(cut, cut[1:]):
+            yield both[a:b], counts[a:b]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = Counter(_WORDS.findall(text.lower())) if text else {}
-        new = set(words).difference(self.kinds[0])
-        if new:
-            self.learn(list(new))
-            if len(self.kinds[0]) == len(new) < len(words):  # the cache was emptied
-                self.learn(list(set(words).difference(new)))
-        n = len(words)
-        ids = np.concatenate([np.fromiter(map(kind.__getitem__, words), np.int64, n) for kind in self.kinds])
-        counts = np.tile(np.fromiter(words.values(), np.int64, n), len(self.kinds))
-        known = ids >= 0
-        terms, at = np.unique(ids[known], return_inverse=True)
-        return terms, np.bincount(at, counts[known], len(terms)).astype(np.int64)
+        return next(self.many([text]))
+
+
+#: A posting (place of the example, weight) or a term of an example (its rank, weight), kept as one long.
+_PAIR = np.dtype([("at", "<i4"), ("weight", "<f4")])
+
+
+def _pairs(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at), _PAIR)
+    out["at"], out["weight"] = at, weight
+    return out.view(np.int64)
 
 
 def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places begin .. begin + n - 1 of each pair, one after the other."""
-    return np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+    out = np.repeat(begin - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
 
 
 class Index:
@@ -129,19 +188,27 @@ class Index:
         sizes = [len(t) for t, _ in unit]
         term = np.concatenate([t for t, _ in unit])
         value = np.concatenate([w for _, w in unit]).astype(np.float32)
-        self.own_begin, self.own_term, self.own_value = np.cumsum([0, *sizes]), term.astype(np.int32), value
-        place = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        # Common terms get the low ranks, so that looking up examples' terms stays within little memory.
+        self.by_rank = np.argsort(-with_term, kind="stable").astype(np.int32)
+        self.rank = np.empty(m, np.int32)
+        self.rank[self.by_rank] = np.arange(m, dtype=np.int32)
+        self.own_begin, self.own = np.cumsum([0, *sizes]), _pairs(self.rank[term], value)
+        place = np.repeat(np.arange(n), sizes)
         by_term = np.argsort(term, kind="stable")
-        term, self.place, self.value = term[by_term], place[by_term], value[by_term]
-        # Runs of one term in one block: where they begin, and their greatest weight.
-        run = term.astype(np.int64) * self.blocks + self.place // BLOCK
-        self.begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        self.best = np.maximum.reduceat(self.value, self.begin)
-        self.block_of = (run[self.begin] % self.blocks).astype(np.int32)
-        self.first_run = np.searchsorted(run[self.begin] // self.blocks, np.arange(m + 1))
-        self.most = np.maximum.reduceat(self.best, self.first_run[:-1])
-        self.begin = np.r_[self.begin, len(term)].astype(np.int32)
-        self.block_places = np.arange(n) // BLOCK
+        term, place, value = term[by_term], place[by_term], value[by_term]
+        self.postings = _pairs(place, value)
+        self.begin = np.searchsorted(term, np.arange(m + 1))
+        self.most = np.maximum.reduceat(value, self.begin[:-1]) if m else np.zeros(0, np.float32)
+        # Runs of one term in one block: their greatest weight, for terms of many blocks.
+        run = term.astype(np.int64) * self.blocks + place // BLOCK
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
+        run_term, run_block = run[starts] // self.blocks, run[starts] % self.blocks
+        wide = np.bincount(run_term, minlength=m) >= max(2, WIDE * self.blocks)
+        self.row = np.where(wide, np.cumsum(wide) - 1, -1).astype(np.int32)
+        self.maxima = np.zeros((int(wide.sum()), self.blocks), np.float32)
+        kept = wide[run_term]
+        if kept.any():
+            self.maxima[self.row[run_term[kept]], run_block[kept]] = np.maximum.reduceat(value, starts)[kept]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"shared": None, "scratch": None}
@@ -149,8 +216,10 @@ class Index:
     @property
     def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """The examples' unit vectors, in the index's order."""
-        cut = self.own_begin[1:-1]
-        return list(zip(np.split(self.own_term, cut), np.split(self.own_value, cut))) if self.size else []
+        if not self.size:
+            return []
+        own, cut = self.own.view(_PAIR), self.own_begin[1:-1]
+        return list(zip(np.split(self.by_rank[own["at"]], cut), np.split(own["weight"], cut)))
 
     def unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of terms (places in the vocabulary) by their counts."""
@@ -162,46 +231,36 @@ class Index:
         terms, q = query
         if not len(terms):
             return []
-        order = np.argsort(-q * self.most[terms], kind="stable")
+        order = np.argsort(-q * self.most[terms])
         terms, q = terms[order], q[order]
-        run = self.first_run[terms]
-        n_runs = self.first_run[terms + 1] - run
-        a, n = self.begin[run], self.begin[run + n_runs] - self.begin[run]
-        first = 1 + int(np.searchsorted(np.cumsum(n), FIRST_SHARE * n.sum()))
-        at = _ranges(a[:first], n[:first])
-        score = np.bincount(self.place[at], self.value[at] * np.repeat(q[:first], n[:first]), self.size)
-        top = self._top(score, k, but)
-        least = score[top[-1]] if len(top) == k else 0.0
-        if first < len(terms):
-            at = _ranges(run[first:], n_runs[first:])
-            more = np.bincount(self.block_of[at], self.best[at] * np.repeat(q[first:], n_runs[first:]), self.blocks)
-            open_ = np.flatnonzero(score + more[self.block_places] >= max(least - 1e-9, 1e-300))
-        else:
-            open_ = np.flatnonzero(score)
+        a = self.begin[terms]
+        n = self.begin[terms + 1] - a
+        before, row = np.cumsum(n) - n, self.row[terms]
+        first = (before <= FIRST_SHARE * n.sum()) | (row < 0)
+        post = self.postings[_ranges(a[first], n[first])].view(_PAIR)
+        score = np.bincount(post["at"], post["weight"] * np.repeat(q[first], n[first]), self.size)
+        if but >= 0:
+            score[but] = -2.0  # under any bound
+        least = np.partition(score, self.size - k)[self.size - k] if k <= self.size else 0.0
+        if not first.all():
+            more = q[~first] @ self.maxima[row[~first]]
+            score += np.repeat(more, BLOCK)[: self.size]
+        open_ = np.flatnonzero(score >= max(least - 1e-9, 1e-300))
+        a, n = self.own_begin[open_], self.own_begin[open_ + 1] - self.own_begin[open_]
+        open_, a, n = open_[n > 0], a[n > 0], n[n > 0]
         if not len(open_):
             return []
         # In full, term by term of each example that is still open.
         dense = self.scratch
         if dense is None:
             dense = self.scratch = np.zeros(len(self.vocabulary))
-        dense[terms] = q
-        n = self.own_begin[open_ + 1] - self.own_begin[open_]
-        at = _ranges(self.own_begin[open_], n)
-        score = np.zeros(self.size)
-        score[open_] = np.add.reduceat(dense[self.own_term[at]] * self.own_value[at], np.cumsum(n) - n)
-        dense[terms] = 0.0
-        return [(float(score[j]), int(j)) for j in self._top(score, k, but)]
-
-    @staticmethod
-    def _top(score: np.ndarray, k: int, but: int) -> np.ndarray:
-        """Places of the k greatest scores over 0, ties by place."""
-        hit = np.flatnonzero(score > 0)
-        hit = hit[hit != but]
-        value = np.round(score[hit], 12)
-        if len(hit) > 4 * k:
-            keep = value >= np.partition(value, len(value) - k)[len(value) - k]
-            hit, value = hit[keep], value[keep]
-        return hit[np.lexsort((hit, -value))][:k]
+        rank = self.rank[terms]
+        dense[rank] = q
+        own = np.concatenate([self.own[i:j] for i, j in zip(a.tolist(), (a + n).tolist())]).view(_PAIR)
+        score = np.add.reduceat(dense.take(own["at"]) * own["weight"], np.cumsum(n) - n)
+        dense[rank] = 0.0
+        best = np.lexsort((open_, -np.round(score, 12)))[:k]
+        return [(s, j) for s, j in zip(score[best].tolist(), open_[best].tolist()) if s > 0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, by weight of nearness."""
@@ -227,7 +286,7 @@ class Index:
     def probability(self, raw: float) -> float:
         if self.steps is None or not len(self.steps[0]):
             return raw
-        return float(np.clip(np.interp(raw, *self.steps), 0.0, 1.0))
+        return min(max(float(np.interp(raw, *self.steps)), 0.0), 1.0)
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int | None, float]]]:
         """Calibrated score and evidence (example id, cosine)."""
@@ -259,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     def vectorise(batches):
         of = Terms()
         for b in batches:
-            v = [of(t.as_py()) for t in b.column(2)]
+            v = list(of.many(t.as_py() for t in b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t.astype("<u4").tobytes() for t, _ in v], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in v], pa.binary())], names=_VECTOR.names)
 
     spark = docs.sparkSession
@@ -295,7 +354,7 @@ def score(docs: DataFrame, model: Index, held: Column, doc_id: str = "doc_id", t
         index, terms = shared.value, Terms(shared.value.vocabulary)
         index.steps = steps
         for b in batches:
-            got = [index.score(*terms(t.as_py())) for t in b.column(2)]
+            got = [index.score(*v) for v in terms.many(t.as_py() for t in b.column(2))]
             s = [round(g[0], 9) for g in got]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32()),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -109,3 +111,69 @@ def test_toxicity_of_awkward_rows(docs, none, spark):
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.where("false")), held).collect()} == {0.0}
     assert toxicity.score(none, toxicity.fit(none, labels), held).count() == 0
+
+
+def test_words_are_those_of_the_pattern():
+    every = "".join(map(chr, range(0x110000)))
+    assert toxicity.words_of(every) == toxicity._WORDS.findall(every.lower())
+    mixed = "a".join(map(chr, range(0x3000))) + " ".join(map(chr, range(0x1D000, 0x20000)))
+    assert toxicity.words_of(mixed) == toxicity._WORDS.findall(mixed.lower())
+    assert toxicity.words_of(None) == toxicity.words_of("") == toxicity.words_of(" 12_3 \x00") == []
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_terms_are_made_for_many_texts_at_once(known, monkeypatch):
+    texts = [f"Wort{'abcdefghij'[k % 10] * (k % 7)} und {'xyz'[k % 3] * (k // 9)}, und_\u00df\u0130 x\u00b2 \U0001d41a9\u4e2d" for k in range(300)] + [None, "", "12 _"]
+
+    def plain(text):
+        words = Counter(toxicity._WORDS.findall((text or "").lower()))
+        out = Counter()
+        for w, c in words.items():
+            out[crc32(w.encode())] += c
+            if len(w) > 5:
+                out[crc32(f"{w[:5]}~".encode())] += c
+        return out
+
+    vocabulary = np.unique([t for text in texts[:40] for t in plain(text)]) if known else None
+    want = [sorted(plain(t).items()) for t in texts]
+    if known:
+        place = {t: k for k, t in enumerate(vocabulary.tolist())}
+        want = [[(place[t], c) for t, c in w if t in place] for w in want]
+    read = lambda got: [list(zip(t.tolist(), c.tolist())) for t, c in got]
+    terms, learnt = toxicity.Terms(vocabulary), []
+    learn = terms.learn
+    terms.learn = lambda words: (learnt.append(len(words)), learn(words))
+    assert read(terms.many(texts)) == want and len(learnt) == 1
+    assert read(map(terms, texts)) == want and len(learnt) == 1  # all words are known by then
+    monkeypatch.setattr(toxicity, "PIECE_WORDS", 7)
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 10)
+    assert read(toxicity.Terms(vocabulary).many(iter(texts))) == want
+    assert list(toxicity.Terms(vocabulary).many([])) == []
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_nearest_is_exact_for_rare_and_common_terms(seed):
+    rng = np.random.default_rng(seed)
+    vectors = []
+    for k in rng.integers(0, 40, 900):
+        t = np.unique(np.minimum(rng.zipf(1.3, k), 2000)).astype(np.int64)
+        vectors.append((t, rng.integers(1, 5, len(t))))
+    index = toxicity.Index(vectors, rng.integers(0, 2, 900).astype(float), np.ones(900), list(range(900)))
+    assert 0 < len(index.maxima) < len(index.vocabulary)  # terms of both kinds
+    vectors = index.vectors
+    whole = np.array([_dense(index, v) for v in vectors])
+    for but in range(0, 900, 9):
+        dense = whole @ whole[but]
+        dense[but] = 0.0
+        got = index.nearest(vectors[but], 11, but=but)
+        assert np.allclose([s for s, _ in got], np.sort(dense[dense > 0])[::-1][:11]) and all(k != but and dense[k] == pytest.approx(s) for s, k in got)
+
+
+def test_examples_without_terms_are_nobodys_neighbours():
+    """Such an example stands in a block that stays open, since fewer than k examples share a term with the query."""
+    one, none = np.ones(1, np.int64), np.zeros(0, np.int64)
+    vectors = [(none, none), (0 * one, one), (one, one), (none, none)]
+    index = toxicity.Index(vectors, np.array([1.0, 0.0, 1.0, 1.0]), np.ones(4), [7, 8, 9, 10])
+    query = index.unit(np.array([0, 1]), np.array([1, 1]))
+    assert sorted(index.ids[k] for _, k in index.nearest(query)) == [8, 9]
+    assert index.nearest((none, np.zeros(0))) == []

@@ -307,11 +307,11 @@ def pass_rate_sweep(spark, sf_dir):
 
 # -- bootstrap ---------------------------------------------------------------------------------------
 
-#: Resamples that the SQL form is held against SQL with; the numpy form takes all ``bootstrap.N_BOOT``.
+#: Resamples of levels 2 and 3 in the SQL form, as their SQL has them; level 1 and the numpy form take all ``bootstrap.N_BOOT``.
 N_SQL = 100
 
 
-def _boot_sql(keys: list[str], levels: list[str]) -> str:
+def _boot_sql(keys: list[str], levels: list[str], n_boot: int = N_SQL) -> str:
     leaf = [*keys, *levels]
     units = [k for k in leaf if k != "block"]
     c = ", ".join
@@ -320,13 +320,13 @@ def _boot_sql(keys: list[str], levels: list[str]) -> str:
         level = f"SELECT {c([*keys, *levels[:depth]])}, b, {c(f'avg({m}) AS {m}' for m in M[:3])} FROM ({level}) GROUP BY ALL"
     return with_sql(*LONG, query=f"""
     , rk AS (SELECT {c(leaf)}, row_number() OVER (PARTITION BY {c(leaf)} ORDER BY sid) AS pos, count(*) OVER (PARTITION BY {c(leaf)}) AS n, {c(M[:3])} FROM pl),
-    dr AS (SELECT {c(units)}, b, ('0x' || substr(md5(concat_ws('|', '{bootstrap.SEED}', {c(units)}, b, i)), 1, 8))::BIGINT % n + 1 AS pos FROM (SELECT DISTINCT {c(units)}, n FROM rk), range(1, {N_SQL + 1}) AS bb(b), LATERAL (SELECT unnest(range(1, n + 1)) AS i))
+    dr AS (SELECT {c(units)}, b, ('0x' || substr(md5(concat_ws('|', '{bootstrap.SEED}', {c(units)}, b, i)), 1, 8))::BIGINT % n + 1 AS pos FROM (SELECT DISTINCT {c(units)}, n FROM rk), range(1, {n_boot + 1}) AS bb(b), LATERAL (SELECT unnest(range(1, n + 1)) AS i))
     SELECT {c(keys)}, {c(f"round(quantile_cont({m}, {p}), 9) AS ci95_{m}_{e}" for m in M[:3] for e, p in (("low", 0.025), ("high", 0.975)))} FROM ({level}) GROUP BY ALL""")
 
 
-@query(_boot_sql(["model", "task", "block"], []))
+@query(_boot_sql(["model", "task", "block"], [], bootstrap.N_BOOT))
 def bootstrap_l1_sql(spark, sf_dir):
-    return bootstrap.draws_sql_form(long(spark, sf_dir, once=True), ["model", "task", "block"], [], ["sid"], N_SQL)
+    return bootstrap.draws_sql_form(long(spark, sf_dir, once=True), ["model", "task", "block"], [], ["sid"], bootstrap.N_BOOT)
 
 
 @query(_boot_sql(["model", "category", "block"], ["task"]))

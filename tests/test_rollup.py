@@ -148,3 +148,52 @@ def test_blocks_without_levels_are_resampled_together(spark):
         want = bootstrap.nested_interval(own, 300).T.ravel()
         assert np.allclose([r[f"ci95_{m}_{e}"] for m in bootstrap.CI_METRICS for e in ("low", "high")], want, atol=1e-12)
     assert out.count() == 3
+
+
+def test_keyed_draws_are_those_of_md5():
+    """Numbers of other lengths, a group that doesn't fill a tile, and a name that needs a second block."""
+    import hashlib
+
+    for name, first, last, n in (("42|m|t", 95, 120, 1_003), ("42|m|t", 9_999, 10_000, 17_000), ("42|" + "y" * 60, 8, 11, 12)):
+        got = bootstrap.key_draws(name, first, last, n)
+        for b in (first, last):
+            assert got[b - first].tolist() == [int(hashlib.md5(f"{name}|{b}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(1, n + 1)]
+
+
+def test_registered_sql_interval_takes_all_iterations(spark, monkeypatch):
+    import hashlib
+
+    from pixelloom import catalog
+    from pixelloom.plans import q_scoring
+
+    xs = [0.1, 0.9, 0.4, 0.35, 0.7]
+    d = records(spark, [("g", "a", "d", "b", xs)]).withColumnRenamed("idx", "sid")
+    monkeypatch.setattr(q_scoring, "long", lambda spark, sf_dir, once=False: d)
+    pick = lambda b, i: int(hashlib.md5(f"{bootstrap.SEED}|m|a|{b}|{i}".encode()).hexdigest()[:8], 16) % 5
+    want = np.percentile([np.mean([xs[pick(b, i)] for i in range(1, 6)]) for b in range(1, 10_001)], [2.5, 97.5])
+    r = q_scoring.bootstrap_l1_sql(spark, "").first()
+    assert (r["ci95_iou_low"], r["ci95_iou_high"]) == pytest.approx(tuple(want), abs=1e-9)
+    assert "range(1, 10001)" in catalog.oracle_sql()["bootstrap_l1_sql"]
+
+
+def test_draws_don_t_depend_on_parts_and_pieces(spark, monkeypatch):
+    """Blocks of two sizes with missing values, as a join of draws and problems by place gives them."""
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    rows = [("m", t, b, k, *(None if (k, b) == (2, "0") else float(x) for x in rng.random(3))) for t, m in (("s", 7), ("t", 9)) for b, n in (("0", m), ("1", m), ("mean", 4)) for k in range(n)]
+    d = spark.createDataFrame(rows, "model string, task string, block string, sid int, edit_accuracy double, preservation_accuracy double, iou double")
+    one = lambda **o: {(r["model"], r["task"], r["block"]): tuple(r)[3:] for r in bootstrap.draws_sql_form(d, ["model", "task", "block"], [], ["sid"], 60, **o).collect()}
+    got = one()
+    monkeypatch.setattr(bootstrap, "PIECE", 3)
+    again = one(draws=40)
+    assert len(got) == 6 and again.keys() == got.keys() and all(again[k] == pytest.approx(v, abs=1e-12) for k, v in got.items())
+    for t, m in (("s", 7), ("t", 9)):
+        draws = {b: [int(hashlib.md5(f"42|m|{t}|{b}|{i}".encode()).hexdigest()[:8], 16) % n for n in (4, m) for i in range(1, n + 1)] for b in range(1, 61)}
+        for block in ("0", "mean"):
+            own = {r[3]: r[6] for r in rows if r[1:3] == (t, block) and r[6] is not None}
+            means = [np.mean(taken) for at in draws.values() if (taken := [own[k] for k in at if k in own])]
+            assert got["m", t, block][4:] == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-9)
+    both = bootstrap.draws_sql_form(d, ["model", "block"], ["task"], ["sid"], 60).where("block = '1'").first()
+    means = [np.mean([np.mean([{r[3]: r[6] for r in rows if r[1:3] == (t, "1")}[k] for n in (4, m) for i in range(1, n + 1) for k in [int(hashlib.md5(f"42|m|{t}|{b}|{i}".encode()).hexdigest()[:8], 16) % n]]) for t, m in (("s", 7), ("t", 9))]) for b in range(1, 61)]
+    assert (both["ci95_iou_low"], both["ci95_iou_high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-9)

@@ -191,3 +191,27 @@ def test_a_writer_makes_each_folder_once(tmp_path, monkeypatch):
         put(f"{'ab'[k % 2]}/{k}", bytes([k]))
     assert Counted.made == 2
     assert {p.relative_to(tmp_path).as_posix(): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == {f"{'ab'[k % 2]}/{k}": bytes([k]) for k in range(30)}
+
+
+def test_index_of_a_tree_is_made_without_a_list_of_files_on_the_driver(spark, tree, tmp_path):
+    """The same rows as by Spark's image reader: a missing and a damaged picture, a broken sidecar, hidden files and deeper folders among them."""
+    import shutil
+
+    root = tmp_path / "p"
+    shutil.copytree(tree / "p", root)
+    shutil.copytree(root / "bench" / "removal", root / "bench" / "deep" / "er" / "border")
+    shutil.copytree(root / "bench" / "removal", root / "bench" / "_hidden")
+    at = root / "bench" / "removal"
+    (at / "001_answer.png").unlink()
+    (at / "002_input.png").write_bytes(b"no picture")
+    (at / ".003_input.png").write_bytes(b"x")
+    (root / "bench" / "recolor" / "000.json").write_text("{broken")
+    (root / "bench" / "recolor" / "notes.json").write_text("{}")
+    got = problem_tree.index(spark, f"file://{root}")
+    plain = problem_tree.problems(spark, f"file://{root}")
+    want = plain.select("benchmark", "task", "idx", "problem_id", "instruction", F.col("input.height").alias("height"), F.col("input.width").alias("width"), F.col("answer").isNotNull().alias("has_answer"))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 8
+    assert sorted(got.select("height", "has_answer").where("task = 'removal'").collect()) == [(-1, True), (10, False), (10, True)]
+    for name in (got, problem_tree.demo_index(spark)):
+        plan = name._jdf.queryExecution().executedPlan().toString()
+        assert "image" not in plan and "binaryFile" not in plan and not any(f.endswith((".png", ".json")) for f in name.inputFiles())

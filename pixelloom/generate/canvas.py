@@ -73,16 +73,14 @@ def polygon_box(points: np.ndarray, width: int, height: int) -> tuple[slice, sli
     x0, y0 = np.maximum(np.floor(points.min(0)), 0).astype(int)
     x1, y1 = np.minimum(np.ceil(points.max(0)).astype(int) + 1, (width, height))
     cx, cy = np.arange(x0, max(x0, x1)) + 0.5, np.arange(y0, max(y0, y1)) + 0.5
-    # At each place of a row the number of edges that have so many pixels to their left; a pixel is inside if an odd number of edges is beyond it.
-    crossed = np.zeros((len(cy), len(cx) + 1), np.uint8)
-    if len(cy) and len(cx):
+    inside = np.zeros((len(cy), len(cx)), bool)
+    if inside.size:
         (ax, ay), (bx, by) = points.T, np.concatenate([points[1:], points[:1]]).T
         edge, row = np.nonzero((ay[:, None] > cy) != (by[:, None] > cy))
         at = ax[edge] + (cy[row] - ay[edge]) / (by - ay)[edge] * (bx - ax)[edge]
-        left = np.searchsorted(cx, at)
-        crossed += np.bincount(row * crossed.shape[1] + left, minlength=crossed.size).reshape(crossed.shape).astype(np.uint8)
-    beyond = np.bitwise_xor.accumulate(crossed[:, :0:-1], 1)[:, ::-1]
-    inside = (beyond & 1).astype(bool)
+        # From an edge to the next one of a row, which has an even number of them, it is by turns inside and outside.
+        turns = np.diff(np.sort(row * len(cx) + np.searchsorted(cx, at)), prepend=0, append=inside.size)
+        inside = np.repeat(np.arange(len(turns)) & 1 == 1, turns).reshape(inside.shape)
     return slice(y0, y0 + len(cy)), slice(x0, x0 + len(cx)), inside
 
 
@@ -114,14 +112,22 @@ def shape_mask(shape: Shape, width: int, height: int, points: np.ndarray | None
     return out
 
 
+def _places(differ: np.ndarray) -> np.ndarray:
+    """Places of what few there is in a flat mask: words without any are passed over."""
+    whole = len(differ) // 8 * 8
+    word = np.flatnonzero(differ[:whole].view(np.uint64) != 0)
+    k = np.flatnonzero(differ[:whole].reshape(-1, 8)[word])
+    return np.r_[word[k >> 3] * 8 + (k & 7), whole + np.flatnonzero(differ[whole:])]
+
+
 def painted(canvas: np.ndarray, tones: list[tuple[int, int, int]]) -> np.ndarray:
-    """The picture (H, W, 3) of a canvas of numbers of tones, of which there are 256 at most."""
-    table = np.zeros((len(tones), 4), np.uint8)
-    table[:, :3] = tones
-    wide = table.view("<u4")[:, 0].take(canvas).view(np.uint8).reshape(*canvas.shape, 4)
+    """The picture (H, W, 3) of a canvas of numbers of tones, painted run by run."""
+    flat, table = np.ascontiguousarray(canvas).reshape(-1), np.array(tones, np.uint8).reshape(-1, 3)
+    first = np.r_[0, _places(flat[1:] != flat[:-1]) + 1] if flat.size else np.zeros(0, int)
+    size, rgb = np.diff(np.r_[first, flat.size]), table[flat[first]]
     out = np.empty((*canvas.shape, 3), np.uint8)
     for k in range(3):  # rows of three bytes at a time would be slow
-        out[..., k] = wide[..., k]
+        out[..., k] = np.repeat(rgb[:, k], size).reshape(canvas.shape)
     return out
 
 
@@ -135,6 +141,21 @@ class Scene:
     band: float = 0.08
     angle: float = 0.0
 
+    #: Masks by shape, the background, and what was drawn last: (shapes, canvas) and (canvas, picture).
+    _boxes: dict = field(default_factory=dict, repr=False)
+    _back: np.ndarray | None = field(default=None, repr=False)
+    _canvas: tuple = field(default=(None, None), repr=False)
+    _picture: tuple | None = field(default=None, repr=False)
+
+    @property
+    def numbers(self) -> dict[str, int]:
+        """The number of each colour on a canvas; those of the background come first."""
+        return {c: k for k, c in enumerate(dict.fromkeys([*self.background, *self.colors]))}
+
+    @property
+    def tones(self) -> list[tuple[int, int, int]]:
+        return [self.colors[c] for c in self.numbers]
+
     def _ground(self) -> np.ndarray:
         """Which tone of the background each pixel has."""
         n = len(self.background)
@@ -146,21 +167,48 @@ class Scene:
         band = np.floor(d, out=d).astype(np.int16)
         return (band & 1 if n == 2 else band % n).astype(np.uint8)
 
+    def box(self, shape: Shape) -> tuple[slice, slice, np.ndarray]:
+        """``shape_box``, made once a shape; not to be changed."""
+        if shape not in self._boxes:
+            self._boxes[shape] = shape_box(shape, self.width, self.height)
+        return self._boxes[shape]
+
+    def canvas(self, shapes: list[Shape] | None = None) -> np.ndarray:
+        """The number of each pixel's colour; not to be changed."""
+        shapes = tuple(self.shapes if shapes is None else shapes)
+        if self._canvas[0] != shapes:
+            if self._back is None:
+                self._back = self._ground()
+            canvas, number = self._back.copy(), self.numbers
+            for s in shapes:
+                rows, columns, inside = self.box(s)
+                if inside.size:
+                    np.copyto(canvas[rows, columns], number[s.fill], where=inside)
+            self._canvas = shapes, canvas
+        return self._canvas[1]
+
+    def paint(self, canvas: np.ndarray, last: bool = False) -> np.ndarray:
+        """The picture of a canvas; outside of the box of what differs from the first picture it is that one.  ``last``: no other will be asked for."""
+        if self._picture is None:
+            self._picture = canvas, painted(canvas, self.tones)
+        known, picture = self._picture
+        out = picture if last else picture.copy()
+        if canvas is not known:
+            differ = canvas != known
+            rows, columns = (np.flatnonzero(differ.any(k)) for k in (1, 0))
+            if len(rows):
+                box = slice(rows[0], rows[-1] + 1), slice(columns[0], columns[-1] + 1)
+                out[box] = painted(canvas[box], self.tones)
+        return out
+
     def draw(self, shapes: list[Shape] | None = None) -> np.ndarray:
         """The picture; until it is done a pixel is the number of its colour."""
-        canvas = self._ground()
-        used = dict.fromkeys([*self.background, *self.colors])
-        number = {c: k for k, c in enumerate(used)}
-        for s in self.shapes if shapes is None else shapes:
-            rows, columns, inside = shape_box(s, self.width, self.height)
-            if inside.size:
-                np.copyto(canvas[rows, columns], number[s.fill], where=inside)
-        return painted(canvas, [self.colors[c] for c in used])
+        return self.paint(self.canvas(shapes))
 
     def occupied(self) -> np.ndarray:
         out = np.zeros((self.height, self.width), bool)
         for s in self.shapes:
-            rows, columns, inside = shape_box(s, self.width, self.height)
+            rows, columns, inside = self.box(s)
             if inside.size:
                 out[rows, columns] |= inside
         return out

@@ -15,6 +15,8 @@ from ..sources import png
 from . import charts, tasks
 
 MAX_ATTEMPTS = 200
+#: Tasks from which on they get larger instead of more: to begin one takes as long as two or three problems, and the driver keeps track of each.
+MOST_TASKS = 500
 
 
 def seed_of(*parts) -> int:
@@ -45,8 +47,9 @@ def slots_of(rows: DataFrame) -> DataFrame:
 
 
 def dealt(grid: DataFrame, each: int) -> DataFrame:
-    """Dealt out to tasks of some ``each`` problems; a picture takes a tenth of a second and megabytes, so a task takes few."""
-    return grid.repartition(1 + grid.count() // each)
+    """Dealt out to tasks of some ``each`` problems; a picture takes a tenth of a second and megabytes, so a task takes few, until there are MOST_TASKS."""
+    n = grid.count()
+    return grid.repartition(1 + n // max(each, n // MOST_TASKS))
 
 
 def made(r: dict, benchmark: str, scale: float) -> tuple[tasks.Problem | None, int]:
@@ -77,14 +80,14 @@ def evaluated(grid: DataFrame, models: list[str], benchmark: str = "shapes", sca
                 found, _ = made(r, benchmark, scale)
                 if not found:
                     continue
-                rows = []
+                rows, of = [], scoring.base(found.image, found.answer)
                 for m, call in calls.items():
                     output, error = None, None
                     try:
                         output, _, _ = infer.unpacked(infer.tried(lambda call=call: call(found.image, found.instruction, found.answer), deadline_s, pause_s))
                     except Exception as e:  # reported in the row; nothing is hidden
                         error = str(e)
-                    rows.append({k: r[k] for k in ("task", "idx", "mode", "visual_condition")} | {"model": m, "success": error is None, "error": error} | scoring.triplet_score(found.image, found.answer, output))
+                    rows.append({k: r[k] for k in ("task", "idx", "mode", "visual_condition")} | {"model": m, "success": error is None, "error": error} | scoring.triplet_score(found.image, found.answer, output, of))
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return grid.mapInArrow(run, schema)

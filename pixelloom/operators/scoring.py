@@ -7,8 +7,11 @@ sums, so pixels are read once, partial sums leave each task, and one row a probl
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,39 +158,145 @@ def _may_be_near(i: np.ndarray, a: np.ndarray, o: np.ndarray) -> np.ndarray:
     return np.flatnonzero(near.ravel().take(np.repeat(which << 15, np.diff(np.r_[begin, len(o)])) | cell))
 
 
-def image_stats(image: np.ndarray, answer: np.ndarray, output: np.ndarray) -> dict:
-    """Counts and blocks of one image triplet in float32.
+def _changes(image: np.ndarray) -> np.ndarray:
+    """Bytes (three a pixel, padded to words) that differ from the pixel before."""
+    flat = np.ascontiguousarray(image).reshape(-1)
+    out = np.zeros(-(-len(flat) // 8) * 8, bool)
+    np.not_equal(flat[3:], flat[:-3], out=out[3 : len(flat)])
+    return out
+
+
+def _starts(changes: np.ndarray, n: int) -> np.ndarray:
+    """Pixels (of n) with which a run begins: words without a change are passed over."""
+    word = np.flatnonzero(changes.view(np.uint64) != 0)
+    k = np.flatnonzero(changes.reshape(-1, 8)[word])
+    at = (word[k >> 3] * 8 + (k & 7)) // 3
+    at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+    return np.r_[0, at] if n else at
+
+
+def _colours(image: np.ndarray, at: np.ndarray) -> np.ndarray:
+    flat = np.ascontiguousarray(image).reshape(-1)
+    red, green, blue = (flat[3 * at + c].astype(np.uint32) for c in range(3))
+    return red << 16 | green << 8 | blue
+
+
+def _lab(packed: np.ndarray) -> np.ndarray:
+    return color.lab_array(np.stack([packed >> 16, packed >> 8 & 255, packed & 255], -1).astype(np.uint8))
+
+
+@dataclass
+class Base:
+    """Runs of pixels with the same colours in input and answer, which all outputs of a problem are scored against."""
+
+    n: int
+    changes: np.ndarray
+    size: np.ndarray
+    colours: np.ndarray
+    i: np.ndarray  # number of the input's and the answer's colour in each run
+    a: np.ndarray
+
+
+def base(image: np.ndarray, answer: np.ndarray) -> Base:
+    n = image.shape[0] * image.shape[1]
+    changes = _changes(image)
+    if answer is not image:
+        changes |= _changes(answer)
+    first = _starts(changes, n)
+    code, colours = pd.factorize(np.concatenate([_colours(image, first), _colours(answer, first)]))
+    return Base(n, changes, np.diff(np.r_[first, n]), colours, code[: len(first)], code[len(first) :])
+
+
+#: Pixels whose channels are compared at once, which a cache holds.
+BAND = 1 << 16
+#: Colours up to which a table of cells is made for each (32 KB each).
+MANY_COLOURS = 1024
+#: The same bounds for cells of 32 x 32 x 32 colours, and the 64 small cells in each of these.
+_wide = [x.reshape(3, 8, 4, 8, 4, 8, 4) for x in _CELLS]
+_WIDE = _wide[0].min((2, 4, 6)).reshape(3, 512), _wide[1].max((2, 4, 6)).reshape(3, 512)
+_INSIDE = np.arange(32**3).reshape(8, 4, 8, 4, 8, 4).transpose(0, 2, 4, 1, 3, 5).reshape(512, 64)
+
+
+@lru_cache(1 << 14)
+def _reach(colour: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells that may be within the largest threshold of a colour (one is left for rounding), and their least and largest channels."""
+    lab, reach = _lab(np.array([colour], np.uint32)).T, THRESHOLDS[-1] + 1
+    meets = lambda cells: ((cells[0] <= lab + reach) & (cells[1] >= lab - reach)).all(0)
+    cells = _INSIDE[meets(_WIDE)].ravel()
+    cells = cells[meets((_CELLS[0][:, cells], _CELLS[1][:, cells]))]  # the colour's own is one of them
+    rgb = np.stack([cells >> 10, cells >> 5 & 31, cells & 31])
+    return cells.astype(np.int16), (rgb.min(1) * 8).astype(np.uint8), (rgb.max(1) * 8 + 7).astype(np.uint8)
+
+
+def _near_places(b: Base, output: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels of an output, and their runs, that may be within the largest threshold of input or answer: by their channels first, then by cell."""
+    runs = np.arange(len(b.size), dtype=np.int32)
+    if len(b.colours) > MANY_COLOURS:
+        return np.arange(b.n), np.repeat(runs, b.size)
+    cells, low, high = zip(*(_reach(int(c)) for c in b.colours))
+    low, span = np.array(low), np.array(high) - np.array(low)
+    near = np.zeros(len(cells) << 15, bool)
+    for k, own in enumerate(cells):
+        near[k << 15 : k + 1 << 15][own] = True
+    flat, edit, first = np.ascontiguousarray(output).reshape(-1), b.a != b.i, np.cumsum(b.size) - b.size
+    of_answer, of_input = b.a.astype(np.int64) << 15, b.i.astype(np.int64) << 15
+    places, owners = [], []
+    for begin in range(0, b.n, BAND):
+        end = min(begin + BAND, b.n)
+        r = slice(np.searchsorted(first, begin, "right") - 1, np.searchsorted(first, end))
+        size = np.minimum(first[r] + b.size[r], end) - np.maximum(first[r], begin)
+        channels = [flat[3 * begin + c : 3 * end : 3].copy() for c in range(3)]
+        hit = np.zeros(end - begin, bool)
+        for code in (b.a[r], b.i[r]) if edit[r].any() else (b.a[r],):
+            own = True
+            for c in (1, 0, 2):
+                own &= channels[c] - np.repeat(low[code, c], size) <= np.repeat(span[code, c], size)
+            hit |= own
+        at = np.flatnonzero(hit)
+        run = np.repeat(runs[r], size)[at]
+        red, green, blue = (x[at].astype(np.int64) >> 3 for x in channels)
+        cell = red << 10 | green << 5 | blue
+        own = near[of_answer[run] | cell]
+        edited = np.flatnonzero(edit[run])
+        own[edited] |= near[of_input[run[edited]] | cell[edited]]
+        places.append(at[own] + begin)
+        owners.append(run[own])
+    return np.concatenate(places), np.concatenate(owners)
+
+
+def image_stats(image: np.ndarray, answer: np.ndarray, output: np.ndarray, of: Base | None = None) -> dict:
+    """Counts and blocks of one image triplet in float32; ``of``: the runs of input and answer, if they are known.
 
     Pixels that follow one another with the same three colours are scored once and counted by their number; of many,
     only those are scored whose colour may be within the largest threshold.
     """
-    n = image.shape[0] * image.shape[1]
-    i, a = _packed(image), _packed(answer)
-    o = i if output is image else a if output is answer else _packed(output)
-    new = np.ones(n, bool)
-    np.not_equal(i[1:], i[:-1], out=new[1:])
-    for x in (a, o):
-        if x is not i:
-            new[1:] |= x[1:] != x[:-1]
-    first = np.flatnonzero(new)
-    size = np.diff(np.r_[first, n])
-    if len(first) < n:
-        i, a, o = i[first], a[first], o[first]
-    edit = i != a
+    b = base(image, answer) if of is None else of
+    n, size, edit, labs = b.n, b.size, b.i != b.a, _lab(b.colours)
     ep = int(size[edit].sum())
     pp = n - ep
-    if len(first) > MANY_RUNS:
-        near = _may_be_near(i, a, o)
-        i, a, o, size, edit = i[near], a[near], o[near], size[near], edit[near]
-
-    def lab(packed):
-        return color.lab_array(np.stack([packed >> 16, packed >> 8 & 255, packed & 255], -1).astype(np.uint8))
-
-    lab_o = lab(o)
+    i, a = b.i, b.a
+    changes = None if output is image or output is answer else _changes(output)
+    if changes is None:
+        lab_o = labs[i if output is image else a]
+    elif np.count_nonzero(changes) > n // 2:  # hardly any runs
+        at, run = _near_places(b, output)
+        i, a, edit, size = i[run], a[run], edit[run], np.ones(len(run), np.int64)
+        lab_o = _lab(_colours(output, at))
+    else:
+        changes |= b.changes
+        first = _starts(changes, n)
+        run = np.repeat(np.arange(len(size)), size)[first]
+        i, a, edit, size, o = i[run], a[run], edit[run], np.diff(np.r_[first, n]), _colours(output, first)
+        if len(first) > MANY_RUNS:
+            near = _may_be_near(b.colours[i], b.colours[a], o)
+            i, a, edit, size, o = i[near], a[near], edit[near], size[near], o[near]
+        lab_o = _lab(o)
     # A difference counts for the thresholds from the next whole number on.
     last = THRESHOLDS[-1] + 1
-    step = lambda x: np.minimum(np.ceil(np.sqrt(((lab_o - lab(x)) ** 2).sum(-1))), last).astype(np.int64)
-    de, de_in = step(a), step(i)
+    step = lambda x, y: np.minimum(np.ceil(np.sqrt(((x - labs[y]) ** 2).sum(-1))), last).astype(np.int64)
+    de = step(lab_o, a)
+    de_in = de.copy()
+    de_in[edit] = step(lab_o[edit], i[edit])
     count = lambda s, w: np.cumsum(np.bincount(s, w, last + 1)).astype(np.int64).tolist()  # noqa: E731  of pixels up to each threshold
     edited, kept, same = count(de, size * edit), count(de, size * ~edit), count(de_in, size)
     div = lambda x, d: x / d if d else 1.0
@@ -211,7 +320,7 @@ def _bgr(row: dict) -> np.ndarray:
     return data[..., 2::-1]
 
 
-def triplet_score(image: np.ndarray, answer: np.ndarray, output: np.ndarray | None) -> dict:
+def triplet_score(image: np.ndarray, answer: np.ndarray, output: np.ndarray | None, of: Base | None = None) -> dict:
     """has_output, correct_output_size, edit_pixels, preservation_pixels and blocks of one triplet; without an output all pixels are wrong."""
     if output is None:
         edit = np.any(image != answer, -1)
@@ -220,7 +329,7 @@ def triplet_score(image: np.ndarray, answer: np.ndarray, output: np.ndarray | No
         zero = [{"t": t, "edit_correct_pixels": 0, "preservation_correct_pixels": 0, "edit_accuracy": 0.0, "preservation_accuracy": 0.0, "iou": iou, "changed_pixels": 0} for t in THRESHOLDS]
         return {"has_output": False, "correct_output_size": None, "edit_pixels": ep, "preservation_pixels": pp, "blocks": zero}
     same = output.shape[:2] == answer.shape[:2]
-    return {"has_output": True, "correct_output_size": same} | image_stats(image, answer, fit_image(output, *answer.shape[:2]))
+    return {"has_output": True, "correct_output_size": same} | image_stats(image, answer, fit_image(output, *answer.shape[:2]), of)
 
 
 #: Fields that ``triplet_score`` fills, as a schema.

@@ -164,3 +164,21 @@ def test_a_picture_takes_one_byte_a_pixel_until_it_is_done():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 24 << 20
+
+
+def test_shapes_are_filled_once_a_problem(monkeypatch):
+    """Input and answer share masks and pictures; what an edit gets is its own."""
+    filled, box = [], canvas.shape_box
+    monkeypatch.setattr(canvas, "shape_box", lambda s, *a: (filled.append(s), box(s, *a))[1])
+    scene = canvas.random_scene(Random(7), 12, 200, 160)
+    image = scene.draw()
+    image[:] = 0
+    less = scene.draw(scene.shapes[:-1])
+    assert len(filled) == 12 and scene.draw().any()
+    plain = canvas.Scene(200, 160, scene.colors, scene.background, scene.shapes[:-1])
+    assert (less == plain.draw()).all() and (scene.draw() == canvas.painted(scene.canvas(), scene.tones)).all()
+
+
+def test_tasks_get_larger_and_not_more(spark, monkeypatch):
+    monkeypatch.setattr(run, "MOST_TASKS", 10)
+    assert [run.dealt(spark.range(n), 4).rdd.getNumPartitions() for n in (3, 39, 400, 1000)] == [1, 10, 11, 11]

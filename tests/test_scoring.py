@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -140,3 +142,31 @@ def test_far_colours_are_left_out_without_a_difference(spread):
     packed = [scoring._packed(x) for x in (image, answer, output)]
     near = scoring._may_be_near(*packed)
     assert len(near) < 0.2 * edit.size or spread < 255
+
+
+def test_few_pixels_of_noise_are_converted_whatever_the_answer(monkeypatch):
+    """An answer of some 290 colours and an output that differs in every pixel: counts as pixel by pixel; runs of the problem are shared by its outputs."""
+    from pixelloom.functions.color import lab_array
+    from pixelloom.operators import infer
+
+    image = np.empty((300, 512, 3), np.uint8)
+    image[:, :200], image[:, 200:] = (40, 120, 90), (200, 30, 60)
+    answer = image.copy()
+    answer[50:250, 100:390] = np.stack([np.arange(290) // 2, 200 - np.arange(290) // 2, np.arange(290) // 3], 1)
+    output = infer.create("noise")(image, "x", answer)[0]
+    assert (output == np.random.default_rng(zlib.crc32(b"x")).integers(0, 256, image.shape, np.uint8)).all()
+    converted = []
+    monkeypatch.setattr(color, "lab_array", lambda rgb: (converted.append(rgb.size // 3), lab_array(rgb))[1])
+    of = scoring.base(image, answer)
+    edit = (image != answer).any(-1)
+    for o in (output, image, answer, np.where(edit[..., None], output, image), answer.repeat(2, 0).repeat(2, 1)):
+        got = scoring.triplet_score(image, answer, o, of)
+        o = scoring.fit_image(o, 300, 512)
+        de, de_in = (np.sqrt(((lab_array(o) - lab_array(x)) ** 2).sum(-1)) for x in (answer, image))
+        for t, b in enumerate(got["blocks"]):
+            assert (b["edit_correct_pixels"], b["preservation_correct_pixels"], b["changed_pixels"]) == ((edit & (de <= t)).sum(), (~edit & (de <= t)).sum(), (de_in > t).sum())
+        assert got["edit_pixels"] == edit.sum() and got["blocks"] == scoring.triplet_score(image, answer, o)["blocks"]
+        if o is output:
+            assert sum(converted) < 0.2 * edit.size
+    monkeypatch.setattr(scoring, "MANY_COLOURS", 8)
+    assert scoring.image_stats(image, answer, output, of) == scoring.image_stats(image, answer, output)

@@ -231,7 +231,9 @@ def draws_sql_form(long: DataFrame, keys: list[str], levels: list[str], order: l
         return pa.table([*(table.column(k).take(pa.array(begin)) for k in leaf), pa.array([first] * len(means), pa.int32()), *made], names=[*leaf, "b", *CI_METRICS])
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in leaf), "b int", *(f"{m} array<double>" for m in CI_METRICS)])
-    level = dealt.groupBy(*units, "part").applyInArrow(run, schema)
+    # A given number of tasks: these few bytes, which take long, would be joined to one task.
+    tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = dealt.repartition(tasks, *units, "part").groupBy(*units, "part").applyInArrow(run, schema)
     if levels:
         level = level.select(*leaf, "b", F.posexplode(F.arrays_zip(*CI_METRICS))).select(*leaf, (F.col("b") + F.col("pos")).alias("b"), "col.*")
         level = level.select(*leaf, "b", *(F.nanvl(m, F.lit(None)).alias(m) for m in CI_METRICS)).dropna("all", subset=list(CI_METRICS))

@@ -197,3 +197,12 @@ def test_draws_don_t_depend_on_parts_and_pieces(spark, monkeypatch):
     both = bootstrap.draws_sql_form(d, ["model", "block"], ["task"], ["sid"], 60).where("block = '1'").first()
     means = [np.mean([np.mean([{r[3]: r[6] for r in rows if r[1:3] == (t, "1")}[k] for n in (4, m) for i in range(1, n + 1) for k in [int(hashlib.md5(f"42|m|{t}|{b}|{i}".encode()).hexdigest()[:8], 16) % n]]) for t, m in (("s", 7), ("t", 9))]) for b in range(1, 61)]
     assert (both["ci95_iou_low"], both["ci95_iou_high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-9)
+
+
+def test_groups_of_few_bytes_are_not_joined_to_one_task(spark):
+    rows = spark.range(200).selectExpr("concat('m', id % 40) AS model", "'t' AS task", "'0' AS block", "id AS sid", *(f"id / 30 AS {m}" for m in bootstrap.CI_METRICS))
+    out = bootstrap.draws_sql_form(rows, ["model", "task", "block"], [], ["sid"], 5)
+    assert out.count() == 40
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[plan.index("FlatMapGroupsInArrow") :]
+    assert "REPARTITION_BY_NUM" in dealt and "ENSURE_REQUIREMENTS" not in dealt[: dealt.index("REPARTITION_BY_NUM")]
